@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import flac
+from . import bpe, flac, hilbert
 from .common import documents
 
 
@@ -16,8 +18,29 @@ def op1_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.features(media, "doc_id", "media", "n_bytes")
 
 
+def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document on a Hilbert curve over language, source and bytes, cut into 16 shards of equal counts."""
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang", "source")
+    keys = docs.select(
+        "doc_id",
+        "lang",
+        "source",
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+    )
+    out = hilbert.shard(keys, "doc_id", ["lang", "source", "size"], ["text_crc32", "size"])
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("_curve").alias("curve_index"))
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and decoded with the ranks of the 50k byte-level vocabulary."""
+    return bpe.round_trip(documents(spark, sf_dir), "doc_id", "text", public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_flac_media": op1_flac_media,
+    "op7_hilbert_shards": op7_hilbert_shards,
+    "op9_byte_bpe": op9_byte_bpe,
 }
 
 #: DuckDB SQL for those that SQL can express.
