@@ -86,7 +86,3 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int):
         used += n
     if len(sizes) > start:
         yield batch.slice(start)
-
-
-def hex32(column: Column) -> Column:
-    return F.lpad(F.lower(F.hex(column)), 16, "0")

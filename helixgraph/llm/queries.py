@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, flac, hilbert
+from . import bpe, flac, hilbert, simhash
 from .common import documents
 
 
@@ -18,6 +18,12 @@ def op1_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.features(media, "doc_id", "media", "n_bytes")
 
 
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's SimHash of 3-word shingles and its component over links of at most 2 bits."""
+    found = simhash.near_duplicates(documents(spark, sf_dir), "doc_id", "text", words=3, radius=2, seed=42)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document on a Hilbert curve over language, source and bytes, cut into 16 shards of equal counts."""
     docs = documents(spark, sf_dir, "doc_id", "text", "lang", "source")
@@ -39,6 +45,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_flac_media": op1_flac_media,
+    "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_hilbert_shards": op7_hilbert_shards,
     "op9_byte_bpe": op9_byte_bpe,
 }
