@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, flac, hilbert, simhash
+from . import bpe, flac, hilbert, simhash, suffix
 from .common import documents
 
 
@@ -18,6 +18,12 @@ def op1_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.features(media, "doc_id", "media", "n_bytes")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of 400-byte strings that also start elsewhere."""
+    out = suffix.remove_repeats(documents(spark, sf_dir), "doc_id", "text", length=400)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's SimHash of 3-word shingles and its component over links of at most 2 bits."""
     found = simhash.near_duplicates(documents(spark, sf_dir), "doc_id", "text", words=3, radius=2, seed=42)
@@ -45,6 +51,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_flac_media": op1_flac_media,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_hilbert_shards": op7_hilbert_shards,
     "op9_byte_bpe": op9_byte_bpe,
