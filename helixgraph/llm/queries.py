@@ -8,10 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, flac, hilbert, simhash, suffix
+from . import bpe, flac, hilbert, lines, packing, simhash, suffix
 from .common import documents
 
 
+#: Ids of a packed sequence; the id that ends a document.
+CAPACITY, END_ID = 1024, 2
+
+
+def tokenized(docs: DataFrame) -> DataFrame:
+    """Pieces of the documents' ids in the vocabulary of byte_bpe_50k.json (whose ranks are in the rank file)."""
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return packing.tokenize(docs, "doc_id", "text", path, pattern, {"<|endoftext|>": 50256}, END_ID, CAPACITY)
+
+
 def op1_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as a FLAC stream, read back and described."""
     media = flac.encode_column(documents(spark, sf_dir), "doc_id", "text")
@@ -44,17 +54,31 @@ def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("_curve").alias("curve_index"))
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids packed into sequences of at most 1024."""
+    return packing.pack(tokenized(documents(spark, sf_dir)), ["doc_id", "piece", "ids_crc32"], CAPACITY)
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded and decoded with the ranks of the 50k byte-level vocabulary."""
     return bpe.round_trip(documents(spark, sf_dir), "doc_id", "text", public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without lines of ten words or more that came earlier in the corpus."""
+    out = lines.remove_repeated_units(documents(spark, sf_dir), "doc_id", "text", least_words=10)
+    spans = F.array_join(F.transform("removed", lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
+    return out.select("doc_id", "n_bytes", "n_units", "n_removed", "n_spans", spans.alias("removed_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_flac_media": op1_flac_media,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_hilbert_shards": op7_hilbert_shards,
+    "op8_best_fit_packing": op8_best_fit_packing,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 #: DuckDB SQL for those that SQL can express.
