@@ -25,9 +25,9 @@ from pyspark.sql import types as T
 from .common import global_rank, materialize, pieces
 
 #: Groups of large lengths; more groups waste less in rounding and take longer to optimise.
-GROUPS = 96
+GROUPS = 128
 #: Lengths of at most this share of the capacity are small: they only fill gaps.
-SMALL = 1 / 16
+SMALL = 0.45
 CHUNK = 4 << 20
 
 
