@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, flac, hilbert, lines, packing, quantise, simhash, suffix
+from . import bpe, chat, flac, hilbert, lines, packing, quantise, simhash, suffix, toxicity
 from .common import documents
 
 
@@ -33,6 +33,24 @@ def op2_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantise.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def held_out() -> Column:
+    """The rows whose labels are never learned from."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
+
+
+def toxicity_model(docs: DataFrame, sf_dir: str) -> toxicity.Model:
+    """The grammar fitted on the labels outside of the held-out rows."""
+    labels = docs.sparkSession.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").filter(~held_out())
+    return toxicity.train(docs, labels)
+
+
+def op3_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity by the composed grammar."""
+    docs = documents(spark, sf_dir)
+    scored = toxicity.score(docs, toxicity_model(docs, sf_dir))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, and conversation -1 full of control strings, from heterogeneous records into the template."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
@@ -89,6 +107,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_flac_media": op1_flac_media,
     "op2_additive_quantisation": op2_additive_quantisation,
+    "op3_toxicity_grammar": op3_toxicity_grammar,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
