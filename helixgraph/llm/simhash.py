@@ -9,6 +9,7 @@ radius. Buckets beyond TILE nodes are dealt out as pairs of tiles, so that no ta
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,11 +60,43 @@ def fingerprints(df: DataFrame, id_column: str, text_column: str, words: int = 3
     return rows.mapInArrow(run, f"_id {kind}, fp long").withColumnRenamed("_id", id_column)
 
 
+def sketch(text: bytes, words: int, bits: int, bands: int, rows: int) -> tuple[str, bytes, list[int]]:
+    """Of the set of word shingles: the digest of the normalised text, a SimHash of ``bits`` bits, and min-hash band keys.
+
+    Texts with fewer words than a shingle have one shingle, all their words.
+    """
+    parts = text.lower().split()
+    joined = b" ".join(parts)
+    if len(parts) <= words:
+        h = np.array([xxhash.xxh3_64_intdigest(joined)], np.uint64)
+    else:
+        ends = np.flatnonzero(np.frombuffer(joined + b" ", np.uint8) == 32)
+        starts = [0, *(ends[: len(parts) - words] + 1).tolist()]
+        digest = xxhash.xxh3_64_intdigest
+        h = np.unique(np.array([digest(joined[a:b]) for a, b in zip(starts, ends[words - 1 :].tolist())], np.uint64))
+    mark = []
+    for k in range(bits // 64):
+        x = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * k * 0x632BE5AB)
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(32)
+        counts = np.zeros(64, np.int64)
+        for i in range(0, len(x), 1 << 15):
+            counts += np.unpackbits(x[i : i + (1 << 15)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        mark.append(np.packbits(2 * counts > len(x)))
+    least = []
+    for k in range(bands * rows):
+        x = (h + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xD6E8FEB86659FD93 + 2 * k)
+        least.append(int((x ^ (x >> np.uint64(32))).min()))
+    keys = [xxhash.xxh3_64_intdigest(repr(least[b * rows : (b + 1) * rows])) for b in range(bands)]
+    return xxhash.xxh3_128_hexdigest(joined), np.concatenate(mark).tobytes(), keys
+
+
 def planes(values: np.ndarray) -> np.ndarray:
-    """Bit planes of 64-bit values: row p holds bit p of every value, 64 values a word."""
+    """Bit planes of rows of 64-bit words: row p holds bit p of every row of values, 64 of them a word."""
     n = -len(values) % 64
-    v = np.concatenate([values, np.zeros(n, np.uint64)]).astype(">u8")
-    bits = np.unpackbits(v.view(np.uint8).reshape(-1, 8), axis=1)
+    v = np.concatenate([values, np.zeros((n, values.shape[1]), np.uint64)]).astype(">u8")
+    bits = np.unpackbits(v.view(np.uint8).reshape(len(v), -1), axis=1)
     return np.packbits(np.ascontiguousarray(bits.T), axis=1).view(np.uint64)
 
 
@@ -119,7 +152,7 @@ def tile_links(left: np.ndarray, right: np.ndarray, same: bool, radius: int) ->
     """Links between two tiles (or within one), by blocks of lanes of the right one against each value of the left."""
     out = []
     stored = planes(right)
-    rows = ((left[:, None] >> np.arange(63, -1, -1, dtype=np.uint64)) & np.uint64(1)).astype(bool)
+    rows = np.unpackbits(left.astype(">u8").view(np.uint8).reshape(len(left), -1), axis=1).astype(bool)
     full = np.where(rows, ~np.uint64(0), np.uint64(0))
     for w in range(0, stored.shape[1], BLOCK_WORDS):
         block = stored[:, w : w + BLOCK_WORDS]
@@ -127,7 +160,7 @@ def tile_links(left: np.ndarray, right: np.ndarray, same: bool, radius: int) ->
             q = full[i : i + 64]
             if same and (w + block.shape[1]) * 64 <= i:
                 continue
-            near = within((block[p][None, :] ^ q[:, p][:, None] for p in range(64)), (len(q), block.shape[1]), radius)
+            near = within((block[p][None, :] ^ q[:, p][:, None] for p in range(len(block))), (len(q), block.shape[1]), radius)
             hit = np.unpackbits(near.view(np.uint8), axis=1)
             a, b = np.nonzero(hit)
             a, b = a + i, b + w * 64
@@ -159,95 +192,136 @@ def _forest(pairs: list[tuple[np.ndarray, np.ndarray]], left: np.ndarray, right:
     return nodes[moved], nodes[parent[moved]]
 
 
-def links(nodes: DataFrame, radius: int = 2) -> DataFrame:
-    """Links (a, b) that connect exactly the fingerprints ``fp`` at most ``radius`` bits apart: a forest of each bucket.
-
-    ``fp`` must be distinct. Buckets are the values of radius + 1 bit blocks.
-    """
-    spark = nodes.sparkSession
+def block_keys(nodes: DataFrame, radius: int) -> DataFrame:
+    """(j, key, node, bits): nodes of distinct 64-bit ``fp`` in buckets of equal blocks; fingerprints at most ``radius``
+    bits apart agree on one of radius + 1 blocks."""
     cuts = [round(64 * i / (radius + 1)) for i in range(radius + 2)]
     blocks = F.array(*(F.struct(F.lit(j).alias("j"), F.expr(f"shiftrightunsigned(shiftleft(fp, {cuts[j]}), {64 - cuts[j + 1] + cuts[j]})").alias("key")) for j in range(radius + 1)))
-    keyed = nodes.select("fp", F.explode(blocks).alias("x")).select("fp", "x.j", "x.key")
-    large = keyed.groupBy("j", "key").agg(F.count("*").alias("n")).filter(F.col("n") > TILE)
+    name = F.lpad(F.hex("fp"), 16, "0")
+    return nodes.select(name.alias("node"), F.unhex(name).alias("bits"), F.explode(blocks).alias("x")).select("x.j", "x.key", "node", "bits")
+
+
+def links(keyed: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) that connect exactly the nodes of a bucket (j, key) whose bits differ in at most ``radius`` places: a
+    forest of each bucket. A node is in a bucket once."""
+    spark = keyed.sparkSession
+    large = keyed.groupBy("j", "key").agg(F.count("*").alias("n")).filter("n > 1")
     dealt = (
-        keyed.join(large, ["j", "key"], "left")
-        .withColumn("tiles", F.coalesce(F.ceil(F.col("n") / TILE), F.lit(1)).cast("int"))
-        .withColumn("tile", F.expr("pmod(xxhash64(fp), tiles)").cast("int"))
+        keyed.join(large, ["j", "key"])  # nodes alone in their bucket have no links
+        .withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
+        .withColumn("tile", F.expr("pmod(xxhash64(node), tiles)").cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .select("j", "key", F.least("tile", "other").cast("int").alias("lo"), F.greatest("tile", "other").cast("int").alias("hi"), "tile", "fp")
+        .select("j", "key", F.least("tile", "other").cast("int").alias("lo"), F.greatest("tile", "other").cast("int").alias("hi"), "tile", "node", "bits")
     )
     names = ["j", "key", "lo", "hi"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Groups come whole, one after the other: short ones are gathered, long ones are compared as tiles."""
 
-        def flush(fp: np.ndarray, run: np.ndarray, tile: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[pa.RecordBatch]:
-            if not len(fp):
+        def flush(cols: list[np.ndarray], run: np.ndarray) -> Iterator[pa.RecordBatch]:
+            lo, hi, tile, node, bits = cols[2:]
+            if not len(node):
                 return
             start = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
             size = np.diff(np.concatenate([start, [len(run)]]))
             short = np.repeat((size <= 64) & (lo[start] == hi[start]), size)
-            alone = np.repeat(size == 1, size)
-            some = short & ~alone
-            v, r = fp[some], run[some]
-            got = [(v, v, shifted_links(v, r, radius))]
+            got = [(node[short], node[short], shifted_links(bits[short], run[short], radius))]
             for s, n in zip(start.tolist(), size.tolist()):
                 if n > 1 and not short[s]:
-                    part, t = fp[s : s + n], tile[s : s + n]
+                    part, names_, t = bits[s : s + n], node[s : s + n], tile[s : s + n]
                     if lo[s] == hi[s]:
-                        got.append((part, part, tile_links(part, part, True, radius)))
+                        got.append((names_, names_, tile_links(part, part, True, radius)))
                     else:
-                        x, y = part[t == lo[s]], part[t == hi[s]]
-                        got.append((x, y, tile_links(x, y, False, radius)))
+                        x, y = t == lo[s], t == hi[s]
+                        got.append((names_[x], names_[y], tile_links(part[x], part[y], False, radius)))
             for x, y, pairs in got:
                 if pairs:
                     a, b = _forest(pairs, x, y)
-                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(v.astype(str).tolist(), pa.string()) for v in (a, b)], ["a", "b"])
 
         held: list[list[np.ndarray]] = []
         count = 0
         for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            cols.append(np.array(batch.column(5).to_pylist(), "S"))
+            cols.append(np.frombuffer(b"".join(batch.column(6).to_pylist()), ">u8").astype(np.uint64).reshape(batch.num_rows, -1))
             held.append(cols)
             count += len(cols[0])
-            if count < 1 << 16:
+            if count < 1 << 15:
                 continue
             cols = [np.concatenate(c) for c in zip(*held)]
             new = np.any([c[1:] != c[:-1] for c in cols[:4]], axis=0)
             last = int(np.flatnonzero(new)[-1]) + 1 if new.any() else 0
             run = np.concatenate([[0], np.cumsum(new)])
-            yield from flush(cols[5][:last].view(np.uint64), run[:last], cols[4][:last], cols[2][:last], cols[3][:last])
+            yield from flush([c[:last] for c in cols], run[:last])
             held, count = [[c[last:] for c in cols]], len(cols[0]) - last
         if held:
             cols = [np.concatenate(c) for c in zip(*held)]
-            run = np.concatenate([[0], np.cumsum(np.any([c[1:] != c[:-1] for c in cols[:4]], axis=0))]) if len(cols[0]) else np.zeros(0, int)
-            yield from flush(cols[5].view(np.uint64), run, cols[4], cols[2], cols[3])
+            yield from flush(cols, np.concatenate([[0], np.cumsum(np.any([c[1:] != c[:-1] for c in cols[:4]], axis=0))]))
 
-    sorted_groups = dealt.repartition(partitions(spark), *names).sortWithinPartitions(*names, "fp")
-    return sorted_groups.mapInArrow(compare, "a long, b long")
+    groups = dealt.repartition(partitions(spark), *names).sortWithinPartitions(*names, "node")
+    return groups.mapInArrow(compare, "a string, b string")
+
+
+def _classes(rows: DataFrame, found: DataFrame, id_column: str) -> DataFrame:
+    """rows (id, node) with the smallest id of all nodes that the links join to theirs."""
+    nodes = materialize(rows.groupBy("node").agg(F.min(id_column).alias("_least")), "nodes")
+    joined = components(found, "simhash").withColumnRenamed("node", "_node")
+    rooted = nodes.join(joined, F.col("node") == F.col("_node"), "left").select("node", "_least", F.coalesce("component", "node").alias("_root"))
+    least = rooted.groupBy("_root").agg(F.min("_least").alias("component"))
+    return rows.join(rooted.join(least, "_root").select("node", "component"), "node")
 
 
 def near_duplicates(df: DataFrame, id_column: str, text_column: str, words: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
-    """(id, fp, component) for every row; component is the smallest id reachable over links, the row's own included.
+    """(id, fp, component) for every row; component is the smallest id reachable over links of fingerprints at most
+    ``radius`` bits apart, the row's own included.
 
     Null and empty texts have fingerprint 0, which links like any other. Rows with a null id belong to components too;
     null is never the smallest unless all ids are null. Repeated rows are returned as often as they come; an empty
     table gives an empty result.
     """
     fps = materialize(fingerprints(df, id_column, text_column, words, seed), "fingerprints")
-    nodes = materialize(fps.groupBy("fp").agg(F.min(id_column).alias("_least")), "nodes")
-    found = components(links(nodes, radius), "simhash")
-    rooted = nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "_least", F.coalesce("component", "fp").alias("_root"))
-    least = rooted.groupBy("_root").agg(F.min("_least").alias("component"))
-    named = rooted.join(least, "_root").select("fp", "component")
-    return fps.join(named, "fp").select(id_column, "fp", "component")
+    found = links(block_keys(fps.select("fp").distinct(), radius), radius)
+    return _classes(fps.withColumn("node", F.lpad(F.hex("fp"), 16, "0")), found, id_column).select(id_column, "fp", "component")
+
+
+def radius_of(similarity: float, bits: int) -> int:
+    """Differing bits of two SimHashes at a Jaccard similarity of equally large sets: the mean and one deviation more."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * share + math.sqrt(bits * share * (1 - share)))
+
+
+def similar(df: DataFrame, id_column: str, text_column: str, words: int = 5, similarity: float = 0.8, bits: int = 256, bands: int = 10, rows: int = 3) -> DataFrame:
+    """(id, component): documents in components of word-shingle sets that are about ``similarity`` alike or more.
+
+    Min-hash bands make the buckets (a pair of similarity 0.8 shares one of ten bands of three with probability 0.999);
+    in them SimHashes of 256 bits are compared bit-sliced, within the radius of the similarity. Texts that differ only in
+    case and white space are one node. Null texts count as empty, and all empty texts are copies of each other.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in pieces(whole, "_text", CHUNK):
+                got = [sketch((t or "").encode(), words, bits, bands, rows) for t in batch.column("_text").to_pylist()]
+                keys = pa.array([np.array(g[2], np.uint64).view(np.int64) for g in got], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array([g[0] for g in got]), pa.array([g[1] for g in got], pa.binary()), keys], ["_id", "node", "bits", "keys"])
+
+    kind = df.schema[id_column].dataType.simpleString()
+    texts = df.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"))
+    sketches = materialize(texts.mapInArrow(run, f"_id {kind}, node string, bits binary, keys array<long>"), "sketches")
+    distinct = sketches.groupBy("node").agg(F.first("bits").alias("bits"), F.first("keys").alias("keys"))
+    keyed = distinct.select("node", "bits", F.posexplode("keys").alias("j", "key")).select("j", "key", "node", "bits")
+    classes = _classes(sketches.select("_id", "node"), links(keyed, radius_of(similarity, bits)), "_id")
+    return classes.select(F.col("_id").alias(id_column), "component")
 
 
 def keep_one(df: DataFrame, id_column: str, text_column: str, **options) -> DataFrame:
-    """The rows whose id is their component's smallest; all other rows of a component go.
+    """The rows whose id is their component's smallest (see ``similar``); all other rows of a component go.
 
     Rows that repeat the kept id stay as often as they come, as an id names one document.
     """
-    found = near_duplicates(df, id_column, text_column, **options)
+    found = similar(df, id_column, text_column, **options)
     dropped = found.filter(F.col(id_column) != F.col("component")).select(id_column).distinct()
     return df.join(dropped, id_column, "left_anti").select(*df.columns)

@@ -207,16 +207,16 @@ def _spread(found: np.ndarray) -> Iterator[list[tuple[int, int]]]:
 
 
 def _packed(df: DataFrame) -> DataFrame:
-    """(id, digest, packed): the texts' bytes, compressed for the shuffle of a join."""
+    """df with its last column, _text, replaced by ``packed``: the bytes, compressed for the shuffle of a join."""
+    schema = T.StructType([*df.schema.fields[:-1], T.StructField("packed", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            packed = [squeeze((t or "").encode()) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["_id", "_digest", "packed"])
+            packed = [squeeze((t or "").encode()) for t in batch.columns[-1].to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(packed, pa.binary())], schema.names)
 
-    schema = T.StructType().add("_id", df.schema["_id"].dataType).add("_digest", "long").add("packed", "binary")
-    return df.select("_id", "_digest", "_text").mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def _contexts(mixed: DataFrame, texts: DataFrame, length: int, window: int) -> DataFrame:
@@ -309,7 +309,7 @@ def repeated_spans(df: DataFrame, length: int, window: int = WINDOW) -> DataFram
     whole = multi.join(near.filter("n > 1").select("name", "near"), ["name", "near"]).select("_id", "_digest", F.col("first").alias("start"), F.col("last").alias("end"))
     kinds = near.groupBy("name").agg(F.count("*").alias("k")).filter("k > 1").select("name")
     mixed = near.join(kinds, "name").select("name", "n", "x.*")
-    induced = _induced(_contexts(mixed, _packed(df), length, window), length, window)
+    induced = _induced(_contexts(mixed, _packed(df.select("_id", "_digest", "_text")), length, window), length, window)
     starts = materialize(whole.union(induced.select("_id", "_digest", "start", "end")), "starts")
     return starts.groupBy("_id", "_digest").agg(F.collect_list(F.struct("start", (F.col("end") + length).alias("end"))).alias("spans"))
 
@@ -332,33 +332,34 @@ def _cut(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, raw[at:]])
 
 
-def remove_repeats(df: DataFrame, id_column: str, text_column: str, length: int = 400, window: int = WINDOW) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, spans, kept binary) for every row: the text without each byte that a string of
-    ``length`` bytes covers which also starts anywhere else, in the same row or another.
+def remove_repeats(df: DataFrame, id_column: str, text_column: str, length: int = 400, window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, carried columns, n_bytes, n_removed, n_spans, spans, kept binary) for every row: the text without each byte
+    that a string of ``length`` bytes covers which also starts anywhere else, in the same row or another.
 
     Texts are judged as UTF-8 bytes as they come (null: empty), so a cut may fall inside a character and ``kept`` is
     binary. Repeated rows are copies of each other. Rows of one id with different texts are different documents. An
     empty table gives an empty result.
     """
-    rows = df.select(F.col(id_column).alias("_id"), F.xxhash64(id_column, text_column).alias("_digest"), F.col(text_column).alias("_text"))
-    spans = repeated_spans(rows, length, window)
-    packed = _packed(rows)
-    joined = packed.join(spans, packed["_id"].eqNullSafe(spans["_id"]) & (packed["_digest"] == spans["_digest"]), "left").select(packed["_id"], "packed", "spans")
+    digest = F.xxhash64(id_column, text_column)
+    renamed = [F.col(c).alias(f"_carry{i}") for i, c in enumerate(carry)]
+    rows = df.select(F.col(id_column).alias("_id"), digest.alias("_digest"), *renamed, F.col(text_column).alias("_text"))
+    spans = repeated_spans(rows.select("_id", "_digest", "_text"), length, window).withColumnsRenamed({"_id": "_id2", "_digest": "_digest2"})
+    joined = _packed(rows).join(spans, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_digest") == F.col("_digest2")), "left").drop("_id2", "_digest", "_digest2")
+    kinds = [rows.schema["_id"], *(rows.schema[f"_carry{i}"] for i in range(len(carry)))]
+    schema = T.StructType(kinds).add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("spans", T.ArrayType(T.StructType().add("start", "integer").add("end", "integer"))).add("kept", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor().decompress
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.binary()]
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 out = []
-                for packed, found in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+                for packed, found in zip(part.column("packed").to_pylist(), part.column("spans").to_pylist()):
                     raw, merged = expand(packed), _merge(found or [])
                     kept = _cut(raw, merged)
                     out.append((len(raw), len(raw) - len(kept), len(merged), [{"start": a, "end": b} for a, b in merged], kept))
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.binary()]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*out), types))], schema.names)
-
-    schema = T.StructType().add("_id", rows.schema["_id"].dataType).add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("spans", T.ArrayType(T.StructType().add("start", "integer").add("end", "integer"))).add("kept", "binary")
-    return joined.mapInArrow(run, schema).withColumnRenamed("_id", id_column)
-
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(carry) + 1], *(pa.array(c, t) for c, t in zip(zip(*out), types))], schema.names)
 
+    names = {"_id": id_column} | {f"_carry{i}": c for i, c in enumerate(carry)}
+    return joined.mapInArrow(run, schema).withColumnsRenamed(names)
