@@ -5,11 +5,46 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from helixgraph.llm import packing, queries, simhash, suffix, toxicity
 from helixgraph.llm.common import materialize
 
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity grammar scores below one half."""
+    return toxicity.keep_clean(docs, queries.toxicity_model(docs, sf_dir))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group alike in five-word shingles by 0.8 or more."""
+    return simhash.keep_one(docs, "doc_id", "text", words=5, similarity=0.8)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without 400-byte strings that also start elsewhere; characters that a cut halves go, and emptied
+    documents stay as empty ones."""
+    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    cut = suffix.remove_repeats(docs, "doc_id", "text", length=400, carry=rest)
+    text = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit(""))
+    changed = {"text": F.when(F.col("n_removed") > 0, text).otherwise(F.col("kept").cast("string"))}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.length(changed["text"]).cast(docs.schema["n_chars"].dataType)
+    return cut.withColumns(changed).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces with their places in sequences of at most 1024 ids."""
+    return packing.pack(queries.tokenized(docs), ["doc_id", "piece", "ids_crc32"], queries.CAPACITY)
+
+
 #: (name, function of (spark, docs, sf_dir)).
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_copies),
+    ("suffix_dedup", cut_repeats),
+    ("packing", pack_sequences),
+]
 
 #: SQL can express neither the automaton scores nor the packing; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
