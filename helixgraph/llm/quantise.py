@@ -84,7 +84,8 @@ def _distance(a: str, b: str) -> Column:
 
 
 def _scan(codes: DataFrame, queries: np.ndarray, first: int, codebooks, candidates: int) -> DataFrame:
-    """(q, class, score): each query's best codes of every partition, by table lookups. Queries are one bounded block."""
+    """(q, found): each query's best codes of every partition, as one array of (score, class), by table lookups. Queries are
+    one bounded block."""
     block = codes.sparkSession.sparkContext.broadcast(queries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,9 +110,11 @@ def _scan(codes: DataFrame, queries: np.ndarray, first: int, codebooks, candidat
                     score, which = np.take_along_axis(score, best, 1), np.take_along_axis(which, best, 1)
         n = score.shape[1]
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(first, first + len(q)), n)), pa.array(which.ravel()), pa.array(score.ravel().astype(np.float32))], ["q", "class", "score"])
+            flat = pa.StructArray.from_arrays([pa.array(score.ravel().astype(np.float32)), pa.array(which.ravel())], ["score", "class"])
+            found = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, n), pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + len(q))), found], ["q", "found"])
 
-    return codes.select("class", "codes", "norm").mapInArrow(run, "q long, class long, score float")
+    return codes.select("class", "codes", "norm").mapInArrow(run, "q long, found array<struct<score:float,class:long>>")
 
 
 def search(vectors: DataFrame, queries: Column, k: int = 10, candidates: int = CANDIDATES, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
@@ -155,9 +158,9 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, candidates: int = C
         if block:
             scanned = _scan(codes, np.array([r["vector"] for r in block], np.float32), first, codebooks, candidates)
             names = spark.createDataFrame([(first + i, r["class"]) for i, r in enumerate(block)], "q long, query_class long")
-            best = Window.partitionBy("q").orderBy("score", "class")
-            top = scanned.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= candidates)
-            numbered.append(materialize(top.join(F.broadcast(names), "q").select("query_class", "class"), "candidates"))
+            best = F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, candidates)  # of each partition's best
+            top = scanned.groupBy("q").agg(best.alias("best")).join(F.broadcast(names), "q")
+            numbered.append(materialize(top.select("query_class", F.explode("best.class").alias("class")), "candidates"))
             first, block = first + len(block), []
 
     for row in distinct.toLocalIterator():  # a block at a time, never all queries
