@@ -294,7 +294,7 @@ def graph_node_counts(s: Star) -> DataFrame:
     return s.graph.any_node().groupBy("label").agg(F.count("*").alias("nodes"))
 
 
-@query(" UNION ALL ".join(f"SELECT '{t}' AS type, count(*) AS edges FROM {v}" for t, v in (("MAPS_TO", "maps_to"), ("PUTATIVE_CAUSAL_EFFECT", "causal"), ("INCREASES_RISK_OF", "risk"), ("TRANSLATED_INTO", "translated"), ("ASSOCIATED_WITH", "associated"), ("ANNOTATED_IN_PATHWAY", "in_pathway"), ("HAS_PROCESS", "has_process"), ("EXPRESSED_IN", "expressed_in"), ("INTERACTS_WITH", "interacts"))))
+@query(" UNION ALL ".join(f"SELECT '{t}' AS type, count(*) AS edges FROM {v} HAVING count(*) > 0" for t, v in (("MAPS_TO", "maps_to"), ("PUTATIVE_CAUSAL_EFFECT", "causal"), ("INCREASES_RISK_OF", "risk"), ("TRANSLATED_INTO", "translated"), ("ASSOCIATED_WITH", "associated"), ("ANNOTATED_IN_PATHWAY", "in_pathway"), ("HAS_PROCESS", "has_process"), ("EXPRESSED_IN", "expressed_in"), ("INTERACTS_WITH", "interacts"))))
 def graph_edge_counts(s: Star) -> DataFrame:
     """Edges by type."""
     return s.graph.any_edge().groupBy("type").agg(F.count("*").alias("edges"))
