@@ -20,7 +20,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         directed = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     else:
         directed = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    least = directed.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    # written before the join, so that Spark can split the rows of a node with many neighbours
+    least = materialize(directed.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
     met = directed.join(least, "u")
     moved = met.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")) if large else met.select(F.col("v").alias("a"), F.col("m").alias("b"))
     own = least.select(F.col("u").alias("a"), F.col("m").alias("b"))

@@ -70,7 +70,8 @@ def remove_repeated_units(df: DataFrame, id_column: str, text_column: str, least
     rows = df.select(F.col(id_column).alias("_id"), F.xxhash64(id_column, text_column).alias("_digest"), F.col(text_column).alias("_text"))
     found = materialize(unit_digests(rows, least_words, paragraphs), "units")
     place = F.struct(F.col("_id").isNotNull().alias("known"), "_id", "_digest", "start")
-    groups = found.groupBy("high", "low").agg(F.count("*").alias("n"), F.min(place).alias("kept")).filter("n > 1")
+    # written before the join, so that Spark can split a frequent unit's rows
+    groups = materialize(found.groupBy("high", "low").agg(F.count("*").alias("n"), F.min(place).alias("kept")).filter("n > 1"), "groups")
     gone = (
         found.join(groups, ["high", "low"])
         .filter(~(F.col("_id").eqNullSafe(F.col("kept._id")) & (F.col("_digest") == F.col("kept._digest")) & (F.col("start") == F.col("kept.start"))))

@@ -205,7 +205,7 @@ def links(keyed: DataFrame, radius: int) -> DataFrame:
     """Links (a, b) that connect exactly the nodes of a bucket (j, key) whose bits differ in at most ``radius`` places: a
     forest of each bucket. A node is in a bucket once."""
     spark = keyed.sparkSession
-    large = keyed.groupBy("j", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    large = materialize(keyed.groupBy("j", "key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
     dealt = (
         keyed.join(large, ["j", "key"])  # nodes alone in their bucket have no links
         .withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
@@ -270,7 +270,8 @@ def _classes(rows: DataFrame, found: DataFrame, id_column: str) -> DataFrame:
     nodes = materialize(rows.groupBy("node").agg(F.min(id_column).alias("_least")), "nodes")
     joined = components(found, "simhash").withColumnRenamed("node", "_node")
     rooted = nodes.join(joined, F.col("node") == F.col("_node"), "left").select("node", "_least", F.coalesce("component", "node").alias("_root"))
-    least = rooted.groupBy("_root").agg(F.min("_least").alias("component"))
+    # written before the join, so that Spark can split a large component's rows
+    least = materialize(rooted.groupBy("_root").agg(F.min("_least").alias("component")), "roots")
     return rows.join(rooted.join(least, "_root").select("node", "component"), "node")
 
 

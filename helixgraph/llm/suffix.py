@@ -300,14 +300,15 @@ def repeated_spans(df: DataFrame, length: int, window: int = WINDOW) -> DataFram
     if window < 1:
         raise ValueError("strings of 8 bytes at least can be sought")
     found = anchors(df, length, window)
-    twice = found.groupBy("name").agg(F.count("*").alias("c")).filter("c > 1").select("name")
+    # written before the join, so that both its sides are plain shuffles and Spark can split a frequent name's rows
+    twice = materialize(found.groupBy("name").agg(F.count("*").alias("c")).filter("c > 1").select("name"), "names")
     multi = materialize(found.join(twice, "name"), "anchors")
     near = materialize(
         multi.groupBy("name", "near").agg(F.count("*").alias("n"), F.min(F.struct("_digest", "_id", "at", "first", "last")).alias("x")),
         "neighbourhoods",
     )
     whole = multi.join(near.filter("n > 1").select("name", "near"), ["name", "near"]).select("_id", "_digest", F.col("first").alias("start"), F.col("last").alias("end"))
-    kinds = near.groupBy("name").agg(F.count("*").alias("k")).filter("k > 1").select("name")
+    kinds = materialize(near.groupBy("name").agg(F.count("*").alias("k")).filter("k > 1").select("name"), "mixed")
     mixed = near.join(kinds, "name").select("name", "n", "x.*")
     induced = _induced(_contexts(mixed, _packed(df.select("_id", "_digest", "_text")), length, window), length, window)
     starts = materialize(whole.union(induced.select("_id", "_digest", "start", "end")), "starts")
