@@ -123,3 +123,25 @@ def test_questions(spark):
     answers = spark.createDataFrame([(1, None)], "gene long, answer string")
     checked = {r["gene"]: r["reason"] for r in benchmarks.validate(samples, answers, ["gene"], "answer").collect()}
     assert checked == {1: "null_answer", 2: "no_rows"}
+
+
+def test_answers_and_datasets(spark):
+    from helixgraph.functions import answers as A
+    from helixgraph.sources import datasets
+
+    assert A.find_query("Action: query_kg[MATCH (a)-[:T]->(b) RETURN collect(b)[0..3]]\nx") == "MATCH (a)-[:T]->(b) RETURN collect(b)[0..3]"
+    assert A.find_query("Cypher: ```cypher\nMATCH (n) RETURN n```") == "MATCH (n) RETURN n"
+    assert A.find_query("say MATCH (n) RETURN n LIMIT 5 and so on") == "MATCH (n) RETURN n LIMIT 5"
+    assert A.find_query("nothing") is None and A.find_query(None) is None
+    shaped = spark.createDataFrame([("GO:1", "name", "1"), ("tumour", None, "7"), (None, "n", "2")], "v string, n string, i string").select(A.shape_answer(F.col("v"), F.col("n"), F.col("i")).alias("x")).select("x.*").collect()
+    assert [tuple(r) for r in shaped] == [("GO:1", "name"), ("7", "tumour"), ("2", "n")]
+    mcq = datasets.numbered(spark.createDataFrame([("q", "a", "b", "c", "d", 2)], "question string, opa string, opb string, opc string, opd string, cop int"), "x").first()
+    assert mcq["answer"] == "C" and mcq["options"] == ["a", "b", "c", "d"]
+    yes = datasets.decisions(spark.createDataFrame([("q", "Maybe"), ("r", "yes")], "question string, final_decision string"), "y").collect()
+    assert [r["answer"] for r in yes] == ["no", "yes"]
+    both = spark.createDataFrame([("q", {"B": "y", "A": "x"}, "B")], "question string, options map<string,string>, answer_idx string")
+    assert datasets.keyed(both, "z").first()["options"] == ["x", "y"]
+    many = spark.createDataFrame([(f"q{i}", "a" if i < 8 else "b") for i in range(10)], "question string, k string")
+    assert datasets.balanced(many, "k", 2, 6).groupBy("k").count().collect() and datasets.balanced(many, "k", 2, 6).count() == 6
+    text = spark.range(1).select(A.prompt(F.lit("why?"), F.array(F.lit("x"), F.lit("y")), "zero").alias("t")).first()["t"]
+    assert text == "Question: why?\nA. x\nB. y\nAnswer with one letter."
