@@ -117,5 +117,44 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
 }
 
-#: DuckDB SQL for those that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+#: DuckDB SQL for those that SQL can express; it has no CRC-32, codecs, automata or fingerprints for the others.
+ORACLE_SQL: dict[str, str] = {
+    "op5_suffix_dedup": """
+        WITH texts AS (SELECT doc_id, encode(coalesce(text, '')) AS e, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+        starts AS (SELECT doc_id, s, md5(array_slice(e, s + 1, s + 400)) AS m FROM (SELECT doc_id, e, unnest(range(0, n - 399)) AS s FROM texts WHERE n >= 400)),
+        repeated AS (SELECT doc_id, s FROM starts WHERE m IN (SELECT m FROM starts GROUP BY m HAVING count(*) > 1)),
+        marked AS (SELECT doc_id, s, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= 400 THEN 0 ELSE 1 END AS new FROM repeated),
+        numbered AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM marked),
+        spans AS (SELECT doc_id, min(s) AS a, max(s) + 400 AS b FROM numbered GROUP BY doc_id, run),
+        pieces AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM spans),
+        cut AS (
+            SELECT t.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept
+            FROM pieces p JOIN texts t USING (doc_id) GROUP BY 1
+        )
+        SELECT t.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+        FROM texts t LEFT JOIN cut USING (doc_id)
+    """,
+    "op10_line_dedup": r"""
+        WITH parts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents),
+        numbered AS (SELECT doc_id, len(p) AS n, generate_subscripts(p, 1) AS i, unnest(p) AS line FROM parts),
+        sized AS (SELECT doc_id, i, CASE WHEN i < n THEN line || chr(10) ELSE line END AS unit FROM numbered),
+        placed AS (
+            SELECT doc_id, i, unit, strlen(unit) AS size, sum(strlen(unit)) OVER (PARTITION BY doc_id ORDER BY i) - strlen(unit) AS start,
+                list_filter(string_split_regex(lower(unit), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+            FROM sized WHERE unit <> ''
+        ),
+        ranked AS (
+            SELECT *, len(words) >= 10 AND row_number() OVER (PARTITION BY array_to_string(words, ' ') ORDER BY doc_id, start) > 1 AS gone FROM placed
+        ),
+        runs AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, gone ORDER BY i) AS run FROM ranked),
+        spans AS (
+            SELECT doc_id, count(*) AS n_spans, string_agg(a || '-' || b, ',' ORDER BY a) AS removed_spans, sum(b - a) AS n_removed
+            FROM (SELECT doc_id, CAST(min(start) AS BIGINT) AS a, CAST(max(start + size) AS BIGINT) AS b FROM runs WHERE gone GROUP BY doc_id, run) GROUP BY 1
+        ),
+        kept AS (SELECT doc_id, string_agg(unit, '' ORDER BY i) AS text FROM ranked WHERE NOT gone GROUP BY 1),
+        totals AS (SELECT doc_id, count(*) AS n_units FROM ranked GROUP BY 1)
+        SELECT d.doc_id, CAST(strlen(coalesce(d.text, '')) AS BIGINT) AS n_bytes, coalesce(n_units, 0) AS n_units, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+            coalesce(n_spans, 0) AS n_spans, coalesce(removed_spans, '') AS removed_spans, sha256(coalesce(k.text, '')) AS kept_sha256
+        FROM documents d LEFT JOIN spans s USING (doc_id) LEFT JOIN kept k USING (doc_id) LEFT JOIN totals t USING (doc_id)
+    """,
+}
