@@ -368,17 +368,21 @@ def graph_node_tags(s: Star) -> DataFrame:
 
 @query("SELECT a.dst AS first_disease, b.dst AS second_disease, count(DISTINCT a.pathway) AS pathways, count(DISTINCT a.src) + count(DISTINCT b.src) AS genes FROM (SELECT DISTINCT r.src, r.dst, w.dst AS pathway FROM risk r JOIN translated t ON t.src = r.src JOIN in_pathway w ON w.src = t.dst WHERE r.dst = 6 AND r.risk_score > 0.9) a JOIN (SELECT DISTINCT r.src, r.dst, w.dst AS pathway FROM risk r JOIN translated t ON t.src = r.src JOIN in_pathway w ON w.src = t.dst WHERE r.dst = 7 AND r.risk_score > 0.9) b ON a.pathway = b.pathway GROUP BY 1, 2")
 def graph_shared_pathways(s: Star) -> DataFrame:
-    """Pathways on which two diseases meet: each side is aggregated by pathway before they are joined, so no product of
-    genes is made."""
+    """Pathways on which two diseases meet: the sides meet as sets of pathways, so no product of genes is made."""
     g = s.graph
     arms = g.match("Gene", "g").hop("g", "INCREASES_RISK_OF", "r", "d", condition="r_risk_score > 0.9").hop("g", "TRANSLATED_INTO", "t", "p").hop("p", "ANNOTATED_IN_PATHWAY", "w", "x").rows
 
-    def side(disease: int, name: str) -> DataFrame:
-        return arms.filter(F.col("d_id") == disease).groupBy(F.col("x_id").alias("pathway")).agg(F.collect_set("g_id").alias(name))
+    def side(disease: int) -> DataFrame:
+        return arms.filter(F.col("d_id") == disease).select(F.col("x_id").alias("pathway"), F.col("g_id").alias("gene")).distinct()
 
-    met = side(6, "a").join(side(7, "b"), "pathway")
-    flat = met.agg(F.count("*").alias("pathways"), F.flatten(F.collect_list("a")).alias("a"), F.flatten(F.collect_list("b")).alias("b")).filter("pathways > 0")
-    return flat.select(F.lit(6).alias("first_disease"), F.lit(7).alias("second_disease"), "pathways", (F.size(F.array_distinct("a")) + F.size(F.array_distinct("b"))).cast("long").alias("genes"))
+    a, b = side(6), side(7)
+    met = a.select("pathway").intersect(b.select("pathway"))
+
+    def genes(rows: DataFrame, name: str) -> DataFrame:
+        return rows.join(met, "pathway", "left_semi").agg(F.count_distinct("gene").alias(name))
+
+    one = met.agg(F.count("*").alias("pathways")).crossJoin(genes(a, "a")).crossJoin(genes(b, "b")).filter("pathways > 0")
+    return one.select(F.lit(6).alias("first_disease"), F.lit(7).alias("second_disease"), "pathways", (F.col("a") + F.col("b")).alias("genes"))
 
 
 @query("SELECT g.id AS gene, count(DISTINCT r.dst) AS diseases, count(DISTINCT m.src) AS snps, count(DISTINCT t.dst) AS proteins FROM gene g JOIN risk r ON r.src = g.id JOIN maps_to m ON m.dst = g.id JOIN translated t ON t.src = g.id GROUP BY 1")
