@@ -5,12 +5,17 @@ fingerprints within the radius agree on at least one of radius + 1 bit blocks, s
 blocks. In a bucket, bit planes are stored vertically (one word holds one bit of 64 fingerprints); a carry-save counter
 updates 64 distances with a few word operations a plane, and a block of lanes is abandoned once all of them exceed the
 radius. Buckets beyond TILE nodes are dealt out as pairs of tiles, so that no task holds a whole large bucket.
+
+``similar`` takes buckets and radius as a filter of candidates only: the texts travel with the nodes of a bucket, and a
+link is made where the sets of word shingles are in fact as alike as asked.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +28,8 @@ from .graph import components
 
 #: Fingerprints of a tile; larger buckets are compared tile by tile.
 TILE = 4096
+#: Bytes of text of a tile, about, and of texts that a task gathers before it compares them.
+TILE_BYTES = 16 << 20
 #: Words of 64 lanes that are compared, and abandoned, together.
 BLOCK_WORDS = 64
 CHUNK = 4 << 20
@@ -60,20 +67,29 @@ def fingerprints(df: DataFrame, id_column: str, text_column: str, words: int = 3
     return rows.mapInArrow(run, f"_id {kind}, fp long").withColumnRenamed("_id", id_column)
 
 
-def sketch(text: bytes, words: int, bits: int, bands: int, rows: int) -> tuple[str, bytes, list[int]]:
-    """Of the set of word shingles: the digest of the normalised text, a SimHash of ``bits`` bits, and min-hash band keys.
-
-    Texts with fewer words than a shingle have one shingle, all their words.
-    """
+def shingles(text: bytes, words: int) -> np.ndarray:
+    """The set of word shingles as ascending 64-bit digests; texts with fewer words than a shingle have one, all their
+    words."""
     parts = text.lower().split()
     joined = b" ".join(parts)
+    digest = xxhash.xxh3_64_intdigest
     if len(parts) <= words:
-        h = np.array([xxhash.xxh3_64_intdigest(joined)], np.uint64)
-    else:
-        ends = np.flatnonzero(np.frombuffer(joined + b" ", np.uint8) == 32)
-        starts = [0, *(ends[: len(parts) - words] + 1).tolist()]
-        digest = xxhash.xxh3_64_intdigest
-        h = np.unique(np.array([digest(joined[a:b]) for a, b in zip(starts, ends[words - 1 :].tolist())], np.uint64))
+        return np.array([digest(joined)], np.uint64)
+    ends = np.flatnonzero(np.frombuffer(joined + b" ", np.uint8) == 32)
+    starts = [0, *(ends[: len(parts) - words] + 1).tolist()]
+    return np.unique(np.array([digest(joined[a:b]) for a, b in zip(starts, ends[words - 1 :].tolist())], np.uint64))
+
+
+@functools.cache
+def _multipliers(n: int) -> np.ndarray:
+    """n odd numbers without a pattern: those of a progression would leave min-hashes, and bands with them, dependent."""
+    return np.array([xxhash.xxh3_64_intdigest(f"min-hash {k}") | 1 for k in range(n)], np.uint64)
+
+
+def sketch(text: bytes, words: int, bits: int, bands: int, rows: int) -> tuple[str, bytes, list[int]]:
+    """Of the set of word shingles: the digest of the normalised text, a SimHash of ``bits`` bits, and min-hash band keys."""
+    joined = b" ".join(text.lower().split())
+    h = shingles(text, words)
     mark = []
     for k in range(bits // 64):
         x = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * k * 0x632BE5AB)
@@ -84,10 +100,10 @@ def sketch(text: bytes, words: int, bits: int, bands: int, rows: int) -> tuple[s
         for i in range(0, len(x), 1 << 15):
             counts += np.unpackbits(x[i : i + (1 << 15)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
         mark.append(np.packbits(2 * counts > len(x)))
-    least = []
-    for k in range(bands * rows):
-        x = (h + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xD6E8FEB86659FD93 + 2 * k)
-        least.append(int((x ^ (x >> np.uint64(32))).min()))
+    least = np.full(bands * rows, ~np.uint64(0))
+    for i in range(0, len(h), 1 << 12):
+        np.minimum(least, np.multiply.outer(_multipliers(bands * rows), h[i : i + (1 << 12)]).min(axis=1), out=least)
+    least = least.tolist()
     keys = [xxhash.xxh3_64_intdigest(repr(least[b * rows : (b + 1) * rows])) for b in range(bands)]
     return xxhash.xxh3_128_hexdigest(joined), np.concatenate(mark).tobytes(), keys
 
@@ -192,6 +208,51 @@ def _forest(pairs: list[tuple[np.ndarray, np.ndarray]], left: np.ndarray, right:
     return nodes[moved], nodes[parent[moved]]
 
 
+def alike(pairs: list[tuple[np.ndarray, np.ndarray]], sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of those pairs of places in ``sets`` whose Jaccard similarity is ``similarity`` or more, exactly.
+
+    Pairs that verified links already join are passed over, so that a large group of copies costs few comparisons.
+    """
+    ratio = Fraction(str(similarity))
+    a, b = (np.concatenate([p[i] for p in pairs]) for i in (0, 1))
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], b[order]
+    used = np.unique(np.concatenate([a, b]))
+    size = np.array([len(sets[i]) for i in used.tolist()])
+    until = np.cumsum(size)
+    code = np.unique(np.concatenate([sets[i] for i in used.tolist()]), return_inverse=True)[1]
+    mark = np.zeros(int(code.max()) + 1, bool)
+    a, b = np.searchsorted(used, a), np.searchsorted(used, b)
+    parent = list(range(len(used)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    out = []
+    first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])).tolist()
+    for s, e in zip(first, [*first[1:], len(a)]):
+        i = int(a[s])
+        own, mine = code[until[i] - size[i] : until[i]], root(i)
+        others = b[s:e]
+        fits = np.minimum(size[others], size[i]) * ratio.denominator >= np.maximum(size[others], size[i]) * ratio.numerator
+        others = [j for j in others[fits].tolist() if root(j) != mine]
+        mark[own] = True
+        for k in range(0, len(others), 1024):
+            some = np.array(others[k : k + 1024])
+            starts = np.concatenate([[0], np.cumsum(size[some])[:-1]])
+            common = np.add.reduceat(mark[np.concatenate([code[until[j] - size[j] : until[j]] for j in some.tolist()])], starts, dtype=np.int64)
+            union = size[i] + size[some] - common
+            for j in some[common * ratio.denominator >= union * ratio.numerator].tolist():
+                if root(j) != root(i):
+                    parent[root(j)] = root(i)
+                    out.append((i, j))
+        mark[own] = False
+    found = used[np.array(out, np.int64).reshape(-1, 2)]
+    return found[:, 0], found[:, 1]
+
+
 def block_keys(nodes: DataFrame, radius: int) -> DataFrame:
     """(j, key, node, bits): nodes of distinct 64-bit ``fp`` in buckets of equal blocks; fingerprints at most ``radius``
     bits apart agree on one of radius + 1 blocks."""
@@ -201,67 +262,99 @@ def block_keys(nodes: DataFrame, radius: int) -> DataFrame:
     return nodes.select(name.alias("node"), F.unhex(name).alias("bits"), F.explode(blocks).alias("x")).select("x.j", "x.key", "node", "bits")
 
 
-def links(keyed: DataFrame, radius: int) -> DataFrame:
-    """Links (a, b) that connect exactly the nodes of a bucket (j, key) whose bits differ in at most ``radius`` places: a
-    forest of each bucket. A node is in a bucket once."""
-    spark = keyed.sparkSession
-    large = materialize(keyed.groupBy("j", "key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
-    dealt = (
+def _dealt(keyed: DataFrame) -> DataFrame:
+    """(j, key, lo, hi, tile, node, bits) of nodes that aren't alone in their bucket (j, key), large buckets as pairs of
+    tiles. Where the nodes have a ``size`` in bytes, it counts for the tiles, and of buckets with the same nodes one is
+    left."""
+    sized = "size" in keyed.columns
+    counts = [F.count("*").alias("n"), F.sum("size").alias("bytes"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y")]
+    large = keyed.groupBy("j", "key").agg(*(counts if sized else counts[:1])).filter("n > 1")
+    if sized:
+        large = large.groupBy("n", "bytes", "x", "y").agg(F.min(F.struct("j", "key")).alias("b")).select("b.j", "b.key", "n", "bytes")
+    large = materialize(large, "buckets")
+    parts = F.ceil(F.col("n") / TILE)
+    return (
         keyed.join(large, ["j", "key"])  # nodes alone in their bucket have no links
-        .withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
+        .withColumn("tiles", (F.greatest(parts, F.least("n", F.ceil(F.col("bytes") / TILE_BYTES))) if sized else parts).cast("int"))
         .withColumn("tile", F.expr("pmod(xxhash64(node), tiles)").cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         .select("j", "key", F.least("tile", "other").cast("int").alias("lo"), F.greatest("tile", "other").cast("int").alias("hi"), "tile", "node", "bits")
     )
+
+
+def links(keyed: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) that connect exactly the nodes of a bucket (j, key) whose bits differ in at most ``radius`` places: a
+    forest of each bucket. A node is in a bucket once."""
+    return _compared(_dealt(keyed), radius)
+
+
+def _compared(dealt: DataFrame, radius: int, words: int = 0, similarity: float | None = None) -> DataFrame:
+    """Links (a, b) of the buckets dealt; given a similarity, only of nodes whose ``text`` has word shingles as alike as that."""
+    exact = similarity is not None
+    n_partitions = partitions(dealt.sparkSession)
     names = ["j", "key", "lo", "hi"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Groups come whole, one after the other: short ones are gathered, long ones are compared as tiles."""
 
         def flush(cols: list[np.ndarray], run: np.ndarray) -> Iterator[pa.RecordBatch]:
-            lo, hi, tile, node, bits = cols[2:]
+            lo, hi, tile, node, bits = cols[2:7]
             if not len(node):
                 return
             start = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
             size = np.diff(np.concatenate([start, [len(run)]]))
             short = np.repeat((size <= 64) & (lo[start] == hi[start]), size)
-            got = [(node[short], node[short], shifted_links(bits[short], run[short], radius))]
+            where = np.arange(len(node))
+            got = [(where[short], where[short], shifted_links(bits[short], run[short], radius))]
             for s, n in zip(start.tolist(), size.tolist()):
                 if n > 1 and not short[s]:
-                    part, names_, t = bits[s : s + n], node[s : s + n], tile[s : s + n]
+                    part, here, t = bits[s : s + n], where[s : s + n], tile[s : s + n]
                     if lo[s] == hi[s]:
-                        got.append((names_, names_, tile_links(part, part, True, radius)))
+                        got.append((here, here, tile_links(part, part, True, radius)))
                     else:
                         x, y = t == lo[s], t == hi[s]
-                        got.append((names_[x], names_[y], tile_links(part[x], part[y], False, radius)))
+                        got.append((here[x], here[y], tile_links(part[x], part[y], False, radius)))
+            made: dict[int, np.ndarray] = {}
             for x, y, pairs in got:
-                if pairs:
-                    a, b = _forest(pairs, x, y)
+                if not pairs:
+                    continue
+                if exact:
+                    pairs = [(x[a], y[b]) for a, b in pairs]
+                    for i in np.unique(np.concatenate([v for p in pairs for v in p])).tolist():
+                        if i not in made:
+                            made[i] = shingles(cols[7][i].encode(), words)
+                    a, b = (node[v] for v in alike(pairs, made, similarity))
+                else:
+                    a, b = _forest(pairs, node[x], node[y])
+                if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(v.astype(str).tolist(), pa.string()) for v in (a, b)], ["a", "b"])
 
         held: list[list[np.ndarray]] = []
-        count = 0
-        for batch in batches:
+        count = size = 0
+        for batch in (part for whole in batches for part in (pieces(whole, "text", TILE_BYTES) if exact else [whole])):
             if not batch.num_rows:
                 continue
             cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
             cols.append(np.array(batch.column(5).to_pylist(), "S"))
             cols.append(np.frombuffer(b"".join(batch.column(6).to_pylist()), ">u8").astype(np.uint64).reshape(batch.num_rows, -1))
+            if exact:
+                cols.append(batch.column(7).to_numpy(zero_copy_only=False))
+                size += batch.column(7).nbytes
             held.append(cols)
             count += len(cols[0])
-            if count < 1 << 15:
+            if count < 1 << 15 and size < TILE_BYTES:
                 continue
             cols = [np.concatenate(c) for c in zip(*held)]
             new = np.any([c[1:] != c[:-1] for c in cols[:4]], axis=0)
             last = int(np.flatnonzero(new)[-1]) + 1 if new.any() else 0
             run = np.concatenate([[0], np.cumsum(new)])
             yield from flush([c[:last] for c in cols], run[:last])
-            held, count = [[c[last:] for c in cols]], len(cols[0]) - last
+            held, count, size = [[c[last:] for c in cols]], len(cols[0]) - last, 0
         if held:
             cols = [np.concatenate(c) for c in zip(*held)]
             yield from flush(cols, np.concatenate([[0], np.cumsum(np.any([c[1:] != c[:-1] for c in cols[:4]], axis=0))]))
 
-    groups = dealt.repartition(partitions(spark), *names).sortWithinPartitions(*names, "node")
+    groups = dealt.repartition(n_partitions, *names).sortWithinPartitions(*names, "node")
     return groups.mapInArrow(compare, "a string, b string")
 
 
@@ -289,17 +382,19 @@ def near_duplicates(df: DataFrame, id_column: str, text_column: str, words: int
 
 
 def radius_of(similarity: float, bits: int) -> int:
-    """Differing bits of two SimHashes at a Jaccard similarity of equally large sets: the mean and one deviation more."""
+    """Differing bits of two SimHashes at a Jaccard similarity of equally large sets: the mean and six deviations more,
+    since it is a filter of candidates (sets of a few shingles differ in more bits than the mean of large ones)."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(bits * share + math.sqrt(bits * share * (1 - share)))
+    return int(bits * share + 6 * math.sqrt(bits * share * (1 - share)))
 
 
-def similar(df: DataFrame, id_column: str, text_column: str, words: int = 5, similarity: float = 0.8, bits: int = 256, bands: int = 10, rows: int = 3) -> DataFrame:
-    """(id, component): documents in components of word-shingle sets that are about ``similarity`` alike or more.
+def similar(df: DataFrame, id_column: str, text_column: str, words: int = 5, similarity: float = 0.8, bits: int = 256, bands: int = 20, rows: int = 3) -> DataFrame:
+    """(id, component): documents in components of links between word-shingle sets that are ``similarity`` alike or more.
 
-    Min-hash bands make the buckets (a pair of similarity 0.8 shares one of ten bands of three with probability 0.999);
-    in them SimHashes of 256 bits are compared bit-sliced, within the radius of the similarity. Texts that differ only in
-    case and white space are one node. Null texts count as empty, and all empty texts are copies of each other.
+    Min-hash bands make the buckets (a pair of similarity 0.8 shares none of twenty bands of three with probability
+    6e-7); in them SimHashes of 256 bits are compared bit-sliced, and pairs within the radius are linked if the Jaccard
+    similarity of their sets is as asked. Texts that differ only in case and white space are one node. Null texts count
+    as empty, and all empty texts are copies of each other.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,14 +402,22 @@ def similar(df: DataFrame, id_column: str, text_column: str, words: int = 5, sim
             for batch in pieces(whole, "_text", CHUNK):
                 got = [sketch((t or "").encode(), words, bits, bands, rows) for t in batch.column("_text").to_pylist()]
                 keys = pa.array([np.array(g[2], np.uint64).view(np.int64) for g in got], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array([g[0] for g in got]), pa.array([g[1] for g in got], pa.binary()), keys], ["_id", "node", "bits", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_mark"), batch.column("_size"), pa.array([g[0] for g in got]), pa.array([g[1] for g in got], pa.binary()), keys], ["_id", "_mark", "_size", "node", "bits", "keys"])
 
     kind = df.schema[id_column].dataType.simpleString()
-    texts = df.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"))
-    sketches = materialize(texts.mapInArrow(run, f"_id {kind}, node string, bits binary, keys array<long>"), "sketches")
-    distinct = sketches.groupBy("node").agg(F.first("bits").alias("bits"), F.first("keys").alias("keys"))
-    keyed = distinct.select("node", "bits", F.posexplode("keys").alias("j", "key")).select("j", "key", "node", "bits")
-    classes = _classes(sketches.select("_id", "node"), links(keyed, radius_of(similarity, bits)), "_id")
+    text = F.coalesce(F.col(text_column), F.lit(""))
+    texts = df.select(F.col(id_column).alias("_id"), F.xxhash64(text).alias("_mark"), F.octet_length(text).cast("long").alias("_size"), text.alias("_text"))
+    sketches = materialize(texts.mapInArrow(run, f"_id {kind}, _mark long, _size long, node string, bits binary, keys array<long>"), "sketches")
+    distinct = sketches.groupBy("node").agg(F.first("bits").alias("bits"), F.first("keys").alias("keys"), F.max("_size").alias("size"))
+    keyed = distinct.select("node", "bits", "size", F.posexplode("keys").alias("j", "key")).select("j", "key", "node", "bits", "size")
+    dealt = materialize(_dealt(keyed), "dealt")
+    # the text of one document stands for each node that is compared
+    chosen = sketches.join(dealt.select("node").distinct(), "node").groupBy("node").agg(F.min(F.struct("_id", "_mark")).alias("m"))
+    chosen = chosen.select("node", F.col("m._id").alias("_i"), F.col("m._mark").alias("_m"))
+    found = texts.join(chosen, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_mark") == F.col("_m")))
+    told = materialize(found.select("node", F.col("_text").alias("text")).dropDuplicates(["node"]), "told")
+    compared = _compared(dealt.join(told, "node").select(*dealt.columns, "text"), radius_of(similarity, bits), words, similarity)
+    classes = _classes(sketches.select("_id", "node"), compared, "_id")
     return classes.select(F.col("_id").alias(id_column), "component")
 
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+from fractions import Fraction
 
 import numpy as np
 import xxhash
@@ -110,3 +111,53 @@ def test_similar_catches_edits_and_leaves_others(spark):
 def test_keep_one(spark):
     df = spark.createDataFrame([(3, "same words here again"), (1, "same words here again"), (2, "other things entirely said"), (4, None)], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in simhash.keep_one(df, "doc_id", "text").collect()) == [1, 2, 4]
+
+
+def jaccard_components(texts, similarity=Fraction(4, 5)):
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    comp = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if comp[i] != comp[j] and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                x, y = sorted((comp[i], comp[j]))
+                comp = [x if c == y else c for c in comp]
+    return comp
+
+
+def near_and_far(seed):
+    """Pairs at exactly 0.8 (to be joined), at 0.7 and 0.78 (not to be), of many lengths, and chains of edits."""
+    r = random.Random(seed)
+    made = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    texts = []
+    for n in (8, 16, 80, 160, 480):
+        for share, times in ((0.8, 8), (0.78, 4), (0.7, 8)):
+            for _ in range(times):
+                # n shingles in common and as many new ones beside them as the similarity leaves
+                new, common = round(n / share) - n, made(n + 4)
+                texts += [" ".join(made(new // 2) + common), " ".join(common + made(new - new // 2))]
+    chain = made(300)
+    for _ in range(12):
+        texts.append(" ".join(chain))
+        chain = chain[20:] + made(20)
+    return texts
+
+
+def test_links_are_those_of_the_exact_similarity(spark):
+    texts = near_and_far(11)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = dict(simhash.similar(df, "doc_id", "text").collect())
+    assert [out[i] for i in range(len(texts))] == jaccard_components(texts)
+
+
+def test_exact_links_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TILE", 80)
+    monkeypatch.setattr(simhash, "TILE_BYTES", 1 << 16)
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(base[:k] + [f"x{r.randrange(10**9)}"] + base[k + 1 :]) for k in (r.randrange(120) for _ in range(300))] + near_and_far(12)[:60]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = dict(simhash.similar(df, "doc_id", "text").collect())
+    assert [out[i] for i in range(len(texts))] == jaccard_components(texts)
