@@ -1,7 +1,9 @@
-"""Substring dedup by line hashing: repeated lines go, all but the earliest; offsets are those of the original text."""
+"""Substring dedup by unit hashing: repeated paragraphs, lines or sentences go, all but the earliest; offsets are those of
+the original text."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,77 +12,85 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, pieces
+from .common import discard, materialize, pieces
 
 CHUNK = 4 << 20
+#: What ends a unit, by level, over UTF-8. A sentence ends at a full stop with white space after it, or with its line, so
+#: that a repeated line is made of repeated sentences.
+ENDS = {
+    "paragraph": re.compile(rb"\n[\x20\x09\x0B-\x0D]*\n[\x20\x09-\x0D]*"),
+    "line": re.compile(rb"\n"),
+    "sentence": re.compile(rb"\n|[.!?]+[\x20\x09]+|(?:\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f)+[\x20\x09]*"),
+}
 
 
-def units(raw: bytes, paragraphs: bool = False) -> list[tuple[int, int]]:
-    """Byte spans of the lines (or of paragraphs, which blank lines part), each with its line break."""
+def units(raw: bytes, level: str) -> list[tuple[int, int]]:
+    """Byte spans of the units, each with what ends it; they cover the text."""
     out, at = [], 0
-    for line in raw.splitlines(keepends=True):
-        if paragraphs and out and line.strip() and raw[out[-1][0] : out[-1][1]].strip() and not raw[: out[-1][1]].endswith((b"\n\n", b"\r\n\r\n")):
-            out[-1] = (out[-1][0], at + len(line))
-        else:
-            out.append((at, at + len(line)))
-        at += len(line)
-    return out
+    for m in ENDS[level].finditer(raw):
+        out.append((at, m.end()))
+        at = m.end()
+    return out + [(at, len(raw))] * (at < len(raw))
 
 
 def normal_form(unit: bytes) -> bytes:
-    """Lower case and single spaces; the form whose digest is compared."""
-    return b" ".join(unit.decode("utf-8", "surrogateescape").lower().encode("utf-8", "surrogateescape").split())
+    """Small letters and single spaces; the form whose digest is compared."""
+    return b" ".join(unit.decode().lower().encode().split())
 
 
-def unit_digests(df: DataFrame, least_words: int, paragraphs: bool) -> DataFrame:
-    """(high, low, id, digest, start, end): a row for each unit of at least ``least_words`` words, with its 128-bit digest."""
+def unit_digests(df: DataFrame, level: str) -> DataFrame:
+    """(high, low, id, digest, start, end): a row for each unit that isn't blank, with its 128-bit digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_128_digest
         for whole in batches:
             for batch in pieces(whole, "_text", CHUNK):
-                where, high, low, start, end = [], [], [], [], []
+                where, marks, start, end = [], [], [], []
                 for i, text in enumerate(batch.column("_text").to_pylist()):
                     raw = (text or "").encode()
-                    for a, b in units(raw, paragraphs):
-                        form = normal_form(raw[a:b])
-                        if form.count(b" ") + 1 < least_words or not form:
-                            continue
-                        h = xxhash.xxh3_128_digest(form)
-                        where.append(i)
-                        high.append(int.from_bytes(h[:8], "big", signed=True))
-                        low.append(int.from_bytes(h[8:], "big", signed=True))
-                        start.append(a)
-                        end.append(b)
-                index = pa.array(where, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(high, pa.int64()), pa.array(low, pa.int64()), batch.column("_id").take(index), batch.column("_digest").take(index), pa.array(start, pa.int32()), pa.array(end, pa.int32())], schema.names)
+                    for a, b in units(raw, level):
+                        if form := normal_form(raw[a:b]):
+                            where.append(i)
+                            marks.append(digest(form))
+                            start.append(a)
+                            end.append(b)
+                index, marks = pa.array(where, pa.int64()), pa.py_buffer(b"".join(marks))
+                both = pa.Array.from_buffers(pa.int64(), 2 * len(where), [None, marks]).to_numpy().reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), batch.column("_id").take(index), batch.column("_digest").take(index), pa.array(start, pa.int32()), pa.array(end, pa.int32())], schema.names)
 
     schema = T.StructType().add("high", "long").add("low", "long").add("_id", df.schema["_id"].dataType).add("_digest", "long").add("start", "integer").add("end", "integer")
     return df.select("_id", "_digest", "_text").mapInArrow(run, schema)
 
 
-def remove_repeated_units(df: DataFrame, id_column: str, text_column: str, least_words: int = 10, paragraphs: bool = False) -> DataFrame:
-    """(id, n_bytes, n_units, n_removed, n_spans, removed, kept_units, kept) for every row.
+def remove_repeated_units(df: DataFrame, id_column: str, text_column: str, level: str = "line") -> DataFrame:
+    """(id, n_bytes, n_units, n_removed, n_spans, longest_words, removed, kept_units, kept) for every row.
 
-    Units of at least ``least_words`` words whose normal forms agree anywhere are one group; the earliest by (id, digest
-    of the row, offset) stays and the rest are cut out with their line breaks. ``removed`` and ``kept_units`` are
-    [start, end) byte offsets in the original text, ``kept`` the remaining text, ``n_removed`` its lost bytes, n_units the
-    units considered. Null texts count as empty. Repeated rows share one place in the order, so they lose the same units.
-    A null id comes first. An empty table gives an empty result.
+    Units of the level ("paragraph", "line" or "sentence") whose normal forms agree anywhere are one group, however short
+    they are; the earliest by (id, digest of the row, offset) stays and the rest are cut out with what ends them. Blank
+    units stay. ``removed`` and ``kept_units`` are [start, end) byte offsets in the original text, ``kept`` the remaining
+    text, ``n_removed`` its lost bytes, ``longest_words`` the words of the longest run of units removed, n_units all units.
+    Null texts count as empty. Repeated rows share one place in the order, so they lose the same units. A null id comes
+    first. An empty table gives an empty result.
     """
     rows = df.select(F.col(id_column).alias("_id"), F.xxhash64(id_column, text_column).alias("_digest"), F.col(text_column).alias("_text"))
-    found = materialize(unit_digests(rows, least_words, paragraphs), "units")
+    found = materialize(unit_digests(rows, level), "units")
     place = F.struct(F.col("_id").isNotNull().alias("known"), "_id", "_digest", "start")
     # written before the join, so that Spark can split a frequent unit's rows
     groups = materialize(found.groupBy("high", "low").agg(F.count("*").alias("n"), F.min(place).alias("kept")).filter("n > 1"), "groups")
-    gone = (
+    gone = materialize(
         found.join(groups, ["high", "low"])
         .filter(~(F.col("_id").eqNullSafe(F.col("kept._id")) & (F.col("_digest") == F.col("kept._digest")) & (F.col("start") == F.col("kept.start"))))
         .groupBy("_id", "_digest")
-        .agg(F.collect_set(F.struct("start", "end")).alias("gone"))
+        .agg(F.collect_set(F.struct("start", "end")).alias("gone")),
+        "gone",
     )
-    joined = rows.join(gone, rows["_id"].eqNullSafe(gone["_id"]) & (rows["_digest"] == gone["_digest"]), "left").select(rows["_id"], rows["_text"], "gone")
+    discard(found, groups)
+    joined = rows.join(gone.withColumnsRenamed({"_id": "_i", "_digest": "_d"}), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_digest") == F.col("_d")), "left").select("_id", "_text", "gone")
     span = T.ArrayType(T.StructType().add("start", "integer").add("end", "integer"))
-    schema = T.StructType().add("_id", rows.schema["_id"].dataType).add("n_bytes", "long").add("n_units", "long").add("n_removed", "long").add("n_spans", "long").add("removed", span).add("kept_units", span).add("kept", "string")
+    schema = T.StructType().add("_id", rows.schema["_id"].dataType)
+    for c in ("n_bytes", "n_units", "n_removed", "n_spans", "longest_words"):
+        schema = schema.add(c, "long")
+    schema = schema.add("removed", span).add("kept_units", span).add("kept", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow_span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -90,7 +100,7 @@ def remove_repeated_units(df: DataFrame, id_column: str, text_column: str, least
                 for text, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                     raw = (text or "").encode()
                     cut = {(g["start"], g["end"]) for g in gone or []}
-                    every = units(raw, paragraphs)
+                    every = units(raw, level)
                     stay = [u for u in every if u not in cut]
                     runs: list[list[int]] = []
                     for a, b in sorted(cut):
@@ -99,8 +109,9 @@ def remove_repeated_units(df: DataFrame, id_column: str, text_column: str, least
                         else:
                             runs.append([a, b])
                     kept = b"".join(raw[a:b] for a, b in stay)
-                    out.append((len(raw), len(every), len(raw) - len(kept), len(runs), [{"start": a, "end": b} for a, b in runs], [{"start": a, "end": b} for a, b in stay], kept.decode()))
-                types = [pa.int64()] * 4 + [arrow_span, arrow_span, pa.string()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 7, types))], schema.names)
+                    longest = max((len(raw[a:b].split()) for a, b in runs), default=0)
+                    out.append((len(raw), len(every), len(raw) - len(kept), len(runs), longest, [{"start": a, "end": b} for a, b in runs], [{"start": a, "end": b} for a, b in stay], kept.decode()))
+                types = [pa.int64()] * 5 + [arrow_span, arrow_span, pa.string()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 8, types))], schema.names)
 
     return joined.mapInArrow(run, schema).withColumnRenamed("_id", id_column)

@@ -62,9 +62,10 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the bytes of 400-byte strings that also start elsewhere."""
-    out = suffix.remove_repeats(documents(spark, sf_dir), "doc_id", "text", length=400)
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """Every document without the bytes of 400-byte strings that also start elsewhere; beside it, how many runs of more
+    than 50 words come again, whatever their bytes, and how many words they have."""
+    out = suffix.remove_repeats(documents(spark, sf_dir), "doc_id", "text", length=400, passages=51)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "n_passages", "passage_words", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,10 +99,10 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without lines of ten words or more that came earlier in the corpus."""
-    out = lines.remove_repeated_units(documents(spark, sf_dir), "doc_id", "text", least_words=10)
+    """Every document without the sentences, and so the lines, that came earlier in the corpus."""
+    out = lines.remove_repeated_units(documents(spark, sf_dir), "doc_id", "text", level="sentence")
     spans = F.array_join(F.transform("removed", lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
-    return out.select("doc_id", "n_bytes", "n_units", "n_removed", "n_spans", spans.alias("removed_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_units", "n_removed", "n_spans", "longest_words", spans.alias("removed_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -119,7 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: DuckDB SQL for those that SQL can express; it has no CRC-32, codecs, automata or fingerprints for the others.
 ORACLE_SQL: dict[str, str] = {
-    "op5_suffix_dedup": """
+    "op5_suffix_dedup": r"""
         WITH texts AS (SELECT doc_id, encode(coalesce(text, '')) AS e, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
         starts AS (SELECT doc_id, s, md5(array_slice(e, s + 1, s + 400)) AS m FROM (SELECT doc_id, e, unnest(range(0, n - 399)) AS s FROM texts WHERE n >= 400)),
         repeated AS (SELECT doc_id, s FROM starts WHERE m IN (SELECT m FROM starts GROUP BY m HAVING count(*) > 1)),
@@ -130,31 +131,39 @@ ORACLE_SQL: dict[str, str] = {
         cut AS (
             SELECT t.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept
             FROM pieces p JOIN texts t USING (doc_id) GROUP BY 1
-        )
-        SELECT t.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
-        FROM texts t LEFT JOIN cut USING (doc_id)
+        ),
+        words AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+        tokens AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM words WHERE len(ws) >= 51),
+        windows AS (SELECT doc_id, i, n, md5(string_agg(w, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 50 FOLLOWING)) AS m FROM tokens),
+        full_windows AS (SELECT doc_id, i, m FROM windows WHERE i + 50 <= n),
+        again AS (SELECT doc_id, i FROM full_windows WHERE m IN (SELECT m FROM full_windows GROUP BY m HAVING count(*) > 1)),
+        jumps AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 51 THEN 0 ELSE 1 END AS new FROM again),
+        runs AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM jumps),
+        passages AS (SELECT doc_id, count(*) AS n_passages, sum(size) AS passage_words FROM (SELECT doc_id, max(i) - min(i) + 51 AS size FROM runs GROUP BY doc_id, run) GROUP BY 1)
+        SELECT t.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+            coalesce(n_passages, 0) AS n_passages, CAST(coalesce(passage_words, 0) AS BIGINT) AS passage_words, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+        FROM texts t LEFT JOIN cut USING (doc_id) LEFT JOIN passages USING (doc_id)
     """,
     "op10_line_dedup": r"""
-        WITH parts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents),
-        numbered AS (SELECT doc_id, len(p) AS n, generate_subscripts(p, 1) AS i, unnest(p) AS line FROM parts),
-        sized AS (SELECT doc_id, i, CASE WHEN i < n THEN line || chr(10) ELSE line END AS unit FROM numbered),
+        WITH parts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '(?s).*?(?:\n|[.!?]+[ \t]+|[。！？]+[ \t]*)|(?s).+') AS p FROM documents),
+        numbered AS (SELECT doc_id, generate_subscripts(p, 1) AS i, unnest(p) AS unit FROM parts),
         placed AS (
             SELECT doc_id, i, unit, strlen(unit) AS size, sum(strlen(unit)) OVER (PARTITION BY doc_id ORDER BY i) - strlen(unit) AS start,
                 list_filter(string_split_regex(lower(unit), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
-            FROM sized WHERE unit <> ''
+            FROM numbered WHERE unit <> ''
         ),
         ranked AS (
-            SELECT *, len(words) >= 10 AND row_number() OVER (PARTITION BY array_to_string(words, ' ') ORDER BY doc_id, start) > 1 AS gone FROM placed
+            SELECT *, len(words) > 0 AND row_number() OVER (PARTITION BY array_to_string(words, ' ') ORDER BY doc_id, start) > 1 AS gone FROM placed
         ),
         runs AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, gone ORDER BY i) AS run FROM ranked),
         spans AS (
-            SELECT doc_id, count(*) AS n_spans, string_agg(a || '-' || b, ',' ORDER BY a) AS removed_spans, sum(b - a) AS n_removed
-            FROM (SELECT doc_id, CAST(min(start) AS BIGINT) AS a, CAST(max(start + size) AS BIGINT) AS b FROM runs WHERE gone GROUP BY doc_id, run) GROUP BY 1
+            SELECT doc_id, count(*) AS n_spans, string_agg(a || '-' || b, ',' ORDER BY a) AS removed_spans, sum(b - a) AS n_removed, max(n_words) AS longest_words
+            FROM (SELECT doc_id, CAST(min(start) AS BIGINT) AS a, CAST(max(start + size) AS BIGINT) AS b, sum(len(words)) AS n_words FROM runs WHERE gone GROUP BY doc_id, run) GROUP BY 1
         ),
         kept AS (SELECT doc_id, string_agg(unit, '' ORDER BY i) AS text FROM ranked WHERE NOT gone GROUP BY 1),
         totals AS (SELECT doc_id, count(*) AS n_units FROM ranked GROUP BY 1)
         SELECT d.doc_id, CAST(strlen(coalesce(d.text, '')) AS BIGINT) AS n_bytes, coalesce(n_units, 0) AS n_units, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
-            coalesce(n_spans, 0) AS n_spans, coalesce(removed_spans, '') AS removed_spans, sha256(coalesce(k.text, '')) AS kept_sha256
+            coalesce(n_spans, 0) AS n_spans, CAST(coalesce(longest_words, 0) AS BIGINT) AS longest_words, coalesce(removed_spans, '') AS removed_spans, sha256(coalesce(k.text, '')) AS kept_sha256
         FROM documents d LEFT JOIN spans s USING (doc_id) LEFT JOIN kept k USING (doc_id) LEFT JOIN totals t USING (doc_id)
     """,
 }

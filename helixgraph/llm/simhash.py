@@ -20,7 +20,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, partitions, pieces
@@ -358,14 +358,15 @@ def _compared(dealt: DataFrame, radius: int, words: int = 0, similarity: float |
     return groups.mapInArrow(compare, "a string, b string")
 
 
-def _classes(rows: DataFrame, found: DataFrame, id_column: str) -> DataFrame:
-    """rows (id, node) with the smallest id of all nodes that the links join to theirs."""
-    nodes = materialize(rows.groupBy("node").agg(F.min(id_column).alias("_least")), "nodes")
+def _rooted(nodes: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, first, _root) of nodes with what is least in each, and (_root, first): the least of all nodes that the links
+    join."""
+    nodes = materialize(nodes, "nodes")
     joined = components(found, "simhash").withColumnRenamed("node", "_node")
-    rooted = nodes.join(joined, F.col("node") == F.col("_node"), "left").select("node", "_least", F.coalesce("component", "node").alias("_root"))
+    rooted = nodes.join(joined, F.col("node") == F.col("_node"), "left").select("node", F.coalesce("component", "node").alias("_root"), F.col("first").alias("_own"))
     # written before the join, so that Spark can split a large component's rows
-    least = materialize(rooted.groupBy("_root").agg(F.min("_least").alias("component")), "roots")
-    return rows.join(rooted.join(least, "_root").select("node", "component"), "node")
+    roots = materialize(rooted.groupBy("_root").agg(F.min("_own").alias("first")), "roots")
+    return rooted.select("node", "_root"), roots
 
 
 def near_duplicates(df: DataFrame, id_column: str, text_column: str, words: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
@@ -378,7 +379,9 @@ def near_duplicates(df: DataFrame, id_column: str, text_column: str, words: int
     """
     fps = materialize(fingerprints(df, id_column, text_column, words, seed), "fingerprints")
     found = links(block_keys(fps.select("fp").distinct(), radius), radius)
-    return _classes(fps.withColumn("node", F.lpad(F.hex("fp"), 16, "0")), found, id_column).select(id_column, "fp", "component")
+    named = fps.withColumn("node", F.lpad(F.hex("fp"), 16, "0"))
+    nodes, roots = _rooted(named.groupBy("node").agg(F.min(id_column).alias("first")), found)
+    return named.join(nodes.join(roots, "_root").select("node", F.col("first").alias("component")), "node").select(id_column, "fp", "component")
 
 
 def radius_of(similarity: float, bits: int) -> int:
@@ -389,13 +392,19 @@ def radius_of(similarity: float, bits: int) -> int:
 
 
 def similar(df: DataFrame, id_column: str, text_column: str, words: int = 5, similarity: float = 0.8, bits: int = 256, bands: int = 20, rows: int = 3) -> DataFrame:
-    """(id, component): documents in components of links between word-shingle sets that are ``similarity`` alike or more.
+    """(id, mark, component): documents in components of links between word-shingle sets that are ``similarity`` alike or
+    more; ``mark`` is xxhash64 of the text, which tells apart rows of one id, and component the smallest id.
 
     Min-hash bands make the buckets (a pair of similarity 0.8 shares none of twenty bands of three with probability
     6e-7); in them SimHashes of 256 bits are compared bit-sliced, and pairs within the radius are linked if the Jaccard
     similarity of their sets is as asked. Texts that differ only in case and white space are one node. Null texts count
     as empty, and all empty texts are copies of each other.
     """
+    return _similar(df, id_column, text_column, words, similarity, bits, bands, rows)[0]
+
+
+def _similar(df: DataFrame, id_column: str, text_column: str, words: int = 5, similarity: float = 0.8, bits: int = 256, bands: int = 20, rows: int = 3) -> tuple[DataFrame, DataFrame]:
+    """``similar``'s result, and (id, mark) of the one document that stands for each component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -417,15 +426,23 @@ def similar(df: DataFrame, id_column: str, text_column: str, words: int = 5, sim
     found = texts.join(chosen, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_mark") == F.col("_m")))
     told = materialize(found.select("node", F.col("_text").alias("text")).dropDuplicates(["node"]), "told")
     compared = _compared(dealt.join(told, "node").select(*dealt.columns, "text"), radius_of(similarity, bits), words, similarity)
-    classes = _classes(sketches.select("_id", "node"), compared, "_id")
-    return classes.select(F.col("_id").alias(id_column), "component")
+    nodes, roots = _rooted(sketches.groupBy("node").agg(F.min(_first("_id", "_mark")).alias("first")), compared)
+    classes = sketches.select("_id", "_mark", "node").join(nodes.join(roots, "_root").select("node", F.col("first._id").alias("component")), "node")
+    return classes.select(F.col("_id").alias(id_column), F.col("_mark").alias("mark"), "component"), roots.select("first._id", "first._mark")
+
+
+def _first(id_column: str, mark: str) -> Column:
+    """What the earliest row has least: its id, then its text's mark; null ids come last."""
+    return F.struct(F.col(id_column).isNull().alias("unknown"), F.col(id_column).alias("_id"), F.col(mark).alias("_mark"))
 
 
 def keep_one(df: DataFrame, id_column: str, text_column: str, **options) -> DataFrame:
-    """The rows whose id is their component's smallest (see ``similar``); all other rows of a component go.
+    """The rows of one document of each component (see ``similar``), that of the smallest id; all other rows go.
 
-    Rows that repeat the kept id stay as often as they come, as an id names one document.
+    A document is an id with a text: a row whose id is kept elsewhere with another text stays or goes by its own text's
+    component, and among texts of the smallest id one is kept. Rows that repeat the kept document stay as often as they
+    come. An empty table stays empty.
     """
-    found = similar(df, id_column, text_column, **options)
-    dropped = found.filter(F.col(id_column) != F.col("component")).select(id_column).distinct()
-    return df.join(dropped, id_column, "left_anti").select(*df.columns)
+    kept = _similar(df, id_column, text_column, **options)[1].withColumnsRenamed({"_id": "_kept_id", "_mark": "_kept_mark"})
+    mark = F.xxhash64(F.coalesce(F.col(text_column), F.lit("")))
+    return df.join(kept, F.col(id_column).eqNullSafe(F.col("_kept_id")) & (mark == F.col("_kept_mark")), "left_semi").select(*df.columns)

@@ -1,23 +1,31 @@
 """Exact removal of repeated strings by external induced suffix sorting.
 
-Every string of ``length`` bytes that starts at two or more places is found, over all documents, in three levels.
-
-1. Sampling. A byte position is sampled when the hash of the 8 bytes there is the least of some run of ``window``
-   positions. Which position a string samples depends on its bytes alone, so equal strings sample equal places; each
-   start of a ``length``-byte string is served by one sampled position, its anchor, at most window - 1 bytes further on.
-2. External sort. Anchors are named by the digest of the bytes that all strings served by them share (the core). Spark
-   counts the names, keeps those that come twice, and sorts the anchors' suffix tuples (name, bytes after the core) with
-   its spilling sort. Anchors whose whole neighbourhoods agree need no more work, however many there are.
-3. Induction. Where anchors share a core but differ around it, the order of the suffixes that start o bytes before an
-   anchor follows from that of those o - 1 bytes before it, by the preceding byte. A queue that spills to disk carries the
-   tuples (segment, preceding byte, place, common prefix) from level to level; common prefixes of new neighbours are
-   minima over the runs between them. A start is repeated when its suffix shares ``length`` bytes with a neighbour's.
-
-Names are 64-bit digests that only group candidates; neighbourhoods count as equal by two digests (128 bits).
+Every string of ``length`` symbols (bytes, or whole words) that starts at two or more places is found, over all documents,
+by recursive induction from sampled suffixes.
+
+1. Sampling. A position is sampled when the hash of what stands there is the least of some run of ``window`` positions.
+   Which position a string samples depends on its symbols alone, so equal strings sample equal places; each start of a
+   ``length``-symbol string is served by one sampled position, its anchor, at most window - 1 symbols further on.
+2. Grouping. Anchors are named by the digest of the symbols that all strings served by them share (the core). Spark counts
+   the names and keeps those that come twice. Anchors whose whole neighbourhoods agree are counted as one.
+3. Recursion. A name with more than GROUP different neighbourhoods is halved: for each half of the offsets its strings
+   share a longer core, so its contexts are named, counted and grouped anew, until groups are small or a core is the whole
+   string. No task ever gets such a group, however many rows one passage holds.
+4. Induction. Spark sorts the other contexts by (name, symbols after the core) with its spilling sort. The order of the
+   suffixes that start o symbols before an anchor follows from that of those o - 1 symbols before it, by the preceding
+   symbol. Level by level, a queue on disk takes the suffix tuples (segment, preceding symbol, rank, common prefix, place)
+   and gives them back in order; the common prefix of new neighbours is the least between their old ranks, carried along
+   as the tuples stream by. A start is repeated when its suffix shares ``length`` symbols with a neighbour's. A task holds
+   QUEUE_ROWS tuples and a batch of contexts, whatever its shard's size; everything else is in files where Spark spills.
+
+Names are 64-bit digests that only group candidates; neighbourhoods count as equal by two digests (128 bits). Words count
+as equal by their 64-bit digests, ``length`` of them in a row.
 """
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -29,30 +37,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, partitions, pieces
+from .common import discard, materialize, partitions, pieces
 
-#: Positions that share a sampled one; the strings sought must be longer.
-WINDOW = 256
-#: Tuples that the queue holds in memory before it writes a sorted run to disk.
-QUEUE_ROWS = 1 << 20
-#: Contexts that are induced together; a larger group is induced by itself.
-BATCH = 16_384
+#: Positions that share a sampled one, by unit; the strings sought are longer.
+WINDOWS = {"bytes": 256, "words": 32}
+#: Tuples that a task's queue holds in memory before it writes a sorted run to disk.
+QUEUE_ROWS = 1 << 18
+#: Different neighbourhoods of a core beyond which Spark halves the group.
+GROUP = 4096
 CHUNK = 2 << 20
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+SPANS = T.ArrayType(T.StructType().add("start", "integer").add("end", "integer"))
+#: Larger than any common prefix.
+FAR = 1 << 40
+
+
+def symbols(raw: bytes, unit: str) -> np.ndarray:
+    """The bytes, or a digest for each word."""
+    if unit == "bytes":
+        return np.frombuffer(raw, np.uint8)
+    return np.array(list(map(xxhash.xxh3_64_intdigest, raw.split())), np.uint64)
 
 
 def sample(data: np.ndarray, length: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of a document's strings of ``length`` bytes: their positions, and the first and last start they serve."""
+    """Anchors of a document's strings of ``length`` symbols: their positions, and the first and last start they serve."""
     n = len(data)
     if n < length:
         return (np.zeros(0, np.int64),) * 3
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    word = np.zeros(n, np.uint64)
-    for j in range(8):
-        word |= padded[j : j + n].astype(np.uint64) << np.uint64(8 * j)
+    if data.dtype == np.uint8:
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        word = np.zeros(n, np.uint64)
+        for j in range(8):
+            word |= padded[j : j + n].astype(np.uint64) << np.uint64(8 * j)
+        reach = n - 7
+    else:
+        word, reach = data, n
     h = word * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
-    least = ((h & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64))[: n - 7]  # the leftmost on ties
+    least = ((h & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64))[:reach]  # the leftmost on ties
     width = 1
     while 2 * width <= window:
         least = np.minimum(least[:-width], least[width:])
@@ -64,9 +87,10 @@ def sample(data: np.ndarray, length: int, window: int) -> tuple[np.ndarray, np.n
     return at[first], first, np.concatenate([first[1:], [len(at)]]) - 1
 
 
-def anchors(df: DataFrame, length: int, window: int) -> DataFrame:
-    """(name, near, id, digest, at, first, last): a row for each anchor of each text; ``near`` is the digest of all bytes
-    of the strings that it serves, with their places, and (id, digest) tells the document."""
+def anchors(df: DataFrame, length: int, window: int, unit: str) -> DataFrame:
+    """(name, near, id, digest, at, low, high): a row for each anchor of each text, which serves the starts ``low`` to
+    ``high`` symbols before it; ``near`` is the digest of all symbols of those strings, with their places, and
+    (id, digest) tells the document."""
     core = length - window + 1
     kind = df.schema["_id"].dataType
 
@@ -75,135 +99,214 @@ def anchors(df: DataFrame, length: int, window: int) -> DataFrame:
             for batch in pieces(whole, "_text", CHUNK):
                 cols: list[list] = [[], [], [], [], [], [], []]
                 for key, digest, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                    raw = (text or "").encode()
-                    at, first, last = sample(np.frombuffer(raw, np.uint8), length, window)
+                    data = symbols((text or "").encode(), unit)
+                    at, first, last = sample(data, length, window)
+                    raw, w = data.tobytes(), data.itemsize
                     for p, a, b in zip(at.tolist(), first.tolist(), last.tolist()):
-                        cols[0].append(xxhash.xxh3_64_intdigest(raw[p : p + core]))
-                        cols[1].append(xxhash.xxh3_64_intdigest(raw[a : b + length], p - a))
+                        cols[0].append(xxhash.xxh3_64_intdigest(raw[p * w : (p + core) * w]))
+                        cols[1].append(xxhash.xxh3_64_intdigest(raw[a * w : (b + length) * w], p - a))
                     cols[2] += [key] * len(at)
                     cols[3] += [digest] * len(at)
                     cols[4].append(at)
-                    cols[5].append(first)
-                    cols[6].append(last)
+                    cols[5].append(at - last)
+                    cols[6].append(at - first)
                 if cols[0]:
                     longs = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in cols[:2]]
                     ints = [pa.array(np.concatenate(c).astype(np.int32)) for c in cols[4:]]
                     yield pa.RecordBatch.from_arrays([*longs, pa.array(cols[2], batch.schema.field("_id").type), pa.array(cols[3], pa.int64()), *ints], schema.names)
 
-    schema = T.StructType().add("name", "long").add("near", "long").add("_id", kind).add("_digest", "long").add("at", "integer").add("first", "integer").add("last", "integer")
+    schema = T.StructType().add("name", "long").add("near", "long").add("_id", kind).add("_digest", "long").add("at", "integer").add("low", "integer").add("high", "integer")
     return df.select("_id", "_digest", "_text").mapInArrow(run, schema)
 
 
+def scratch() -> tempfile.TemporaryDirectory:
+    """A folder for what a task spills, where Spark keeps its own spills; no other task reads it, and it goes with the task."""
+    own = [d for d in os.environ.get("SPARK_LOCAL_DIRS", "").split(",") if os.path.isdir(d)]
+    return tempfile.TemporaryDirectory(prefix="queue-", dir=own[0] if own else None)
+
+
 class SortQueue:
-    """A priority queue of tuples of integers, by their first two columns and then the last one (the place of arrival).
-    Beyond QUEUE_ROWS it writes sorted runs to a temporary folder of the task and merges them block by block."""
+    """A priority queue on disk of rows of integers, in the order of their first three columns.
+
+    It takes sorted runs and gives all rows back, block by block, in order. Beyond ``limit`` rows the runs that it holds
+    become a file; files are merged as they are read, so that memory is bounded by the limit.
+    """
 
-    def __init__(self, columns: int, limit: int = QUEUE_ROWS):
-        self.columns, self.limit = columns, limit
+    def __init__(self, folder: str, limit: int):
+        self.folder, self.limit = folder, limit
         self.held: list[np.ndarray] = []
         self.count = 0
-        self.folder: tempfile.TemporaryDirectory | None = None
-        self.runs: list[str] = []
+        self.files: list[str] = []
 
     def push(self, rows: np.ndarray) -> None:
-        self.held.append(rows)
-        self.count += len(rows)
-        if self.count >= self.limit:
-            self._spill()
-
-    def _sorted(self) -> np.ndarray:
-        rows = np.concatenate(self.held) if self.held else np.zeros((0, self.columns), np.int64)
-        self.held, self.count = [], 0
-        return rows[np.lexsort((rows[:, -1], rows[:, 1], rows[:, 0]))]
+        """Adds rows that are in order among themselves."""
+        for i in range(0, len(rows), self.limit):
+            self.held.append(rows[i : i + self.limit])
+            self.count += len(self.held[-1])
+            if self.count >= self.limit:
+                self._spill()
+
+    def __bool__(self) -> bool:
+        return bool(self.count or self.files)
+
+    def _merged(self) -> np.ndarray:
+        held, self.held, self.count = self.held, [], 0
+        if len(held) == 1:
+            return held[0]
+        rows = np.concatenate(held)
+        return rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
 
     def _spill(self) -> None:
-        self.folder = self.folder or tempfile.TemporaryDirectory()
-        path = f"{self.folder.name}/{len(self.runs)}.npy"
-        np.save(path, self._sorted())
-        self.runs.append(path)
-
-    def pop_all(self) -> Iterator[np.ndarray]:
-        """All tuples in order, in blocks; the queue is empty and its files are gone afterwards."""
-        if not self.runs:
-            yield self._sorted()
+        handle, path = tempfile.mkstemp(suffix=".npy", dir=self.folder)
+        os.close(handle)
+        np.save(path, self._merged())
+        self.files.append(path)
+
+    def drain(self) -> Iterator[np.ndarray]:
+        """All rows in order, in blocks; the queue is empty and its files are gone afterwards."""
+        if not self.files:
+            if self.count:
+                yield self._merged()
             return
         if self.count:
             self._spill()
-        runs = [np.load(p, mmap_mode="r") for p in self.runs]
+        runs = [np.load(p, mmap_mode="r") for p in self.files]
         starts = [0] * len(runs)
         step = max(1, self.limit // len(runs))
         while any(s < len(r) for s, r in zip(starts, runs)):
-            heads = [r[min(s + step, len(r)) - 1] for s, r in zip(starts, runs) if s < len(r)]
-            x, y, z = min((int(h[0]), int(h[1]), int(h[-1])) for h in heads)
+            x, y, z = min(tuple(r[min(s + step, len(r)) - 1, :3].tolist()) for s, r in zip(starts, runs) if s < len(r))
             parts = []  # what is certainly before all that is still on disk
             for i, r in enumerate(runs):
                 part = np.asarray(r[starts[i] : starts[i] + step])
-                n = int(np.count_nonzero((part[:, 0] < x) | ((part[:, 0] == x) & ((part[:, 1] < y) | ((part[:, 1] == y) & (part[:, -1] <= z))))))
+                n = int(np.count_nonzero((part[:, 0] < x) | ((part[:, 0] == x) & ((part[:, 1] < y) | ((part[:, 1] == y) & (part[:, 2] <= z))))))
                 parts.append(part[:n])
                 starts[i] += n
             block = np.concatenate(parts)
-            yield block[np.lexsort((block[:, -1], block[:, 1], block[:, 0]))]
+            yield block[np.lexsort((block[:, 2], block[:, 1], block[:, 0]))]
         del runs
-        self.folder.cleanup()
-        self.folder, self.runs = None, []
-
-
-def induce(group: np.ndarray, left: np.ndarray, left_size: np.ndarray, right: list[bytes], low: np.ndarray, high: np.ndarray, tail: int) -> np.ndarray:
-    """Which starts are repeated: a matrix of contexts by offsets.
-
-    Contexts come sorted by group and then by ``right``, the bytes after the core (at most ``tail``); ``left`` holds the
-    preceding bytes, nearest first. Offset o stands for the string that starts o bytes before the anchor; it is repeated
-    when a context of the group shares the o bytes before the anchor and tail - o bytes after the core.
-    """
-    n = len(group)
-    found = np.zeros((n, tail + 1), bool)
-    size = np.array([len(r) for r in right])
-    text = np.zeros((n, max(1, int(size.max(initial=0)))), np.uint8)
-    flat = np.frombuffer(b"".join(right), np.uint8)
-    inside = np.arange(text.shape[1])[None, :] < size[:, None]
-    text[inside] = flat
-    same = (text[1:] == text[:-1]) & inside[1:] & inside[:-1]
-    common = np.where(same.all(1), same.shape[1], same.argmin(1)) if n > 1 else np.zeros(0, np.int64)
-    common = np.minimum(common, np.minimum(size[1:], size[:-1]))
-    segment = np.cumsum(np.concatenate([[0], group[1:] != group[:-1]]))
-    prefix = np.concatenate([[-1], np.where(group[1:] == group[:-1], common, -1)])  # with the one before
-    place = np.arange(n)
-    for o in range(tail + 1):
-        hit = (prefix >= tail - o) & (segment == np.concatenate([[-1], segment[:-1]]))
-        either = hit | np.concatenate([hit[1:], [False]])
-        rows = place[either]
-        rows = rows[(low[rows] <= o) & (o <= high[rows])]
-        found[rows, o] = True
-        if o == tail:
-            break
-        # contexts that end here, and those alone in their segment, can share nothing further to the left
-        counts = np.bincount(segment, minlength=int(segment[-1]) + 1 if len(segment) else 0)
-        keep = (left_size[place] > o) & (high[place] > o) & (counts[segment] > 1)
-        if not keep.any():
-            break
-        kept = np.flatnonzero(keep)
-        queue = SortQueue(4)
-        for i in range(0, len(kept), QUEUE_ROWS):
-            k = kept[i : i + QUEUE_ROWS]
-            queue.push(np.stack([segment[k], left[place[k], o].astype(np.int64), place[k], k], 1))
-        rows = np.concatenate(list(queue.pop_all()))
-        new = np.concatenate([[True], (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1])])
-        # the common prefix with the new neighbour is the least one between their old places
-        minima = np.full(len(rows), -1, np.int64)
-        again = np.flatnonzero(~new)
+        for path in self.files:
+            os.unlink(path)
+        self.files = []
+
+
+class Minima:
+    """The common prefixes of new neighbours: for each tuple the least prefix since the last one of the same segment that
+    has the same preceding symbol. Between blocks it keeps a number for each symbol of the segment that is still open."""
+
+    def __init__(self) -> None:
+        self.symbol, self.least = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def take(self, segment: np.ndarray, prefix: np.ndarray, chosen: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For a block of tuples, of which ``chosen`` go on with the preceding ``symbol``: their places in the block in the
+        order of (segment, symbol, rank), and their new prefixes, -1 where a new segment begins."""
+        order = np.lexsort((symbol, segment[chosen]))
+        i, c = chosen[order], symbol[order]
+        s = segment[i]
+        first = np.concatenate([[True], (s[1:] != s[:-1]) | (c[1:] != c[:-1])])[: len(i)]
+        out = np.full(len(i), -1, np.int64)
+        again = np.flatnonzero(~first)
         if len(again):
-            spans = np.stack([rows[again - 1, 3] + 1, rows[again, 3] + 1], 1).ravel()
-            padded = np.concatenate([prefix, [1 << 30]])
-            minima[again] = np.minimum.reduceat(padded, spans)[::2]
-        segment, place, prefix = np.cumsum(new) - 1, rows[:, 2], minima
-    return found
-
+            spans = np.stack([i[again - 1] + 1, i[again] + 1], 1).ravel()
+            out[again] = np.minimum.reduceat(np.concatenate([prefix, [FAR]]), spans)[::2]
+        goes_on = prefix[0] >= 0  # the block begins within the segment that was open
+        if goes_on and len(self.symbol):
+            here = np.flatnonzero(first & (s == segment[0]))
+            found = np.minimum(np.searchsorted(self.symbol, c[here]), len(self.symbol) - 1)
+            known = self.symbol[found] == c[here]
+            here, found = here[known], found[known]
+            out[here] = np.minimum(self.least[found], np.minimum.accumulate(prefix)[i[here]])
+        last = np.flatnonzero(np.concatenate([first[1:], [True]])[: len(i)] & (s == segment[-1]))
+        after = np.concatenate([np.minimum.accumulate(prefix[::-1])[::-1], [FAR]])
+        new_symbol, new_least = c[last], after[i[last] + 1]
+        if goes_on and segment[0] == segment[-1] and len(self.symbol):
+            old = ~np.isin(self.symbol, new_symbol)
+            new_symbol = np.concatenate([new_symbol, self.symbol[old]])
+            new_least = np.concatenate([new_least, np.minimum(self.least[old], after[0])])
+        order = np.argsort(new_symbol, kind="stable")
+        self.symbol, self.least = new_symbol[order], new_least[order]
+        return i, out
+
+
+class Shard:
+    """The contexts of one task, in files, and the repeated starts that induction finds among them.
+
+    Contexts come sorted by group and then by the symbols after the core (at most ``tail``). Offset o stands for the string
+    that starts o symbols before the anchor; it is repeated when a context of the group shares the o symbols before the
+    anchor and tail - o symbols after the core.
+    """
 
-def _spread(found: np.ndarray) -> Iterator[list[tuple[int, int]]]:
-    """Runs of offsets of each row."""
+    def __init__(self, folder: str, tail: int, symbol: np.dtype, limit: int = QUEUE_ROWS):
+        self.folder, self.tail, self.symbol, self.limit = folder, tail, np.dtype(symbol), limit
+        self.record = np.dtype([("low", "<i4"), ("high", "<i4"), ("left", self.symbol, (tail,))])
+        self.file = open(f"{folder}/contexts", "wb")
+        self.count = 0
+        self.segment = -1
+        self.last: tuple[int, np.ndarray, int] | None = None
+        self.queue = SortQueue(folder, limit)
+
+    def _rows(self, values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        size = np.array([len(v) // self.symbol.itemsize for v in values], np.int64)
+        out = np.zeros((len(values), self.tail), self.symbol)
+        out[np.arange(self.tail)[None, :] < size[:, None]] = np.frombuffer(b"".join(values), self.symbol)
+        return out, size
+
+    def add(self, group: np.ndarray, right: list[bytes], left: list[bytes], low: np.ndarray, high: np.ndarray) -> None:
+        """The next contexts in order; ``left`` has the preceding symbols, nearest first, ``high`` of them at least."""
+        n = len(group)
+        if not n:
+            return
+        record = np.zeros(n, self.record)
+        record["left"], record["low"], record["high"] = self._rows(left)[0], low, high
+        record.tofile(self.file)
+        text, size = self._rows(right)
+        before = self.last or (int(group[0]) ^ 1, np.zeros(self.tail, self.symbol), 0)
+        self.last = int(group[-1]), text[-1], int(size[-1])
+        group = np.concatenate([[before[0]], group])
+        text, size = np.concatenate([before[1][None, :], text]), np.concatenate([[before[2]], size])
+        same = text[1:] == text[:-1]
+        common = np.minimum(np.where(same.all(1), self.tail, same.argmin(1)), np.minimum(size[1:], size[:-1]))
+        new = group[1:] != group[:-1]
+        segment = self.segment + np.cumsum(new)
+        self.segment = int(segment[-1])
+        rank = self.count + np.arange(n)
+        self.queue.push(np.stack([segment, np.zeros(n, np.int64), rank, np.where(new, -1, common), rank], 1))
+        self.count += n
+
+    def solve(self) -> np.ndarray:
+        """Which starts are repeated: a matrix of offsets by contexts, in a file."""
+        self.file.close()
+        contexts = np.memmap(f"{self.folder}/contexts", self.record, "r", shape=(self.count,))
+        found = np.memmap(f"{self.folder}/found", bool, "w+", shape=(self.tail + 1, self.count))
+        queue = self.queue
+        for o in range(self.tail + 1):
+            following, minima = SortQueue(self.folder, self.limit), Minima()
+            segment_of, rank, before = -1, 0, -1
+            for block in queue.drain():
+                prefix, place = block[:, 3], block[:, 4]
+                new = prefix < 0
+                segment = segment_of + np.cumsum(new)
+                hit = np.flatnonzero(prefix >= self.tail - o)
+                rows = np.concatenate([place[hit], np.where(hit > 0, place[hit - 1], before)])
+                rows = rows[(contexts["low"][rows] <= o) & (o <= contexts["high"][rows])]
+                found[o, rows] = True
+                if o < self.tail:
+                    # contexts that end here, and those alone in their segment, share nothing further to the left
+                    alone = new & np.concatenate([new[1:], [False]])
+                    going = np.flatnonzero((contexts["high"][place] > o) & ~alone)
+                    i, least = minima.take(segment, prefix, going, contexts["left"][place[going], o].astype(np.int64))
+                    following.push(np.stack([segment[i], contexts["left"][place[i], o].astype(np.int64), rank + i, least, place[i]], 1))
+                segment_of, rank, before = int(segment[-1]), rank + len(block), int(place[-1])
+            queue = following
+            if not queue:
+                break
+        return found
+
+
+def _edges(found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of True of a matrix of contexts by offsets: the row, the first and the last offset of each."""
     edge = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-    for row in edge:
-        yield list(zip(np.flatnonzero(row == 1).tolist(), (np.flatnonzero(row == -1) - 1).tolist()))
+    row, first = np.nonzero(edge == 1)
+    return row, first, np.nonzero(edge == -1)[1] - 1
 
 
 def _packed(df: DataFrame) -> DataFrame:
@@ -212,106 +315,157 @@ def _packed(df: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
-            packed = [squeeze((t or "").encode()) for t in batch.columns[-1].to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(packed, pa.binary())], schema.names)
+        for whole in batches:
+            for batch in pieces(whole, "_text", CHUNK):
+                packed = [squeeze((t or "").encode()) for t in batch.columns[-1].to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(packed, pa.binary())], schema.names)
 
     return df.mapInArrow(run, schema)
 
 
-def _contexts(mixed: DataFrame, texts: DataFrame, length: int, window: int) -> DataFrame:
-    """The bytes around the anchors of ``mixed``: a join with the documents, once for each document."""
+def _context_schema(id_type: T.DataType) -> T.StructType:
+    schema = T.StructType().add("name", "long").add("near", "long").add("_id", id_type).add("_digest", "long")
+    for c in ("at", "low", "high"):
+        schema = schema.add(c, "integer")
+    return schema.add("n", "long").add("rest", "binary").add("before", "binary")
+
+
+def _contexts(mixed: DataFrame, texts: DataFrame, length: int, window: int, unit: str) -> DataFrame:
+    """The symbols around the anchors of ``mixed``: a join with the documents, once for each document."""
     core = length - window + 1
-    wanted = mixed.groupBy("_id", "_digest").agg(F.collect_list(F.struct("name", "at", "first", "last", "n")).alias("wanted"))
-    joined = texts.join(wanted, (texts["_id"].eqNullSafe(wanted["_id"])) & (texts["_digest"] == wanted["_digest"])).select(texts["_id"], texts["_digest"], "packed", "wanted")
-    schema = T.StructType().add("name", "long").add("rest", "binary").add("before", "binary").add("_id", mixed.schema["_id"].dataType).add("_digest", "long").add("at", "integer").add("first", "integer").add("last", "integer").add("n", "long")
+    wanted = mixed.groupBy("_id", "_digest").agg(F.collect_list(F.struct("name", "near", "at", "low", "high", "n")).alias("wanted"))
+    joined = _packed(texts).join(wanted.withColumnsRenamed({"_id": "_i", "_digest": "_d"}), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_digest") == F.col("_d")))
+    schema = _context_schema(mixed.schema["_id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                part = batch.slice(i, 64)
+        types = [pa.int64(), pa.int64(), None, pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+        for whole in batches:
+            for batch in pieces(whole, "packed", CHUNK >> 2):
+                types[2] = batch.schema.field("_id").type
+                rows = []
+                for key, digest, packed, found in zip(*(c.to_pylist() for c in batch.columns)):
+                    data = symbols(expand(packed), unit)
+                    raw, back, w, n = data.tobytes(), data[::-1].tobytes(), data.itemsize, len(data)
+                    for x in found:
+                        at, low, high = x["at"], x["low"], x["high"]
+                        right, left = raw[(at + core) * w : (at - low + length) * w], back[(n - at) * w : (n - at + high) * w]
+                        rows.append((x["name"], x["near"], key, digest, at, low, high, x["n"], right, left))
+                for i in range(0, len(rows), 8192):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 8192]), types)], schema.names)
+
+    return joined.select("_id", "_digest", "packed", "wanted").mapInArrow(run, schema)
+
+
+def _halved(contexts: DataFrame, tail: int, w: int) -> DataFrame:
+    """Contexts once for each half of the offsets that they serve; the strings of a half share a core that is longer by
+    tail - tail // 2 symbols. Names and neighbourhoods are those of the half."""
+    half = tail // 2
+    schema = _context_schema(contexts.schema["_id"].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64
+        for whole in batches:
+            for batch in pieces(whole, "rest", CHUNK):
                 rows = []
-                for key, digest, packed, found in zip(*(part.column(j).to_pylist() for j in range(4))):
-                    raw = expand(packed)
-                    for w in found:
-                        at, first, last = w["at"], w["first"], w["last"]
-                        rows.append((w["name"], raw[at + core : last + length], raw[first:at][::-1], key, digest, at, first, last, w["n"]))
+                for name, _, key, mark, at, low, high, n, rest, before in zip(*(c.to_pylist() for c in batch.columns)):
+                    for lo in (0, tail - half):
+                        a, b = max(low, lo), min(high, lo + half)
+                        if a > b:
+                            continue
+                        shared = rest[: (tail - lo - half) * w]
+                        own = rest[(tail - lo - half) * w : (tail - a) * w], before[lo * w : b * w]
+                        core = digest(name.to_bytes(8, "little", signed=True) + lo.to_bytes(4, "little") + before[: lo * w] + shared)
+                        near = digest((a - lo).to_bytes(4, "little") + (b - lo).to_bytes(4, "little") + own[1] + own[0])
+                        rows.append((core.intdigest(), near.intdigest(), key, mark, at - lo, a - lo, b - lo, n, *own))
                 if rows:
-                    types = [pa.int64(), pa.binary(), pa.binary(), part.schema.field("_id").type, pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], schema.names)
-
-    return joined.mapInArrow(run, schema)
-
-
-def _induced(contexts: DataFrame, length: int, window: int) -> DataFrame:
-    """(id, digest, start, end): runs of repeated starts of contexts that come once, by induction in each group."""
-    core, id_type = length - window + 1, contexts.schema["_id"].dataType
-    tail = length - core
-    schema = T.StructType().add("_id", id_type).add("_digest", "long").add("start", "integer").add("end", "integer")
-
-    def solve(rows: pa.Table) -> pa.RecordBatch | None:
-        at, first, last, times = (rows.column(c).to_numpy() for c in ("at", "first", "last", "n"))
-        before = rows.column("before").to_pylist()
-        left = np.zeros((len(before), tail), np.uint8)
-        sizes = np.array([len(b) for b in before])
-        left[np.arange(tail)[None, :] < sizes[:, None]] = np.frombuffer(b"".join(before), np.uint8)
-        found = induce(rows.column("name").to_numpy(), left, sizes, rows.column("rest").to_pylist(), at - last, at - first, tail)
-        found[times > 1] = False  # all their starts count already
-        some = np.flatnonzero(found.any(1))
-        out = [(i, int(at[i]) - b, int(at[i]) - a) for i, runs in zip(some.tolist(), _spread(found[some])) for a, b in runs]
-        if not out:
-            return None
-        where, start, end = zip(*out)
-        index = pa.array(where, pa.int64())
-        keys = rows.select(["_id", "_digest"]).take(index).combine_chunks()
-        return pa.RecordBatch.from_arrays([keys.column(0).combine_chunks(), keys.column(1).combine_chunks(), pa.array(start, pa.int32()), pa.array(end, pa.int32())], schema.names)
+                    name, near, *others = zip(*rows)
+                    longs = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in (name, near)]
+                    yield pa.RecordBatch.from_arrays([*longs, *(pa.array(c, f.type) for c, f in zip(others, list(batch.schema)[2:]))], schema.names)
+
+    return contexts.select(*schema.names).mapInArrow(run, schema)
+
+
+def _induced(contexts: DataFrame, tail: int, symbol: str) -> DataFrame:
+    """(id, digest, start, end): runs of repeated starts of contexts that come once, by induction in each shard."""
+    schema = T.StructType().add("_id", contexts.schema["_id"].dataType).add("_digest", "long").add("start", "integer").add("end", "integer")
+    limit = QUEUE_ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        count = 0
-        for batch in batches:
-            held.append(batch)
-            count += batch.num_rows
-            if count < BATCH:
-                continue
-            table = pa.Table.from_batches(held)
-            name = table.column("name").to_numpy()
-            cut = np.flatnonzero(name[1:] != name[:-1])
-            if not len(cut):
-                continue
-            cut = int(cut[-1]) + 1
-            if (out := solve(table.slice(0, cut))) is not None:
-                yield out
-            held, count = table.slice(cut).to_batches(), table.num_rows - cut
-        if count and (out := solve(pa.Table.from_batches(held))) is not None:
-            yield out
+        with scratch() as folder:
+            shard, writer = Shard(folder, tail, np.dtype(symbol), limit), None
+            for batch in batches:
+                for i in range(0, batch.num_rows, 8192):
+                    part = batch.slice(i, 8192)
+                    own = part.select(["_id", "_digest", "at", "n"])
+                    writer = writer or pa.ipc.new_stream(f"{folder}/places", own.schema)
+                    writer.write_batch(own)
+                    group, low, high = (part.column(c).to_numpy() for c in ("name", "low", "high"))
+                    shard.add(group, part.column("rest").to_pylist(), part.column("before").to_pylist(), low, high)
+            if not writer:
+                return
+            writer.close()
+            found, start = shard.solve(), 0
+            for part in pa.ipc.open_stream(f"{folder}/places"):
+                at, once = part.column("at").to_numpy(), part.column("n").to_numpy() == 1  # else all their starts count already
+                row, first, last = _edges(np.ascontiguousarray(found[:, start : start + part.num_rows].T) & once[:, None])
+                start += part.num_rows
+                if len(row):
+                    keys = part.take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays([keys.column(0), keys.column(1), pa.array((at[row] - last).astype(np.int32)), pa.array((at[row] - first).astype(np.int32))], schema.names)
 
     ordered = contexts.repartition(partitions(contexts.sparkSession), "name").sortWithinPartitions("name", "rest")
     return ordered.mapInArrow(run, schema)
 
 
-def repeated_spans(df: DataFrame, length: int, window: int = WINDOW) -> DataFrame:
-    """(id, digest, spans): the bytes to remove of each document that has any, as sorted, disjoint [start, end) pairs.
+def _starts(rows: DataFrame) -> DataFrame:
+    return rows.select("_id", "_digest", (F.col("at") - F.col("high")).alias("start"), (F.col("at") - F.col("low")).alias("end"))
+
+
+def _grouped(rows: DataFrame, payload: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Runs of starts of rows whose neighbourhood comes again, and the neighbourhoods of the names with several: a row for
+    each, with ``n``, how often it comes, and ``k``, how many its name has."""
+    # written before they are joined, so that both sides are plain shuffles and Spark can split a frequent name's rows
+    near = materialize(rows.groupBy("name", "near").agg(F.sum("n").alias("n"), F.min(F.struct(*payload)).alias("x")), "neighbourhoods")
+    kinds = materialize(near.groupBy("name").agg(F.count("*").alias("k")).filter("k > 1"), "mixed")
+    whole = _starts(rows.filter("n = 1").join(near.filter("n > 1").select("name", "near"), ["name", "near"]))
+    return whole, near.join(kinds, "name").select("name", "near", "n", "k", "x.*")
+
+
+def repeated_spans(df: DataFrame, length: int, window: int | None = None, unit: str = "bytes") -> DataFrame:
+    """(id, digest, spans): what to remove of each document that has any, as [start, end) pairs of symbols.
 
-    df has _id, _digest (of id and text) and _text. Only documents with a span are returned.
+    df has _id, _digest (of id and text) and _text. Only documents with a span are returned; spans may overlap.
     """
-    window = min(window, length - 7)
+    window = min(window or WINDOWS[unit], length - 7 if unit == "bytes" else length)
     if window < 1:
-        raise ValueError("strings of 8 bytes at least can be sought")
-    found = anchors(df, length, window)
-    # written before the join, so that both its sides are plain shuffles and Spark can split a frequent name's rows
+        raise ValueError("strings of 8 bytes or one word at least can be sought")
+    symbol, tail = np.dtype(np.uint8 if unit == "bytes" else np.uint64), window - 1
+    texts = df.select("_id", "_digest", "_text")
+    found = anchors(texts, length, window, unit).withColumn("n", F.lit(1).cast("long"))
     twice = materialize(found.groupBy("name").agg(F.count("*").alias("c")).filter("c > 1").select("name"), "names")
     multi = materialize(found.join(twice, "name"), "anchors")
-    near = materialize(
-        multi.groupBy("name", "near").agg(F.count("*").alias("n"), F.min(F.struct("_digest", "_id", "at", "first", "last")).alias("x")),
-        "neighbourhoods",
-    )
-    whole = multi.join(near.filter("n > 1").select("name", "near"), ["name", "near"]).select("_id", "_digest", F.col("first").alias("start"), F.col("last").alias("end"))
-    kinds = materialize(near.groupBy("name").agg(F.count("*").alias("k")).filter("k > 1").select("name"), "mixed")
-    mixed = near.join(kinds, "name").select("name", "n", "x.*")
-    induced = _induced(_contexts(mixed, _packed(df.select("_id", "_digest", "_text")), length, window), length, window)
-    starts = materialize(whole.union(induced.select("_id", "_digest", "start", "end")), "starts")
+    whole, mixed = _grouped(multi, ("_digest", "_id", "at", "low", "high"))
+    out = [whole, _induced(_contexts(mixed.filter(F.col("k") <= GROUP), texts, length, window, unit), tail, symbol.str)]
+    hot, passing = mixed.filter(F.col("k") > GROUP), [twice, multi]
+    if not hot.isEmpty():
+        hot = materialize(_contexts(hot, texts, length, window, unit), "contexts")
+        while True:
+            split = materialize(_halved(hot, tail, symbol.itemsize), "halves")
+            tail //= 2
+            whole, mixed = _grouped(split, ("_digest", "_id", "at", "low", "high", "rest", "before"))
+            names = _context_schema(split.schema["_id"].dataType).names
+            out += [whole, _induced(mixed.filter(F.col("k") <= GROUP).select(*names), tail, symbol.str)]
+            passing += [split, hot]
+            hot = mixed.filter(F.col("k") > GROUP).select(*names)
+            if hot.isEmpty():
+                break
+            hot = materialize(hot, "contexts")
+    every = out[0]
+    for more in out[1:]:
+        every = every.union(more)
+    starts = materialize(every, "starts")
+    discard(*passing)
     return starts.groupBy("_id", "_digest").agg(F.collect_list(F.struct("start", (F.col("end") + length).alias("end"))).alias("spans"))
 
 
@@ -325,6 +479,12 @@ def _merge(spans: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
+def _in_bytes(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of words as spans of bytes, up to the next word that stays."""
+    words = [m.span() for m in WORD.finditer(raw)]
+    return [(words[a][0], words[b][0] if b < len(words) else words[-1][1]) for a, b in spans]
+
+
 def _cut(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     kept, at = [], 0
     for a, b in spans:
@@ -333,33 +493,55 @@ def _cut(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, raw[at:]])
 
 
-def remove_repeats(df: DataFrame, id_column: str, text_column: str, length: int = 400, window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(id, carried columns, n_bytes, n_removed, n_spans, spans, kept binary) for every row: the text without each byte
-    that a string of ``length`` bytes covers which also starts anywhere else, in the same row or another.
-
-    Texts are judged as UTF-8 bytes as they come (null: empty), so a cut may fall inside a character and ``kept`` is
-    binary. Repeated rows are copies of each other. Rows of one id with different texts are different documents. An
-    empty table gives an empty result.
+def remove_repeats(
+    df: DataFrame,
+    id_column: str,
+    text_column: str,
+    length: int = 400,
+    window: int | None = None,
+    carry: tuple[str, ...] = (),
+    unit: str = "bytes",
+    passages: int | None = None,
+) -> DataFrame:
+    """(id, carried columns, n_bytes, n_removed, n_spans, spans, longest, n_passages, passage_words, kept binary) for every
+    row: the text without each symbol that a string of ``length`` symbols covers which also starts anywhere else, in the
+    same row or another.
+
+    With unit "bytes" texts are judged as UTF-8 bytes as they come (null: empty), so a cut may fall inside a character and
+    ``kept`` is binary. With unit "words" symbols are words, whatever white space parts them; a cut reaches up to the next
+    word that stays, so kept is valid UTF-8. ``spans`` are bytes of the original text, n_removed counts bytes, ``longest``
+    is the longest run removed, in symbols. With ``passages`` the runs of as many words or more that come again are counted
+    too, but not removed: how many there are, and their words; else these columns are null. Repeated rows are copies of
+    each other. Rows of one id with different texts are different documents. An empty table gives an empty result. A carried
+    column may have any name that isn't one of the result's.
     """
     digest = F.xxhash64(id_column, text_column)
     renamed = [F.col(c).alias(f"_carry{i}") for i, c in enumerate(carry)]
     rows = df.select(F.col(id_column).alias("_id"), digest.alias("_digest"), *renamed, F.col(text_column).alias("_text"))
-    spans = repeated_spans(rows.select("_id", "_digest", "_text"), length, window).withColumnsRenamed({"_id": "_id2", "_digest": "_digest2"})
+    spans = repeated_spans(rows, length, window, unit).select("_id", "_digest", "spans", F.lit(None).cast(SPANS).alias("passages"))
+    if passages:
+        more = repeated_spans(rows, passages, unit="words").select("_id", "_digest", F.lit(None).cast(SPANS).alias("spans"), F.col("spans").alias("passages"))
+        spans = spans.union(more).groupBy("_id", "_digest").agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("spans", "passages")))
+    spans = spans.withColumnsRenamed({"_id": "_id2", "_digest": "_digest2"})
     joined = _packed(rows).join(spans, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_digest") == F.col("_digest2")), "left").drop("_id2", "_digest", "_digest2")
-    kinds = [rows.schema["_id"], *(rows.schema[f"_carry{i}"] for i in range(len(carry)))]
-    schema = T.StructType(kinds).add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("spans", T.ArrayType(T.StructType().add("start", "integer").add("end", "integer"))).add("kept", "binary")
+    schema = T.StructType([rows.schema["_id"], *(rows.schema[f"_carry{i}"] for i in range(len(carry)))])
+    for c in ("n_bytes", "n_removed", "n_spans"):
+        schema = schema.add(c, "long")
+    schema = schema.add("spans", SPANS).add("longest", "long").add("n_passages", "long").add("passage_words", "long").add("kept", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor().decompress
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.binary()]
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        for whole in batches:
+            for part in pieces(whole, "packed", CHUNK):
                 out = []
-                for packed, found in zip(part.column("packed").to_pylist(), part.column("spans").to_pylist()):
-                    raw, merged = expand(packed), _merge(found or [])
+                for packed, found, shared in zip(*(part.column(c).to_pylist() for c in ("packed", "spans", "passages"))):
+                    raw, merged, shared = expand(packed), _merge(found or []), _merge(shared or [])
+                    longest = max((b - a for a, b in merged), default=0)
+                    merged = _in_bytes(raw, merged) if merged and unit == "words" else merged
                     kept = _cut(raw, merged)
-                    out.append((len(raw), len(raw) - len(kept), len(merged), [{"start": a, "end": b} for a, b in merged], kept))
+                    words = (len(shared), sum(b - a for a, b in shared)) if passages else (None, None)
+                    out.append((len(raw), len(raw) - len(kept), len(merged), [{"start": a, "end": b} for a, b in merged], longest, *words, kept))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(carry) + 1], *(pa.array(c, t) for c, t in zip(zip(*out), types))], schema.names)
 
     names = {"_id": id_column} | {f"_carry{i}": c for i, c in enumerate(carry)}

@@ -1,50 +1,72 @@
-"""Line dedup against brute force."""
+"""Unit dedup against brute force."""
 
 import random
+import re
+
+import pytest
 
 from helixgraph.llm import lines
 
 
-def brute(rows, least):
+def split(text, level):
+    if level == "line":
+        return re.findall(r"[^\n]*\n|[^\n]+", text)
+    out, unit = [], ""
+    for token in re.findall(r"\n|[.!?]+[ \t]+|[。！？]+[ \t]*|.", text):
+        unit += token
+        if token == "\n" or re.fullmatch(r"[.!?]+[ \t]+|[。！？]+[ \t]*", token):
+            out.append(unit)
+            unit = ""
+    return out + [unit] * bool(unit)
+
+
+def brute(rows, level):
     seen, out = set(), []
     for d, text in sorted(rows, key=lambda x: x[0]):
-        kept = []
-        for line in (text or "").splitlines(keepends=True):
-            form = " ".join(line.lower().split())
-            if len(form.split()) >= least and form in seen:
+        kept, longest, now = [], 0, 0
+        for unit in split(text or "", level):
+            form = tuple(unit.lower().encode().split())
+            if form and form in seen:
+                now += len(form)
+                longest = max(longest, now)
                 continue
-            if len(form.split()) >= least:
-                seen.add(form)
-            kept.append(line)
-        out.append((d, "".join(kept)))
+            seen.add(form)
+            kept.append(unit)
+            now = 0
+        out.append((d, "".join(kept), longest))
     return sorted(out)
 
 
-def test_matches_brute_force(spark):
+@pytest.mark.parametrize("level", ["line", "sentence"])
+def test_matches_brute_force(spark, level):
     r = random.Random(2)
-    pool = [" ".join(r.choices(["Aé", "b", "C", "dd"], k=r.randint(1, 9))) for _ in range(25)]
+    pool = [" ".join(r.choices(["Aé", "b", "C", "dd.", "e!? ", "f。"], k=r.randint(1, 9))) for _ in range(25)]
     rows = [(i, "\n".join(r.choice(pool) + " " * r.randint(0, 2) for _ in range(r.randint(0, 12)))) for i in range(80)]
-    rows += [(100, None), (101, ""), (102, "\n\n"), (103, "x y z w\n" * 2000)]
+    rows += [(100, None), (101, ""), (102, "\n\n"), (103, "x y z w. \n" * 2000), (104, "�. �"), (105, "。。 x"), (106, "... ")]
     df = spark.createDataFrame([(d, t, "k") for d, t in rows], "doc_id long, text string, kept string")
-    out = lines.remove_repeated_units(df, "doc_id", "text", least_words=3).collect()
-    assert sorted((r["doc_id"], r["kept"]) for r in out) == brute(rows, 3)
+    out = lines.remove_repeated_units(df, "doc_id", "text", level).collect()
+    assert sorted((r["doc_id"], r["kept"], r["longest_words"]) for r in out) == brute(rows, level)
     texts = dict(rows)
     for r in out:
         raw = (texts[r["doc_id"]] or "").encode()
         assert b"".join(raw[u["start"] : u["end"]] for u in r["kept_units"]).decode() == r["kept"]
         assert r["n_removed"] == sum(u["end"] - u["start"] for u in r["removed"]) == len(raw) - len(r["kept"].encode())
+    left = [tuple(u.lower().split()) for r in out for u in split(r["kept"], level) if u.strip()]
+    assert len(left) == len(set(left))
 
 
 def test_repeated_rows_and_empty(spark):
     df = spark.createDataFrame([(1, "one two three"), (1, "one two three"), (None, "one two three"), (2, "ONE  two three\nrest")], "doc_id long, text string")
-    out = lines.remove_repeated_units(df, "doc_id", "text", least_words=3).collect()
+    out = lines.remove_repeated_units(df, "doc_id", "text").collect()
     assert sorted((r["doc_id"] or 0, r["kept"]) for r in out) == [(0, "one two three"), (1, ""), (1, ""), (2, "rest")]
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert lines.remove_repeated_units(empty, "doc_id", "text").collect() == []
 
 
-def test_paragraphs():
-    raw = b"a\nb\n\nc\n\n\nd"
-    spans = lines.units(raw, True)
-    assert b"".join(raw[a:b] for a, b in spans) == raw
-    assert raw[spans[0][0] : spans[0][1]] == b"a\nb\n"
+def test_paragraphs(spark):
+    raw = b"a\nb\n\nc\n \n\nd"
+    spans = lines.units(raw, "paragraph")
+    assert [raw[a:b] for a, b in spans] == [b"a\nb\n\n", b"c\n \n\n", b"d"]
+    df = spark.createDataFrame([(1, "a b\nc\n\nd"), (2, "x\n\nA  b C"), (3, "a b\nc d")], "doc_id long, text string")
+    out = lines.remove_repeated_units(df, "doc_id", "text", "paragraph").collect()
+    assert sorted((r["doc_id"], r["kept"]) for r in out) == [(1, "a b\nc\n\nd"), (2, "x\n\n"), (3, "a b\nc d")]

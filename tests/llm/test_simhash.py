@@ -113,6 +113,14 @@ def test_keep_one(spark):
     assert sorted(r["doc_id"] for r in simhash.keep_one(df, "doc_id", "text").collect()) == [1, 2, 4]
 
 
+def test_keep_one_loses_no_text(spark):
+    """An id that is dropped with one text stays with another; repeated rows stay; a null id yields to a known one."""
+    rows = [(3, "text a of some words", 1), (5, "text a of some words", 2), (5, "unique b with other words", 3), (6, "c d e f g", 4), (6, "c d e f g", 5), (None, "c d e f g", 6), (None, "all alone", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, mark int")
+    assert sorted(r["mark"] for r in simhash.keep_one(df, "doc_id", "text").collect()) == [1, 3, 4, 5, 7]
+    assert simhash.keep_one(df.limit(0), "doc_id", "text").collect() == []
+
+
 def jaccard_components(texts, similarity=Fraction(4, 5)):
     sets = []
     for t in texts:
@@ -148,7 +156,7 @@ def near_and_far(seed):
 def test_links_are_those_of_the_exact_similarity(spark):
     texts = near_and_far(11)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    out = dict(simhash.similar(df, "doc_id", "text").collect())
+    out = dict(simhash.similar(df, "doc_id", "text").select("doc_id", "component").collect())
     assert [out[i] for i in range(len(texts))] == jaccard_components(texts)
 
 
@@ -159,5 +167,5 @@ def test_exact_links_in_tiles(spark, monkeypatch):
     base = [f"w{i}" for i in range(120)]
     texts = [" ".join(base[:k] + [f"x{r.randrange(10**9)}"] + base[k + 1 :]) for k in (r.randrange(120) for _ in range(300))] + near_and_far(12)[:60]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    out = dict(simhash.similar(df, "doc_id", "text").collect())
+    out = dict(simhash.similar(df, "doc_id", "text").select("doc_id", "component").collect())
     assert [out[i] for i in range(len(texts))] == jaccard_components(texts)
