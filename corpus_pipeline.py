@@ -21,13 +21,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return simhash.keep_one(docs, "doc_id", "text", words=5, similarity=0.8)
 
 
+#: Words of the strings whose repeats go: every passage of over 50 words holds one, even if a word at its edge differs.
+REPEATED_WORDS = 50
+
+
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without 400-byte strings that also start elsewhere; characters that a cut halves go, and emptied
-    documents stay as empty ones."""
+    """Documents without strings of 50 words that also start elsewhere; emptied documents stay as empty ones. Texts that
+    hold no such string are as they were."""
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    cut = suffix.remove_repeats(docs, "doc_id", "text", length=400, carry=rest)
-    text = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit(""))
-    changed = {"text": F.when(F.col("n_removed") > 0, text).otherwise(F.col("kept").cast("string"))}
+    cut = suffix.remove_repeats(docs, "doc_id", "text", length=REPEATED_WORDS, unit="words", carry=rest)
+    changed = {"text": F.col("kept").cast("string")}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.length(changed["text"]).cast(docs.schema["n_chars"].dataType)
     return cut.withColumns(changed).select(*docs.columns)
