@@ -49,13 +49,19 @@ class Graph:
 
     def degrees(self) -> DataFrame:
         """(label, id, degree) of every node over edges of all types and both directions; isolated nodes have 0."""
-        edges = self.any_edge()
-        ends = edges.select(F.col("source_label").alias("label"), F.col("src").alias("id")).unionByName(
-            edges.filter("NOT (source_label = target_label AND src = dst)").select(F.col("target_label").alias("label"), F.col("dst").alias("id"))
-        )
-        counted = ends.groupBy("label", "id").agg(F.count("*").alias("degree"))
+        parts = []
+        for edge in self.edges.values():  # one scan of each type gives both ends; its counts are combined before the union
+            ends = [F.struct(F.lit(label).alias("label"), F.col(c).cast("string").alias("id")) for label, c in ((edge.source, "src"), (edge.target, "dst"))]
+            loop = F.lit(edge.source == edge.target) & (F.col("src").cast("string") == F.col("dst").cast("string"))
+            both = edge.table.select(F.explode(F.when(loop, F.array(ends[0])).otherwise(F.array(*ends))).alias("end"))
+            parts.append(both.groupBy("end.label", "end.id").agg(F.count("*").alias("degree")))
+        counted = reduce(DataFrame.unionByName, parts).groupBy("label", "id").agg(F.sum("degree").alias("degree"))
         return self.any_node().select("label", "id").join(counted, ["label", "id"], "left").fillna(0, ["degree"])
 
+    def subgraph(self, conditions: dict[str, str]) -> Graph:
+        """The same nodes with the edges of the types named that meet their conditions."""
+        return Graph(self.nodes, {k: replace(self.edges[k], table=self.edges[k].table.filter(c)) for k, c in conditions.items()})
+
 
 def _prefixed(df: DataFrame, alias: str) -> DataFrame:
     return df.select(*(F.col(c).alias(f"{alias}_{c}") for c in df.columns))

@@ -6,6 +6,7 @@ Each question is answered for all its anchors at once, as a join, instead of one
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,10 +33,12 @@ def top(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str | N
     return out if rank else out.drop(name)
 
 
-def names(column: str, k: int | None = None, distinct: bool = True) -> Column:
-    """A collected list in order, its first k, as one string."""
-    collected = F.sort_array((F.collect_set if distinct else F.collect_list)(column))
-    return F.array_join(F.slice(collected, 1, k) if k else collected, ",")
+def first_names(rows: DataFrame, by: list[str], column: str, k: int) -> DataFrame:
+    """For each group the first k distinct values in order, as one string ``found``, and ``n``, how many there are. The
+    values beyond the k-th are dropped before any list is made, so that no list grows with its group."""
+    distinct = rows.select(*by, column).distinct()
+    first = top(distinct, by, [F.col(column)], k).groupBy(*by).agg(F.array_join(F.sort_array(F.collect_list(column)), ",").alias("found"))
+    return distinct.groupBy(*by).agg(F.count("*").alias("n")).join(first, by)
 
 
 def band(score: Column) -> Column:
@@ -129,12 +132,14 @@ def graph_count_risk_genes(s: Star) -> DataFrame:
     )
 
 
-@query("SELECT a.src AS gene, a.risk_score AS first_risk, b.risk_score AS second_risk, CASE WHEN a.risk_score > b.risk_score THEN 'FRANCE' ELSE 'GERMANY' END AS higher FROM risk a JOIN risk b ON a.src = b.src WHERE a.dst = 6 AND b.dst = 7 AND a.risk_score > 0.2 AND b.risk_score > 0.2")
+@query("SELECT a.src AS gene, a.dst AS first_disease, a.risk_score AS first_risk, b.risk_score AS second_risk, CASE WHEN a.risk_score > b.risk_score THEN a.dst ELSE b.dst END AS higher FROM risk a JOIN risk b ON a.src = b.src AND b.dst = a.dst + 1 WHERE a.risk_score > 0.2 AND b.risk_score > 0.2")
 def graph_shared_high_risk(s: Star) -> DataFrame:
-    """Genes that raise the risk of two diseases beyond a threshold each, and for which one more."""
+    """Genes that raise the risk of a disease and the next beyond a threshold each, and of which one more."""
     risk = s.graph.edges["INCREASES_RISK_OF"].table.filter("risk_score > 0.2")
-    a, b = risk.filter("dst = 6").select("src", F.col("risk_score").alias("first_risk")), risk.filter("dst = 7").select("src", F.col("risk_score").alias("second_risk"))
-    return a.join(b, "src").select(F.col("src").alias("gene"), "first_risk", "second_risk", F.when(F.col("first_risk") > F.col("second_risk"), "FRANCE").otherwise("GERMANY").alias("higher"))
+    a = risk.select(F.col("src").alias("gene"), F.col("dst").alias("first_disease"), F.col("risk_score").alias("first_risk"))
+    b = risk.select(F.col("src").alias("gene"), (F.col("dst") - 1).alias("first_disease"), F.col("risk_score").alias("second_risk"))
+    higher = F.when(F.col("first_risk") > F.col("second_risk"), F.col("first_disease")).otherwise(F.col("first_disease") + 1)
+    return a.join(b, ["gene", "first_disease"]).select("gene", "first_disease", "first_risk", "second_risk", higher.alias("higher"))
 
 
 @query(f"SELECT r.src AS gene, d.name AS disease, r.evidence_score, {BAND.format('r.evidence_score')} AS level FROM risk r JOIN disease d ON r.dst = d.id")
@@ -184,7 +189,7 @@ def _mechanism(kind: str, view: str, node: str, label: str) -> None:
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
         rows = Star(spark, folder).graph.match("Gene", "g").hop("g", "TRANSLATED_INTO", "t", "p").hop("p", kind, "e", "x").rows
-        return rows.groupBy(F.col("g_id").alias("gene")).agg(names("x_name", 5).alias("found"), F.count_distinct("x_name").alias("n"))
+        return first_names(rows.select(F.col("g_id").alias("gene"), "x_name"), ["gene"], "x_name", 5).select("gene", "found", "n")
 
     register(f"graph_mechanism_{label}", run, with_views(sql))
 
@@ -193,6 +198,8 @@ for _kind, _view, _node, _label in (
     ("ANNOTATED_IN_PATHWAY", "in_pathway", "pathway", "pathway"),
     ("HAS_PROCESS", "has_process", "", "process"),
     ("EXPRESSED_IN", "expressed_in", "", "tissue"),
+    ("HAS_FUNCTION", "has_function", "", "function"),
+    ("IN_COMPONENT", "in_component", "(SELECT DISTINCT p_size AS id, CAST(p_size AS VARCHAR) AS name FROM part)", "component"),
     ("ASSOCIATED_WITH", "associated", "disease", "disease"),
 ):
     _mechanism(_kind, _view, _node, _label)
@@ -207,11 +214,13 @@ def _one_hop(kind: str, view: str, label: str, target: str) -> None:
     register(f"graph_protein_{label}", run, with_views(f"SELECT src AS protein, dst AS {label} FROM {view}"))
 
     def both(spark: SparkSession, folder: str) -> DataFrame:
-        # targets that two proteins share: grouped by target, not joined pair by pair
-        edges = Star(spark, folder).graph.edges[kind].table.filter(F.col("src").isin(1, 2))
-        return edges.groupBy(F.col("dst").alias(label)).agg(F.count_distinct("src").alias("n")).filter("n = 2").select(label)
+        # the question's pairs are each protein and the next; all are answered in one equi-join on pair and target
+        edges = Star(spark, folder).graph.edges[kind].table
+        a = edges.select(F.col("src").alias("first_protein"), F.col("dst").alias(label))
+        b = edges.select((F.col("src") - 1).alias("first_protein"), F.col("dst").alias(label))
+        return a.join(b, ["first_protein", label]).select("first_protein", (F.col("first_protein") + 1).alias("second_protein"), label).distinct()
 
-    register(f"graph_conjunction_{label}", both, with_views(f"SELECT a.dst AS {label} FROM {view} a JOIN {view} b ON a.dst = b.dst WHERE a.src = 1 AND b.src = 2"))
+    register(f"graph_conjunction_{label}", both, with_views(f"SELECT DISTINCT a.src AS first_protein, b.src AS second_protein, a.dst AS {label} FROM {view} a JOIN {view} b ON b.src = a.src + 1 AND b.dst = a.dst"))
 
 
 for _kind, _view, _label, _target in (
@@ -219,6 +228,8 @@ for _kind, _view, _label, _target in (
     ("ANNOTATED_IN_PATHWAY", "in_pathway", "pathway", "Pathway"),
     ("HAS_PROCESS", "has_process", "process", "Process"),
     ("EXPRESSED_IN", "expressed_in", "tissue", "Tissue"),
+    ("HAS_FUNCTION", "has_function", "function", "Function"),
+    ("IN_COMPONENT", "in_component", "component", "Component"),
 ):
     _one_hop(_kind, _view, _label, _target)
 
@@ -244,12 +255,12 @@ def graph_disease_pairs(s: Star) -> DataFrame:
     return a.join(b, "src").filter("first_disease < second_disease").groupBy("first_disease", "second_disease").agg(F.count("*").alias("genes"))
 
 
-@query("SELECT r.src AS gene, count(DISTINCT o.dst) AS other_diseases FROM risk r JOIN risk o ON o.src = r.src AND o.dst <> r.dst WHERE r.dst = 6 GROUP BY 1")
+@query("SELECT r.dst AS disease, r.src AS gene, count(DISTINCT o.dst) AS other_diseases FROM risk r JOIN risk o ON o.src = r.src AND o.dst <> r.dst GROUP BY 1, 2")
 def graph_other_diseases(s: Star) -> DataFrame:
-    """For the genes of one disease, how many others they bear on."""
-    risk = s.graph.edges["INCREASES_RISK_OF"].table
-    mine = risk.filter("dst = 6").select("src")
-    return risk.join(mine, "src").filter("dst <> 6").groupBy(F.col("src").alias("gene")).agg(F.count_distinct("dst").alias("other_diseases"))
+    """For each disease and its genes, how many other diseases these bear on: counted once for each gene."""
+    pairs = s.graph.edges["INCREASES_RISK_OF"].table.select(F.col("dst").alias("disease"), F.col("src").alias("gene")).distinct()
+    each = pairs.groupBy("gene").agg((F.count("*") - 1).alias("other_diseases")).filter("other_diseases > 0")
+    return pairs.join(each, "gene").select("disease", "gene", "other_diseases")
 
 
 @query("SELECT p.id AS protein, d.name AS disease, a.score, CASE WHEN d.id IS NULL THEN 'none' ELSE 'direct' END AS link FROM protein p LEFT JOIN (associated a JOIN disease d ON a.dst = d.id AND a.score > 0.5) ON a.src = p.id")
@@ -265,10 +276,10 @@ def graph_exists(s: Star) -> DataFrame:
     return s.graph.match("SNP", "s").exists("s", "PUTATIVE_CAUSAL_EFFECT", condition="causal_score > 0.9").exists("s", "MAPS_TO").select(F.col("s_id").alias("snp"))
 
 
-@query("SELECT g.id AS gene FROM gene g WHERE NOT EXISTS (SELECT 1 FROM risk r WHERE r.src = g.id AND r.risk_score > 0.5)")
+@query("SELECT g.id AS gene FROM gene g WHERE NOT EXISTS (SELECT 1 FROM risk r WHERE r.src = g.id AND r.risk_score > 0.95)")
 def graph_not_exists(s: Star) -> DataFrame:
-    """Genes without any high risk."""
-    return s.graph.match("Gene", "g").exists("g", "INCREASES_RISK_OF", condition="risk_score > 0.5", negate=True).select(F.col("g_id").alias("gene"))
+    """Genes without any very high risk."""
+    return s.graph.match("Gene", "g").exists("g", "INCREASES_RISK_OF", condition="risk_score > 0.95", negate=True).select(F.col("g_id").alias("gene"))
 
 
 _ENDS = " UNION ALL ".join(
@@ -282,10 +293,12 @@ _ENDS = " UNION ALL ".join(
         ("in_pathway", "Protein", "Pathway"),
         ("has_process", "Protein", "Process"),
         ("expressed_in", "Protein", "Tissue"),
+        ("has_function", "Protein", "Function"),
+        ("in_component", "Protein", "Component"),
         ("interacts", "Protein", "Protein"),
     )
 )
-_NODES = "SELECT 'SNP' AS label, CAST(id AS VARCHAR) AS id FROM snp UNION ALL SELECT 'Gene', CAST(id AS VARCHAR) FROM gene UNION ALL SELECT 'Protein', CAST(id AS VARCHAR) FROM protein UNION ALL SELECT 'Disease', CAST(id AS VARCHAR) FROM disease UNION ALL SELECT 'Pathway', CAST(id AS VARCHAR) FROM pathway UNION ALL SELECT DISTINCT 'Process', type FROM gene UNION ALL SELECT DISTINCT 'Tissue', brand FROM gene"
+_NODES = "SELECT 'SNP' AS label, CAST(id AS VARCHAR) AS id FROM snp UNION ALL SELECT 'Gene', CAST(id AS VARCHAR) FROM gene UNION ALL SELECT 'Protein', CAST(id AS VARCHAR) FROM protein UNION ALL SELECT 'Disease', CAST(id AS VARCHAR) FROM disease UNION ALL SELECT 'Pathway', CAST(id AS VARCHAR) FROM pathway UNION ALL SELECT DISTINCT 'Process', type FROM gene UNION ALL SELECT DISTINCT 'Tissue', brand FROM gene UNION ALL SELECT DISTINCT 'Function', string_split(p_type, ' ')[1] FROM part UNION ALL SELECT DISTINCT 'Component', CAST(p_size AS VARCHAR) FROM part"
 
 
 @query(f"SELECT label, count(*) AS nodes FROM ({_NODES}) GROUP BY 1")
@@ -294,7 +307,7 @@ def graph_node_counts(s: Star) -> DataFrame:
     return s.graph.any_node().groupBy("label").agg(F.count("*").alias("nodes"))
 
 
-@query(" UNION ALL ".join(f"SELECT '{t}' AS type, count(*) AS edges FROM {v} HAVING count(*) > 0" for t, v in (("MAPS_TO", "maps_to"), ("PUTATIVE_CAUSAL_EFFECT", "causal"), ("INCREASES_RISK_OF", "risk"), ("TRANSLATED_INTO", "translated"), ("ASSOCIATED_WITH", "associated"), ("ANNOTATED_IN_PATHWAY", "in_pathway"), ("HAS_PROCESS", "has_process"), ("EXPRESSED_IN", "expressed_in"), ("INTERACTS_WITH", "interacts"))))
+@query(" UNION ALL ".join(f"SELECT '{t}' AS type, count(*) AS edges FROM {v} HAVING count(*) > 0" for t, v in (("MAPS_TO", "maps_to"), ("PUTATIVE_CAUSAL_EFFECT", "causal"), ("INCREASES_RISK_OF", "risk"), ("TRANSLATED_INTO", "translated"), ("ASSOCIATED_WITH", "associated"), ("ANNOTATED_IN_PATHWAY", "in_pathway"), ("HAS_PROCESS", "has_process"), ("EXPRESSED_IN", "expressed_in"), ("HAS_FUNCTION", "has_function"), ("IN_COMPONENT", "in_component"), ("INTERACTS_WITH", "interacts"))))
 def graph_edge_counts(s: Star) -> DataFrame:
     """Edges by type."""
     return s.graph.any_edge().groupBy("type").agg(F.count("*").alias("edges"))
@@ -306,10 +319,11 @@ def graph_degrees(s: Star) -> DataFrame:
     return s.graph.degrees().groupBy("label").agg(F.count("*").alias("nodes"), F.min("degree").alias("least"), F.max("degree").alias("most"), F.sum("degree").alias("total"))
 
 
-@query(f"SELECT label, id FROM (SELECT n.label, n.id, count(e.id) AS degree FROM ({_NODES}) n LEFT JOIN ({_ENDS}) e ON e.label = n.label AND e.id = n.id GROUP BY 1, 2) WHERE degree = 0")
+@query(f"SELECT label, id FROM ({_NODES}) n WHERE NOT EXISTS (SELECT 1 FROM (SELECT 'SNP' AS label, CAST(src AS VARCHAR) AS id FROM maps_to WHERE link_score > 0.09 UNION ALL SELECT 'Gene', CAST(dst AS VARCHAR) FROM maps_to WHERE link_score > 0.09 UNION ALL SELECT 'SNP', CAST(src AS VARCHAR) FROM causal WHERE causal_score > 0.7 UNION ALL SELECT 'Disease', CAST(dst AS VARCHAR) FROM causal WHERE causal_score > 0.7 UNION ALL SELECT 'Protein', CAST(src AS VARCHAR) FROM associated WHERE score > 0.5 UNION ALL SELECT 'Disease', CAST(dst AS VARCHAR) FROM associated WHERE score > 0.5) e WHERE e.label = n.label AND e.id = n.id) AND label IN ('SNP', 'Gene', 'Protein', 'Disease')")
 def graph_isolated(s: Star) -> DataFrame:
-    """Nodes without edges."""
-    return s.graph.degrees().filter("degree = 0").select("label", "id")
+    """Nodes of four labels without edges in the subgraph of strong evidence."""
+    strong = s.graph.subgraph({"MAPS_TO": "link_score > 0.09", "PUTATIVE_CAUSAL_EFFECT": "causal_score > 0.7", "ASSOCIATED_WITH": "score > 0.5"})
+    return strong.degrees().filter(F.col("label").isin("SNP", "Gene", "Protein", "Disease") & (F.col("degree") == 0)).select("label", "id")
 
 
 @query("SELECT name, count(*) AS n FROM gene GROUP BY 1 HAVING count(*) > 1")
@@ -356,43 +370,51 @@ def graph_two_totals(s: Star) -> DataFrame:
     return a.crossJoin(b).select("snps", "causal", (F.col("snps") - F.col("causal")).alias("rest"), F.round(F.col("causal") * 100.0 / F.col("snps"), 1).alias("pct"))
 
 
-@query("SELECT s.id AS snp, CASE WHEN c.src IS NOT NULL AND m.src IS NOT NULL THEN 'causal_snp,mapped_snp' WHEN c.src IS NOT NULL THEN 'causal_snp' WHEN m.src IS NOT NULL THEN 'mapped_snp' END AS node_type FROM snp s LEFT JOIN (SELECT DISTINCT src FROM causal WHERE causal_score > 0.7) c ON c.src = s.id LEFT JOIN (SELECT DISTINCT src FROM maps_to WHERE link_score > 0.05) m ON m.src = s.id")
+@query("SELECT 'Gene' AS label, src AS id, 'risk_gene' AS node_type FROM (SELECT DISTINCT src FROM risk WHERE risk_score > 0.5) UNION ALL SELECT 'Protein', dst, 'risk_protein' FROM (SELECT DISTINCT t.dst FROM translated t JOIN risk r ON r.src = t.src WHERE r.risk_score > 0.5) UNION ALL SELECT 'SNP', s.id, CASE WHEN c.src IS NOT NULL AND m.src IS NOT NULL THEN 'causal_snp,risk_snp' WHEN c.src IS NOT NULL THEN 'causal_snp' WHEN m.src IS NOT NULL THEN 'risk_snp' END FROM snp s LEFT JOIN (SELECT DISTINCT src FROM causal WHERE causal_score > 0.7) c ON c.src = s.id LEFT JOIN (SELECT DISTINCT m.src FROM maps_to m JOIN risk r ON r.src = m.dst WHERE m.link_score > 0.05 AND r.risk_score > 0.5) m ON m.src = s.id")
 def graph_node_tags(s: Star) -> DataFrame:
-    """Tags of SNPs by the patterns that they are in."""
-    causal = s.graph.edges["PUTATIVE_CAUSAL_EFFECT"].table.filter("causal_score > 0.7").select(F.col("src").alias("c")).distinct()
-    mapped = s.graph.edges["MAPS_TO"].table.filter("link_score > 0.05").select(F.col("src").alias("m")).distinct()
-    rows = s.graph.nodes["SNP"].join(causal, F.col("id") == F.col("c"), "left").join(mapped, F.col("id") == F.col("m"), "left")
-    is_c, is_m = F.col("c").isNotNull(), F.col("m").isNotNull()
-    return rows.select(F.col("id").alias("snp"), F.when(is_c & is_m, "causal_snp,mapped_snp").when(is_c, "causal_snp").when(is_m, "mapped_snp").alias("node_type"))
+    """Tags by the patterns that nodes are in: risk genes, their proteins, causal SNPs, and SNPs of risk genes, whose tag is
+    appended to one that is there."""
+    e = s.graph.edges
+    genes = e["INCREASES_RISK_OF"].table.filter("risk_score > 0.5").select(F.col("src").alias("id")).distinct()
+    proteins = e["TRANSLATED_INTO"].table.join(genes, F.col("src") == F.col("id"), "left_semi").select(F.col("dst").alias("id")).distinct()
+    causal = e["PUTATIVE_CAUSAL_EFFECT"].table.filter("causal_score > 0.7").select(F.col("src").alias("id"), F.lit("causal_snp").alias("first_tag")).distinct()
+    risky = e["MAPS_TO"].table.filter("link_score > 0.05").join(genes, F.col("dst") == F.col("id"), "left_semi").select(F.col("src").alias("id"), F.lit("risk_snp").alias("second_tag")).distinct()
+    snps = s.graph.nodes["SNP"].select("id").join(causal, "id", "left").join(risky, "id", "left")
+    tag = F.when(F.col("first_tag").isNotNull() | F.col("second_tag").isNotNull(), F.concat_ws(",", "first_tag", "second_tag"))
+    parts = [(genes, "Gene", F.lit("risk_gene")), (proteins, "Protein", F.lit("risk_protein")), (snps, "SNP", tag)]
+    return reduce(DataFrame.unionByName, (t.select(F.lit(label).alias("label"), "id", c.alias("node_type")) for t, label, c in parts))
 
 
-@query("SELECT a.dst AS first_disease, b.dst AS second_disease, count(DISTINCT a.pathway) AS pathways, count(DISTINCT a.src) + count(DISTINCT b.src) AS genes FROM (SELECT DISTINCT r.src, r.dst, w.dst AS pathway FROM risk r JOIN translated t ON t.src = r.src JOIN in_pathway w ON w.src = t.dst WHERE r.dst = 6 AND r.risk_score > 0.9) a JOIN (SELECT DISTINCT r.src, r.dst, w.dst AS pathway FROM risk r JOIN translated t ON t.src = r.src JOIN in_pathway w ON w.src = t.dst WHERE r.dst = 7 AND r.risk_score > 0.9) b ON a.pathway = b.pathway GROUP BY 1, 2")
+@query("SELECT a.dst AS first_disease, b.dst AS second_disease, count(DISTINCT a.pathway) AS pathways, count(DISTINCT a.src) + count(DISTINCT b.src) AS genes FROM (SELECT DISTINCT r.src, r.dst, w.dst AS pathway FROM risk r JOIN translated t ON t.src = r.src JOIN in_pathway w ON w.src = t.dst WHERE r.risk_score > 0.9) a JOIN (SELECT DISTINCT r.src, r.dst, w.dst AS pathway FROM risk r JOIN translated t ON t.src = r.src JOIN in_pathway w ON w.src = t.dst WHERE r.risk_score > 0.9) b ON a.pathway = b.pathway AND b.dst = a.dst + 1 GROUP BY 1, 2")
 def graph_shared_pathways(s: Star) -> DataFrame:
-    """Pathways on which two diseases meet: the sides meet as sets of pathways, so no product of genes is made."""
-    g = s.graph
-    arms = g.match("Gene", "g").hop("g", "INCREASES_RISK_OF", "r", "d", condition="r_risk_score > 0.9").hop("g", "TRANSLATED_INTO", "t", "p").hop("p", "ANNOTATED_IN_PATHWAY", "w", "x").rows
-
-    def side(disease: int) -> DataFrame:
-        return arms.filter(F.col("d_id") == disease).select(F.col("x_id").alias("pathway"), F.col("g_id").alias("gene")).distinct()
-
-    a, b = side(6), side(7)
-    met = a.select("pathway").intersect(b.select("pathway"))
+    """Pathways on which a disease and the next meet: they meet as sets of pathways, so no product of genes is made."""
+    found = s.graph.match("Gene", "g").hop("g", "INCREASES_RISK_OF", "r", "d", condition="r_risk_score > 0.9").hop("g", "TRANSLATED_INTO", "t", "p").hop("p", "ANNOTATED_IN_PATHWAY", "w", "x")
+    arms = found.select(F.col("d_id").alias("disease"), F.col("x_id").alias("pathway"), F.col("g_id").alias("gene")).distinct()
+    sets = arms.select("disease", "pathway").distinct()
+    met = sets.join(sets.select((F.col("disease") - 1).alias("disease"), "pathway"), ["disease", "pathway"])
 
-    def genes(rows: DataFrame, name: str) -> DataFrame:
-        return rows.join(met, "pathway", "left_semi").agg(F.count_distinct("gene").alias(name))
+    def genes(side: int, name: str) -> DataFrame:
+        own = met.select((F.col("disease") + side).alias("disease"), "pathway", F.col("disease").alias("first_disease"))
+        return arms.join(own, ["disease", "pathway"]).groupBy("first_disease").agg(F.count_distinct("gene").alias(name))
 
-    one = met.agg(F.count("*").alias("pathways")).crossJoin(genes(a, "a")).crossJoin(genes(b, "b")).filter("pathways > 0")
-    return one.select(F.lit(6).alias("first_disease"), F.lit(7).alias("second_disease"), "pathways", (F.col("a") + F.col("b")).alias("genes"))
+    pathways = met.groupBy(F.col("disease").alias("first_disease")).agg(F.count("*").alias("pathways"))
+    both = pathways.join(genes(0, "a"), "first_disease").join(genes(1, "b"), "first_disease")
+    return both.select("first_disease", (F.col("first_disease") + 1).alias("second_disease"), "pathways", (F.col("a") + F.col("b")).alias("genes"))
 
 
-@query("SELECT g.id AS gene, count(DISTINCT r.dst) AS diseases, count(DISTINCT m.src) AS snps, count(DISTINCT t.dst) AS proteins FROM gene g JOIN risk r ON r.src = g.id JOIN maps_to m ON m.dst = g.id JOIN translated t ON t.src = g.id GROUP BY 1")
+@query("SELECT g.id AS gene, r.n AS diseases, m.n AS snps, t.n AS proteins, e.n AS tissues, h.n AS processes, w.n AS pathways FROM gene g JOIN (SELECT src, count(DISTINCT dst) AS n FROM risk GROUP BY 1) r ON r.src = g.id JOIN (SELECT dst, count(DISTINCT src) AS n FROM maps_to GROUP BY 1) m ON m.dst = g.id JOIN (SELECT src, count(DISTINCT dst) AS n FROM translated GROUP BY 1) t ON t.src = g.id " + " ".join(f"JOIN (SELECT t.src, count(DISTINCT x.dst) AS n FROM translated t JOIN {v} x ON x.src = t.dst GROUP BY 1) {a} ON {a}.src = g.id" for v, a in (("expressed_in", "e"), ("has_process", "h"), ("in_pathway", "w"))))
 def graph_branch_counts(s: Star) -> DataFrame:
-    """Distinct counts over the branches of a gene: each branch is aggregated by itself, so that they don't multiply."""
+    """Distinct counts over the six branches of a gene: each is aggregated by itself, so that they don't multiply, and only
+    genes that have all of them stay."""
     e = s.graph.edges
-    a = e["INCREASES_RISK_OF"].table.groupBy(F.col("src").alias("gene")).agg(F.count_distinct("dst").alias("diseases"))
-    b = e["MAPS_TO"].table.groupBy(F.col("dst").alias("gene")).agg(F.count_distinct("src").alias("snps"))
-    c = e["TRANSLATED_INTO"].table.groupBy(F.col("src").alias("gene")).agg(F.count_distinct("dst").alias("proteins"))
-    return a.join(b, "gene").join(c, "gene")
+    out = e["INCREASES_RISK_OF"].table.groupBy(F.col("src").alias("gene")).agg(F.count_distinct("dst").alias("diseases"))
+    out = out.join(e["MAPS_TO"].table.groupBy(F.col("dst").alias("gene")).agg(F.count_distinct("src").alias("snps")), "gene")
+    translated = e["TRANSLATED_INTO"].table.select(F.col("src").alias("gene"), F.col("dst").alias("protein"))
+    out = out.join(translated.groupBy("gene").agg(F.count_distinct("protein").alias("proteins")), "gene")
+    for kind, name in (("EXPRESSED_IN", "tissues"), ("HAS_PROCESS", "processes"), ("ANNOTATED_IN_PATHWAY", "pathways")):
+        far = e[kind].table.select(F.col("src").alias("protein"), F.col("dst").alias("far"))
+        out = out.join(translated.join(far, "protein").groupBy("gene").agg(F.count_distinct("far").alias(name)), "gene")
+    return out
 
 
 @query("SELECT 'multi-hop' AS answer, 'Gene->Protein->Pathway requires 2 hops' AS explanation, count(*) AS genes FROM gene")
@@ -405,7 +427,8 @@ def graph_constant(s: Star) -> DataFrame:
 def graph_valid_entities(s: Star) -> DataFrame:
     """Diseases with five genes of strong evidence at least: the entities that questions can ask about."""
     rows = s.graph.match("Gene", "g").hop("g", "INCREASES_RISK_OF", "r", "d", condition="r_evidence_score > 0.6").rows
-    return rows.groupBy(F.col("d_name").alias("disease")).agg(F.count_distinct("g_id").alias("genes"), names("g_id", 5).alias("first_genes")).filter("genes >= 5")
+    found = first_names(rows.select(F.col("d_name").alias("disease"), "g_id"), ["disease"], "g_id", 5)
+    return found.filter("n >= 5").select("disease", F.col("n").alias("genes"), F.col("found").alias("first_genes"))
 
 
 @query("SELECT count(*) AS genes, count(CASE WHEN n = 0 THEN 1 END) AS orphans, count(CASE WHEN n = 1 THEN 1 END) AS single, count(CASE WHEN n > 1 THEN 1 END) AS multiple FROM (SELECT g.id, count(t.dst) AS n FROM gene g LEFT JOIN translated t ON t.src = g.id GROUP BY 1)")

@@ -63,7 +63,8 @@ class Star:
         lines = self.table("lineitem")
         supplier, nation, region = self.table("supplier"), self.table("nation"), self.table("region")
         translated = lines.select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
-        made = translated.join(self.genes, F.col("src") == F.col("id"))
+        parts = self.table("part").select(F.col("p_partkey").alias("id"), "p_type", "p_brand", "p_size")
+        made = translated.join(parts, F.col("src") == F.col("id"))
         score = F.when(F.col("s_acctbal") > 0, F.least(F.col("s_acctbal") / 10000, F.lit(1.0)))
         places = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
         after = F.lead("s_suppkey").over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))
@@ -75,6 +76,8 @@ class Star:
             "Pathway": region.select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name")),
             "Process": self.table("part").select(F.col("p_type").alias("id"), F.col("p_type").alias("name")).distinct(),
             "Tissue": self.table("part").select(F.col("p_brand").alias("id"), F.col("p_brand").alias("name")).distinct(),
+            "Function": self.table("part").select(F.split("p_type", " ")[0].alias("id"), F.split("p_type", " ")[0].alias("name")).distinct(),
+            "Component": self.table("part").select(F.col("p_size").alias("id"), F.col("p_size").cast("string").alias("name")).distinct(),
         }
         edges = {
             "MAPS_TO": Edge(self.maps_to, "SNP", "Gene"),
@@ -83,8 +86,10 @@ class Star:
             "TRANSLATED_INTO": Edge(translated, "Gene", "Protein"),
             "ASSOCIATED_WITH": Edge(supplier.select(F.col("s_suppkey").alias("src"), F.col("s_nationkey").alias("dst"), score.alias("score")), "Protein", "Disease"),
             "ANNOTATED_IN_PATHWAY": Edge(places.select(F.col("s_suppkey").alias("src"), F.col("n_regionkey").alias("dst")), "Protein", "Pathway"),
-            "HAS_PROCESS": Edge(made.select(F.col("dst").alias("src"), F.col("type").alias("dst")).distinct(), "Protein", "Process"),
-            "EXPRESSED_IN": Edge(made.select(F.col("dst").alias("src"), F.col("brand").alias("dst")).distinct(), "Protein", "Tissue"),
+            "HAS_PROCESS": Edge(made.select(F.col("dst").alias("src"), F.col("p_type").alias("dst")).distinct(), "Protein", "Process"),
+            "EXPRESSED_IN": Edge(made.select(F.col("dst").alias("src"), F.col("p_brand").alias("dst")).distinct(), "Protein", "Tissue"),
+            "HAS_FUNCTION": Edge(made.select(F.col("dst").alias("src"), F.split("p_type", " ")[0].alias("dst")).distinct(), "Protein", "Function"),
+            "IN_COMPONENT": Edge(made.select(F.col("dst").alias("src"), F.col("p_size").alias("dst")).distinct(), "Protein", "Component"),
             "INTERACTS_WITH": Edge(supplier.select(F.col("s_suppkey").alias("src"), after.alias("dst")).filter("dst IS NOT NULL"), "Protein", "Protein"),
         }
         return Graph(nodes, edges)
@@ -146,6 +151,8 @@ VIEWS = {
     "in_pathway": "SELECT s_suppkey AS src, n_regionkey AS dst FROM supplier JOIN nation ON s_nationkey = n_nationkey",
     "has_process": "SELECT DISTINCT l_suppkey AS src, p_type AS dst FROM lineitem JOIN part ON l_partkey = p_partkey",
     "expressed_in": "SELECT DISTINCT l_suppkey AS src, p_brand AS dst FROM lineitem JOIN part ON l_partkey = p_partkey",
+    "has_function": "SELECT DISTINCT l_suppkey AS src, string_split(p_type, ' ')[1] AS dst FROM lineitem JOIN part ON l_partkey = p_partkey",
+    "in_component": "SELECT DISTINCT l_suppkey AS src, p_size AS dst FROM lineitem JOIN part ON l_partkey = p_partkey",
     "interacts": "SELECT * FROM (SELECT s_suppkey AS src, lead(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS dst FROM supplier) WHERE dst IS NOT NULL",
     "variants": "SELECT 'rs' || l_orderkey AS rsid, l_suppkey AS meta_id, CAST(l_suppkey % 22 + 1 AS INTEGER) AS chr, l_partkey * 1000 + l_linenumber AS bp, l_tax AS maf, round(l_discount * 100) - 5 AS beta, pow(10.0, -l_extendedprice / 6000) AS p, l_extendedprice / 6000 AS neglog10p, CASE WHEN l_quantity > 10 THEN l_quantity / 50 ELSE -1.0 END AS susie, CASE WHEN l_linenumber > 1 THEN l_linenumber / 7 ELSE -1.0 END AS finemap, l_partkey AS gene, l_linenumber - 1 AS distance, l_returnflag AS disease, l_shipdate AS seen FROM lineitem",
     "answers": "SELECT u.conv_id, u.turn, u.text AS gold, a.text AS predicted, ['one-hop', 'multi-hop', 'conjunction'][CAST(u.conv_id % 3 + 1 AS INTEGER)] AS type FROM conversations u LEFT JOIN conversations a ON a.role = 'assistant' AND a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user'",
