@@ -108,49 +108,48 @@ def parse_list(c: Column) -> Column:
     return F.filter(F.transform(parts, lambda x: F.trim(F.regexp_replace(F.trim(x), r"^[0-9.\-) ]+", ""))), lambda x: x != "")
 
 
-def abstains(c: Column) -> Column:
-    """Whether a response declines to answer; an empty one does."""
-    phrases = r"i don't know|i do not know|cannot answer|can't answer|not sure|unable to|no information|insufficient|unknown|unclear|cannot determine"
-    return F.coalesce((F.trim(c) == "") | F.lower(c).rlike(phrases), F.lit(True))
+#: Phrases by which a response declines to answer.
+ABSTENTIONS = (
+    "i don't know", "i do not know", "unknown", "cannot determine",
+    "insufficient information", "not enough information", "unable to",
+    "no information", "cannot answer", "not available", "n/a",
+)
+#: Verbal tiers of confidence, the first that a response holds counts.
+CONFIDENT = (
+    (0.9, ("certainly", "definitely", "absolutely", "i am sure", "clearly", "without doubt")),
+    (0.7, ("likely", "probably", "i think", "i believe", "appears to be")),
+    (0.4, ("possibly", "might", "may", "uncertain", "not sure", "perhaps")),
+)
 
 
-def confidence(c: Column) -> Column:
-    """A stated percentage, else a verbal tier, else 0.75; 0.5 for an empty response."""
-    stated = F.regexp_extract(F.lower(c), r"(\d{1,3})\s*%", 1)
-    low = F.lower(c)
-    return (
-        F.when(F.coalesce(F.trim(c) == "", F.lit(True)), 0.5)
-        .when(stated != "", F.least(F.try_to_number(stated, F.lit("999")).cast("double") / 100, F.lit(1.0)))
-        .when(low.rlike("definitely|certainly|clearly"), 0.9)
-        .when(low.rlike("probably|likely"), 0.7)
-        .when(low.rlike("possibly|might|maybe"), 0.4)
-        .otherwise(0.75)
-    )
+def holds_any(c: Column, phrases: tuple[str, ...]) -> Column:
+    """Whether the text in small letters holds one of the phrases, within words too."""
+    low, out = F.lower(c), F.lit(False)
+    for phrase in phrases:
+        out = out | low.contains(phrase)
+    return out
 
 
-def question_type(c: Column) -> Column:
-    low = F.lower(c)
-    return F.when(low.contains(" and ") & (low.contains("both") | low.contains("all")), "conjunction").when(low.contains("gene") & low.contains("protein"), "multi-hop").otherwise("one-hop")
-
-
-#: Relations by the first group of patterns, in this order, that a question matches.
-RELATIONS = (
-    ("protein_protein", r"interact"),
-    ("protein_disease", r"disease"),
-    ("protein_pathway", r"pathway"),
-    ("protein_process", r"biological\s+process"),
-    ("protein_function", r"molecular\s+function"),
-    ("protein_component", r"cellular\s+component|locali[sz]"),
-    ("protein_tissue", r"tissue"),
-    ("gene_protein", r"translat"),
-)
+def abstains(c: Column) -> Column:
+    """Whether a response declines to answer; a null or empty one does."""
+    return F.coalesce((c == "") | holds_any(c, ABSTENTIONS), F.lit(True))
 
 
-def relation(c: Column) -> Column:
-    out = F.lit("unknown")
-    for name, pattern in reversed(RELATIONS):
-        out = F.when(F.lower(c).rlike(pattern), name).otherwise(out)
-    return out
+def stated_confidence(c: Column) -> Column:
+    """The number after the word confidence, as a share of 1 (numbers beyond 1 are percentages); null without one."""
+    number = F.regexp_extract(F.lower(c), r"confidence[:\s]+([0-9]+(?:\.[0-9]+)?)", 1)
+    value = F.when(number != "", number.cast("double"))
+    share = F.when(value > 1, value / 100).otherwise(value)
+    return F.when(share > 1, 1.0).otherwise(share)
+
+
+def confidence(c: Column) -> Column:
+    """A stated confidence, else a verbal tier, else 0.75; 0.5 for a null or empty response."""
+    out = F.lit(0.75)
+    for value, phrases in reversed(CONFIDENT):
+        out = F.when(holds_any(c, phrases), value).otherwise(out)
+    stated = stated_confidence(c)
+    return F.when(c.isNull() | (c == ""), 0.5).when(stated.isNotNull(), stated).otherwise(out)
 
 
 def query_is_balanced(c: Column) -> Column:

@@ -9,7 +9,7 @@ from ..functions import answers as A
 from ..sources.star import Star
 from . import registry
 from .evaluation_queries import LISTS, WORDS, lists
-from .graph_queries import query
+from .graph_queries import query, top
 
 
 @query("SELECT p.id, CASE WHEN p.id % 2 = 0 THEN '' || p.id WHEN d.name LIKE 'P%' THEN d.name ELSE '' || d.id END AS answer_id, CASE WHEN p.id % 2 = 0 THEN d.name WHEN d.name LIKE 'P%' THEN p.name ELSE d.name END AS answer_name FROM protein p JOIN associated a ON a.src = p.id JOIN disease d ON a.dst = d.id WHERE NOT (p.id % 2 = 0 AND (d.name LIKE 'P%' OR d.name LIKE 'Q%'))")
@@ -25,13 +25,13 @@ def answer_shaping(s: Star) -> DataFrame:
     return found.select(F.col("p_id").alias("id"), shaped["id"].alias("answer_id"), shaped["name"].alias("answer_name"))
 
 
-HEADS = f"(SELECT conv_id, turn, type, list_slice({WORDS.format('predicted')}, 1, 12) AS p, list_slice({WORDS.format('gold')}, 1, 6) AS g FROM answers)"
+HEADS = f"(SELECT conv_id, turn, type, {WORDS.format('predicted')} AS p, {WORDS.format('gold')} AS g FROM answers)"
 
 
 @query(f"SELECT type, count(*) AS n, round(avg(CASE WHEN len(p) = 0 THEN 0.0 ELSE len(list_filter(p, lambda x: NOT list_contains(g, x) AND NOT list_contains(['the', 'of', 'and', 'a', 'to'], x))) / len(p) END), 9) AS hallucination FROM {HEADS} GROUP BY 1")
 def answer_hallucination(s: Star) -> DataFrame:
     """Predictions that are neither gold nor known, by type."""
-    rows = lists(s).select("type", F.slice("p", 1, 12).alias("p"), F.slice("g", 1, 6).alias("g"))
+    rows = lists(s).select("type", "p", "g")
     known = F.array(*(F.lit(w) for w in ("the", "of", "and", "a", "to")))
     return rows.groupBy("type").agg(F.count("*").alias("n"), F.round(F.avg(A.hallucination_rate(F.col("p"), F.col("g"), known)), 9).alias("hallucination"))
 
@@ -39,7 +39,7 @@ def answer_hallucination(s: Star) -> DataFrame:
 @query(f"SELECT conv_id, turn, round(CASE WHEN h > 0 THEN 2 * (h / len(p)) * least(h / len(g), 1.0) / ((h / len(p)) + least(h / len(g), 1.0)) ELSE 0.0 END, 9) AS f1 FROM (SELECT *, len(list_filter(p, lambda x: len(list_filter(g, lambda y: contains(y, x) OR contains(x, y))) > 0)) AS h FROM {HEADS})")
 def answer_substring_f1(s: Star) -> DataFrame:
     """F1 with substring matches."""
-    rows = lists(s).select("conv_id", "turn", F.slice("p", 1, 12).alias("p"), F.slice("g", 1, 6).alias("g"))
+    rows = lists(s).select("conv_id", "turn", "p", "g")
     return rows.select("conv_id", "turn", F.round(A.substring_f1(F.col("p"), F.col("g")), 9).alias("f1"))
 
 
@@ -62,11 +62,22 @@ def question_answerability(s: Star) -> DataFrame:
     return rows.groupBy(kind.alias("kind")).agg(*(F.count_if(verdict == v).alias(v) for v in ("yes", "no", "unknown")))
 
 
-@query("SELECT label, id, count(*) AS edges FROM (SELECT 'INCREASES_RISK_OF' AS label, src AS id FROM risk UNION ALL SELECT 'TRANSLATED_INTO', src FROM translated) GROUP BY 1, 2")
+@query("SELECT gene, type, target_label, target FROM (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY type, target) AS n FROM (SELECT src AS gene, 'INCREASES_RISK_OF' AS type, 'Disease' AS target_label, CAST(dst AS VARCHAR) AS target FROM risk UNION ALL SELECT src, 'TRANSLATED_INTO', 'Protein', CAST(dst AS VARCHAR) FROM translated)) WHERE n <= 100")
 def graph_expand_all(s: Star) -> DataFrame:
-    """All out-edges of genes, by type."""
-    edges = s.graph.any_edge().filter("source_label = 'Gene'")
-    return edges.groupBy(F.col("type").alias("label"), F.col("src").cast("long").alias("id")).agg(F.count("*").alias("edges"))
+    """Up to a hundred out-edges of each gene with the labels of their targets: the fallback of questions."""
+    edges = s.graph.any_edge().filter("source_label = 'Gene'").select(F.col("src").cast("long").alias("gene"), "type", "target_label", F.col("dst").alias("target"))
+    return top(edges, ["gene"], [F.col("type"), F.col("target")], 100)
+
+
+@query("SELECT src AS gene, dst AS disease, risk_score FROM risk ORDER BY risk_score DESC, src, dst LIMIT 50")
+def graph_default_limit(s: Star) -> DataFrame:
+    """A query without a limit of its own gets one of fifty rows."""
+    return with_limit(s.risk.select(F.col("src").alias("gene"), F.col("dst").alias("disease"), "risk_score").orderBy(F.desc("risk_score"), "gene", "disease"))
+
+
+def with_limit(df: DataFrame, most: int | None = None) -> DataFrame:
+    """The limit asked for, or the default of 50."""
+    return df.limit(50 if most is None else most)
 
 
 @query("SELECT a.src AS first_gene, a.dst AS disease, CASE WHEN a.risk_score > b.risk_score THEN a.src ELSE b.src END AS riskier, abs(a.risk_score - b.risk_score) AS gap FROM risk a JOIN risk b ON b.src = a.src + 1 AND b.dst = a.dst")
@@ -82,8 +93,9 @@ def graph_compare_genes(s: Star) -> DataFrame:
 def graph_collected_maps(s: Star) -> DataFrame:
     """The three diseases of the highest risk of each gene as collected records."""
     rows = s.graph.match("Gene", "g").hop("g", "INCREASES_RISK_OF", "r", "d").rows
-    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("r_risk_score")).alias("s"), F.col("d_id").alias("d")))), 1, 3)
-    return rows.groupBy(F.col("g_id").alias("gene")).agg(F.array_join(F.transform(best, lambda x: F.concat(x["d"], F.lit(":"), F.round(-x["s"], 4))), ",").alias("best"))
+    first = top(rows.select(F.col("g_id").alias("gene"), (-F.col("r_risk_score")).alias("s"), F.col("d_id").alias("d")), ["gene"], [F.col("s"), F.col("d")], 3)
+    best = F.sort_array(F.collect_list(F.struct("s", "d")))
+    return first.groupBy("gene").agg(F.array_join(F.transform(best, lambda x: F.concat(x["d"], F.lit(":"), F.round(-x["s"], 4))), ",").alias("best"))
 
 
 @query("SELECT count(*) AS names, count(CASE WHEN starts_with(name, 'a') OR starts_with(name, 'b') THEN 1 END) AS early, count(DISTINCT name) AS distinct_names FROM gene WHERE NOT (contains(name, 'APOC4-APOC2') OR starts_with(name, 'CTB-') OR starts_with(name, 'C19orf') OR starts_with(name, 'C6orf'))")
@@ -117,17 +129,3 @@ def call_approach_table(s: Star) -> DataFrame:
     """Two measures side by side and their ratio, guarded against zero."""
     wide = s.table("events").groupBy((F.col("user_id") % 10).alias("model")).agg(F.count_if(F.col("event_type") == "purchase").alias("purchases"), F.count_if(F.col("event_type") == "view").alias("views"))
     return wide.withColumn("per_view", F.try_divide(F.col("purchases"), F.col("views")))
-
-
-def answer_extracted_queries(s: Star) -> DataFrame:
-    """Graph queries taken out of responses made from templates."""
-    k = F.col("s_suppkey")
-    text = (
-        F.when(k % 3 == 0, F.concat(F.lit("Thought\nAction: query_kg[MATCH (p {id: "), k, F.lit("})-[:A]->(x) RETURN x]\nmore")))
-        .when(k % 3 == 1, F.concat(F.lit('{"cypher": "MATCH (p) WHERE p.id = '), k, F.lit(' RETURN p"}')))
-        .otherwise(F.lit("no query here"))
-    )
-    return s.table("supplier").select(k.alias("id"), A.extract_query(text).alias("found"))
-
-
-registry.register("answer_extracted_queries", lambda spark, folder: answer_extracted_queries(Star(spark, folder)), "SELECT s_suppkey AS id, CASE s_suppkey % 3 WHEN 0 THEN 'MATCH (p {id: ' || s_suppkey || '})-[:A]->(x) RETURN x' WHEN 1 THEN 'MATCH (p) WHERE p.id = ' || s_suppkey || ' RETURN p' END AS found FROM supplier")

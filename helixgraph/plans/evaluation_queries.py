@@ -32,12 +32,12 @@ def answer_token_f1(s: Star) -> DataFrame:
     return lists(s).groupBy("type").agg(F.count("*").alias("answers"), F.round(F.avg(X.token_f1(F.col("p"), F.col("g"))), 9).alias("token_f1"))
 
 
-RANKED = f"(SELECT type, p AS pl, list_min(list_filter(list_transform(p, lambda x, i: CASE WHEN list_contains(g, x) THEN i END), lambda i: i IS NOT NULL)) AS place FROM (SELECT type, list_slice({WORDS.format('predicted')}, 1, 40) AS p, list_slice({WORDS.format('gold')}, 1, 20) AS g FROM answers))"
+RANKED = f"(SELECT type, p AS pl, list_min(list_filter(list_transform(p, lambda x, i: CASE WHEN list_contains(g, x) THEN i END), lambda i: i IS NOT NULL)) AS place FROM (SELECT type, {WORDS.format('predicted')} AS p, {WORDS.format('gold')} AS g FROM answers))"
 METRICS = "count(*) AS total, count(CASE WHEN len(pl) > 0 THEN 1 END) AS answered, count(CASE WHEN place = 1 THEN 1 END) AS hit1, count(CASE WHEN place <= 5 THEN 1 END) AS hit5, count(CASE WHEN place <= 10 THEN 1 END) AS hit10, round(sum(coalesce(1.0 / place, 0)) / nullif(count(CASE WHEN len(pl) > 0 THEN 1 END), 0), 9) AS mrr"
 
 
 def ranked(s: Star) -> DataFrame:
-    rows = lists(s).select("type", F.slice("p", 1, 40).alias("pl"), F.slice("g", 1, 20).alias("gl"))
+    rows = lists(s).select("type", F.col("p").alias("pl"), F.col("g").alias("gl"))
     return rows.withColumn("place", X.best_rank(F.col("pl"), F.col("gl")))
 
 
@@ -97,7 +97,12 @@ def answer_lists(s: Star) -> DataFrame:
     return rows.select("doc_id", F.size("x").cast("long").alias("n_items"), F.array_min("x").alias("first_item"))
 
 
-@query("SELECT doc_id, trim(text) = '' OR regexp_matches(lower(text), 'i don''t know|i do not know|cannot answer|can''t answer|not sure|unable to|no information|insufficient|unknown|unclear|cannot determine') AS abstains, CASE WHEN trim(text) = '' THEN 0.5 WHEN regexp_extract(lower(text), '(\\d{1,3})\\s*%', 1) <> '' THEN least(CAST(regexp_extract(lower(text), '(\\d{1,3})\\s*%', 1) AS DOUBLE) / 100, 1.0) WHEN regexp_matches(lower(text), 'definitely|certainly|clearly') THEN 0.9 WHEN regexp_matches(lower(text), 'probably|likely') THEN 0.7 WHEN regexp_matches(lower(text), 'possibly|might|maybe') THEN 0.4 ELSE 0.75 END::DOUBLE AS confidence FROM documents")
+_HOLDS = "regexp_matches(lower(text), '{0}')"
+_TIERS = " ".join(f"WHEN {_HOLDS.format('|'.join(phrases))} THEN {value}" for value, phrases in X.CONFIDENT)
+_STATED = "regexp_extract(lower(text), 'confidence[:\\s]+([0-9]+(?:\\.[0-9]+)?)', 1)"
+
+
+@query(f"SELECT doc_id, text = '' OR {_HOLDS.format('|'.join(X.ABSTENTIONS).replace(chr(39), chr(39) * 2))} AS abstains, CASE WHEN text = '' THEN 0.5 WHEN {_STATED} <> '' THEN least(CASE WHEN CAST({_STATED} AS DOUBLE) > 1 THEN CAST({_STATED} AS DOUBLE) / 100 ELSE CAST({_STATED} AS DOUBLE) END, 1.0) {_TIERS} ELSE 0.75 END::DOUBLE AS confidence FROM documents")
 def answer_confidence(s: Star) -> DataFrame:
     """Abstention and stated confidence of responses."""
     c = F.col("text")
@@ -120,13 +125,6 @@ def questions(s: Star) -> DataFrame:
     return s.table("supplier").select(k.alias("id"), text.alias("question"), F.concat(F.lit("MATCH (p:Protein {id: "), k, F.lit("})"), tail, F.lit(" RETURN p")).alias("pattern"))
 
 
-@query(f"SELECT id, CASE WHEN contains(lower(question), ' and ') AND (contains(lower(question), 'both') OR contains(lower(question), 'all')) THEN 'conjunction' WHEN contains(lower(question), 'gene') AND contains(lower(question), 'protein') THEN 'multi-hop' ELSE 'one-hop' END AS type, CASE WHEN regexp_matches(lower(question), 'interact') THEN 'protein_protein' WHEN regexp_matches(lower(question), 'disease') THEN 'protein_disease' WHEN regexp_matches(lower(question), 'pathway') THEN 'protein_pathway' WHEN regexp_matches(lower(question), 'tissue') THEN 'protein_tissue' ELSE 'unknown' END AS relation, coalesce(array_to_string(regexp_extract_all(question, '\\b[PG][0-9]+\\b'), ','), '') AS entities FROM {QUESTIONS}")
-def question_parse(s: Star) -> DataFrame:
-    """Type, relation and entities of questions; the first group of patterns that matches gives the relation."""
-    q = F.col("question")
-    return questions(s).select("id", X.question_type(q).alias("type"), X.relation(q).alias("relation"), F.array_join(F.regexp_extract_all(q, F.lit(r"\b[PG][0-9]+\b"), F.lit(0)), ",").alias("entities"))
-
-
 @query(f"SELECT id, (length(pattern) - length(replace(pattern, '(', ''))) = (length(pattern) - length(replace(pattern, ')', ''))) AS balanced, len(regexp_extract_all(pattern, '-\\[.*?\\]-')) AS hops FROM {QUESTIONS}")
 def question_pattern_checks(s: Star) -> DataFrame:
     """Syntax and hop counts of graph queries."""

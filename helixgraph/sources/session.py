@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import shutil
 import tempfile
 from pathlib import Path
@@ -13,10 +12,9 @@ ROOT = Path(__file__).resolve().parents[2]
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send the package to the workers, once for each context, unless they find it by the working folder or PYTHONPATH."""
-    paths = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    """Send the package to the workers, once for each context: a driver can't tell what its workers can import."""
     context = spark.sparkContext
-    if str(ROOT) in (os.path.realpath(p) for p in paths if p) or getattr(context, "_helixgraph_shipped", False):
+    if getattr(context, "_helixgraph_shipped", False):
         return
     archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='helixgraph-')}/helixgraph", "zip", ROOT, "helixgraph")
     context.addPyFile(archive)

@@ -13,11 +13,22 @@ from ..operators import variants as V
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder under the shared checkpoint folder (under a temporary one where none is set)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="helixgraph-")
+    """A new folder under spark.checkpoint.dir, which all executors share; a local session that sets none gets its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="helixgraph-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as Parquet in the shared folder, read again: for tables that several steps use."""
+    folder = work_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def file_stream(spark: SparkSession, folder: str, name: str, schema: T.StructType) -> DataFrame:
     """A table of the folder as a stream of files."""
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet*").parquet(folder)
@@ -33,37 +44,65 @@ def call_windows(calls: DataFrame, width: str = "1 day", delay: str = "7 days")
     )
 
 
-def run_complete(stream: DataFrame, schema: T.StructType) -> DataFrame:
-    """Run a streaming aggregate over all that has arrived; the last complete result, as a table."""
+def _versions(spark: SparkSession, folder: str) -> list[int]:
+    """The versions that are whole, in their order: those whose writers left their mark."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/v*/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(int(f.getPath().getParent().getName()[1:]) for f in found or [])
+
+
+def run_complete(stream: DataFrame, schema: T.StructType, folder: str | None = None) -> DataFrame:
+    """Run a streaming aggregate over all that has arrived; the last complete result, as a table. Without a row it is
+    empty. With a folder of its own the next run goes on from where this one ended."""
     spark = stream.sparkSession
-    folder = work_folder(spark)
+    folder = folder or work_folder(spark)
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/result")
+        batch.write.mode("overwrite").parquet(f"{folder}/v{number}")
 
     query = stream.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(keep).start()
     query.awaitTermination()
-    return spark.read.schema(schema).parquet(f"{folder}/result")
+    versions = _versions(spark, folder)
+    return spark.read.schema(schema).parquet(f"{folder}/v{versions[-1]}") if versions else spark.createDataFrame([], schema)
+
+
+#: Buckets by variant that a batch rewrites only where it has rows.
+BUCKETS = 64
 
 
-def best_variants(stream: DataFrame) -> DataFrame:
+def best_variants(stream: DataFrame, folder: str | None = None) -> DataFrame:
     """The best significant row of each variant, kept up to date batch by batch.
 
-    Each batch merges its own best rows with the table's last version and writes the next one, so a batch that is run
-    again after a failure writes the same version.
+    The table is bucketed by variant: a batch merges its best rows with the last version of the buckets that it touches and
+    writes these anew, under its own number, so that untouched ones stay and a batch that is run again after a failure
+    writes the same. Which versions there are is read from storage, so a restart (with the same folder) goes on from the
+    rows of the runs before. A stream without rows gives an empty table.
     """
     spark = stream.sparkSession
-    folder = work_folder(spark)
+    folder = folder or work_folder(spark)
     order = [F.desc("neglog10p"), F.col("bp"), F.col("gene"), F.col("beta")]
-    versions: list[int] = []
+    schema = stream.schema
+    stored = T.StructType([*schema.fields]).add("bucket", "integer")
+
+    def latest(before: int) -> DataFrame:
+        """The last version of each bucket among those before a batch."""
+        whole = [v for v in _versions(spark, folder) if v < before]
+        if not whole:
+            return spark.createDataFrame([], stored)
+        paths = [f"{folder}/v{v}" for v in whole]
+        rows = spark.read.schema(stored).option("basePath", folder).parquet(*paths)
+        rows = rows.withColumn("_v", F.regexp_extract(F.input_file_name(), r"/v([0-9]+)/bucket=", 1).cast("long"))
+        last = rows.groupBy("bucket").agg(F.max("_v").alias("_last"))
+        return rows.join(F.broadcast(last), "bucket").filter("_v = _last").select(*stored.names)  # a row for each bucket
 
     def merge(batch: DataFrame, number: int) -> None:
         fresh = V.keep_best(V.raises_risk(V.usual_frequency(V.significant(batch))), ["rsid"], order)
-        if versions and versions[-1] < number:
-            fresh = V.keep_best(fresh.unionByName(spark.read.schema(fresh.schema).parquet(f"{folder}/v{versions[-1]}")), ["rsid"], order)
-        fresh.write.mode("overwrite").parquet(f"{folder}/v{number}")
-        versions.append(number)
+        fresh = fresh.withColumn("bucket", F.pmod(F.xxhash64("rsid"), F.lit(BUCKETS)).cast("int"))
+        touched = fresh.select("bucket").distinct()
+        old = latest(number).join(F.broadcast(touched), "bucket", "left_semi").select(*stored.names)
+        merged = V.keep_best(fresh.select(*stored.names).unionByName(old), ["rsid"], order)
+        merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/v{number}")
 
     query = stream.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(merge).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/v{versions[-1]}")
+    return latest(1 << 62).select(*schema.names)
