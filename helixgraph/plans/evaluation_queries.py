@@ -284,3 +284,52 @@ def call_custom_order(s: Star) -> DataFrame:
 def answer_rouge_l(s: Star) -> DataFrame:
     """F1 of the longest common subsequence of each answer's and its gold text's words, all of them."""
     return lists(s).select("conv_id", "turn", X.rouge_l(F.col("p"), F.col("g")).alias("rouge_l"))
+
+
+@query("SELECT lang, count(*) AS n, count(CASE WHEN contains(source, 'src1') THEN 1 END) AS chosen FROM documents GROUP BY 1")
+def label_source_filter(s: Star) -> DataFrame:
+    """Rows whose source holds a name; null doesn't."""
+    chosen = F.coalesce(F.col("source").contains("src1"), F.lit(False))
+    return s.table("documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(chosen).alias("chosen"))
+
+
+_CELLS = "(SELECT source, lang, avg(CASE WHEN truth = predicted THEN 1.0 ELSE 0.0 END) AS a FROM labelled GROUP BY 1, 2)"
+_WIDE = "(SELECT source, " + ", ".join(f"round(max(CASE WHEN lang = '{k}' THEN a END), 9) AS {k}" for k in ("en", "de", "fr", "es")) + f" FROM {_CELLS} GROUP BY 1)"
+
+
+def cells(s: Star) -> DataFrame:
+    """Sources by languages, accuracies in the cells."""
+    ok = F.round(F.avg((F.col("truth") == F.col("predicted")).cast("double")), 9)
+    return s.labelled.groupBy("source").pivot("lang", ["en", "de", "fr", "es"]).agg(ok)
+
+
+@query(f"SELECT source, metric, value FROM (SELECT *, round((coalesce(en, 0) + coalesce(de, 0) + coalesce(fr, 0) + coalesce(es, 0)) / nullif((en IS NOT NULL)::INT + (de IS NOT NULL)::INT + (fr IS NOT NULL)::INT + (es IS NOT NULL)::INT, 0), 6) AS mean FROM {_WIDE}) UNPIVOT (value FOR metric IN (en, de, fr, es, mean))")
+def label_pivot_means(s: Star) -> DataFrame:
+    """A pivot with the mean of the cells that each row has, melted again."""
+    langs = ["en", "de", "fr", "es"]
+    total = sum((F.coalesce(c, F.lit(0.0)) for c in langs[1:]), F.coalesce(langs[0], F.lit(0.0)))
+    known = sum((F.col(c).isNotNull().cast("int") for c in langs[1:]), F.col(langs[0]).isNotNull().cast("int"))
+    wide = cells(s).withColumn("mean", F.round(F.try_divide(total, known), 6))
+    return wide.unpivot(["source"], [*langs, "mean"], "metric", "value").filter("value IS NOT NULL")
+
+
+@query(f"SELECT strategy, count(*) AS models, " + ", ".join(f"round(avg({k}), 6) AS {k}" for k in ("en", "de", "fr", "es")) + f" FROM (SELECT *, length(source) % 2 AS strategy FROM {_WIDE}) GROUP BY 1")
+def label_strategy_means(s: Star) -> DataFrame:
+    """Means of the columns of a wide table by strategy; missing cells don't count."""
+    means = [F.round(F.avg(c), 6).alias(c) for c in ("en", "de", "fr", "es")]
+    return cells(s).groupBy((F.length("source") % 2).cast("long").alias("strategy")).agg(F.count("*").alias("models"), *means)
+
+
+@query("SELECT source, round(avg(CASE WHEN truth = predicted THEN 0.0 ELSE 1.0 END), 9) AS error_rate, round(100.0 * count(CASE WHEN truth <> predicted AND predicted = 1 THEN 1 END) / count(*), 6) AS false_pct FROM labelled GROUP BY 1")
+def label_error_rates(s: Star) -> DataFrame:
+    """Error rates by source."""
+    wrong = F.col("truth") != F.col("predicted")
+    return s.labelled.groupBy("source").agg(F.round(F.avg(wrong.cast("double")), 9).alias("error_rate"), F.round(F.count_if(wrong & (F.col("predicted") == 1)) * 100.0 / F.count("*"), 6).alias("false_pct"))
+
+
+@query(f"SELECT conv_id % 5 AS model, " + ", ".join(f"round(100.0 * count(CASE WHEN type = '{k}' AND n > 0 THEN 1 END) / nullif(count(CASE WHEN type = '{k}' THEN 1 END), 0), 6) AS {c}" for k, c in (("one-hop", "one_hop"), ("multi-hop", "multi_hop"), ("conjunction", "conjunction"))) + f" FROM {LISTS} GROUP BY 1")
+def answer_em_pivot(s: Star) -> DataFrame:
+    """Loose exact match by model, question types side by side."""
+    wide = lists(s).groupBy((F.col("conv_id") % 5).alias("model")).pivot("type", ["one-hop", "multi-hop", "conjunction"])
+    out = wide.agg(F.round(F.avg(F.arrays_overlap("p", "g").cast("double")) * 100, 6))
+    return out.withColumnsRenamed({"one-hop": "one_hop", "multi-hop": "multi_hop"})

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..operators import variants as V
 from ..sources.star import Star
-from .graph_queries import query
+from .graph_queries import first_names, query, top
 
 RISK = "least(neglog10p / 10, 1.0) * 0.3 + (CASE WHEN susie >= 0 AND finemap >= 0 THEN (susie + finemap) / 2 WHEN susie >= 0 THEN susie WHEN finemap >= 0 THEN finemap ELSE 0.0 END) * 0.7"
 
@@ -86,10 +86,10 @@ def extended(s: Star) -> DataFrame:
     return V.extended(V.scored(annotated(s), ["susie", "finemap"]).withColumn("effect_score", F.abs("beta") / 5))
 
 
-@query(f"SELECT gene, round(max(extended_score), 9) AS gene_score, count(*) AS snp_count, count(CASE WHEN p < 5e-8 THEN 1 END) AS n_sig, round(max(neglog10p), 9) AS best_neglog10p FROM {EXTENDED} GROUP BY 1")
+@query(f"SELECT gene, round(max(extended_score), 6) AS gene_score, count(*) AS snp_count, count(CASE WHEN p < 5e-8 THEN 1 END) AS n_sig, round(max(neglog10p), 6) AS best_neglog10p FROM {EXTENDED} GROUP BY 1")
 def gene_aggregates(s: Star) -> DataFrame:
     """Best score, counts and significance of each gene."""
-    return V.gene_scores(extended(s), "extended_score").select("gene", F.round("gene_score", 9).alias("gene_score"), "snp_count", "n_sig", F.round("best_neglog10p", 9).alias("best_neglog10p"))
+    return V.gene_scores(extended(s), "extended_score").select("gene", F.round("gene_score", 6).alias("gene_score"), "snp_count", "n_sig", F.round("best_neglog10p", 6).alias("best_neglog10p"))
 
 
 @query(f"SELECT gene, round(best + (1 - best) * 0.3 * CASE WHEN most > 0 THEN ln(1 + n) / ln(1 + most) ELSE 0 END, 9) AS bonus_score FROM (SELECT gene, best, n, max(n) OVER () AS most FROM (SELECT gene, max(extended_score) AS best, count(CASE WHEN p < 5e-8 THEN 1 END) AS n FROM {EXTENDED} GROUP BY 1))")
@@ -108,7 +108,8 @@ def gene_best_variant(s: Star) -> DataFrame:
 @query("SELECT gene, array_to_string(list_slice(list_sort(list_distinct(list(rsid))), 1, 5), ',') AS first_snps, count(DISTINCT rsid) AS snps FROM variants GROUP BY 1")
 def gene_first_variants(s: Star) -> DataFrame:
     """Up to five variants of each gene, joined."""
-    return s.variants.groupBy("gene").agg(F.array_join(F.slice(F.sort_array(F.collect_set("rsid")), 1, 5), ",").alias("first_snps"), F.count_distinct("rsid").alias("snps"))
+    found = first_names(s.variants, ["gene"], "rsid", 5)
+    return found.select("gene", F.col("found").alias("first_snps"), F.col("n").alias("snps"))
 
 
 @query("SELECT CAST(l_partkey AS BIGINT) AS gene, count(*) AS snps, count(CASE WHEN distance = 0 THEN 1 END) AS inside, min(distance) AS nearest FROM (SELECT g.p_partkey AS l_partkey, greatest(g.p_partkey * 1000 - v.bp, v.bp - (g.p_partkey * 1000 + 500), 0) AS distance FROM variants v JOIN part g ON v.chr = g.p_partkey % 22 + 1 AND v.bp BETWEEN g.p_partkey * 1000 - 5000 AND g.p_partkey * 1000 + 5500) GROUP BY 1")
@@ -204,3 +205,84 @@ def gene_term_overlap(s: Star) -> DataFrame:
 def gene_enrichment_summary(s: Star) -> DataFrame:
     """The best term of each library, its text cut, and sizes."""
     return terms(s).groupBy("library").agg(F.count("*").alias("n_terms"), F.min("best").alias("best"), F.substring(F.min_by("term", F.struct("best", "term")), 1, 5).alias("top_term"), F.max(F.size("genes")).cast("long").alias("most_genes"))
+
+
+@query(f"SELECT gene, rsid, round(extended_score, 6) AS extended_score FROM {EXTENDED} ORDER BY round(extended_score, 6) DESC, gene, rsid LIMIT 1")
+def gene_global_best(s: Star) -> DataFrame:
+    """The gene and variant of the highest score of all."""
+    score = F.round("extended_score", 6)
+    best = F.min_by(F.struct("gene", "rsid", score.alias("extended_score")), F.struct(-score, "gene", "rsid"))
+    return extended(s).agg(best.alias("b")).select("b.*")
+
+
+_FULL = "SELECT CAST(gene AS BIGINT) AS gene_id, name AS gene_name, round(max(x), 6) AS gene_score, round(avg(x), 6) AS mean_extended_score, round(max(r), 6) AS max_risk_score, round(avg(r), 6) AS mean_risk_score, count(r) AS snp_count, round(max(c), 6) AS max_causal, round(max(e), 6) AS max_evidence, max(clinical_score) AS max_clinvar, max(consequence_score) AS max_vep, max(beta) AS max_beta, min(q) AS min_p_exponent, max(v) AS max_valid_pips"
+
+
+@query(f"""WITH rows AS (SELECT x0.*, g.name, extended_score AS x, {RISK} AS r, CASE WHEN susie >= 0 AND finemap >= 0 THEN (susie + finemap) / 2 WHEN susie >= 0 THEN susie WHEN finemap >= 0 THEN finemap ELSE 0.0 END AS c, least(neglog10p / 10, 1.0) AS e, -round(neglog10p, 6) AS q, (CASE WHEN susie >= 0 THEN 1 ELSE 0 END) + (CASE WHEN finemap >= 0 THEN 1 ELSE 0 END) AS v FROM {EXTENDED} x0 JOIN gene g ON x0.gene = g.id),
+ranked AS (SELECT gene, rsid, x, bp, beta, row_number() OVER (PARTITION BY gene ORDER BY round(x, 6) DESC, rsid, bp, beta, q) AS n FROM rows),
+firsts AS (SELECT gene, string_agg(rsid, ',' ORDER BY m) AS snps FROM (SELECT gene, rsid, row_number() OVER (PARTITION BY gene ORDER BY min(n)) AS m FROM ranked GROUP BY gene, rsid) WHERE m <= 5 GROUP BY 1)
+SELECT t.*, f.snps, b.rsid AS best_snp, round(b.x, 6) AS best_snp_extended, b.bp AS best_snp_position, b.beta AS best_snp_beta, row_number() OVER (ORDER BY gene_score DESC, gene_id) AS rank FROM ({_FULL} FROM rows GROUP BY gene, name) t JOIN firsts f ON f.gene = t.gene_id JOIN ranked b ON b.gene = t.gene_id AND b.n = 1""")
+def gene_full_aggregates(s: Star) -> DataFrame:
+    """Everything that is told of a gene: best, mean and extreme scores, its first five variants by score, the best one's
+    own values, and its rank. The five are taken by a limited window, not cut from a list of all."""
+    names = s.genes.select(F.col("id").alias("gene"), F.col("name").alias("gene_name"))
+    rows = extended(s).join(names, "gene").withColumn("q", -F.round("neglog10p", 6))
+    genes = rows.groupBy("gene", "gene_name").agg(
+        F.round(F.max("extended_score"), 6).alias("gene_score"), F.round(F.avg("extended_score"), 6).alias("mean_extended_score"),
+        F.round(F.max("risk_score"), 6).alias("max_risk_score"), F.round(F.avg("risk_score"), 6).alias("mean_risk_score"), F.count("risk_score").alias("snp_count"),
+        F.round(F.max("causal_score"), 6).alias("max_causal"), F.round(F.max("evidence_score"), 6).alias("max_evidence"), F.max("clinical_score").alias("max_clinvar"),
+        F.max("consequence_score").alias("max_vep"), F.max("beta").alias("max_beta"), F.min("q").alias("min_p_exponent"), F.max("n_valid").alias("max_valid_pips"),
+        F.min_by(F.struct("rsid", F.round("extended_score", 6).alias("extended_score"), "bp", "beta"), F.struct(-F.round("extended_score", 6), "rsid", "bp", "beta", "q")).alias("b"),
+    )
+    first = rows.groupBy("gene", "rsid").agg(F.min(F.struct(-F.round("extended_score", 6), "rsid")).alias("place"))
+    first = top(first, ["gene"], [F.col("place")], 5).groupBy("gene").agg(F.array_join(F.transform(F.sort_array(F.collect_list("place")), lambda x: x["rsid"]), ",").alias("snps"))
+    out = genes.join(first, "gene").select(F.col("gene").alias("gene_id"), *(c for c in genes.columns if c not in ("gene", "b")), "snps", F.col("b.rsid").alias("best_snp"), F.col("b.extended_score").alias("best_snp_extended"), F.col("b.bp").alias("best_snp_position"), F.col("b.beta").alias("best_snp_beta"))
+    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("gene_score"), "gene_id")).cast("long"))
+
+
+_BEST = "(SELECT gene, round(max(extended_score), 6) AS score, round(max(least(neglog10p / 10, 1.0)), 6) AS evidence, max(beta) AS beta FROM {0} WHERE disease = '{1}' GROUP BY 1)"
+
+
+@query(f"SELECT a.gene, round((a.score + r.score) / 2, 7) AS score, round((a.evidence + r.evidence) / 2, 7) AS evidence, (a.beta + r.beta) / 2 AS beta, 0.1::DOUBLE AS vep, 0.0::DOUBLE AS clinvar, row_number() OVER (ORDER BY round((a.score + r.score) / 2, 7) DESC, a.gene) AS rank FROM {_BEST.format(EXTENDED, 'A')} a JOIN {_BEST.format(EXTENDED, 'R')} r USING (gene)")
+def gene_shared_scores(s: Star) -> DataFrame:
+    """Genes of two diseases with the means of both rankings' scores, ranked anew; two components are constants."""
+    rows = extended(s)
+
+    def side(disease: str, suffix: str) -> DataFrame:
+        best = rows.filter(F.col("disease") == disease).groupBy("gene")
+        return best.agg(F.round(F.max("extended_score"), 6).alias(f"score_{suffix}"), F.round(F.max("evidence_score"), 6).alias(f"evidence_{suffix}"), F.max("beta").alias(f"beta_{suffix}"))
+
+    both = side("A", "a").join(side("R", "b"), "gene")
+    means = [F.round((F.col(f"{c}_a") + F.col(f"{c}_b")) / 2, 7).alias(c) for c in ("score", "evidence", "beta")]
+    out = both.select("gene", *means, F.lit(0.1).alias("vep"), F.lit(0.0).alias("clinvar"))
+    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "gene")).cast("long"))
+
+
+_SIG = f"(SELECT *, best / 40000 AS adjusted FROM {TERMS} WHERE best / 40000 < 0.05)"
+
+
+def enriched(s: Star) -> DataFrame:
+    """Terms beyond the threshold of the adjusted p-value."""
+    return terms(s).withColumn("adjusted", F.col("best") / 40000).filter(F.col("adjusted") < 0.05)
+
+
+@query(f"SELECT lib AS library, count(term) AS n_terms, coalesce(round(-log10(min(adjusted)), 9), 0.0) AS best_p, coalesce(max(len(list_intersect(genes, [1, 2, 3, 4, 5, 6, 7, 8]))), 0) AS n_first, coalesce(max(len(list_intersect(genes, [7, 8, 9, 10, 11, 12]))), 0) AS n_second FROM (SELECT DISTINCT p_type AS lib FROM part) LEFT JOIN {_SIG} ON library = lib GROUP BY 1")
+def gene_library_summary(s: Star) -> DataFrame:
+    """Significant terms of every library, zeros for those without any."""
+    def n(values: list[int]) -> F.Column:
+        return F.max(F.size(F.array_intersect("genes", F.array(*(F.lit(v).cast("long") for v in values))))).cast("long")
+
+    found = enriched(s).groupBy("library").agg(F.count("*").alias("n_terms"), F.round(-F.log10(F.min("adjusted")), 9).alias("best_p"), n([1, 2, 3, 4, 5, 6, 7, 8]).alias("n_first"), n([7, 8, 9, 10, 11, 12]).alias("n_second"))
+    every = s.table("part").select(F.col("p_type").alias("library")).distinct()
+    return every.join(found, "library", "left").fillna(0, ["n_terms", "n_first", "n_second"]).fillna(0.0, ["best_p"])
+
+
+FAMILIES = {"STANDARD": "pathway", "SMALL": "ontology", "MEDIUM": "disease", "LARGE": "tissue", "ECONOMY": "regulator", "PROMO": "drug"}
+
+
+@query(f"SELECT family, count(*) AS terms, count(DISTINCT library) AS libraries, round(min(adjusted), 9) AS least FROM {_SIG} JOIN (SELECT unnest({list(FAMILIES)}) AS word, unnest({list(FAMILIES.values())}) AS family) ON word = string_split(library, ' ')[1] GROUP BY 1")
+def gene_library_families(s: Star) -> DataFrame:
+    """Significant terms by the six families of libraries."""
+    family = s.spark.createDataFrame(list(FAMILIES.items()), "word string, family string")
+    rows = enriched(s).withColumn("word", F.split("library", " ")[0]).join(F.broadcast(family), "word")  # six rows
+    return rows.groupBy("family").agg(F.count("*").alias("terms"), F.count_distinct("library").alias("libraries"), F.round(F.min("adjusted"), 9).alias("least"))

@@ -46,9 +46,9 @@ def call_windows(calls: DataFrame, width: str = "1 day", delay: str = "7 days")
 
 def _versions(spark: SparkSession, folder: str) -> list[int]:
     """The versions that are whole, in their order: those whose writers left their mark."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/v*/_SUCCESS")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/v=*/_SUCCESS")
     found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
-    return sorted(int(f.getPath().getParent().getName()[1:]) for f in found or [])
+    return sorted(int(f.getPath().getParent().getName()[2:]) for f in found or [])
 
 
 def run_complete(stream: DataFrame, schema: T.StructType, folder: str | None = None) -> DataFrame:
@@ -58,12 +58,12 @@ def run_complete(stream: DataFrame, schema: T.StructType, folder: str | None = N
     folder = folder or work_folder(spark)
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/v{number}")
+        batch.write.mode("overwrite").parquet(f"{folder}/v={number}")
 
     query = stream.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(keep).start()
     query.awaitTermination()
     versions = _versions(spark, folder)
-    return spark.read.schema(schema).parquet(f"{folder}/v{versions[-1]}") if versions else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{folder}/v={versions[-1]}") if versions else spark.createDataFrame([], schema)
 
 
 #: Buckets by variant that a batch rewrites only where it has rows.
@@ -89,11 +89,10 @@ def best_variants(stream: DataFrame, folder: str | None = None) -> DataFrame:
         whole = [v for v in _versions(spark, folder) if v < before]
         if not whole:
             return spark.createDataFrame([], stored)
-        paths = [f"{folder}/v{v}" for v in whole]
-        rows = spark.read.schema(stored).option("basePath", folder).parquet(*paths)
-        rows = rows.withColumn("_v", F.regexp_extract(F.input_file_name(), r"/v([0-9]+)/bucket=", 1).cast("long"))
-        last = rows.groupBy("bucket").agg(F.max("_v").alias("_last"))
-        return rows.join(F.broadcast(last), "bucket").filter("_v = _last").select(*stored.names)  # a row for each bucket
+        versioned = T.StructType([*stored.fields, T.StructField("v", T.LongType())])
+        rows = spark.read.schema(versioned).option("basePath", folder).parquet(*(f"{folder}/v={v}" for v in whole))
+        last = rows.groupBy("bucket").agg(F.max("v").alias("last"))  # a row for each bucket
+        return rows.join(F.broadcast(last), "bucket").filter("v = last").select(*stored.names)
 
     def merge(batch: DataFrame, number: int) -> None:
         fresh = V.keep_best(V.raises_risk(V.usual_frequency(V.significant(batch))), ["rsid"], order)
@@ -101,7 +100,7 @@ def best_variants(stream: DataFrame, folder: str | None = None) -> DataFrame:
         touched = fresh.select("bucket").distinct()
         old = latest(number).join(F.broadcast(touched), "bucket", "left_semi").select(*stored.names)
         merged = V.keep_best(fresh.select(*stored.names).unionByName(old), ["rsid"], order)
-        merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/v{number}")
+        merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/v={number}")
 
     query = stream.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(merge).start()
     query.awaitTermination()

@@ -73,8 +73,8 @@ def test_text_functions(spark):
     assert [r["p"] for r in got] == ["A", "A", "A", "A"]
     assert [r["c"] for r in got] == ["C", None, None, "B"]
     assert got[0]["y"] == "no" and got[1]["w"] == []
-    assert [r["ab"] for r in got] == [False, True, True, False]
-    assert [r["cf"] for r in got] == [0.75, 0.5, 0.85, 0.7]
+    assert [r["ab"] for r in got] == [False, True, False, False]
+    assert [r["cf"] for r in got] == [0.75, 0.5, 0.4, 0.7]
     assert got[2]["l"] == ["one", "two"] and got[3]["l"] == ["x", "y"]
     assert X.lcs_f1([], ["a"]) == 0 and X.lcs_f1(list("abcd"), list("axcd")) == 0.75
 
@@ -145,3 +145,83 @@ def test_answers_and_datasets(spark):
     assert datasets.balanced(many, "k", 2, 6).groupBy("k").count().collect() and datasets.balanced(many, "k", 2, 6).count() == 6
     text = spark.range(1).select(A.prompt(F.lit("why?"), F.array(F.lit("x"), F.lit("y")), "zero").alias("t")).first()["t"]
     assert text == "Question: why?\nA. x\nB. y\nAnswer with one letter."
+
+
+def test_question_rules(spark):
+    """Expected values by hand, from the rules' own words."""
+    from helixgraph.functions import questions as P
+
+    rows = [
+        ("Which proteins are interacting with P68133?", "one-hop", "protein_interaction", "Protein", ["P68133"], None, "entity"),
+        ("What diseases are associated with protein Q9NYB9-2?", "one-hop", "protein_disease", "Disease", ["Q9NYB9-2"], None, "entity"),
+        ("Proteins P11111 and P22222 both act in which pathway?", "conjunction", "protein_pathway", "Pathway", ["P11111", "P22222"], None, "entity"),
+        ("Is the molecular function of the protein translated from gene BRCA1 known?", "multi-hop", "protein_molecular_function", "Molecular_function", [], "BRCA1", "boolean"),
+        ("The function that the gene tp53 has", "one-hop", "gene_molecular_function", "Molecular_function", [], "TP53", "entity"),
+        ("How many genes are there?", "one-hop", "unknown", "Gene", [], None, "count"),
+        ("List all the tissues", "one-hop", "unknown", "Tissue", [], None, "list"),
+        ("", "one-hop", "unknown", "unknown", [], None, "unknown"),
+    ]
+    df = spark.createDataFrame([(r[0],) for r in rows], "q string")
+    q = F.col("q")
+    got = df.select("q", P.kind(q), P.relation(q).alias("r"), P.target(P.relation(q), q), P.proteins(q), P.gene(q), P.answer_class(q)).collect()
+    assert [tuple(r) for r in got] == rows
+    one = spark.createDataFrame([("WHAT does GO:0008150 say of rs7412 in APOE AND TP53?",)], "q string").select(P.go_terms(q), P.rsids(q), P.gene_symbols(q)).first()
+    assert list(one) == [["GO:0008150"], ["rs7412"], ["GO", "APOE", "TP53"]]
+
+
+def test_abstention_and_confidence_rules(spark):
+    rows = [
+        ("It is not available.", True, 0.75),
+        ("N/A", True, 0.75),
+        ("Not sure, unclear.", False, 0.4),  # "clearly" isn't in it; "not sure" is
+        ("Clearly BRCA1", False, 0.9),
+        ("50% of cases", False, 0.75),  # no stated confidence
+        ("BRCA1. Confidence: 85%", False, 0.85),
+        ("confidence 0.3, certainly", False, 0.3),
+        ("confidence: 1", False, 1.0),
+        ("Unlikely, I think", False, 0.7),
+        ("", True, 0.5),
+        (None, True, 0.5),
+    ]
+    df = spark.createDataFrame([(r[0],) for r in rows], "c string")
+    assert [tuple(r) for r in df.select("c", X.abstains(F.col("c")), X.confidence(F.col("c"))).collect()] == rows
+
+
+def test_queries_in_responses():
+    from helixgraph.functions.answers import find_query
+
+    assert find_query('x {"cypher": "MATCH (n {k: \\"v\\"}) RETURN n"} y') == 'MATCH (n {k: "v"}) RETURN n'
+    assert find_query('{"a": [{"b": {"cypher": "MATCH (n)\\nRETURN n"}}]}') == "MATCH (n) RETURN n"
+    assert find_query('{broken "cypher": MATCH (n) RETURN n LIMIT 3}') == "MATCH (n) RETURN n LIMIT 3"
+    assert find_query("CYPHER: MATCH (n)\nRETURN n\nThought: done") == "MATCH (n) RETURN n"
+    assert find_query("action: query_kg[MATCH (n {t: ']'}) RETURN n[0]] tail]") == "MATCH (n {t: ']'}) RETURN n[0]"
+    assert find_query("Action: query_kg[MATCH (n RETURN") == "MATCH (n RETURN"  # open brackets: as a bare statement
+    assert find_query("```cypher\nMATCH (n) RETURN n\n``` then MATCH") == "MATCH (n) RETURN n"
+    assert find_query("rematch and return") is None and find_query("") is None
+
+
+def test_entities_of_answers(spark):
+    from helixgraph.functions import answers as A
+
+    rows = [("The proteins are tumour protein (TP53), P04637 and the insulin or tumour protein",), ("",), (None,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "c string").select(A.entities(F.col("c"))).collect()]
+    assert got == [["tumour protein", "TP53", "P04637", "the insulin"], [], []]
+    words = spark.createDataFrame([(["a.", "B", ""], ["A", "c"]), ([], ["a"]), (["x"], [])], "p array<string>, g array<string>")
+    assert [r[0] for r in words.select(A.partial_match(F.col("p"), F.col("g"))).collect()] == [0.5, 0.0, 0.0]
+    assert [r[0] for r in words.select(A.open_recall(F.col("p"), F.col("g"))).collect()] == [0.0, 0.0, 0.0]
+
+
+def test_streams_restart_and_stay_empty(spark, tmp_path):
+    from helixgraph.streaming import ingest
+
+    schema = "rsid string, gene long, bp long, beta double, p double, maf double, neglog10p double"
+    new = lambda name, rows: spark.createDataFrame(rows, schema).write.mode("append").parquet(str(tmp_path / "in"))
+    new("a", [("r1", 1, 1, 0.5, 1e-9, 0.1, 9.0), ("r2", 1, 2, 0.5, 1e-9, 0.1, 9.0)])
+    stream = lambda: spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    folder = str(tmp_path / "best")
+    assert ingest.best_variants(stream(), folder).count() == 2
+    new("b", [("r1", 2, 1, 0.5, 1e-12, 0.1, 12.0)])
+    out = {r["rsid"]: r["gene"] for r in ingest.best_variants(stream(), folder).collect()}  # as after a restart
+    assert out == {"r1": 2, "r2": 1}
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "none"))
+    assert ingest.best_variants(spark.readStream.schema(schema).parquet(str(tmp_path / "none"))).count() == 0
