@@ -240,20 +240,21 @@ def gene_full_aggregates(s: Star) -> DataFrame:
     return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("gene_score"), "gene_id")).cast("long"))
 
 
-_BEST = "(SELECT gene, round(max(extended_score), 6) AS score, round(max(least(neglog10p / 10, 1.0)), 6) AS evidence, max(beta) AS beta FROM {0} WHERE disease = '{1}' GROUP BY 1)"
+_BEST = "(SELECT gene, round(max(extended_score), 6) AS score, max(least(neglog10p / 10, 1.0)) AS evidence, max(beta) AS beta FROM {0} WHERE disease = '{1}' GROUP BY 1)"
 
 
-@query(f"SELECT a.gene, round((a.score + r.score) / 2, 7) AS score, round((a.evidence + r.evidence) / 2, 7) AS evidence, (a.beta + r.beta) / 2 AS beta, 0.1::DOUBLE AS vep, 0.0::DOUBLE AS clinvar, row_number() OVER (ORDER BY round((a.score + r.score) / 2, 7) DESC, a.gene) AS rank FROM {_BEST.format(EXTENDED, 'A')} a JOIN {_BEST.format(EXTENDED, 'R')} r USING (gene)")
+@query(f"SELECT a.gene, round((a.score + r.score) / 2, 7) AS score, (a.evidence + r.evidence) / 2 AS evidence, (a.beta + r.beta) / 2 AS beta, 0.1::DOUBLE AS vep, 0.0::DOUBLE AS clinvar, row_number() OVER (ORDER BY round((a.score + r.score) / 2, 7) DESC, a.gene) AS rank FROM {_BEST.format(EXTENDED, 'A')} a JOIN {_BEST.format(EXTENDED, 'R')} r USING (gene)")
 def gene_shared_scores(s: Star) -> DataFrame:
     """Genes of two diseases with the means of both rankings' scores, ranked anew; two components are constants."""
     rows = extended(s)
 
     def side(disease: str, suffix: str) -> DataFrame:
         best = rows.filter(F.col("disease") == disease).groupBy("gene")
-        return best.agg(F.round(F.max("extended_score"), 6).alias(f"score_{suffix}"), F.round(F.max("evidence_score"), 6).alias(f"evidence_{suffix}"), F.max("beta").alias(f"beta_{suffix}"))
+        return best.agg(F.round(F.max("extended_score"), 6).alias(f"score_{suffix}"), F.max("evidence_score").alias(f"evidence_{suffix}"), F.max("beta").alias(f"beta_{suffix}"))
 
     both = side("A", "a").join(side("R", "b"), "gene")
-    means = [F.round((F.col(f"{c}_a") + F.col(f"{c}_b")) / 2, 7).alias(c) for c in ("score", "evidence", "beta")]
+    mean = {c: (F.col(f"{c}_a") + F.col(f"{c}_b")) / 2 for c in ("score", "evidence", "beta")}
+    means = [F.round(m, 7).alias(c) if c != "evidence" else m.alias(c) for c, m in mean.items()]
     out = both.select("gene", *means, F.lit(0.1).alias("vep"), F.lit(0.0).alias("clinvar"))
     return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "gene")).cast("long"))
 
