@@ -18,11 +18,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, partitions
 
-#: Vectors on which codebooks are fitted; codebooks and their words; beams kept; candidates ranked exactly; queries of a
-#: block, whose vectors and scores are held at once.
-SAMPLE, BOOKS, WORDS, BEAM, CANDIDATES, QUERY_BLOCK = 16_384, 24, 256, 4, 400, 2048
+#: Vectors on which codebooks are fitted; codebooks and their words; beams kept; candidates ranked exactly.
+SAMPLE, BOOKS, WORDS, BEAM, CANDIDATES = 16_384, 24, 256, 4, 400
+#: Queries of a block, about; vectors of a segment; bytes of queries that may be broadcast.
+QUERY_BLOCK, SEGMENT, QUERY_BYTES = 256, 1024, 16 << 20
 
 
 def fit(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 8, seed: int = 0) -> np.ndarray:
@@ -83,38 +84,98 @@ def _distance(a: str, b: str) -> Column:
     return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, v: s + v))
 
 
-def _scan(codes: DataFrame, queries: np.ndarray, first: int, codebooks, candidates: int) -> DataFrame:
-    """(q, found): each query's best codes of every partition, as one array of (score, class), by table lookups. Queries are
-    one bounded block."""
-    block = codes.sparkSession.sparkContext.broadcast(queries)
+def _best(score: np.ndarray, which: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n least scores of each row, in no order, with their classes."""
+    if score.shape[1] <= n:
+        return score, which
+    best = np.argpartition(score, n - 1, axis=1)[:, :n]
+    return np.take_along_axis(score, best, 1), np.take_along_axis(which, best, 1)
+
+
+def _index(rows: DataFrame, codebooks) -> DataFrame:
+    """(segment, classes, codes, norms): the codes of ``rows`` (class, vector), packed, SEGMENT of them a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, books = block.value, codebooks.value
-        table = np.einsum("qd,mwd->mqw", q, books)
-        score = np.zeros((len(q), 0), np.float32)
-        which = np.zeros((len(q), 0), np.int64)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            names = batch.column("class").to_numpy()
-            code = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).reshape(-1, len(books))
-            norm = batch.column("norm").to_numpy()
-            for i in range(0, len(names), 4096):
-                s = np.tile(norm[i : i + 4096].astype(np.float32), (len(q), 1))
-                for m in range(len(books)):
-                    s -= 2 * table[m][:, code[i : i + 4096, m]]
-                score = np.concatenate([score, s], 1)
-                which = np.concatenate([which, np.tile(names[i : i + 4096], (len(q), 1))], 1)
-                if score.shape[1] > candidates:
-                    best = np.argpartition(score, candidates - 1, axis=1)[:, :candidates]
-                    score, which = np.take_along_axis(score, best, 1), np.take_along_axis(which, best, 1)
-        n = score.shape[1]
-        if n:
-            flat = pa.StructArray.from_arrays([pa.array(score.ravel().astype(np.float32)), pa.array(which.ravel())], ["score", "class"])
-            found = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, n), pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + len(q))), found], ["q", "found"])
-
-    return codes.select("class", "codes", "norm").mapInArrow(run, "q long, found array<struct<score:float,class:long>>")
+            for i in range(0, batch.num_rows, SEGMENT):
+                part = batch.slice(i, SEGMENT)
+                x = part.column("vector").flatten().to_numpy().astype(np.float32).reshape(part.num_rows, -1)
+                names = part.column("class").to_numpy()
+                codes, norm = encode(x, codebooks.value)
+                columns = [pa.array([names[0]]), *(pa.array([v.tobytes()], pa.binary()) for v in (names, codes, norm.astype(np.float32)))]
+                yield pa.RecordBatch.from_arrays(columns, ["segment", "classes", "codes", "norms"])
+
+    return rows.select("class", "vector").mapInArrow(run, "segment long, classes binary, codes binary, norms binary")
+
+
+def _scan(pairs: DataFrame, codebooks, candidates: int) -> DataFrame:
+    """(query_class, scores, classes): the best codes of each query in each task, by table lookups. ``pairs`` are segments
+    of codes beside blocks of queries, the pairs of a block after each other; a task holds one of each, the block's
+    lookup table and its best codes so far."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        books = codebooks.value
+        block, names, table, score, which = None, None, None, None, None
+
+        def told() -> pa.RecordBatch:
+            columns = [pa.array([v[i].tobytes() for i in range(len(names))], pa.binary()) for v in (score, which)]
+            return pa.RecordBatch.from_arrays([pa.array(names), *columns], ["query_class", "scores", "classes"])
+
+        for row in (batch.slice(i, 1) for batch in batches for i in range(batch.num_rows)):
+            if row.column("block")[0].as_py() != block:
+                if block is not None:
+                    yield told()
+                block, asked = row.column("block")[0].as_py(), row.column("asked")[0].values
+                names = asked.field("class").to_numpy()
+                q = asked.field("vector").flatten().to_numpy().astype(np.float32).reshape(len(names), -1)
+                table = -2 * np.einsum("qd,mwd->mwq", q, books)
+                score, which = np.zeros((len(names), 0), np.float32), np.zeros((len(names), 0), np.int64)
+            members, norm = (np.frombuffer(row.column(c)[0].as_py(), t) for c, t in (("classes", np.int64), ("norms", np.float32)))
+            code = np.frombuffer(row.column("codes")[0].as_py(), np.uint8).reshape(len(norm), -1)
+            s = np.repeat(norm[:, None], len(names), 1)
+            for m in range(len(books)):
+                s += table[m][code[:, m]]
+            score, which = _best(np.concatenate([score, s.T], 1), np.concatenate([which, np.tile(members, (len(names), 1))], 1), candidates)
+        if block is not None:
+            yield told()
+
+    return pairs.select("block", "asked", "classes", "codes", "norms").mapInArrow(run, "query_class long, scores binary, classes binary")
+
+
+def _merged(found: DataFrame, candidates: int) -> DataFrame:
+    """(query_class, class): each query's best codes of all tasks. Its lists come one after the other and are merged into
+    one as they come."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query, score, which = None, None, None
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(which.shape[1], query)), pa.array(which[0])], ["query_class", "class"])
+
+        for batch in batches:
+            for q, s, w in zip(*(c.to_pylist() for c in batch.columns)):
+                s, w = np.frombuffer(s, np.float32)[None, :], np.frombuffer(w, np.int64)[None, :]
+                if q == query:
+                    score, which = _best(np.concatenate([score, s], 1), np.concatenate([which, w], 1), candidates)
+                    continue
+                if query is not None:
+                    yield told()
+                query, score, which = q, s, w
+        if query is not None:
+            yield told()
+
+    dealt = found.repartition(partitions(found.sparkSession), "query_class").sortWithinPartitions("query_class")
+    return dealt.mapInArrow(run, "query_class long, class long")
+
+
+def _one_row_an_id(rows: DataFrame) -> DataFrame:
+    """Rows (vec_id, vector, asked) with each id once: the least vector of those of an id counts, and it is asked for if
+    one of them is. Only ids go through a shuffle where none repeats."""
+    again = materialize(rows.groupBy("vec_id").agg(F.count("*").alias("n")).filter("n > 1").select("vec_id"), "repeated")
+    if again.isEmpty():
+        return rows
+    merged = rows.join(again, "vec_id", "left_semi").groupBy("vec_id").agg(F.min("vector").alias("vector"), F.bool_or("asked").alias("asked"))
+    return rows.join(again, "vec_id", "left_anti").select("vec_id", "vector", "asked").unionByName(merged)
 
 
 def search(vectors: DataFrame, queries: Column, k: int = 10, candidates: int = CANDIDATES, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
@@ -122,8 +183,12 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, candidates: int = C
 
     Nearness is the Euclidean distance in double precision on the original vectors, ties to the smaller id. Unusable
     vectors (see ``usable``) and null ids take no part, nor do vectors whose dimension isn't the most frequent one (the
-    larger on ties). Repeated ids count as one row, with any of their vectors. Fewer rows give fewer neighbours; an
-    empty table gives none.
+    larger on ties). Of repeated ids the row with the least vector counts (see ``_one_row_an_id``). Other columns may have
+    any names. Fewer rows give fewer neighbours; an empty table gives none.
+
+    All queries are answered in one plan: blocks of queries meet segments of codes, each pair once, which is a scan of all
+    codes for each block, as the method asks. Queries are replicated by broadcast while they hold QUERY_BYTES at most, and
+    by a shuffle beyond.
     """
     spark = vectors.sparkSession
     rows = vectors.filter(F.col(id_column).isNotNull() & usable(F.col(vector_column))).select(F.col(id_column).alias("vec_id"), F.col(vector_column).alias("vector"), queries.alias("asked"))
@@ -131,51 +196,36 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, candidates: int = C
     size = rows.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
     if size is None:
         return empty
-    rows = rows.filter(F.size("vector") == size["d"]).withColumn("class", F.xxhash64("vector", F.hash("vector")))
+    # equal vectors are told by 128 bits; the smallest id among them names their class
+    rows = _one_row_an_id(rows.filter(F.size("vector") == size["d"])).withColumns({"h": F.xxhash64("vector"), "g": F.xxhash64(F.lit(1), "vector")})
+    place = F.row_number().over(Window.partitionBy("h", "g").orderBy("vec_id"))
     # the k + 1 smallest ids of each class; the limit is applied before the shuffle too
-    window = Window.partitionBy("class").orderBy("vec_id")
-    members = materialize(rows.withColumn("place", F.row_number().over(window)).filter(F.col("place") <= k + 1).drop("asked"), "members")
-    index = members.filter("place = 1").select("class", "vector", "vec_id")
-    sample = index.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector").toPandas()["vector"]
+    members = rows.withColumn("place", place).filter(F.col("place") <= k + 1).drop("asked")
+    members = materialize(members.withColumn("class", F.min("vec_id").over(Window.partitionBy("h", "g"))), "members")
+    index = members.filter("place = 1").select("class", "vector", "h", "g")
+    sample = index.orderBy(F.xxhash64("class"), "class").limit(SAMPLE).select("vector").toPandas()["vector"]
     codebooks = spark.sparkContext.broadcast(fit(np.stack(sample.to_list()).astype(np.float32)))
-
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                part = batch.slice(i, 1024)
-                x = np.array(part.column("vector").to_pylist(), np.float32)
-                codes, norm = encode(x, codebooks.value)
-                yield pa.RecordBatch.from_arrays([part.column("class"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm.astype(np.float32))], ["class", "codes", "norm"])
-
-    codes = materialize(index.select("class", "vector").mapInArrow(encoded, "class long, codes binary, norm float"), "codes")
-    asked = rows.filter("asked").select(F.col("vec_id").alias("query_id"), "class", "vector")
-    distinct = materialize(asked.groupBy("class").agg(F.first("vector").alias("vector")), "queries")
-    found, first, block = [], 0, []
-    numbered = []
-
-    def flush() -> None:
-        nonlocal first, block
-        if block:
-            scanned = _scan(codes, np.array([r["vector"] for r in block], np.float32), first, codebooks, candidates)
-            names = spark.createDataFrame([(first + i, r["class"]) for i, r in enumerate(block)], "q long, query_class long")
-            best = F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, candidates)  # of each partition's best
-            top = scanned.groupBy("q").agg(best.alias("best")).join(F.broadcast(names), "q")
-            numbered.append(materialize(top.select("query_class", F.explode("best.class").alias("class")), "candidates"))
-            first, block = first + len(block), []
-
-    for row in distinct.toLocalIterator():  # a block at a time, never all queries
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            flush()
-    flush()
-    if not numbered:
+    codes = materialize(_index(index.repartition(partitions(spark), "class"), codebooks), "codes")
+    asked = rows.filter("asked").select(F.col("vec_id").alias("query_id"), "h", "g").join(index.select("h", "g", F.col("class").alias("query_class")), ["h", "g"])
+    asked = materialize(asked.select("query_id", "query_class"), "asked")
+    distinct = asked.select("query_class").distinct().join(index.select(F.col("class").alias("query_class"), "vector"), "query_class")
+    n = asked.select("query_class").distinct().count()
+    if not n:
         return empty
-    found = numbered[0]
-    for more in numbered[1:]:
-        found = found.union(more)
+    blocks = -(-n // QUERY_BLOCK)
+    packed = distinct.groupBy(F.pmod(F.xxhash64("query_class"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct(F.col("query_class").alias("class"), "vector")).alias("asked"))
+    packed = materialize(packed, "queries")
+    spread = max(1, -(-partitions(spark) // blocks))  # tasks that share a block's scan
+    pairs = codes.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("part", F.pmod(F.xxhash64("segment"), F.lit(spread)))
+    pairs = pairs.repartition(partitions(spark), "block", "part").sortWithinPartitions("block")
+    if 4 * n * size["d"] <= QUERY_BYTES:
+        pairs = pairs.join(F.broadcast(packed), "block")
+    else:
+        pairs = pairs.join(packed.hint("shuffle_hash"), "block").repartition(partitions(spark), "block", "part").sortWithinPartitions("block")
+    found = materialize(_merged(_scan(pairs, codebooks, candidates), candidates), "candidates")
     exact = (
         found.join(index.select("class", F.col("vector").alias("x")), "class")
-        .join(distinct.select(F.col("class").alias("query_class"), F.col("vector").alias("y")), "query_class")
+        .join(distinct.select("query_class", F.col("vector").alias("y")), "query_class")
         .select("query_class", "class", _distance("x", "y").alias("score"))
     )
     nearest = Window.partitionBy("query_class").orderBy("score", "vec_id")
@@ -183,9 +233,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, candidates: int = C
     expanded = exact.join(members.select("class", "vec_id"), "class").withColumn("place", F.row_number().over(nearest)).filter(F.col("place") <= k + 1)
     final = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return (
-        asked.select("query_id", F.col("class").alias("query_class"))
-        .distinct()
-        .join(expanded.select("query_class", "vec_id", "score"), "query_class")
+        asked.join(expanded.select("query_class", "vec_id", "score"), "query_class")
         .filter("vec_id <> query_id")
         .withColumn("rank", F.row_number().over(final))
         .filter(F.col("rank") <= k)

@@ -42,3 +42,40 @@ def test_copies_ties_and_unusable_vectors(spark):
     few = run(spark, [(0, base, 0), (1, [1.0, 2.0, 4.0], 0), (2, [1.0, 2.0, 2.0], 0)])
     assert few == {0: [(1.0, 1), (1.0, 2)]}
     assert run(spark, []) == {} and run(spark, [(1, base, 0)]) == {}
+
+
+def test_recall_with_few_candidates(spark):
+    """Candidates are 2 % of the rows."""
+    r = np.random.default_rng(1)
+    x = (r.normal(size=(60, 32))[r.integers(0, 60, 5000)] + 0.6 * r.normal(size=(5000, 32))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = {}
+    for row in quantise.search(df, F.col("vec_id") % 100 == 0, 10, candidates=100).collect():
+        got.setdefault(row["query_id"], set()).add(row["vec_id"])
+    hits = 0
+    for q in got:
+        d = ((x.astype(float) - x[q].astype(float)) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(got[q] & set(np.argsort(d, kind="stable")[:10].tolist()))
+    assert len(got) == 50 and hits >= 0.9 * 500
+
+
+def test_repeated_ids_and_blocks(spark, monkeypatch):
+    """An id counts once, with its least vector; many small blocks of queries, by broadcast or by a shuffle."""
+    rows = [(5, [3.0, 3.0], 0), (5, [1.0, 1.0], 0), (5, [1.0, 1.0], 0), (0, [1.0, 2.0], 0), (0, [1.0, 2.0], 0), (7, [1.0, 4.0], 0)]
+    assert run(spark, rows) == {0: [(1.0, 5), (2.0, 7)]}
+    monkeypatch.setattr(quantise, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(quantise, "SEGMENT", 7)
+    r = np.random.default_rng(2)
+    vectors = {i: r.normal(size=4).astype(np.float32).tolist() for i in range(0, 4000, 10)}
+    rows = [(i, v, 0) for i, v in vectors.items()]
+    for most in (1 << 20, 0):
+        monkeypatch.setattr(quantise, "QUERY_BYTES", most)
+        got = run(spark, rows, 3)
+        assert len(got) == 40 and all([i for _, i in got[q]] == [i for _, i in exact(vectors, q, 3)] for q in got)
+
+
+def test_names_that_clash(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0], 1, 2, 3) for i in range(1, 102)], "vec_id long, embedding array<float>, class int, h int, place int")
+    out = quantise.search(df, F.col("vec_id") == 100, 2).collect()
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in sorted(out)] == [(1, 99, 1.0), (2, 101, 1.0)]
