@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import pieces, text_bytes
 
 BLOCK = 576
+#: Order of linear prediction; Rice partitions of a frame that is split, and their order in the format.
+LPC_ORDER, PARTS, PART_ORDER = 4, 4, 2
 #: Bytes of payload that are encoded or decoded at once.
 CHUNK = 2 << 20
 #: Fixed values of the format: coefficients of the fixed predictors by order.
@@ -92,10 +94,27 @@ def _lpc(x: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     return np.clip(np.rint(a * 256), -2048, 2047).astype(np.int64), np.full(len(x), 8)
 
 
+def _rice(total: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Rice parameters for sums of folded residuals."""
+    mean = total / np.maximum(count, 1)
+    return np.clip(np.floor(np.log2(np.maximum(mean * 0.69, 1))), 0, 14).astype(np.int32)
+
+
+def encode_best(samples: np.ndarray, numbers: np.ndarray, lpc_order: int = LPC_ORDER) -> tuple[bytes, np.ndarray]:
+    """Frames by linear prediction where that is shorter than the best fixed predictor."""
+    fixed, fixed_size = encode_frames(samples, numbers)
+    linear, linear_size = encode_frames(samples, numbers, lpc_order)
+    a, b = (np.concatenate([[0], np.cumsum(size)]).tolist() for size in (fixed_size, linear_size))
+    better = linear_size < fixed_size
+    frames = [linear[b[i] : b[i + 1]] if better[i] else fixed[a[i] : a[i + 1]] for i in range(len(better))]
+    return b"".join(frames), np.where(better, linear_size, fixed_size)
+
+
 def encode_frames(samples: np.ndarray, numbers: np.ndarray, lpc_order: int = 0) -> tuple[bytes, np.ndarray]:
     """Encode rows of signed 8-bit samples as frames; returns their bytes, back to back, and the frames' lengths.
 
-    numbers: each row's frame number in its stream. lpc_order 0 takes the best fixed predictor of order 0 to 2.
+    numbers: each row's frame number in its stream. lpc_order 0 takes the best fixed predictor of order 0 to 2. Residuals
+    are in one Rice partition or in PARTS of them, whichever is shorter for the frame.
     """
     x = samples.astype(np.int32)
     n, size = x.shape
@@ -116,16 +135,22 @@ def encode_frames(samples: np.ndarray, numbers: np.ndarray, lpc_order: int = 0)
         residual = np.choose(best[:, None], tries)
     raw = np.arange(size)[None, :] < best[:, None]
     u = np.where(raw, 0, (residual << 1) ^ (residual >> 31)).astype(np.int32)
-    mean = u.sum(1) / np.maximum(size - best, 1)
-    k = np.clip(np.floor(np.log2(np.maximum(mean * 0.69, 1))) , 0, 14).astype(np.int32)
-    one = (np.int32(1) << k)[:, None]
-    bits = np.where(raw, np.int32(8), (u >> k[:, None]) + (1 + k)[:, None])
+    one_k = _rice(u.sum(1), size - best)
+    step = size // PARTS
+    many_k = np.stack([_rice(u[:, j : j + step].sum(1), step - (best if not j else 0)) for j in range(0, size, step)], 1)
+    each = np.repeat(many_k, step, 1)
+    shorter = np.where(raw, 0, (u >> each) + each).sum(1) + 4 * (PARTS - 1) < np.where(raw, 0, (u >> one_k[:, None]) + one_k[:, None]).sum(1)
+    k = np.where(shorter[:, None], each, one_k[:, None])
+    one = np.int32(1) << k
+    bits = np.where(raw, np.int32(8), (u >> k) + (1 + k))
     value = np.where(raw, x & 0xFF, one | (u & (one - 1)))
-    width = np.where(raw, np.int32(8), (k + 1)[:, None])
+    width = np.where(raw, np.int32(8), k + 1)
+    # each partition after the first has its parameter before its codes
+    later = np.where(shorter[:, None], 4 * (np.arange(size) // step)[None, :], 0)
     extra = 4 + 5 + 12 * best if lpc_order else np.zeros(n, np.int64)  # precision, shift and coefficients
     gap = 10 + extra
-    before = np.cumsum(bits, 1) + np.where(raw, 0, gap[:, None])  # end of each sample's code, after the subframe's header
-    body = 8 + bits.sum(1) + gap
+    before = np.cumsum(bits, 1) + np.where(raw, 0, gap[:, None] + later)  # end of each sample's code, after the subframe's header
+    body = 8 + bits.sum(1) + gap + later[:, -1]
     number, number_size = _utf8_number(numbers)
     head = 4 + number_size + 1
     length = head + (body + 7) // 8 + 2
@@ -136,7 +161,13 @@ def encode_frames(samples: np.ndarray, numbers: np.ndarray, lpc_order: int = 0)
     head_value = np.full(n, kind) if lpc_order else kind | (best << 1)
     rice_end = zero + 8 + 8 * best + gap
     ends = [(zero[:, None] + 8 + before).ravel(), zero + 8, rice_end]
-    values, widths = [value.ravel(), head_value, k], [width.ravel(), np.full(n, 8), np.full(n, 10)]
+    first_k = np.where(shorter, many_k[:, 0], one_k)
+    values, widths = [value.ravel(), head_value, np.where(shorter, PART_ORDER << 4, 0) | first_k], [width.ravel(), np.full(n, 8), np.full(n, 10)]
+    split = np.flatnonzero(shorter)
+    for j in range(1, PARTS):
+        ends.append(zero[split] + 8 + before[split, j * step - 1] + 4)
+        values.append(many_k[split, j])
+        widths.append(np.full(len(split), 4))
     if lpc_order:
         at = zero + 8 + 8 * best
         ends += [at + 9]
@@ -176,15 +207,17 @@ def _stream(frames: bytes, lengths: np.ndarray, md5: bytes) -> bytes:
     return b"fLaC" + b"\0" + len(info).to_bytes(3, "big") + info + b"\x83" + len(table).to_bytes(3, "big") + table + frames
 
 
-def encode_payloads(payloads: list[bytes], lpc_order: int = 0) -> list[bytes]:
-    """A stream for each payload, whose length is a positive multiple of BLOCK; byte b is sample b - 128."""
+def encode_payloads(payloads: list[bytes], lpc_order: int | None = None) -> list[bytes]:
+    """A stream for each payload, whose length is a positive multiple of BLOCK; byte b is sample b - 128. Each frame takes
+    the shorter of fixed and linear prediction, or one of them for all (order 0: fixed)."""
     counts = [len(p) // BLOCK for p in payloads]
     raw = np.frombuffer(b"".join(payloads), np.uint8) ^ 0x80  # unsigned to two's complement
     numbers = np.concatenate([np.arange(c) for c in counts])
     rows = raw.view(np.int8).reshape(-1, BLOCK)
     blocks, lengths = [], []
     for i in range(0, len(rows), CHUNK // BLOCK):
-        b, n = encode_frames(rows[i : i + CHUNK // BLOCK], numbers[i : i + CHUNK // BLOCK], lpc_order)
+        part = rows[i : i + CHUNK // BLOCK], numbers[i : i + CHUNK // BLOCK]
+        b, n = encode_best(*part) if lpc_order is None else encode_frames(*part, lpc_order)
         blocks.append(b)
         lengths.append(n)
     frames, lengths = b"".join(blocks), np.concatenate(lengths)
@@ -427,6 +460,27 @@ def pcm_bytes(frames: list[np.ndarray], bits: int) -> bytes:
     return x.astype("<i4").reshape(-1, 1).view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
 
 
+def pcm_blocks(streams: list[bytes], block_samples: int = 65536) -> Iterator[tuple[dict, bool, Iterator[tuple[int, int, bytes]]]]:
+    """Every stream's information, whether its checksums hold, and its PCM blocks: sample offset, samples, bytes."""
+    for info, frames, ok in decode_streams(streams):
+        width, pending, ready, offset = info["channels"] * ((info["bits"] + 7) // 8), [], 0, 0
+        blocks = []
+        for frame in frames:
+            pending.append(frame)
+            ready += frame.shape[-1]
+            if ready >= block_samples:
+                pcm = pcm_bytes(pending, info["bits"])
+                while len(pcm) >= width * block_samples:
+                    blocks.append((offset, block_samples, pcm[: width * block_samples]))
+                    pcm, offset = pcm[width * block_samples :], offset + block_samples
+                rest = len(pcm) // width
+                pending, ready = ([np.concatenate(pending, axis=1)[:, -rest:]] if rest else []), rest
+        if ready:
+            pcm = pcm_bytes(pending, info["bits"])
+            blocks.append((offset, ready, pcm))
+        yield info, ok, iter(blocks)
+
+
 def encode_column(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """A FLAC stream for each text: (id, n_bytes, media).
 
@@ -459,11 +513,8 @@ def decode_blocks(df: DataFrame, id_column: str, media_column: str, block_sample
             for batch in pieces(whole, "_media", CHUNK):
                 kept = [(i, m) for i, m in zip(batch.column("_id").to_pylist(), batch.column("_media").to_pylist()) if m is not None]
                 rows = []
-                for (key, _), (info, frames, ok) in zip(kept, decode_streams([m for _, m in kept])):
-                    pcm, width = pcm_bytes(frames, info["bits"]), info["channels"] * ((info["bits"] + 7) // 8)
-                    for b in range(-(-len(pcm) // (width * block_samples))):
-                        part = pcm[b * width * block_samples : (b + 1) * width * block_samples]
-                        rows.append((key, b, b * block_samples, len(part) // width, part, ok))
+                for (key, _), (_, ok, blocks) in zip(kept, pcm_blocks([m for _, m in kept], block_samples)):
+                    rows += [(key, number, *block, ok) for number, block in enumerate(blocks)]
                 cols = list(zip(*rows)) or [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [batch.schema.field("_id").type, pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()])], ["_id", "block", "sample_offset", "n_samples", "pcm", "checksums_hold"])
 
@@ -472,39 +523,72 @@ def decode_blocks(df: DataFrame, id_column: str, media_column: str, block_sample
     return rows.mapInArrow(run, f"_id {kind}, block int, sample_offset long, n_samples long, pcm binary, checksums_hold boolean").withColumnRenamed("_id", id_column)
 
 
-def seek(media: bytes, sample: int, count: int) -> bytes:
-    """Samples [sample, sample + count) of a stream, reading only the frames that hold them."""
-    info, offsets, first = read_header(media)
-    lo, hi = sample // info["block"], -(-(sample + count) // info["block"])
-    data = np.frombuffer(media, np.uint8)[first:]
-    frames, _, good = decode_frames(data, offsets[lo:hi], info["bits"])
+def seek_many(streams: list[bytes], sample: list[int], count: int) -> list[bytes]:
+    """Samples [sample, sample + count) of each stream, decoding only the frames that hold them, all in step."""
+    starts, spans, at = [], [], 0
+    for media, s in zip(streams, sample):
+        info, offsets, first = read_header(media)
+        lo, hi = s // info["block"], -(-(s + count) // info["block"])
+        starts.append(offsets[lo:hi] + at + first)
+        spans.append((info, len(starts[-1]), s - lo * info["block"]))
+        at += len(media)
+    if not streams:
+        return []
+    frames, _, good = decode_frames(np.frombuffer(b"".join(streams), np.uint8), np.concatenate(starts), spans[0][0]["bits"])
     if not good.all():
         raise ValueError("a frame's checksum is wrong")
-    width = info["channels"] * ((info["bits"] + 7) // 8)
-    cut = sample - lo * info["block"]
-    return pcm_bytes(frames, info["bits"])[cut * width : (cut + count) * width]
+    out, used = [], 0
+    for info, n, cut in spans:
+        width = info["channels"] * ((info["bits"] + 7) // 8)
+        out.append(pcm_bytes(frames[used : used + n], info["bits"])[cut * width : (cut + count) * width])
+        used += n
+    return out
+
+
+def seek(media: bytes, sample: int, count: int) -> bytes:
+    """Samples [sample, sample + count) of a stream, reading only the frames that hold them."""
+    return seek_many([media], [sample], count)[0]
 
 
 def features(df: DataFrame, id_column: str, media_column: str, n_bytes: str) -> DataFrame:
-    """Decode each stream and describe its payload: lengths, digests, checksum of the last 32 payload bytes, and a
-    feature string (sum, sum of squares, zero crossings and a 16-bin level histogram of the samples).
+    """Read each stream's PCM blocks in the order of their offsets and describe its payload: lengths, digests, the checksum
+    of the last 32 payload bytes, which are sought by their sample offset, and a feature string (sum, sum of squares, zero
+    crossings and a 16-bin level histogram of the samples).
 
-    A stream whose frame checksums or MD5 don't hold fails the task.
+    A stream whose frame checksums or MD5 don't hold fails the task. A null stream has nulls.
     """
 
     def describe(batch: pa.RecordBatch) -> pa.RecordBatch:
         media = batch.column("_media").to_pylist()
-        rows = []
-        for m, (info, frames, ok) in zip(media, decode_streams(media)):
-            pcm = pcm_bytes(frames, info["bits"])
-            if not ok or hashlib.md5(pcm).digest() != info["md5"]:
+        known = [m for m in media if m is not None]
+        tails = iter(seek_many(known, [read_header(m)[0]["samples"] - 32 for m in known], 32))
+        streams, rows = pcm_blocks(known), []
+        for m in media:
+            if m is None:
+                rows.append((None,) * 6)
+                continue
+            info, ok, blocks = next(streams)
+            md5, sha, n, total, squares, crossings, levels, last = hashlib.md5(), hashlib.sha256(), 0, 0, 0, 0, np.zeros(16, np.int64), None
+            for offset, samples, pcm in blocks:
+                if offset != n:
+                    raise ValueError("a block is missing")
+                x = np.frombuffer(pcm, np.int8)
+                payload = x.view(np.uint8) ^ 0x80
+                md5.update(pcm)
+                sha.update(payload.tobytes())
+                n += samples
+                levels += np.bincount(payload >> 4, minlength=16)
+                w = x.astype(np.int32)
+                total += int(w.sum())
+                squares += int((w * w).sum())
+                negative = (w < 0) if last is None else np.concatenate([[last], (w < 0)])
+                crossings += int((negative[1:] != negative[:-1]).sum())
+                last = negative[-1]
+            if not ok or md5.digest() != info["md5"]:
                 raise ValueError("a stream's checksum is wrong")
-            x = np.frombuffer(pcm, np.int8)
-            payload = (x.view(np.uint8) ^ 0x80).tobytes()
-            levels = np.bincount((x.view(np.uint8) ^ 0x80) >> 4, minlength=16)
-            w = x.astype(np.int64)
-            feature = f"sum={int(w.sum())};squares={int((w * w).sum())};crossings={int((np.signbit(x[1:]) != np.signbit(x[:-1])).sum())};levels={'/'.join(map(str, levels))}"
-            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature))
+            tail = (np.frombuffer(next(tails), np.uint8) ^ 0x80).tobytes()
+            feature = f"sum={total};squares={squares};crossings={crossings};levels={'/'.join(map(str, levels))}"
+            rows.append((n, sha.hexdigest(), zlib.crc32(tail), len(m), hashlib.sha256(m).hexdigest(), feature))
         types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         return [pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 6, types)]
 

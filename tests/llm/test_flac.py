@@ -17,7 +17,7 @@ def padded(raw):
 
 
 @settings(max_examples=30, deadline=None)
-@given(st.lists(st.binary(max_size=3000), min_size=1, max_size=4), st.sampled_from([0, 2, 5]))
+@given(st.lists(st.binary(max_size=3000), min_size=1, max_size=4), st.sampled_from([0, 2, 5, None]))
 def test_round_trip(texts, order):
     payloads = [padded(t) for t in texts]
     streams = flac.encode_payloads(payloads, order)
@@ -48,6 +48,32 @@ def test_checksums_and_seeking():
         flac.decode_streams([b"RIFF" + stream[4:]])
 
 
+def test_best_frames_blocks_and_seeking():
+    """Frames choose between predictors and partitions; blocks have offsets and any of them can be sought."""
+    wave = (100 * np.sin(np.arange(576 * 6) * 0.05) + 128).astype(np.uint8).tobytes()
+    half = bytes(288) + bytes(random.Random(2).randrange(256) for _ in range(288))
+    raw = wave + half + padded(b"some text, some more text. " * 40)
+    stream, plain = flac.encode_payloads([raw])[0], flac.encode_payloads([raw], 0)[0]
+    assert len(stream) < len(plain)
+    info, offsets, first = flac.read_header(stream)
+    kinds = [stream[first + o + 6] for o in offsets]  # the subframe's header follows a frame header of six bytes
+    assert any(k & 0x40 for k in kinds) and any(not k & 0x40 for k in kinds)
+    for size in (100, 576, 1000, 1 << 20):
+        (_, ok, blocks), = flac.pcm_blocks([stream], size)
+        blocks = list(blocks)
+        assert ok and [b[0] for b in blocks] == list(range(0, len(raw), size)) and bytes(b ^ 0x80 for b in b"".join(b[2] for b in blocks)) == raw
+    got = flac.seek_many([stream, plain, stream], [0, 1000, len(raw) - 40], 40)
+    assert [bytes(b ^ 0x80 for b in g) for g in got] == [raw[:40], raw[1000:1040], raw[-40:]] and flac.seek_many([], [], 5) == []
+
+
+def test_null_streams(spark):
+    media = flac.encode_column(spark.createDataFrame([(1, "x"), (2, None)], "id long, text string"), "id", "text")
+    rows = media.union(spark.createDataFrame([(3, None, None)], media.schema))
+    out = {r["id"]: r for r in flac.features(rows, "id", "media", "n_bytes").collect()}
+    assert out[3]["payload_bytes"] is None and out[1]["payload_bytes"] == 576 and out[2]["n_bytes"] == 0
+    assert {r["id"] for r in flac.decode_blocks(rows, "id", "media").collect()} == {1, 2}
+
+
 class Writer:
     """Writes bits one by one, for streams that the encoder doesn't make."""
 
