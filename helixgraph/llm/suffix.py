@@ -43,8 +43,8 @@ from .common import discard, materialize, partitions, pieces
 WINDOWS = {"bytes": 256, "words": 32}
 #: Tuples that a task's queue holds in memory before it writes a sorted run to disk.
 QUEUE_ROWS = 1 << 18
-#: Different neighbourhoods of a core beyond which Spark halves the group.
-GROUP = 4096
+#: Different neighbourhoods of a core that a task takes; Spark halves larger groups (some 32 MB of contexts).
+GROUP = 1 << 16
 CHUNK = 2 << 20
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SPANS = T.ArrayType(T.StructType().add("start", "integer").add("end", "integer"))
