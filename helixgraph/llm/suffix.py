@@ -442,9 +442,11 @@ def repeated_spans(df: DataFrame, length: int, window: int | None = None, unit:
         raise ValueError("strings of 8 bytes or one word at least can be sought")
     symbol, tail = np.dtype(np.uint8 if unit == "bytes" else np.uint64), window - 1
     texts = df.select("_id", "_digest", "_text")
-    found = anchors(texts, length, window, unit).withColumn("n", F.lit(1).cast("long"))
+    # written once: both the count of names and the rows of those that come twice are taken from it
+    found = materialize(anchors(texts, length, window, unit).withColumn("n", F.lit(1).cast("long")), "found")
     twice = materialize(found.groupBy("name").agg(F.count("*").alias("c")).filter("c > 1").select("name"), "names")
     multi = materialize(found.join(twice, "name"), "anchors")
+    discard(found)
     whole, mixed = _grouped(multi, ("_digest", "_id", "at", "low", "high"))
     out = [whole, _induced(_contexts(mixed.filter(F.col("k") <= GROUP), texts, length, window, unit), tail, symbol.str)]
     hot, passing = mixed.filter(F.col("k") > GROUP), [twice, multi]
