@@ -174,7 +174,12 @@ def question_answer_class(s: Star) -> DataFrame:
     return s.table("conversations").filter("role = 'user'").select("conv_id", "turn", P.answer_class(F.col("text")).alias("class"))
 
 
-@query(r"SELECT doc_id, len(regexp_extract_all(text, '\b[A-Z]{2,6}[0-9]*\b')) - len(list_filter(regexp_extract_all(text, '\b[A-Z]{2,6}[0-9]*\b'), lambda x: list_contains(['THE', 'AND', 'FOR', 'WITH', 'WHAT', 'WHICH', 'ARE', 'DOES', 'FROM', 'THAT', 'THIS', 'BOTH', 'ALL'], x))) AS genes, len(regexp_extract_all(text, 'GO:[0-9]{7}')) AS go_terms, len(regexp_extract_all(text, '(?i)\brs[0-9]+\b')) AS rsids, len(regexp_extract_all(text, '\b[PQO][0-9][A-Z0-9]{3}[0-9](?:-[0-9]+)?\b')) AS proteins FROM documents")
+#: Letters beyond ASCII count as parts of words, which DuckDB's word boundaries leave out.
+_PLAIN = r"regexp_replace(regexp_replace(text, '[^\p{L}\p{N}_:\-]', ' ', 'g'), '[^\x00-\x7F]', '_', 'g')"
+_NO_GENES = "['" + "', '".join(P.NO_GENES) + "']"
+
+
+@query(rf"SELECT doc_id, len(list_filter(regexp_extract_all(t, '\b[A-Z]{{2,6}}[0-9]*\b'), lambda x: NOT list_contains({_NO_GENES}, x))) AS genes, len(regexp_extract_all(t, 'GO:[0-9]{{7}}')) AS go_terms, len(regexp_extract_all(t, '(?i)\brs[0-9]+\b')) AS rsids, len(regexp_extract_all(t, '\b[PQO][0-9][A-Z0-9]{{3}}[0-9](?:-[0-9]+)?\b')) AS proteins FROM (SELECT doc_id, {_PLAIN} AS t FROM documents)")
 def question_entities(s: Star) -> DataFrame:
     """Identifiers in texts: gene symbols beyond common words, gene-ontology terms, variants and proteins."""
     c = F.col("text")
