@@ -1,9 +1,12 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Small transducers over the labels of a clause's words are composed into one machine: negation softens the insults after
-it, reported speech marks what is quoted or told, targets sharpen insults and turn threats into direct ones. Insulting
-words and stems come from labels; cues are fixed lists. A document's score is a logistic function of the weights that its
-matched clauses gather, by the kind of clause, so words count by what is said with them.
+Five transducers over the labels of a sentence's words and marks are composed into one machine: insults (a degree word
+makes one strong), threats (an intent before a violent verb), negation (softens what comes soon after it), reported
+speech (marks what is told or quoted, over commas, colons and quotation marks) and targets (a person on either side
+sharpens an insult and makes a threat direct). Insulting words and stems come from labels; cues are fixed lists. A
+document's score is a logistic function of the weights that its matched clauses gather, by the kind of clause, so words
+count by what is said with them. Speech reported after the quotation ("...", he said) isn't seen, as the machine reads
+from left to right; a sentence ends reported speech.
 """
 
 from __future__ import annotations
@@ -11,8 +14,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache, reduce
 
 import ahocorasick
 import numpy as np
@@ -32,7 +36,7 @@ STEMS = (4, 5, 6, 7)
 EVIDENCE, MOST_LEXEMES = 14.0, 5_000
 #: Share of toxic rows among those that hold a learned word or stem, at least.
 RATE = 0.8
-#: Words over which a negation, or a target, reaches.
+#: Words over which a negation, an intent or a target reaches.
 REACH = 3
 CHUNK = 4 << 20
 
@@ -41,10 +45,12 @@ CUES = {
     "NEG": "not no never isn't aren't wasn't don't doesn't nobody nicht kein keine nie pas jamais aucun nunca ningún tampoco".split(),
     "REPORT": "said says saying told called calls wrote reported quoted sagte sagt nannte schrieb berichtete dit disait appelait écrit dijo dice llamó escribió".split(),
     "TARGET": "you your you're they them their he she him her these those all du dich dir ihr sie euch tu te toi vous eux ils tú ti usted ustedes ellos".split(),
-    "THREAT": "kill hurt destroy burn beat shoot attack crush töten schlagen verbrennen zerstören tuer frapper brûler détruire matar golpear quemar destruir".split(),
+    "VERB": "kill hurt destroy burn beat shoot attack crush töten schlagen verbrennen zerstören tuer frapper brûler détruire matar golpear quemar destruir".split(),
+    "INTENT": "will shall gonna going i'll we'll werde werden wird vais vas allons vont voy vamos van".split(),
+    "DEGREE": "such so total complete absolute utter real damn so'n total völlig absoluter vrai complet absolu tan verdadero completo".split(),
 }
-#: Weight of an insult or threat by what the composed machine says of it, before the logistic function is fitted.
-KINDS = ("insult", "targeted", "negated", "reported", "threat", "direct_threat")
+#: What the composed machine says of a word, in the order of the features.
+KINDS = ("insult", "strong_insult", "targeted", "negated", "reported", "violence", "threat", "direct_threat")
 
 Label = str
 
@@ -57,10 +63,7 @@ class Transducer:
     arcs: dict[tuple[int, Label], tuple[int, Label]]
 
     def step(self, state: int, label: Label) -> tuple[int, Label]:
-        return self.arcs.get((state, label), self.arcs.get((state, "*"), (state, label)))
-
-    def alphabet(self) -> set[Label]:
-        return {a for _, a in self.arcs} | {b for _, b in self.arcs.values()}
+        return self.arcs.get((state, label), (state, label))
 
 
 def compose(first: Transducer, second: Transducer, labels: set[Label]) -> Transducer:
@@ -80,33 +83,98 @@ def compose(first: Transducer, second: Transducer, labels: set[Label]) -> Transd
     return Transducer(0, arcs)
 
 
-def _after(cue: Label, changes: dict[Label, Label], reach: int | None, labels: set[Label]) -> Transducer:
-    """After a cue, labels change for ``reach`` words, or to the end of the clause."""
+#: What the words and marks of a sentence are: SLUR is a learned word, BREAK a comma, semicolon, colon or bracket.
+INPUTS = ("WORD", "SLUR", "BREAK", "QUOTE", *CUES)
+#: What machines make of them.
+OUTPUTS = ("INSULT", "STRONG", "TARGETED", "NEGATED", "REPORTED", "VIOLENCE", "THREAT", "DIRECT")
+LABELS = {*INPUTS, *OUTPUTS}
+
+
+def transducer(start: str, rule: Callable[[str, int, Label], tuple[str, int, Label]]) -> Transducer:
+    """The machine whose states are (name, words left); ``rule`` says where a state goes under a label, and what comes out."""
+    number, todo = {(start, 0): 0}, [(start, 0)]
     arcs: dict[tuple[int, Label], tuple[int, Label]] = {}
-    for state in range((reach or 1) + 1):
-        for label in labels:
-            if label == cue:
-                arcs[state, label] = (reach or 1, label)
-            elif state:
-                arcs[state, label] = (state - 1 if reach else state, changes.get(label, label))
-            else:
-                arcs[state, label] = (0, label)
+    while todo:
+        state = todo.pop()
+        for label in LABELS:
+            name, left, out = rule(*state, label)
+            if (name, left) not in number:
+                number[name, left] = len(number)
+                todo.append((name, left))
+            arcs[number[state], label] = (number[name, left], out)
     return Transducer(0, arcs)
 
 
+def _fade(name: str, left: int) -> tuple[str, int]:
+    """A word on: what was met reaches one word less."""
+    return (name, left - 1) if left > 1 else ("none", 0)
+
+
+def insults(name: str, left: int, label: Label) -> tuple[str, int, Label]:
+    """Learned words are insults, strong ones next to a degree word or another insult."""
+    if label == "SLUR":
+        return "near", 1, "STRONG" if name == "near" else "INSULT"
+    return ("near", 1, label) if label == "DEGREE" else ("none", 0, label)
+
+
+def threats(name: str, left: int, label: Label) -> tuple[str, int, Label]:
+    """Violent verbs, which are threats within the reach of an intent."""
+    if label == "INTENT":
+        return "intent", REACH, label
+    if label == "BREAK":
+        return "none", 0, label
+    return *_fade(name, left), {"VERB": "THREAT" if name == "intent" else "VIOLENCE"}.get(label, label)
+
+
+def negation(name: str, left: int, label: Label) -> tuple[str, int, Label]:
+    """Insults, violence and threats within the reach of a negation in their clause."""
+    if label == "NEG":
+        return "negated", REACH, label
+    if label == "BREAK":
+        return "none", 0, label
+    soft = name == "negated" and label in ("INSULT", "STRONG", "VIOLENCE", "THREAT")
+    return *_fade(name, left), "NEGATED" if soft else label
+
+
+def reported(name: str, left: int, label: Label) -> tuple[str, int, Label]:
+    """What comes after a word of saying: its clause, the next one, and all that is in quotation marks after it."""
+    if label == "REPORT" and name != "quoted":
+        return "told", 0, label
+    if label == "QUOTE":
+        return ("none" if name in ("none", "quoted") else "quoted"), 0, label
+    if label == "BREAK" and name != "quoted":
+        return ("next" if name == "told" else "none"), 0, label
+    marks = name != "none" and label in ("INSULT", "STRONG", "VIOLENCE", "THREAT")
+    return name, 0, "REPORTED" if marks else label
+
+
+_SHARPER = {"INSULT": "TARGETED", "STRONG": "TARGETED", "VIOLENCE": "THREAT", "THREAT": "DIRECT"}
+
+
+def targets(name: str, left: int, label: Label) -> tuple[str, int, Label]:
+    """A person before or after sharpens what is said: after, it is the person's word that bears the sharper mark."""
+    if label == "TARGET":
+        return "TARGET", REACH, _SHARPER.get(name, label)
+    if label == "BREAK":
+        return "none", 0, label
+    if label in _SHARPER:
+        return (*_fade(name, left), _SHARPER[label]) if name == "TARGET" else (label, REACH, label)
+    return *_fade(name, left), label
+
+
+@lru_cache(1)
 def grammar() -> Transducer:
-    """Negation, then reported speech, then targets, composed."""
-    labels = {"WORD", "NEG", "REPORT", "TARGET", "THREAT", "INSULT", "NEGATED", "REPORTED", "TARGETED", "DIRECT"}
-    negation = _after("NEG", {"INSULT": "NEGATED", "THREAT": "NEGATED"}, REACH, labels)
-    reported = _after("REPORT", {"INSULT": "REPORTED", "THREAT": "REPORTED"}, None, labels)
-    target = _after("TARGET", {"INSULT": "TARGETED", "THREAT": "DIRECT"}, REACH, labels)
-    return compose(compose(negation, reported, labels), target, labels)
+    """Insults, threats, negation, reported speech and targets, composed in this order."""
+    machines = [transducer("none", rule) for rule in (insults, threats, negation, reported, targets)]
+    return reduce(lambda a, b: compose(a, b, LABELS), machines)
 
 
-_KIND = {"INSULT": 0, "TARGETED": 1, "NEGATED": 2, "REPORTED": 3, "THREAT": 4, "DIRECT": 5}
-#: Clauses end at punctuation and line breaks.
-_CLAUSE = re.compile(r"[^.,;:!?\n]+")
+_KIND = {out: i for i, out in enumerate(OUTPUTS)}
+_SOFT = (_KIND["NEGATED"], _KIND["REPORTED"])
+_SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
+_TOKEN = re.compile(_WORD.pattern + r"|[,;:()]|[\"“”„«»]")
+_MARKS = {**dict.fromkeys(",;:()", "BREAK"), **dict.fromkeys("\"“”„«»", "QUOTE")}
 
 
 @dataclass
@@ -115,20 +183,20 @@ class Model:
 
     words: dict[str, float]
     stems: dict[str, float]
-    coefficients: list[float] = field(default_factory=lambda: [0.0] * 8)
+    coefficients: list[float] = field(default_factory=lambda: [0.0] * (len(KINDS) + 2))
 
     def matcher(self) -> "Matcher":
         return Matcher(self)
 
 
 class Matcher:
-    """Finds the clauses that hold a lexeme or a threat, and runs the composed machine over them."""
+    """Finds the sentences that hold a lexeme or a violent verb, and runs the composed machine over them."""
 
     def __init__(self, model: Model):
         self.model, self.machine = model, grammar()
-        self.cue = {w: c for c, words in CUES.items() for w in words}
+        self.cue = {w: c for c, words in CUES.items() for w in words} | _MARKS
         self.search = ahocorasick.Automaton()
-        for w in {*model.words, *model.stems, *CUES["THREAT"]}:
+        for w in {*model.words, *model.stems, *CUES["VERB"]}:
             self.search.add_word(w, len(w))
         self.search.make_automaton()
 
@@ -139,27 +207,29 @@ class Matcher:
     def features(self, text: str) -> list[float]:
         """Weights gathered by kind, and the greatest of one clause: log-damped, so that long texts stay comparable."""
         low = text.lower()
-        gathered, most = [0.0] * len(KINDS), 0.0
+        gathered, most, arcs = [0.0] * len(KINDS), 0.0, self.machine.arcs
         done = 0
         for end, n in self.search.iter(low):
             at = end - n + 1
             if at < done or (at and low[at - 1].isalnum()):
                 continue
-            start = max(low.rfind(c, 0, at) for c in ".,;:!?\n") + 1
-            clause = _CLAUSE.match(low, start)
-            if not clause:
+            start = max(low.rfind(c, done, at) for c in ".!?\n")
+            sentence = _SENTENCE.match(low, start + 1 if start >= 0 else done)
+            if not sentence:
                 continue
-            done = clause.end()
-            total, state = 0.0, self.machine.start
-            for m in _WORD.finditer(clause[0]):
+            done = sentence.end()
+            total, state, last = 0.0, 0, 0.0
+            for m in _TOKEN.finditer(sentence[0]):
                 word = m[0]
-                w = self.weight(word)
-                label = "INSULT" if w else self.cue.get(word, "WORD")
-                state, out = self.machine.step(state, label)
+                label = self.cue.get(word)
+                w = 0.0 if label else self.weight(word)
+                state, out = arcs[state, "SLUR" if w else label or "WORD"]
                 kind = _KIND.get(out)
                 if kind is not None:
-                    gathered[kind] += w or 1.0
-                    total += (w or 1.0) if kind not in (2, 3) else 0.0
+                    # a target after an insult bears the insult's weight
+                    last = w or (1.0 if label == "VERB" else last)
+                    gathered[kind] += last
+                    total += 0.0 if kind in _SOFT else last
             most = max(most, total)
         return [math.log1p(g) for g in gathered] + [math.log1p(most)]
 
@@ -169,6 +239,11 @@ class Matcher:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
+def _bounded(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from pieces(batch, column, CHUNK)
+
+
 def lexemes(text: str) -> set[str]:
     """Words, and beginnings of words with a star, each once."""
     words = set(_WORD.findall(text.lower()))
@@ -188,7 +263,7 @@ def _independent(df: DataFrame, id_column: str) -> DataFrame:
     marked = T.StructType().add(id_column, df.schema[id_column].dataType).add("_text", "string").add("label", "integer").add("m0", "long").add("m1", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _bounded(batches, "_text"):
             marks = [_marks(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64())], marked.names)
 
@@ -202,7 +277,7 @@ def _counts(df: DataFrame) -> DataFrame:
     """(lexeme, toxic, clean): in how many rows of each class each lexeme is, counted in the tasks first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _bounded(batches, "_text"):
             toxic, clean = Counter(), Counter()
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 (toxic if label else clean).update(lexemes(text or ""))
@@ -218,7 +293,7 @@ def _featured(df: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = model.matcher()
-        for batch in batches:
+        for batch in _bounded(batches, "_text"):
             rows = [matcher.features(t or "") for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(rows, pa.list_(pa.float64()))], ["label", "features"])
 
@@ -255,7 +330,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     bad, good = size.get(1, 0), size.get(0, 0)
     prior = math.log((bad + 0.5) / (good + 0.5)) if bad + good else -2.0
     if not bad or not good:
-        return Model({}, {}, [prior] + [0.0] * 7)
+        return Model({}, {}, [prior] + [0.0] * (len(KINDS) + 1))
     share = bad / (bad + good)
     counted = _counts(rows).filter("toxic >= 3")
     rate = F.col("toxic") / (F.col("toxic") + F.col("clean"))
@@ -278,9 +353,8 @@ def score(df: DataFrame, model: Model, id_column: str = "doc_id", text_column: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = model.matcher()
-        for whole in batches:
-            for batch in pieces(whole, "_text", CHUNK):
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([matcher.score(t or "") for t in batch.column(1).to_pylist()], pa.float64())], ["_id", "score"])
+        for batch in _bounded(batches, "_text"):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([matcher.score(t or "") for t in batch.column(1).to_pylist()], pa.float64())], ["_id", "score"])
 
     schema = T.StructType().add("_id", df.schema[id_column].dataType).add("score", "double")
     return df.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text")).mapInArrow(run, schema).withColumnRenamed("_id", id_column)
@@ -292,7 +366,7 @@ def keep_clean(df: DataFrame, model: Model, text_column: str = "text", threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = model.matcher()
-        for batch in batches:
+        for batch in _bounded(batches, text_column):
             clean = [matcher.score(t or "") < threshold for t in batch.column(names.index(text_column)).to_pylist()]
             yield batch.filter(pa.array(clean, pa.bool_()))
 

@@ -1,5 +1,7 @@
 """The grammar's machines, and held-out accuracy on the given labels."""
 
+import random
+
 from helixgraph.llm import queries, toxicity
 from helixgraph.llm.common import documents
 
@@ -14,13 +16,42 @@ def test_composition_scores_clauses():
     assert kinds("what an idiot") == {"insult"}
     assert kinds("you absolute idiot") == {"targeted"}
     assert kinds("this is not an idiot") == {"negated"}
-    assert kinds("not so. An idiot") == {"insult"}  # the clause ends the negation
+    assert kinds("not so. An idiot") == {"insult"} and kinds("not so, an idiot") == {"insult"}  # the clause ends the negation
     assert kinds("not one two three four idiot") == {"insult"}  # out of reach
+    assert kinds("such idiot moron") == {"strong_insult"} and kinds("such an idiot") == {"insult"}
+    assert kinds("idiot, moron") == {"insult"}
+    assert kinds("the idiot you are") == {"insult", "targeted"}
     assert kinds("she said what an idiot") == {"reported"}
     assert kinds("she said he is not an idiot") == {"negated"}
-    assert kinds("I will kill you") == {"threat"} and kinds("you they kill") == {"direct_threat"}
+    assert kinds("he said: what an idiot") == kinds("he said, what an idiot") == kinds('he said, "well, well, idiot"') == {"reported"}
+    assert kinds('he said "well", now, idiot') == {"insult"}  # the quotation has ended
+    assert kinds("he said it, and so on, idiot") == {"insult"} and kinds("he said it. Idiot") == {"insult"}
+    assert kinds("fires kill") == {"violence"} and kinds("I will soon kill") == {"threat"}
+    assert kinds("I will kill you") == {"threat", "direct_threat"} and kinds("you they kill") == {"threat"}
+    assert kinds("I will not kill you") == {"negated"} and kinds("she said I will kill you") == {"reported"}
     assert kinds("morons everywhere") == {"insult"} and kinds("sidiotic") == set()
-    assert kinds("") == set()
+    assert kinds("") == set() and kinds(", \" : idiot") == {"insult"}
+
+
+def test_composition_equals_the_machines_in_turn():
+    """The composed machine says of random words what the five say one after another."""
+    rules = (toxicity.insults, toxicity.threats, toxicity.negation, toxicity.reported, toxicity.targets)
+    r = random.Random(1)
+    for _ in range(400):
+        words = r.choices(toxicity.INPUTS, k=r.randint(1, 25))
+        want = words
+        for rule in rules:
+            state, out = ("none", 0), []
+            for w in want:
+                name, left, o = rule(*state, w)
+                state = (name, left)
+                out.append(o)
+            want = out
+        state, got = 0, []
+        for w in words:
+            state, o = toxicity.grammar().arcs[state, w]
+            got.append(o)
+        assert got == want
 
 
 def test_machine_is_total():
@@ -48,5 +79,5 @@ def test_edge_cases(spark):
     one_class = toxicity.train(docs, spark.createDataFrame([(1, 0), (2, None), (None, 1)], "doc_id long, toxic int"))
     assert not one_class.words
     assert toxicity.score(docs.limit(0), model).collect() == []
-    kept = toxicity.keep_clean(docs, toxicity.Model({"idiot": 5.0}, {}, [-3.0, 9.0] + [0.0] * 6))
+    kept = toxicity.keep_clean(docs, toxicity.Model({"idiot": 5.0}, {}, [-3.0, 9.0, 9.0] + [0.0] * 7))
     assert kept.columns == docs.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2]
