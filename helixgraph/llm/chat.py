@@ -11,16 +11,20 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import zlib
 from collections.abc import Iterator
+from itertools import combinations
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import partitions
+from .common import partitions, pieces
 
+#: Bytes of records or texts that a task turns into Python values at a time, or one row's.
+CHUNK = 4 << 20
 START, END = "<|im_start|>", "<|im_end|>"
 #: Strings that templates in use give a meaning.
 CONTROLS = (START, END, "<|endoftext|>", "<|system|>", "<|user|>", "<|assistant|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<start_of_turn>", "<end_of_turn>", "<bos>", "<eos>", "<pad>")
@@ -58,12 +62,16 @@ def read_turns(formatted: str) -> list[tuple[str, str, int, int]]:
     return out
 
 
+#: What the path of an empty list ends in.
+EMPTY = "[0]"
+
+
 def field_paths(value: Any, prefix: str = "") -> set[str]:
     """Nested field paths of a parsed record; the elements of a list share the path of the list with []."""
     if isinstance(value, dict):
         return set().union(*(field_paths(v, f"{prefix}.{k}" if prefix else k) for k, v in value.items())) if value else {prefix}
     if isinstance(value, list):
-        return set().union({f"{prefix}[]"} if not value else set(), *(field_paths(v, f"{prefix}[]") for v in value))
+        return set().union(*(field_paths(v, f"{prefix}[]") for v in value)) if value else {prefix + EMPTY}
     return {prefix}
 
 
@@ -80,94 +88,161 @@ def fingerprint(paths: set[str]) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
 
 
+def _text(value: Any) -> str:
+    """A field as text: null is empty, numbers and truth values are written as JSON writes them."""
+    return value if isinstance(value, str) else "" if value is None else json.dumps(value)
+
+
 class Mapping:
-    """Where a layout keeps its turns: a list of (role, text path), or one list whose elements hold role and text."""
+    """Where a layout keeps its turns: (role, fields) pairs, whose texts are joined by a blank line, then one list, whose
+    elements hold role and text. Fields that are ``optional`` may be there or not; they are read if a pair names them."""
+
+    def __init__(self, *fixed: tuple[str, tuple[str, ...]], turns: str | None = None, role: str = "", text: str = "", roles: dict[str, str] | None = None, optional: tuple[str, ...] = ("id", "source")):
+        self.fixed, self.turns, self.role, self.text, self.roles, self.optional = fixed, turns, role, text, roles or {}, optional
 
-    def __init__(self, paths: set[str], turns: str | None = None, role: str = "", text: str = "", fixed: tuple[tuple[str, str], ...] = (), roles: dict[str, str] | None = None):
-        self.paths, self.turns, self.role, self.text, self.fixed, self.roles = paths, turns, role, text, fixed, roles or {}
+    def fingerprints(self) -> Iterator[str]:
+        """Of all records of this layout: with or without the optional fields, with an empty list or one of any length."""
+        fields = {f for _, names in self.fixed for f in names} - set(self.optional)
+        lists = [{f"{self.turns}[].{self.role}", f"{self.turns}[].{self.text}"}, {self.turns + EMPTY}] if self.turns else [set()]
+        for n in range(len(self.optional) + 1):
+            for more in combinations(self.optional, n):
+                yield from (fingerprint(fields | paths | set(more)) for paths in lists)
 
     def extract(self, record: dict) -> list[tuple[str, str]]:
-        if self.turns is None:
-            return [(role, record.get(field) or "") for role, field in self.fixed]
-        out = [(role, record[field]) for role, field in self.fixed if record.get(field)]
-        for x in record.get(self.turns) or []:
-            role = x.get(self.role) or ""
-            out.append((self.roles.get(role, role), x.get(self.text) or ""))
+        out = [(role, "\n\n".join(_text(record[f]) for f in names if f in record)) for role, names in self.fixed if any(f in record for f in names)]
+        for x in record[self.turns] if self.turns else ():
+            role = _text(x[self.role])
+            out.append((self.roles.get(role, role), _text(x[self.text])))
         return out
 
 
-#: Declarative mappings of the known layouts. A layout of list elements takes lists of any length.
+SHARED = {"human": "user", "gpt": "assistant"}
+SYSTEM = ("system", ("system",))
+_MORE = ("id", "source", "system")
+#: Declarative mappings of the known layouts.
 LAYOUTS = {
-    "messages": Mapping({"messages[].role", "messages[].content"}, "messages", "role", "content"),
-    "shares": Mapping({"conversations[].from", "conversations[].value"}, "conversations", "from", "value", roles={"human": "user", "gpt": "assistant"}),
-    "system_shares": Mapping({"system", "conversations[].from", "conversations[].value"}, "conversations", "from", "value", (("system", "system"),), {"human": "user", "gpt": "assistant"}),
-    "turns": Mapping({"turns[].speaker", "turns[].utterance"}, "turns", "speaker", "utterance"),
-    "prompt": Mapping({"prompt", "completion"}, fixed=(("user", "prompt"), ("assistant", "completion"))),
-    "instruction": Mapping({"instruction", "output"}, fixed=(("user", "instruction"), ("assistant", "output"))),
-    "question": Mapping({"question", "answer"}, fixed=(("user", "question"), ("assistant", "answer"))),
-    "prompt_only": Mapping({"prompt"}, fixed=(("user", "prompt"),)),
-    "completion_only": Mapping({"completion"}, fixed=(("assistant", "completion"),)),
-    "system_only": Mapping({"system"}, fixed=(("system", "system"),)),
+    "messages": Mapping(SYSTEM, turns="messages", role="role", text="content", optional=_MORE),
+    "shares": Mapping(SYSTEM, turns="conversations", role="from", text="value", roles=SHARED, optional=_MORE),
+    "turns": Mapping(turns="turns", role="speaker", text="utterance"),
+    "prompt": Mapping(SYSTEM, ("user", ("prompt",)), ("assistant", ("completion",)), optional=_MORE),
+    "response": Mapping(SYSTEM, ("user", ("prompt",)), ("assistant", ("response",)), optional=_MORE),
+    "instruction": Mapping(("user", ("instruction", "input")), ("assistant", ("output",)), optional=("id", "source", "input")),
+    "question": Mapping(("user", ("question",)), ("assistant", ("answer",))),
+    "prompt_only": Mapping(("user", ("prompt",))),
+    "completion_only": Mapping(("assistant", ("completion",))),
+    "system_only": Mapping(SYSTEM),
 }
-MAPPINGS = {fingerprint(m.paths): m for m in LAYOUTS.values()}
+MAPPINGS = {f: m for m in LAYOUTS.values() for f in m.fingerprints()}
+
+
+def turns_of(raw: str) -> tuple[list[tuple[str, str]], str | None]:
+    """The turns of a JSON record, or why it has none."""
+    try:
+        parsed = json.loads(raw)
+    except ValueError:
+        return [], "not JSON"
+    paths = field_paths(parsed)
+    mapping = MAPPINGS.get(fingerprint(paths))
+    return (mapping.extract(parsed), None) if mapping else ([], "fields: " + ", ".join(sorted(paths)))
 
 
 def canonical_turns(df: DataFrame, keys: list[str], record: str) -> DataFrame:
-    """(keys, part, role, text): the turns of every JSON record, in order; part counts them in their record.
+    """(keys, part, role, text, unmapped): the turns of every JSON record, in order; part counts them in their record.
 
-    A record of an unknown layout fails the task with its field paths; a null record has no turns; null roles and texts
-    are empty. Other columns are not read.
+    A record of an unknown layout, or that isn't JSON, gives one row of nulls whose ``unmapped`` says which fields it has;
+    in other rows it is null. A null record, or one with an empty list, has no turns; null roles and texts are empty.
+    Other columns are not read. ``keys`` must not be named like the columns added.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            where, part, role, text = [], [], [], []
+        for batch in (piece for whole in batches for piece in pieces(whole, "_record", CHUNK)):
+            rows = []
             for i, raw in enumerate(batch.column(len(keys)).to_pylist()):
-                if raw is None:
-                    continue
-                parsed = json.loads(raw)
-                paths = field_paths(parsed)
-                mapping = MAPPINGS.get(fingerprint(paths))
-                if mapping is None:
-                    raise ValueError(f"no mapping for a record with the fields {sorted(paths)}")
-                for p, (r, t) in enumerate(mapping.extract(parsed)):
-                    where.append(i)
-                    part.append(p)
-                    role.append(r)
-                    text.append(t)
+                if raw is not None:
+                    turns, why = turns_of(raw)
+                    rows += [(i, p, r, t, None) for p, (r, t) in enumerate(turns)] if why is None else [(i, None, None, None, why)]
+            where, *found = zip(*rows) if rows else ([],) * 5
             index = pa.array(where, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(index) for i in range(len(keys))), pa.array(part, pa.int32()), pa.array(role, pa.string()), pa.array(text, pa.string())], schema.names)
+            kinds = (pa.int32(), pa.string(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(index) for i in range(len(keys))), *(pa.array(c, k) for c, k in zip(found, kinds))], schema.names)
 
-    schema = T.StructType([T.StructField(k, df.schema[k].dataType) for k in keys]).add("part", "integer").add("role", "string").add("text", "string")
+    schema = T.StructType([T.StructField(k, df.schema[k].dataType) for k in keys])
+    schema = schema.add("part", "integer").add("role", "string").add("text", "string").add("unmapped", "string")
     return df.select(*keys, F.col(record).alias("_record")).mapInArrow(run, schema)
 
 
-def as_records(df: DataFrame, spread: Column) -> DataFrame:
-    """Rows (role, text) as JSON records of heterogeneous layouts, ``spread`` choosing among those that keep the row's
-    role: messages, shares, turns, and the layouts of one field."""
-    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    keep = {"ignoreNullFields": "false"}
-    shared = F.when(role == "user", "human").when(role == "assistant", "gpt").otherwise(role)
-    single = (
-        F.when(role == "user", F.to_json(F.struct(text.alias("prompt")), keep))
-        .when(role == "assistant", F.to_json(F.struct(text.alias("completion")), keep))
-        .when(role == "system", F.to_json(F.struct(text.alias("system")), keep))
-    )
-    messages = F.to_json(F.struct(F.array(F.struct(role.alias("role"), text.alias("content"))).alias("messages")), keep)
-    shares = F.to_json(F.struct(F.array(F.struct(shared.alias("from"), text.alias("value"))).alias("conversations")), keep)
-    turns = F.to_json(F.struct(F.array(F.struct(role.alias("speaker"), text.alias("utterance"))).alias("turns")), keep)
-    known = role.isin("system", "user", "assistant")
-    kind = F.pmod(spread, F.lit(4))
-    return df.withColumn("record", F.when(known & (kind == 1), shares).when(known & (kind == 2), single).when(kind == 3, turns).otherwise(messages))
+#: Turns of one record at most.
+MOST_TURNS = 6
+_SHARES = {"user": "human", "assistant": "gpt", "system": "system"}
+_PAIRS = (("prompt", "completion"), ("instruction", "output"), ("question", "answer"), ("prompt", "response"))
+_ONLY = {"user": "prompt", "assistant": "completion", "system": "system"}
+
+
+def layout(turns: list[tuple[str, str]], kind: int) -> dict:
+    """The turns in one of the layouts that can hold them, ``kind`` choosing."""
+    roles = [r for r, _ in turns]
+    known = all(r in _SHARES for r in roles)
+    if len(turns) == 1 and known and kind % 4 == 2:
+        return {_ONLY[roles[0]]: turns[0][1]}
+    if roles[-2:] == ["user", "assistant"] and roles[:-2] in ([], ["system"]) and kind % 4:
+        ask, answer = _PAIRS[kind // 4 % 4]
+        if roles[0] == "system" and ask == "prompt":
+            return {"system": turns[0][1], ask: turns[1][1], answer: turns[2][1]}
+        if len(roles) == 2:
+            first, blank, rest = turns[0][1].partition("\n\n")
+            split = ask == "instruction" and blank
+            return {ask: first, "input": rest, answer: turns[1][1]} if split else {ask: turns[0][1], answer: turns[1][1]}
+    if kind % 4 == 3:
+        return {"turns": [{"speaker": r, "utterance": t} for r, t in turns]}
+    fixed = {"system": turns[0][1]} if roles[0] == "system" and len(turns) > 1 and kind // 4 % 2 else {}
+    rest = turns[len(fixed):]
+    if known and kind % 4 == 1:
+        return fixed | {"conversations": [{"from": _SHARES[r], "value": t} for r, t in rest]}
+    return fixed | {"messages": [{"role": r, "content": t} for r, t in rest]}
+
+
+def as_records(df: DataFrame, conversation: str, turn: str) -> DataFrame:
+    """(conversation, turn, record): rows (conversation, turn, role, text) as JSON records of all layouts, pairs and lists
+    included; turn is that of a record's first row.
+
+    Rows that lie one after another in the table and have turns one after another make a record, MOST_TURNS at most, so
+    nothing is shuffled or gathered: the place of a text is its record's turn and its part in the record, whatever rows
+    share a record. Null roles and texts are empty; a row whose turn is null stays alone.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (piece for whole in batches for piece in pieces(whole, "_text", CHUNK)):
+            starts, records, turns = [], [], []
+            most = kind = 0
+            before = None
+            keys, numbers, roles, texts = (c.to_pylist() for c in batch.columns)
+            for i, (key, number, role, text) in enumerate(zip(keys, numbers, roles, texts)):
+                follows = number is not None and before == (key, number - 1) and len(turns) < most
+                if turns and not follows:
+                    records.append(json.dumps(layout(turns, kind), ensure_ascii=False))
+                if not follows:
+                    starts.append(i)
+                    turns, kind = [], zlib.crc32(f"{key} {number}".encode())
+                    most = 1 + kind // 16 % MOST_TURNS
+                turns.append((role or "", text or ""))
+                before = (key, number)
+            if turns:
+                records.append(json.dumps(layout(turns, kind), ensure_ascii=False))
+            index = pa.array(starts, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(index), batch.column(1).take(index), pa.array(records, pa.string())], schema.names)
+
+    schema = T.StructType().add(conversation, df.schema[conversation].dataType).add(turn, "long").add("record", "string")
+    return df.select(conversation, F.col(turn).cast("long"), F.col("role").alias("_role"), F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
 def format_turns(df: DataFrame) -> DataFrame:
     """Add ``formatted``, the turn in the template, and ``loss_start`` and ``loss_end``, the part of it under the loss mask
-    (null for turns of other roles than the assistant)."""
+    (null for turns of other roles than the assistant). Columns of these names are replaced; others stay."""
+    df = df.drop("formatted", "loss_start", "loss_end")
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole, "text", CHUNK)):
             out, start, end = [], [], []
             for role, text in zip(batch.column("role").to_pylist(), batch.column("text").to_pylist()):
                 turn = format_turn(role or "", text or "")
@@ -186,7 +261,7 @@ def digest_conversations(df: DataFrame, conversation: str, order: list[str]) ->
     """(conversation, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), read back from ``formatted``.
 
     A task streams through its conversations in order and holds the state of two digests, so that one conversation may
-    hold any share of the rows. Rows equal in ``order`` are ordered by role and text.
+    hold any share of the rows. Rows equal in ``order`` are ordered by their turns in the template.
     """
     kind = df.schema[conversation].dataType
     rows = df.select(F.col(conversation).alias("_key"), *order, "formatted", "loss_start", "loss_end").repartition(partitions(df.sparkSession), "_key").sortWithinPartitions("_key", *order, "formatted")
@@ -201,7 +276,7 @@ def digest_conversations(df: DataFrame, conversation: str, order: list[str]) ->
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], schema.names)
 
         types = None
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole, "formatted", CHUNK)):
             types = types or [batch.schema.field("_key").type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             cols = (batch.column(c).to_pylist() for c in ("_key", "formatted", "loss_start", "loss_end"))
             for k, formatted, start, end in zip(*cols):
