@@ -102,12 +102,18 @@ def _rice(total: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 def encode_best(samples: np.ndarray, numbers: np.ndarray, lpc_order: int = LPC_ORDER) -> tuple[bytes, np.ndarray]:
     """Frames by linear prediction where that is shorter than the best fixed predictor."""
-    fixed, fixed_size = encode_frames(samples, numbers)
-    linear, linear_size = encode_frames(samples, numbers, lpc_order)
-    a, b = (np.concatenate([[0], np.cumsum(size)]).tolist() for size in (fixed_size, linear_size))
-    better = linear_size < fixed_size
-    frames = [linear[b[i] : b[i + 1]] if better[i] else fixed[a[i] : a[i + 1]] for i in range(len(better))]
-    return b"".join(frames), np.where(better, linear_size, fixed_size)
+    fixed, linear = _predict(samples, 0), _predict(samples, lpc_order)
+    better = -(-linear["bits"] // 8) < -(-fixed["bits"] // 8)
+    length, out = np.zeros(len(samples), np.int64), [b""] * len(samples)
+    for plan, rows, order in ((fixed, np.flatnonzero(~better), 0), (linear, np.flatnonzero(better), lpc_order)):
+        if not len(rows):
+            continue
+        frames, lengths = _pack({name: values[rows] for name, values in plan.items()}, numbers[rows], order)
+        length[rows] = lengths
+        ends = np.cumsum(lengths).tolist()
+        for row, start, end in zip(rows.tolist(), [0, *ends], ends):
+            out[row] = frames[start:end]
+    return b"".join(out), length
 
 
 def encode_frames(samples: np.ndarray, numbers: np.ndarray, lpc_order: int = 0) -> tuple[bytes, np.ndarray]:
@@ -116,6 +122,11 @@ def encode_frames(samples: np.ndarray, numbers: np.ndarray, lpc_order: int = 0)
     numbers: each row's frame number in its stream. lpc_order 0 takes the best fixed predictor of order 0 to 2. Residuals
     are in one Rice partition or in PARTS of them, whichever is shorter for the frame.
     """
+    return _pack(_predict(samples, lpc_order), numbers, lpc_order)
+
+
+def _predict(samples: np.ndarray, lpc_order: int) -> dict[str, np.ndarray]:
+    """What a frame's subframe is made of, an entry for each frame in each array; ``bits`` is its length."""
     x = samples.astype(np.int32)
     n, size = x.shape
     if lpc_order:
@@ -141,16 +152,27 @@ def encode_frames(samples: np.ndarray, numbers: np.ndarray, lpc_order: int = 0)
     each = np.repeat(many_k, step, 1)
     shorter = np.where(raw, 0, (u >> each) + each).sum(1) + 4 * (PARTS - 1) < np.where(raw, 0, (u >> one_k[:, None]) + one_k[:, None]).sum(1)
     k = np.where(shorter[:, None], each, one_k[:, None])
-    one = np.int32(1) << k
     bits = np.where(raw, np.int32(8), (u >> k) + (1 + k))
+    extra = 4 + 5 + 12 * lpc_order if lpc_order else 0  # precision, shift and coefficients
+    body = 8 + bits.sum(1) + 10 + extra + np.where(shorter, 4 * (PARTS - 1), 0)
+    plan = {"x": x, "u": u, "k": k, "codes": bits, "best": best, "shorter": shorter, "one_k": one_k, "many_k": many_k, "bits": body}
+    return plan | ({"coef": coef, "shift": shift} if lpc_order else {})
+
+
+def _pack(plan: dict[str, np.ndarray], numbers: np.ndarray, lpc_order: int) -> tuple[bytes, np.ndarray]:
+    """The frames that the plan describes, with their checksums."""
+    x, u, k, bits, best, shorter, one_k, many_k, body = (plan[c] for c in ("x", "u", "k", "codes", "best", "shorter", "one_k", "many_k", "bits"))
+    coef, shift = plan.get("coef"), plan.get("shift")
+    n, size = x.shape
+    step = size // PARTS
+    raw = np.arange(size)[None, :] < best[:, None]
+    one = np.int32(1) << k
     value = np.where(raw, x & 0xFF, one | (u & (one - 1)))
     width = np.where(raw, np.int32(8), k + 1)
     # each partition after the first has its parameter before its codes
     later = np.where(shorter[:, None], 4 * (np.arange(size) // step)[None, :], 0)
-    extra = 4 + 5 + 12 * best if lpc_order else np.zeros(n, np.int64)  # precision, shift and coefficients
-    gap = 10 + extra
+    gap = 10 + (4 + 5 + 12 * best if lpc_order else np.zeros(n, np.int64))
     before = np.cumsum(bits, 1) + np.where(raw, 0, gap[:, None] + later)  # end of each sample's code, after the subframe's header
-    body = 8 + bits.sum(1) + gap + later[:, -1]
     number, number_size = _utf8_number(numbers)
     head = 4 + number_size + 1
     length = head + (body + 7) // 8 + 2
