@@ -16,6 +16,24 @@ def test_curve_visits_neighbours():
         assert (steps == 1).all()
 
 
+def recursive_curve(bits):
+    """Points of the plane's Hilbert curve in order, by four smaller curves, the first and last of them turned over."""
+    if not bits:
+        return [(0, 0)]
+    half, small = 1 << (bits - 1), recursive_curve(bits - 1)
+    first = [(y, x) for x, y in small]
+    last = [(2 * half - 1 - y, half - 1 - x) for x, y in small]
+    return first + [(x, y + half) for x, y in small] + [(x + half, y + half) for x, y in small] + last
+
+
+def test_plane_curve_equals_the_recursive_one():
+    for bits in (1, 2, 3, 5):
+        points = recursive_curve(bits)
+        index = hilbert.curve_index(np.array(points), bits).tolist()
+        mirrored = hilbert.curve_index(np.array([(y, x) for x, y in points]), bits).tolist()
+        assert list(range(len(points))) in (index, mirrored)
+
+
 def test_shards(spark, tmp_path):
     rows = [(i, "x" * (i % 50), ["en", "de", None][i % 3], f"s{i % 7}") for i in range(500)] + [(None, None, None, None), (3, "same", "en", "s1"), (3, "same", "en", "s1")]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
