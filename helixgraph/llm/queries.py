@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, flac, hilbert, lines, packing, quantise, simhash, suffix, toxicity
+from . import bpe, chat, clusters, flac, hilbert, lines, packing, quantise, simhash, suffix, toxicity
 from .common import documents
 
 
@@ -105,6 +105,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_units", "n_removed", "n_spans", "longest_words", spans.alias("removed_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's cluster among 40, after five rounds of exact integer arithmetic over bit planes."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    mark = F.sha2(F.concat(F.lit("2:"), F.coalesce(F.col("_id").cast("string"), F.lit(""))), 256)
+    return clusters.with_inertia(*clusters.cluster(rows, "vec_id", "embedding", mark, k=40, rounds=5))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_flac_media": op1_flac_media,
     "op2_additive_quantisation": op2_additive_quantisation,
@@ -116,8 +123,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_line_dedup": op10_line_dedup,
+    "op11_centroid_clusters": op11_centroid_clusters,
 }
 
+def _cluster_sql(k: int, rounds: int) -> str:
+    """The clustering as SQL: a clause for each round, in long form (vector, component, integer)."""
+    clauses = [
+        "kept AS (SELECT row_number() OVER () AS v, vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(256 * x) AS BIGINT)) AS e FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)",
+        "cells AS (SELECT v, unnest(e) AS x, generate_subscripts(e, 1) AS j FROM kept)",
+        f"first AS (SELECT v, row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c FROM kept QUALIFY c < {k})",
+        "m0 AS (SELECT c, j, x FROM first JOIN cells USING (v))",
+    ]
+    for i in range(rounds + 1):
+        clauses.append(f"d{i} AS (SELECT v, c, CAST(sum((cells.x - m{i}.x) * (cells.x - m{i}.x)) AS BIGINT) AS d FROM cells JOIN m{i} USING (j) GROUP BY 1, 2)")
+        clauses.append(f"a{i} AS (SELECT v, c, d FROM d{i} QUALIFY row_number() OVER (PARTITION BY v ORDER BY d, c) = 1)")
+        if i < rounds:
+            clauses.append(f"s{i} AS (SELECT c, j, CAST(sum(x) AS BIGINT) AS t, count(*) AS n FROM a{i} JOIN cells USING (v) GROUP BY 1, 2)")
+            clauses.append(f"m{i + 1} AS (SELECT m{i}.c, m{i}.j, CASE WHEN n IS NULL THEN x ELSE (t - ((t % n) + n) % n) // n END AS x FROM m{i} LEFT JOIN s{i} USING (c, j))")
+    clauses.append(f"marks AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY j)) AS h FROM m{rounds} GROUP BY 1)")
+    last = f"SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, h AS centroid_sha256 FROM a{rounds} JOIN kept USING (v) JOIN marks USING (c)"
+    return f"WITH {', '.join(x.replace(' AS (', ' AS MATERIALIZED (', 1) for x in clauses)} {last}"
+
+
 #: DuckDB SQL for those that SQL can express; it has no CRC-32, codecs, automata or fingerprints for the others.
 ORACLE_SQL: dict[str, str] = {
     "op5_suffix_dedup": r"""
@@ -166,4 +193,5 @@ ORACLE_SQL: dict[str, str] = {
             coalesce(n_spans, 0) AS n_spans, CAST(coalesce(longest_words, 0) AS BIGINT) AS longest_words, coalesce(removed_spans, '') AS removed_spans, sha256(coalesce(k.text, '')) AS kept_sha256
         FROM documents d LEFT JOIN spans s USING (doc_id) LEFT JOIN kept k USING (doc_id) LEFT JOIN totals t USING (doc_id)
     """,
+    "op11_centroid_clusters": _cluster_sql(40, 5),
 }

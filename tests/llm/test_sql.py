@@ -11,7 +11,8 @@ FOLDER = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query(spark, name):
     connection = duckdb.connect()
-    connection.sql(f"CREATE VIEW documents AS SELECT * FROM '{FOLDER}/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        connection.sql(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
     rows = queries.QUERIES[name](spark, FOLDER)
     result = connection.sql(queries.ORACLE_SQL[name])
     assert sorted(result.columns) == sorted(rows.columns)
