@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, clusters, flac, hilbert, lines, packing, quantise, simhash, suffix, toxicity
+from . import bpe, chat, clusters, flac, hilbert, licenses, lines, packing, quantise, simhash, suffix, toxicity
 from .common import documents
 
 
@@ -112,6 +112,12 @@ def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.with_inertia(*clusters.cluster(rows, "vec_id", "embedding", mark, k=40, rounds=5))
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's license phrases and signatures."""
+    found = licenses.summary(licenses.scan(documents(spark, sf_dir), "doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.size("found").cast("long").alias("n_found"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_flac_media": op1_flac_media,
     "op2_additive_quantisation": op2_additive_quantisation,
@@ -124,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_line_dedup": op10_line_dedup,
     "op11_centroid_clusters": op11_centroid_clusters,
+    "op12_license_scan": op12_license_scan,
 }
 
 def _cluster_sql(k: int, rounds: int) -> str:
@@ -145,6 +152,36 @@ def _cluster_sql(k: int, rounds: int) -> str:
     return f"WITH {', '.join(x.replace(' AS (', ' AS MATERIALIZED (', 1) for x in clauses)} {last}"
 
 
+def _license_sql() -> str:
+    """The scan as SQL: every rule spelled out, tried at the places of its keyword."""
+    listed = []
+    for n, x in enumerate(licenses.signatures()):
+        for f, (prefix, priority, weight) in enumerate(licenses.FORMS):
+            if prefix and x.base:
+                continue
+            body = f"^{prefix}{x.body}( |$)"
+            listed.append(f"('{x.keyword}', {x.lead + prefix.count(' ')}, '{body}', '{x.label}', {priority}, {weight}, {n * len(licenses.FORMS) + f}, {x.base})")
+    return rf"""
+        WITH rules(keyword, lead, body, label, priority, weight, rule, base) AS (VALUES {", ".join(listed)}),
+        texts AS (
+            SELECT doc_id, row_number() OVER () AS d, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws
+            FROM documents
+        ),
+        places AS (SELECT d, ws, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i FROM texts),
+        near AS (SELECT d, i, lead, body, label, priority, weight, rule, base, array_to_string(ws[i - lead + 1 : i - lead + 40], ' ') AS s FROM places JOIN rules ON w = keyword WHERE i >= lead),
+        matched AS (SELECT *, trim(regexp_extract(s, body)) AS m FROM near WHERE regexp_matches(s, body)),
+        every AS MATERIALIZED (SELECT d, i - lead AS a, i - lead + len(string_split(m, ' ')) AS b, label, priority, weight, rule, base FROM matched),
+        one AS MATERIALIZED (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY d, a ORDER BY b DESC, priority, rule) = 1),
+        whole AS MATERIALIZED (SELECT * FROM one o WHERE NOT EXISTS (SELECT 1 FROM one e WHERE e.d = o.d AND e.a < o.a AND e.b >= o.b)),
+        found AS MATERIALIZED (SELECT * FROM whole o WHERE NOT EXISTS (SELECT 1 FROM whole e WHERE e.d = o.d AND e.a < o.b AND o.a < e.b AND e.priority < o.priority)),
+        bases AS (SELECT d, count(*) AS n_base, min(a) AS first_word, max(a) AS last_word, array_to_string(list_sort(list_distinct(list(label))), ',') AS base_labels FROM every WHERE base GROUP BY 1),
+        said AS (SELECT d, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels FROM (SELECT d, label FROM found UNION ALL SELECT d, label FROM every WHERE base) GROUP BY 1),
+        scores AS (SELECT d, max(weight) AS score, count(*) AS n_found FROM found GROUP BY 1)
+        SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(CAST(score AS DOUBLE), 0.0) AS score, coalesce(n_found, 0) AS n_found
+        FROM texts LEFT JOIN bases USING (d) LEFT JOIN said USING (d) LEFT JOIN scores USING (d)
+    """
+
+
 #: DuckDB SQL for those that SQL can express; it has no CRC-32, codecs, automata or fingerprints for the others.
 ORACLE_SQL: dict[str, str] = {
     "op5_suffix_dedup": r"""
@@ -194,4 +231,5 @@ ORACLE_SQL: dict[str, str] = {
         FROM documents d LEFT JOIN spans s USING (doc_id) LEFT JOIN kept k USING (doc_id) LEFT JOIN totals t USING (doc_id)
     """,
     "op11_centroid_clusters": _cluster_sql(40, 5),
+    "op12_license_scan": _license_sql(),
 }
