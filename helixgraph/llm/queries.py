@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, clusters, flac, hilbert, licenses, lines, packing, quantise, simhash, suffix, toxicity
+from . import bpe, chat, clusters, collocations, flac, hilbert, licenses, lines, packing, quantise, simhash, suffix, toxicity
 from .common import documents
 
 
@@ -118,6 +118,11 @@ def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.size("found").cast("long").alias("n_found"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of two to four words of each language."""
+    return collocations.mine(documents(spark, sf_dir, "text", "lang"), "text", "lang", least=30, longest=4, top=2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_flac_media": op1_flac_media,
     "op2_additive_quantisation": op2_additive_quantisation,
@@ -131,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
     "op11_centroid_clusters": op11_centroid_clusters,
     "op12_license_scan": op12_license_scan,
+    "op13_collocations": op13_collocations,
 }
 
 def _cluster_sql(k: int, rounds: int) -> str:
@@ -232,4 +238,22 @@ ORACLE_SQL: dict[str, str] = {
     """,
     "op11_centroid_clusters": _cluster_sql(40, 5),
     "op12_license_scan": _license_sql(),
+    "op13_collocations": r"""
+        WITH texts AS (
+            SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces
+            FROM documents
+        ),
+        pieces AS (SELECT lang, list_filter(string_split_regex(unnest(pieces), '[\x20\x09]+'), lambda w: w <> '') AS ws FROM texts),
+        totals AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM pieces GROUP BY 1),
+        sizes(m) AS (VALUES (1), (2), (3), (4)),
+        places AS (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM pieces, sizes WHERE len(ws) >= m),
+        counts AS MATERIALIZED (SELECT lang, m, array_to_string(ws[i : i + m - 1], ' ') AS phrase, count(*) AS f FROM places GROUP BY 1, 2, 3 HAVING count(*) >= 30),
+        candidates AS (SELECT lang, m, phrase, string_split(phrase, ' ') AS ws, f AS a FROM counts WHERE m > 1),
+        cuts AS (SELECT c.lang, c.phrase, c.a, k, p.f AS l, r.f AS r, CAST(2000000 AS HUGEINT) * c.a // (p.f + r.f) AS score FROM (SELECT *, unnest(range(1, m)) AS k FROM candidates) c JOIN counts p ON p.lang = c.lang AND p.phrase = array_to_string(c.ws[1 : k], ' ') JOIN counts r ON r.lang = c.lang AND r.phrase = array_to_string(c.ws[k + 1 :], ' ')),
+        scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        shorter AS (SELECT lang, a AS f, array_to_string(ws[i : i + s - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, m - s + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS s FROM candidates))),
+        within AS (SELECT lang, phrase, max(f) AS f FROM shorter GROUP BY 1, 2),
+        kept AS (SELECT s.* FROM scored s LEFT JOIN within w USING (lang, phrase) WHERE w.f IS NULL OR 100 * w.f < 80 * s.a)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
+    """,
 }
