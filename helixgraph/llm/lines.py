@@ -1,5 +1,5 @@
-"""Substring dedup by unit hashing: repeated paragraphs, lines or sentences go, all but the earliest; offsets are those of
-the original text."""
+"""Substring dedup by unit hashing: repeated paragraphs and lines go, all but the earliest; offsets are those of the original
+text. Sentences are an option."""
 
 from __future__ import annotations
 
@@ -15,10 +15,10 @@ from pyspark.sql import types as T
 from .common import discard, materialize, pieces
 
 CHUNK = 4 << 20
-#: What ends a unit, by level, over UTF-8. A sentence ends at a full stop with white space after it, or with its line, so
-#: that a repeated line is made of repeated sentences.
+#: What ends a unit, by level, over UTF-8: blank lines, a line feed, or a full stop with white space after it. Each level's
+#: units are made of whole units of the next.
 ENDS = {
-    "paragraph": re.compile(rb"\n[\x20\x09\x0B-\x0D]*\n[\x20\x09-\x0D]*"),
+    "paragraph": re.compile(rb"\n(?:[\x20\x09\x0B-\x0D]*\n)+"),
     "line": re.compile(rb"\n"),
     "sentence": re.compile(rb"\n|[.!?]+[\x20\x09]+|(?:\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f)+[\x20\x09]*"),
 }
@@ -62,30 +62,50 @@ def unit_digests(df: DataFrame, level: str) -> DataFrame:
     return df.select("_id", "_digest", "_text").mapInArrow(run, schema)
 
 
-def remove_repeated_units(df: DataFrame, id_column: str, text_column: str, level: str = "line") -> DataFrame:
+def _repeated(found: DataFrame) -> DataFrame:
+    """(_id, _digest, start, end), written: the units of whose group there is an earlier one."""
+    place = F.struct(F.col("_id").isNotNull().alias("known"), "_id", "_digest", "start")
+    # written before the join, so that Spark can split a frequent unit's rows
+    groups = materialize(found.groupBy("high", "low").agg(F.count("*").alias("n"), F.min(place).alias("kept")).filter("n > 1"), "groups")
+    first = F.col("_id").eqNullSafe(F.col("kept._id")) & (F.col("_digest") == F.col("kept._digest")) & (F.col("start") == F.col("kept.start"))
+    gone = materialize(found.join(groups, ["high", "low"]).filter(~first).select("_id", "_digest", "start", "end"), "repeated")
+    discard(groups)
+    return gone
+
+
+def _by_row(gone: DataFrame) -> DataFrame:
+    """The spans of each row; columns (_i, _d, gone)."""
+    return gone.groupBy(F.col("_id").alias("_i"), F.col("_digest").alias("_d")).agg(F.collect_set(F.struct("start", "end")).alias("gone"))
+
+
+def remove_repeated_units(df: DataFrame, id_column: str, text_column: str, levels: tuple[str, ...] = ("paragraph", "line")) -> DataFrame:
     """(id, n_bytes, n_units, n_removed, n_spans, longest_words, removed, kept_units, kept) for every row.
 
-    Units of the level ("paragraph", "line" or "sentence") whose normal forms agree anywhere are one group, however short
-    they are; the earliest by (id, digest of the row, offset) stays and the rest are cut out with what ends them. Blank
-    units stay. ``removed`` and ``kept_units`` are [start, end) byte offsets in the original text, ``kept`` the remaining
-    text, ``n_removed`` its lost bytes, ``longest_words`` the words of the longest run of units removed, n_units all units.
-    Null texts count as empty. Repeated rows share one place in the order, so they lose the same units. A null id comes
-    first. An empty table gives an empty result.
+    Units of a level ("paragraph", "line" or "sentence") whose normal forms agree anywhere are one group, however short they
+    are; the earliest by (id, digest of the row, offset) stays and the rest are cut out with what ends them. Levels go in
+    turn, coarse ones first; units inside a removed one take no part in the next. Blank units stay. ``removed`` and
+    ``kept_units`` (units of the last level) are [start, end) byte offsets in the original text, ``kept`` the remaining
+    text, ``n_removed`` its lost bytes, ``n_spans`` the runs of what was removed, ``longest_words`` the words of the longest,
+    n_units all units of the last level. Null texts count as empty. Repeated rows share one place in the order, so they lose
+    the same units. A null id comes first. An empty table gives an empty result.
     """
     rows = df.select(F.col(id_column).alias("_id"), F.xxhash64(id_column, text_column).alias("_digest"), F.col(text_column).alias("_text"))
-    found = materialize(unit_digests(rows, level), "units")
-    place = F.struct(F.col("_id").isNotNull().alias("known"), "_id", "_digest", "start")
-    # written before the join, so that Spark can split a frequent unit's rows
-    groups = materialize(found.groupBy("high", "low").agg(F.count("*").alias("n"), F.min(place).alias("kept")).filter("n > 1"), "groups")
-    gone = materialize(
-        found.join(groups, ["high", "low"])
-        .filter(~(F.col("_id").eqNullSafe(F.col("kept._id")) & (F.col("_digest") == F.col("kept._digest")) & (F.col("start") == F.col("kept.start"))))
-        .groupBy("_id", "_digest")
-        .agg(F.collect_set(F.struct("start", "end")).alias("gone")),
-        "gone",
-    )
-    discard(found, groups)
-    joined = rows.join(gone.withColumnsRenamed({"_id": "_i", "_digest": "_d"}), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_digest") == F.col("_d")), "left").select("_id", "_text", "gone")
+    same = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_digest") == F.col("_d"))
+    parts: list[DataFrame] = []
+    for level in levels:
+        found = materialize(unit_digests(rows, level), "units")
+        left = found
+        for before in parts:
+            covered = F.coalesce(F.exists("gone", lambda g: (g["start"] <= F.col("start")) & (F.col("end") <= g["end"])), F.lit(False))
+            left = left.join(_by_row(before), same, "left").filter(~covered).select(*found.columns)
+        left = materialize(left, "units") if parts else found
+        parts.append(_repeated(left))
+        discard(*({found, left}))
+    gone = parts[0]
+    for part in parts[1:]:
+        gone = gone.unionByName(part)
+    level = levels[-1]
+    joined = rows.join(_by_row(gone), same, "left").select("_id", "_text", "gone")
     span = T.ArrayType(T.StructType().add("start", "integer").add("end", "integer"))
     schema = T.StructType().add("_id", rows.schema["_id"].dataType)
     for c in ("n_bytes", "n_units", "n_removed", "n_spans", "longest_words"):
@@ -99,15 +119,19 @@ def remove_repeated_units(df: DataFrame, id_column: str, text_column: str, level
                 out = []
                 for text, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                     raw = (text or "").encode()
-                    cut = {(g["start"], g["end"]) for g in gone or []}
-                    every = units(raw, level)
-                    stay = [u for u in every if u not in cut]
                     runs: list[list[int]] = []
-                    for a, b in sorted(cut):
-                        if runs and runs[-1][1] == a:
-                            runs[-1][1] = b
+                    for g in sorted(gone or [], key=lambda g: g["start"]):
+                        if runs and runs[-1][1] == g["start"]:
+                            runs[-1][1] = g["end"]
                         else:
-                            runs.append([a, b])
+                            runs.append([g["start"], g["end"]])
+                    every, at = units(raw, level), 0
+                    stay = []
+                    for a, b in every:
+                        while at < len(runs) and runs[at][1] <= a:
+                            at += 1
+                        if at == len(runs) or b <= runs[at][0]:
+                            stay.append((a, b))
                     kept = b"".join(raw[a:b] for a, b in stay)
                     longest = max((len(raw[a:b].split()) for a, b in runs), default=0)
                     out.append((len(raw), len(every), len(raw) - len(kept), len(runs), longest, [{"start": a, "end": b} for a, b in runs], [{"start": a, "end": b} for a, b in stay], kept.decode()))

@@ -99,8 +99,8 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the sentences, and so the lines, that came earlier in the corpus."""
-    out = lines.remove_repeated_units(documents(spark, sf_dir), "doc_id", "text", level="sentence")
+    """Every document without the paragraphs and lines that came earlier in the corpus."""
+    out = lines.remove_repeated_units(documents(spark, sf_dir), "doc_id", "text", ("paragraph", "line"))
     spans = F.array_join(F.transform("removed", lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
     return out.select("doc_id", "n_bytes", "n_units", "n_removed", "n_spans", "longest_words", spans.alias("removed_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
@@ -215,15 +215,21 @@ ORACLE_SQL: dict[str, str] = {
         FROM texts t LEFT JOIN cut USING (doc_id) LEFT JOIN passages USING (doc_id)
     """,
     "op10_line_dedup": r"""
-        WITH parts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '(?s).*?(?:\n|[.!?]+[ \t]+|[。！？]+[ \t]*)|(?s).+') AS p FROM documents),
-        numbered AS (SELECT doc_id, generate_subscripts(p, 1) AS i, unnest(p) AS unit FROM parts),
+        WITH blocks AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '(?s).*?\n(?:[\x20\x09\x0B-\x0D]*\n)+|(?s).+') AS p FROM documents),
+        paragraphs AS (SELECT doc_id, generate_subscripts(p, 1) AS b, unnest(p) AS unit FROM blocks),
+        judged AS (
+            SELECT doc_id, b, unit, words <> '' AND row_number() OVER (PARTITION BY words ORDER BY doc_id, b) > 1 AS cut
+            FROM (SELECT *, array_to_string(list_filter(string_split_regex(lower(unit), '[\x20\x09-\x0D]+'), lambda w: w <> ''), ' ') AS words FROM paragraphs WHERE unit <> '')
+        ),
+        parts AS (SELECT doc_id, b, cut, regexp_extract_all(unit, '[^\n]*\n|[^\n]+') AS p FROM judged),
+        numbered AS (SELECT doc_id, cut, row_number() OVER (PARTITION BY doc_id ORDER BY b, j) AS i, unit FROM (SELECT doc_id, b, cut, generate_subscripts(p, 1) AS j, unnest(p) AS unit FROM parts)),
         placed AS (
-            SELECT doc_id, i, unit, strlen(unit) AS size, sum(strlen(unit)) OVER (PARTITION BY doc_id ORDER BY i) - strlen(unit) AS start,
+            SELECT doc_id, i, cut, unit, strlen(unit) AS size, sum(strlen(unit)) OVER (PARTITION BY doc_id ORDER BY i) - strlen(unit) AS start,
                 list_filter(string_split_regex(lower(unit), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
-            FROM numbered WHERE unit <> ''
+            FROM numbered
         ),
         ranked AS (
-            SELECT *, len(words) > 0 AND row_number() OVER (PARTITION BY array_to_string(words, ' ') ORDER BY doc_id, start) > 1 AS gone FROM placed
+            SELECT *, cut OR len(words) > 0 AND row_number() OVER (PARTITION BY cut, array_to_string(words, ' ') ORDER BY doc_id, start) > 1 AS gone FROM placed
         ),
         runs AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, gone ORDER BY i) AS run FROM ranked),
         spans AS (

@@ -44,7 +44,7 @@ def test_matches_brute_force(spark, level):
     rows = [(i, "\n".join(r.choice(pool) + " " * r.randint(0, 2) for _ in range(r.randint(0, 12)))) for i in range(80)]
     rows += [(100, None), (101, ""), (102, "\n\n"), (103, "x y z w. \n" * 2000), (104, "�. �"), (105, "。。 x"), (106, "... ")]
     df = spark.createDataFrame([(d, t, "k") for d, t in rows], "doc_id long, text string, kept string")
-    out = lines.remove_repeated_units(df, "doc_id", "text", level).collect()
+    out = lines.remove_repeated_units(df, "doc_id", "text", (level,)).collect()
     assert sorted((r["doc_id"], r["kept"], r["longest_words"]) for r in out) == brute(rows, level)
     texts = dict(rows)
     for r in out:
@@ -68,5 +68,43 @@ def test_paragraphs(spark):
     spans = lines.units(raw, "paragraph")
     assert [raw[a:b] for a, b in spans] == [b"a\nb\n\n", b"c\n \n\n", b"d"]
     df = spark.createDataFrame([(1, "a b\nc\n\nd"), (2, "x\n\nA  b C"), (3, "a b\nc d")], "doc_id long, text string")
-    out = lines.remove_repeated_units(df, "doc_id", "text", "paragraph").collect()
+    out = lines.remove_repeated_units(df, "doc_id", "text", ("paragraph",)).collect()
     assert sorted((r["doc_id"], r["kept"]) for r in out) == [(1, "a b\nc\n\nd"), (2, "x\n\n"), (3, "a b\nc d")]
+
+
+def both(rows):
+    """Paragraphs first; lines of those that stay."""
+    seen, stay, out = set(), {}, []
+    for d, text in sorted(rows):
+        stay[d] = []
+        for p in re.findall(r"(?s).*?\n(?:[ \t]*\n)+|.+", text or ""):
+            form = tuple(p.lower().split())
+            if not form or form not in seen:
+                stay[d].append(p)
+            seen.add(form)
+    seen = set()
+    for d in sorted(stay):
+        kept = ""
+        for line in (x for p in stay[d] for x in split(p, "line")):
+            form = tuple(line.lower().split())
+            if not form or form not in seen:
+                kept += line
+            seen.add(form)
+        out.append((d, kept))
+    return out
+
+
+def test_paragraphs_then_lines(spark):
+    r = random.Random(7)
+    pool = [" ".join(r.choices(["a", "B", "c", "d"], k=r.randint(1, 4))) for _ in range(15)]
+    rows = [(i, "".join(r.choice(pool) + r.choice(["\n", "\n", "\n\n", "\n \n\n", " "]) for _ in range(r.randint(0, 14)))) for i in range(60)]
+    rows += [(100, "new one\nb two\n\nlast"), (101, "new\none b two\n\nend"), (102, "one b two\n")]
+    df = spark.createDataFrame([(d, t, "k") for d, t in rows], "doc_id long, text string, gone string")
+    out = lines.remove_repeated_units(df, "doc_id", "text").collect()
+    assert sorted((x["doc_id"], x["kept"]) for x in out) == both(rows)
+    texts = dict(rows)
+    for x in out:
+        raw = texts[x["doc_id"]].encode()
+        assert b"".join(raw[u["start"] : u["end"]] for u in x["kept_units"]).decode() == x["kept"]
+        assert x["n_removed"] == sum(u["end"] - u["start"] for u in x["removed"]) == len(raw) - len(x["kept"])
+    assert {x["doc_id"]: x["kept"] for x in out}[101] == "end"  # the same words in other lines are the same paragraph
