@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -16,13 +16,22 @@ def desc_like_graph(column: Column | str) -> Column:
 
 @dataclass(frozen=True)
 class Edge:
-    """An edge table (src, dst, properties) and the labels of its ends."""
+    """An edge table (src, dst, properties) and the labels of its ends. A pair of ends has one edge of a type, unless the table
+    has a column ``edge_no`` that tells parallel ones apart (see ``numbered``)."""
 
     table: DataFrame
     source: str
     target: str
 
 
+def numbered(table: DataFrame) -> DataFrame:
+    """An edge table with ``edge_no``: parallel edges between two ends by their properties, from 0. Equal rows are edges of their
+    own. A pair of ends is one group, so the shuffle is by both."""
+    rest = [c for c in table.columns if c not in ("src", "dst")]
+    order = [F.col(c) for c in rest] or [F.lit(0)]
+    return table.withColumn("edge_no", F.row_number().over(Window.partitionBy("src", "dst").orderBy(*order)) - 1)
+
+
 @dataclass(frozen=True)
 class Graph:
     """Typed node tables (id, name, properties) by label and edge tables by type."""
@@ -69,41 +78,57 @@ def _prefixed(df: DataFrame, alias: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Pattern:
-    """Rows that bind nodes and edges by alias; each step is a join, and Catalyst orders and prunes them."""
+    """Rows that bind nodes and edges by alias; each step is a join, and Catalyst orders and prunes them.
+
+    Within one match an edge is taken once: a hop along a type that the match has taken before leaves out the edges that the
+    row holds, in whichever direction they were followed. Opposite and parallel edges are different ones. ``again`` begins
+    another match, which may take them anew.
+    """
 
     graph: Graph
     rows: DataFrame
     labels: dict[str, str] = field(default_factory=dict)
+    taken: dict[str, str] = field(default_factory=dict)
 
     def where(self, condition: Column | str) -> Pattern:
         return replace(self, rows=self.rows.filter(condition))
 
+    def again(self) -> Pattern:
+        """A further match that shares the bound aliases; its edges may be those of the matches before."""
+        return replace(self, taken={})
+
     def _ends(self, kind: str, direction: str) -> tuple[DataFrame, str]:
-        """The edges of a type as (here, there, properties), and the label at the far end."""
+        """The edges of a type as (here, there, src, dst, properties), and the label at the far end."""
         edge = self.graph.edges[kind]
-        forth = edge.table.withColumnsRenamed({"src": "here", "dst": "there"})
-        back = edge.table.withColumnsRenamed({"dst": "here", "src": "there"})
+        forth = edge.table.withColumns({"here": F.col("src"), "there": F.col("dst")})
+        back = edge.table.withColumns({"here": F.col("dst"), "there": F.col("src")})
         if direction == "out":
             return forth, edge.target
         if direction == "in":
             return back, edge.source
         return forth.unionByName(back.filter("here <> there")), edge.target  # a self-loop matches once
 
+    def _other_edge(self, kind: str, edge: str) -> Column | None:
+        """Whether an edge isn't one of those of its type that the row holds; null if the match has none."""
+        mark = ["src", "dst"] + ["edge_no"] * ("edge_no" in self.graph.edges[kind].table.columns)
+        others = [a for a, k in self.taken.items() if k == kind]
+        return reduce(Column.__and__, (~reduce(Column.__and__, (F.col(f"{a}_{c}").eqNullSafe(F.col(f"{edge}_{c}")) for c in mark)) for a in others)) if others else None
+
     def hop(self, start: str, kind: str, edge: str, end: str, direction: str = "out", optional: bool = False, condition: Column | str | None = None) -> Pattern:
         """Follow edges of a type from a bound alias; ``condition`` on the edge's and the end's columns belongs to the
-        join, so that an optional hop keeps rows without a match."""
+        join, so that an optional hop keeps rows without a match. If the end is bound too, both ends are met."""
         ends, label = self._ends(kind, direction)
-        side = _prefixed(ends, edge)
-        if end in self.labels:  # both ends are bound: an equi-join on both
-            if condition is not None:
-                side = side.filter(condition)
-            on = (self.rows[f"{start}_id"] == side[f"{edge}_here"]) & (self.rows[f"{end}_id"] == side[f"{edge}_there"])
-            return replace(self, rows=self.rows.join(side, on, "left" if optional else "inner"))
-        side = side.join(_prefixed(self.graph.nodes[label], end), F.col(f"{edge}_there") == F.col(f"{end}_id"))
+        side, bound = _prefixed(ends, edge), end in self.labels
+        if not bound:
+            side = side.join(_prefixed(self.graph.nodes[label], end), F.col(f"{edge}_there") == F.col(f"{end}_id"))
         if condition is not None:
             side = side.filter(condition)
-        joined = self.rows.join(side, self.rows[f"{start}_id"] == side[f"{edge}_here"], "left" if optional else "inner")
-        return Pattern(self.graph, joined, self.labels | {end: label})
+        on = self.rows[f"{start}_id"] == side[f"{edge}_here"]
+        if bound:
+            on = on & (self.rows[f"{end}_id"] == side[f"{edge}_there"])
+        other = self._other_edge(kind, edge)
+        joined = self.rows.join(side, on if other is None else on & other, "left" if optional else "inner")
+        return Pattern(self.graph, joined, self.labels if bound else self.labels | {end: label}, self.taken | {edge: kind})
 
     def exists(self, start: str, kind: str, direction: str = "out", condition: Column | str | None = None, negate: bool = False) -> Pattern:
         """Keep rows whose node has (or, negated, lacks) an edge of a type."""
@@ -113,11 +138,5 @@ class Pattern:
         keys = ends.select(F.col("here").alias("_here"))
         return replace(self, rows=self.rows.join(keys, self.rows[f"{start}_id"] == keys["_here"], "left_anti" if negate else "left_semi"))
 
-    def distinct_edges(self, first: str, second: str) -> Pattern:
-        """Two edges of one type in one pattern are different ones."""
-        same = F.col(f"{first}_here").eqNullSafe(F.col(f"{second}_here")) & F.col(f"{first}_there").eqNullSafe(F.col(f"{second}_there"))
-        crossed = F.col(f"{first}_here").eqNullSafe(F.col(f"{second}_there")) & F.col(f"{first}_there").eqNullSafe(F.col(f"{second}_here"))
-        return self.where(~(same | crossed))
-
     def select(self, *columns: Column | str) -> DataFrame:
         return self.rows.select(*columns)

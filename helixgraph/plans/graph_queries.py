@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.pattern import desc_like_graph
+from ..operators.pattern import Edge, Graph, desc_like_graph, numbered
 from ..sources.star import Star, with_views
 from .registry import register
 
@@ -243,10 +243,37 @@ def graph_undirected_partners(s: Star) -> DataFrame:
 @query("SELECT a.src AS start_id, b.dst AS end_id FROM interacts a JOIN interacts b ON a.dst = b.src WHERE NOT (a.src = b.src AND a.dst = b.dst)")
 def graph_two_hops_same_type(s: Star) -> DataFrame:
     """Two interactions in a row: one edge isn't taken twice."""
-    found = s.graph.match("Protein", "p").hop("p", "INTERACTS_WITH", "a", "q").hop("q", "INTERACTS_WITH", "b", "t").distinct_edges("a", "b")
+    found = s.graph.match("Protein", "p").hop("p", "INTERACTS_WITH", "a", "q").hop("q", "INTERACTS_WITH", "b", "t")
     return found.select(F.col("p_id").alias("start_id"), F.col("t_id").alias("end_id"))
 
 
+#: Interactions both ways round (the next protein and back), and every third twice, with other scores.
+_BOTH_WAYS = "(SELECT src, dst, k FROM (SELECT src, dst, 0 AS k FROM interacts UNION ALL SELECT dst, src, 0 FROM interacts UNION ALL SELECT src, dst, 1 FROM interacts WHERE src % 3 = 0))"
+
+
+def both_ways(s: Star) -> Graph:
+    """The proteins with reciprocal and parallel interactions."""
+    once = s.graph.edges["INTERACTS_WITH"].table.withColumn("k", F.lit(0))
+    back = once.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "k")
+    edges = once.unionByName(back).unionByName(once.filter("src % 3 = 0").withColumn("k", F.lit(1)))
+    return Graph(s.graph.nodes, {"INTERACTS_WITH": Edge(numbered(edges), "Protein", "Protein")})
+
+
+@query(f"WITH e AS (SELECT *, row_number() OVER (ORDER BY src, dst, k) AS id FROM {_BOTH_WAYS}) SELECT a.src AS protein, count(*) AS paths, count(CASE WHEN c.dst = a.src THEN 1 END) AS rings FROM e a JOIN e b ON b.src = a.dst AND b.id <> a.id JOIN e c ON c.src = b.dst AND c.id <> a.id AND c.id <> b.id GROUP BY 1")
+def graph_three_hops_same_type(s: Star) -> DataFrame:
+    """Paths of three interactions from each protein, and those that come back, over reciprocal and parallel edges: each edge
+    once in a path, its opposite and its parallels as edges of their own."""
+    found = both_ways(s).match("Protein", "p").hop("p", "INTERACTS_WITH", "a", "q").hop("q", "INTERACTS_WITH", "b", "t").hop("t", "INTERACTS_WITH", "c", "u")
+    return found.rows.groupBy(F.col("p_id").alias("protein")).agg(F.count("*").alias("paths"), F.count_if(F.col("u_id") == F.col("p_id")).alias("rings"))
+
+
+@query(f"WITH e AS (SELECT *, row_number() OVER (ORDER BY src, dst, k) AS id FROM {_BOTH_WAYS}), u AS (SELECT id, src AS a, dst AS b FROM e UNION ALL SELECT id, dst, src FROM e WHERE src <> dst) SELECT x.a AS protein, count(*) AS walks FROM u x JOIN u y ON y.a = x.b AND y.id <> x.id GROUP BY 1")
+def graph_undirected_two_hops(s: Star) -> DataFrame:
+    """Two interactions in either direction; none is walked there and back, but its parallel may be."""
+    found = both_ways(s).match("Protein", "p").hop("p", "INTERACTS_WITH", "a", "q", "both").hop("q", "INTERACTS_WITH", "b", "t", "both")
+    return found.rows.groupBy(F.col("p_id").alias("protein")).agg(F.count("*").alias("walks"))
+
+
 @query("SELECT a.dst AS first_disease, b.dst AS second_disease, count(*) AS genes FROM risk a JOIN risk b ON a.src = b.src AND a.dst < b.dst WHERE a.risk_score > 0.5 AND b.risk_score > 0.5 GROUP BY 1, 2")
 def graph_disease_pairs(s: Star) -> DataFrame:
     """Pairs of diseases that share high-risk genes; a gene has at most as many diseases as there are nations."""

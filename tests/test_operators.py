@@ -29,8 +29,8 @@ def test_hops(graph):
     assert left.count() == 4 and left.filter("b_id IS NOT NULL").count() == 1
     assert graph.match("A", "a").exists("a", "T").rows.count() == 3
     assert [r["a_id"] for r in graph.match("A", "a").exists("a", "T", negate=True).rows.collect()] == [4]
-    chain = graph.match("A", "a").hop("a", "T", "e", "b").hop("b", "T", "f", "c")
-    assert chain.rows.count() == 4 and chain.distinct_edges("e", "f").rows.count() == 3
+    first = graph.match("A", "a").hop("a", "T", "e", "b")
+    assert first.hop("b", "T", "f", "c").rows.count() == 3 and first.again().hop("b", "T", "f", "c").rows.count() == 4
 
 
 def test_degrees_and_null_order(graph, spark):
