@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -177,13 +178,45 @@ def rouge_l(predicted: Column, gold: Column) -> Column:
     return score(predicted, gold)
 
 
+def lcs_length(a: list[str], b: list[str]) -> int:
+    """The length of the longest common subsequence: a row of the table is one number with a bit for each word of a."""
+    where: dict[str, int] = {}
+    for i, word in enumerate(a):
+        where[word] = where.get(word, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for word in b:
+        met = row & where.get(word, 0)
+        row = (row + met | row - met) & full
+    return len(a) - row.bit_count()
+
+
 def lcs_f1(a: list[str], b: list[str]) -> float:
-    if not a or not b:
-        return 0.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
-    n = row[-1]
-    return 2 * n / (len(a) + len(b))
+    return 2 * lcs_length(a, b) / (len(a) + len(b)) if a and b else 0.0
+
+
+def library_words(c: Column) -> Column:
+    """Words as summary libraries take them: runs of a to z and digits of the text in small letters."""
+    return F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", " "), " "), lambda w: w != "")
+
+
+def clipped_f1(a: list[str], b: list[str], n: int) -> float:
+    """F1 of n-grams, each counted as often as both sides have it."""
+    x, y = (Counter(zip(*(words[i:] for i in range(n)))) for words in (a, b))
+    total = x.total() + y.total()
+    return 2 * (x & y).total() / total if x and y else 0.0
+
+
+ROUGE = T.StructType([T.StructField(c, T.DoubleType()) for c in ("rouge1", "rouge2", "rougel")])
+
+
+def library_rouge(predicted: Column, gold: Column) -> Column:
+    """ROUGE-1, ROUGE-2 and ROUGE-L (F1, no stemming) of two word lists, as a struct; 0 where a side has no n-gram."""
+
+    @F.pandas_udf(ROUGE)
+    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for a, b in batches:
+            pairs = [(list(x), list(y)) for x, y in zip(a, b)]
+            yield pd.DataFrame({"rouge1": [clipped_f1(x, y, 1) for x, y in pairs], "rouge2": [clipped_f1(x, y, 2) for x, y in pairs], "rougel": [lcs_f1(x, y) for x, y in pairs]}, dtype=float)
+
+    return score(predicted, gold)

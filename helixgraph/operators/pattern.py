@@ -140,3 +140,16 @@ class Pattern:
 
     def select(self, *columns: Column | str) -> DataFrame:
         return self.rows.select(*columns)
+
+
+def reach_counts(first: DataFrame, second: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(src, n): how many distinct nodes ``second`` (src, dst) reaches from the far ends of ``first`` (src, dst).
+
+    ``dictionary`` numbers the far nodes (dst, number), a written table. 63 neighbouring numbers are the bits of one word, so
+    a node in the middle has a few words instead of a row for each target, and words are or-ed for each source: the product
+    of sources and targets isn't made, whatever the fan-out.
+    """
+    coded = second.join(dictionary, "dst").select("src", F.floor(F.col("number") / 63).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("number") % 63).cast("int")).alias("bit"))
+    words = coded.groupBy(F.col("src").alias("middle"), "word").agg(F.bit_or("bit").alias("bits"))
+    met = first.select("src", F.col("dst").alias("middle")).join(words, "middle").groupBy("src", "word").agg(F.bit_or("bits").alias("bits"))
+    return met.groupBy("src").agg(F.sum(F.bit_count("bits")).alias("n"))

@@ -5,3 +5,4 @@ from . import answer_queries, construction_queries, evaluation_queries, genetic_
 from .registry import register
 
 register("answer_rouge_l", lambda spark, folder: evaluation_queries.answer_rouge_l(Star(spark, folder)))
+register("answer_library_means", lambda spark, folder: evaluation_queries.answer_library_means(Star(spark, folder)))

@@ -333,3 +333,24 @@ def answer_em_pivot(s: Star) -> DataFrame:
     wide = lists(s).groupBy((F.col("conv_id") % 5).alias("model")).pivot("type", ["one-hop", "multi-hop", "conjunction"])
     out = wide.agg(F.round(F.avg(F.arrays_overlap("p", "g").cast("double")) * 100, 6))
     return out.withColumnsRenamed({"one-hop": "one_hop", "multi-hop": "multi_hop"})
+
+
+def _library_sql(n: int) -> str:
+    """Clipped n-grams of both sides of each answer: (conv_id, turn, f)."""
+    words = "list_filter(string_split_regex(lower(coalesce({0}, '')), '[^a-z0-9]+'), lambda w: w <> '')"
+    side = f"SELECT conv_id, turn, array_to_string(ws[i : i + {n - 1}], ' ') AS g, count(*) AS n FROM (SELECT *, unnest(range(1, len(ws) - {n - 2})) AS i FROM (SELECT conv_id, turn, {words} AS ws FROM answers) WHERE len(ws) >= {n}) GROUP BY 1, 2, 3"
+    p, g = side.format("predicted"), side.format("gold")
+    return f"SELECT conv_id, turn, CASE WHEN sum(least(p, g)) > 0 THEN round(2.0 * sum(least(p, g)) / (sum(p) + sum(g)), 9) ELSE 0.0 END AS f FROM (SELECT conv_id, turn, coalesce(a.n, 0) AS p, coalesce(b.n, 0) AS g FROM ({p}) a FULL JOIN ({g}) b USING (conv_id, turn, g)) GROUP BY 1, 2"
+
+
+@query(f"SELECT a.conv_id, a.turn, coalesce(x.f, 0.0) AS rouge1, coalesce(y.f, 0.0) AS rouge2 FROM answers a LEFT JOIN ({_library_sql(1)}) x USING (conv_id, turn) LEFT JOIN ({_library_sql(2)}) y USING (conv_id, turn)")
+def answer_library_rouge(s: Star) -> DataFrame:
+    """ROUGE-1 and ROUGE-2 of each answer by clipped n-grams."""
+    rows = s.answers.select("conv_id", "turn", X.library_rouge(X.library_words(F.col("predicted")), X.library_words(F.col("gold"))).alias("r"))
+    return rows.select("conv_id", "turn", F.round("r.rouge1", 9).alias("rouge1"), F.round("r.rouge2", 9).alias("rouge2"))
+
+
+def answer_library_means(s: Star) -> DataFrame:
+    """The means of ROUGE-1, ROUGE-2 and ROUGE-L by type of question."""
+    rows = s.answers.select("type", X.library_rouge(X.library_words(F.col("predicted")), X.library_words(F.col("gold"))).alias("r"))
+    return rows.groupBy("type").agg(*(F.round(F.avg(f"r.{c}"), 9).alias(c) for c in ("rouge1", "rouge2", "rougel")), F.count("*").alias("answers"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..operators import variants as V
+from ..sources.session import ranked
 from ..sources.star import Star
 from .graph_queries import first_names, query, top
 
@@ -237,7 +238,7 @@ def gene_full_aggregates(s: Star) -> DataFrame:
     first = rows.groupBy("gene", "rsid").agg(F.min(F.struct(-F.round("extended_score", 6), "rsid")).alias("place"))
     first = top(first, ["gene"], [F.col("place")], 5).groupBy("gene").agg(F.array_join(F.transform(F.sort_array(F.collect_list("place")), lambda x: x["rsid"]), ",").alias("snps"))
     out = genes.join(first, "gene").select(F.col("gene").alias("gene_id"), *(c for c in genes.columns if c not in ("gene", "b")), "snps", F.col("b.rsid").alias("best_snp"), F.col("b.extended_score").alias("best_snp_extended"), F.col("b.bp").alias("best_snp_position"), F.col("b.beta").alias("best_snp_beta"))
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("gene_score"), "gene_id")).cast("long"))
+    return ranked(out, [F.desc("gene_score"), F.asc("gene_id")])
 
 
 _BEST = "(SELECT gene, round(max(extended_score), 6) AS score, max(least(neglog10p / 10, 1.0)) AS evidence, max(beta) AS beta FROM {0} WHERE disease = '{1}' GROUP BY 1)"
@@ -256,7 +257,7 @@ def gene_shared_scores(s: Star) -> DataFrame:
     mean = {c: (F.col(f"{c}_a") + F.col(f"{c}_b")) / 2 for c in ("score", "evidence", "beta")}
     means = [F.round(m, 7).alias(c) if c != "evidence" else m.alias(c) for c, m in mean.items()]
     out = both.select("gene", *means, F.lit(0.1).alias("vep"), F.lit(0.0).alias("clinvar"))
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "gene")).cast("long"))
+    return ranked(out, [F.desc("score"), F.asc("gene")])
 
 
 _SIG = f"(SELECT *, best / 40000 AS adjusted FROM {TERMS} WHERE best / 40000 < 0.05)"

@@ -11,7 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.pattern import Edge, Graph, desc_like_graph, numbered
+from ..operators.pattern import Edge, Graph, desc_like_graph, numbered, reach_counts
+from ..sources.session import written
 from ..sources.star import Star, with_views
 from .registry import register
 
@@ -431,16 +432,17 @@ def graph_shared_pathways(s: Star) -> DataFrame:
 
 @query("SELECT g.id AS gene, r.n AS diseases, m.n AS snps, t.n AS proteins, e.n AS tissues, h.n AS processes, w.n AS pathways FROM gene g JOIN (SELECT src, count(DISTINCT dst) AS n FROM risk GROUP BY 1) r ON r.src = g.id JOIN (SELECT dst, count(DISTINCT src) AS n FROM maps_to GROUP BY 1) m ON m.dst = g.id JOIN (SELECT src, count(DISTINCT dst) AS n FROM translated GROUP BY 1) t ON t.src = g.id " + " ".join(f"JOIN (SELECT t.src, count(DISTINCT x.dst) AS n FROM translated t JOIN {v} x ON x.src = t.dst GROUP BY 1) {a} ON {a}.src = g.id" for v, a in (("expressed_in", "e"), ("has_process", "h"), ("in_pathway", "w"))))
 def graph_branch_counts(s: Star) -> DataFrame:
-    """Distinct counts over the six branches of a gene: each is aggregated by itself, so that they don't multiply, and only
-    genes that have all of them stay."""
+    """Distinct counts over the six branches of a gene, for genes that have all of them. Each branch is aggregated by itself, and
+    those of two hops as sets of bits, so that no product of genes and targets is made."""
     e = s.graph.edges
     out = e["INCREASES_RISK_OF"].table.groupBy(F.col("src").alias("gene")).agg(F.count_distinct("dst").alias("diseases"))
     out = out.join(e["MAPS_TO"].table.groupBy(F.col("dst").alias("gene")).agg(F.count_distinct("src").alias("snps")), "gene")
-    translated = e["TRANSLATED_INTO"].table.select(F.col("src").alias("gene"), F.col("dst").alias("protein"))
-    out = out.join(translated.groupBy("gene").agg(F.count_distinct("protein").alias("proteins")), "gene")
+    translated = written(e["TRANSLATED_INTO"].table)
+    out = out.join(translated.groupBy(F.col("src").alias("gene")).agg(F.count_distinct("dst").alias("proteins")), "gene")
     for kind, name in (("EXPRESSED_IN", "tissues"), ("HAS_PROCESS", "processes"), ("ANNOTATED_IN_PATHWAY", "pathways")):
-        far = e[kind].table.select(F.col("src").alias("protein"), F.col("dst").alias("far"))
-        out = out.join(translated.join(far, "protein").groupBy("gene").agg(F.count_distinct("far").alias(name)), "gene")
+        far = e[kind].table.select("src", "dst")
+        numbers = written(s.graph.nodes[e[kind].target].select(F.col("id").alias("dst"), F.monotonically_increasing_id().alias("number")))
+        out = out.join(reach_counts(translated, far, numbers).select(F.col("src").alias("gene"), F.col("n").alias(name)), "gene")
     return out
 
 

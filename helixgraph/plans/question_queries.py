@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import answers as A
 from ..functions import questions as P
 from ..functions import text as X
+from ..sources.session import written
 from ..sources.star import Star
-from ..streaming import ingest
 from .evaluation_queries import LISTS, WORDS, lists
 from .graph_queries import query, top
 from .registry import register
@@ -113,7 +113,7 @@ def protein_edges(s: Star) -> DataFrame:
 def answered(s: Star, rows: DataFrame) -> DataFrame:
     """(id, route, answer): all questions of a route are answered in one join; those without an answer are expanded."""
     # written once, as each route reads them again, and so that no route parses them anew
-    edges, asked = ingest.written(protein_edges(s)), ingest.written(dispatched(ingest.written(parsed(rows))))
+    edges, asked = written(protein_edges(s)), written(dispatched(written(parsed(rows))))
     one = asked.filter("route = 'one-hop'").select("id", "type", F.element_at("proteins", 1).alias("protein")).join(edges, ["type", "protein"]).select("id", "answer").distinct()
     two = asked.filter("route = 'conjunction'").select("id", "type", F.explode("proteins").alias("protein")).join(edges, ["type", "protein"])
     two = two.groupBy("id", "answer").agg(F.count_distinct("protein").alias("n")).filter("n = 2").select("id", "answer")

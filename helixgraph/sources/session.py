@@ -1,12 +1,14 @@
-"""What a session needs to run the package's functions in Python workers."""
+"""What a session needs to run the package's functions in Python workers, and tables that are written once and read again."""
 
 from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 ROOT = Path(__file__).resolve().parents[2]
 
@@ -19,3 +21,35 @@ def ship_package(spark: SparkSession) -> None:
     archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='helixgraph-')}/helixgraph", "zip", ROOT, "helixgraph")
     context.addPyFile(archive)
     context._helixgraph_shipped = True
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir, which all executors share; a local session that sets none gets its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="helixgraph-")
+    return f"{base.rstrip('/')}/work-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as Parquet in the shared folder, read again: for tables that several steps use."""
+    folder = work_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """Adds each row's place, from 1, in an order of all rows, without sorting them in one task: a range partitioning deals
+    out runs of the order, a row for each run says where it begins. The order should identify rows."""
+    spark = df.sparkSession
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    runs = written(df.repartitionByRange(n, *order).withColumn("_run", F.spark_partition_id()))
+    starts, total = [], 0
+    for r in sorted(runs.groupBy("_run").agg(F.count("*").alias("n")).collect()):  # a row for each partition
+        starts.append((r["_run"], total))
+        total += r["n"]
+    offsets = spark.createDataFrame(starts, "_run int, _start long")
+    place = F.row_number().over(Window.partitionBy("_run").orderBy(*order)) + F.col("_start")
+    return runs.join(F.broadcast(offsets), "_run").withColumn(name, place.cast("long")).drop("_run", "_start")

@@ -2,31 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import variants as V
-
-
-def work_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors share; a local session that sets none gets its own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="helixgraph-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as Parquet in the shared folder, read again: for tables that several steps use."""
-    folder = work_folder(df.sparkSession)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+from ..sources.session import work_folder
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, schema: T.StructType) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from helixgraph.operators.pattern import Edge, Graph, numbered
+from helixgraph.operators.pattern import Edge, Graph, numbered, reach_counts
 
 
 def graph(spark, pairs):
@@ -52,3 +52,13 @@ def test_a_further_match_may_take_the_edge_again(spark):
     assert sorted(tuple(r) for r in kept.select("a_id", "c_id").collect()) == [(1, None), (2, None)]
     ring = graph(spark, [(1, 2), (2, 1)]).match("N", "a").hop("a", "E", "e", "b").hop("b", "E", "f", "a")
     assert ring.rows.count() == 2
+
+
+def test_reach_counts(spark):
+    draw = random.Random(8)
+    first = [(draw.randint(1, 6), draw.randint(1, 9)) for _ in range(30)]
+    second = [(draw.randint(1, 9), f"t{draw.randint(1, 200)}") for _ in range(400)]
+    numbers = [(f"t{i}", i * 5 if i % 2 else (1 << 33) + i) for i in range(1, 201)]
+    out = reach_counts(spark.createDataFrame(first, "src long, dst long"), spark.createDataFrame(second, "src long, dst string"), spark.createDataFrame(numbers, "dst string, number long"))
+    expected = {s: len({t for a, m in first if a == s for b, t in second if b == m}) for s, _ in first}
+    assert {r["src"]: r["n"] for r in out.collect()} == expected
