@@ -13,6 +13,7 @@ from itertools import groupby
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.session import written
 from .pattern import Graph, Pattern, _prefixed
 
 
@@ -101,7 +102,7 @@ def answers(graph: Graph, tasks: list[Task], questions: DataFrame) -> DataFrame:
     asked = questions.select("question", "task_id", "parameters").dropDuplicates(["question", "task_id"])
     ordered = sorted(tasks, key=lambda t: t.shape)
     parts = [_matched(graph, list(own), asked) for _, own in groupby(ordered, key=lambda t: t.shape)]
-    values = reduce(DataFrame.unionByName, parts).groupBy("question", "task_id", "value").agg(F.min("ord").alias("ord"))
+    values = written(reduce(DataFrame.unionByName, parts).groupBy("question", "task_id", "value").agg(F.min("ord").alias("ord")))
     matches = values.groupBy("question", "task_id").agg(F.count("*").alias("matches"), F.count("value").alias("known"))
     counts = [t.id for t in tasks if t.count]
     most = F.lit(0)
