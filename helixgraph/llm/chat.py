@@ -237,8 +237,11 @@ def as_records(df: DataFrame, conversation: str, turn: str) -> DataFrame:
 
 def format_turns(df: DataFrame) -> DataFrame:
     """Add ``formatted``, the turn in the template, and ``loss_start`` and ``loss_end``, the part of it under the loss mask
-    (null for turns of other roles than the assistant). Columns of these names are replaced; others stay."""
+    (null for turns of other roles than the assistant). Columns of these names are replaced; others stay. Rows that stand for
+    records of unknown layout (``unmapped`` says why) hold no turn and are left out."""
     df = df.drop("formatted", "loss_start", "loss_end")
+    if "unmapped" in df.columns:
+        df = df.filter(F.col("unmapped").isNull())
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

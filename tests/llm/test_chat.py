@@ -115,3 +115,13 @@ def test_digests(spark):
     assert digests(empty) == []
     clashing = df.withColumns({"record": F.lit("x"), "formatted": F.lit("x"), "part": F.lit(9), "loss_start": F.lit(1)})
     assert sorted(digests(clashing), key=str) == sorted(digests(df.repartition(5, "text")), key=str) == sorted(got.values(), key=str)
+
+
+def test_unmapped_records_are_no_turns(spark):
+    long = "w " * 60000
+    rows = [(1, 0, '{"prompt": "a", "completion": "b"}'), (1, 1, '{"what": "is this"}'), (1, 2, "not JSON"), (2, 0, '{"what": 1}'), (3, 0, json.dumps({"prompt": long, "completion": long}))]
+    turns = chat.canonical_turns(spark.createDataFrame(rows, "conv_id long, turn long, record string"), ["conv_id", "turn"], "record")
+    assert turns.filter("unmapped IS NOT NULL").count() == 3
+    out = {r["conv_id"]: r for r in chat.digest_conversations(chat.format_turns(turns.withColumn("place", F.col("turn") + F.col("part"))), "conv_id", ["place"]).collect()}
+    assert sorted(out) == [1, 3] and out[1]["n_turns"] == 2 and out[1]["turns_sha256"] == hashlib.sha256(b"user\na\nassistant\nb\n").hexdigest()
+    assert out[3]["loss_chars"] == len(long)
