@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import benchmarks as B
-from ..sources import readers
+from ..sources import documents, readers
+from ..sources.session import work_folder
 from ..sources.star import Star
 from ..streaming import ingest
 from .graph_queries import query
@@ -33,6 +34,36 @@ def build_validation(s: Star) -> DataFrame:
     return B.validate(samples(s), answers, ["gene", "disease"], "evidence_score").groupBy("task_id", "reason").agg(F.count("*").alias("n"))
 
 
+def question_files(s: Star) -> DataFrame:
+    """The sampled questions written as files of two layouts (a list; an object with a list), read back as one."""
+    rows = samples(s).withColumn("question", F.format_string("Is gene %s tied to disease \"%s\" {a}?", "gene", "disease"))
+    rows = rows.withColumn("parameters", F.create_map(F.lit("gene"), F.col("gene").cast("string"), F.lit("disease"), F.col("disease").cast("string")))
+    folder = work_folder(s.spark)
+    known = rows.filter("task_id = 'R-RISK'").select("question", "task_id", F.lit("R").alias("taxonomy"), F.lit("risk").alias("type"), F.lit("risk_score").alias("answer_key"), "parameters")
+    documents.write_json_lists(known, f"{folder}/knowledge")
+    options = F.when(F.col("gene") % 2 == 0, F.array(F.lit("yes"), F.lit("no")))
+    reasoned = rows.filter("task_id = 'R-EVIDENCE'").select("question", "task_id", F.lit("evidence").alias("reasoning_type"), options.alias("options"), F.lit("yes").alias("correct_answer"), "parameters")
+    documents.write_json_lists(reasoned, f"{folder}/reasoning", "questions")
+    return documents.question_records(s.spark, f"{folder}/*")
+
+
+@query(f"""SELECT task_id, key, count(*) AS n FROM (SELECT task_id, unnest(CASE WHEN task_id = 'R-RISK' THEN ['question', 'task_id', 'taxonomy', 'type', 'answer_key', 'parameters']
+WHEN gene % 2 = 0 THEN ['question', 'task_id', 'reasoning_type', 'options', 'correct_answer', 'parameters'] ELSE ['question', 'task_id', 'reasoning_type', 'correct_answer', 'parameters'] END) AS key FROM {SAMPLES}) GROUP BY 1, 2""")
+def source_question_keys(s: Star) -> DataFrame:
+    """How many questions of each task hold each key, over files whose keys vary by row."""
+    rows = question_files(s).withColumn("task_id", F.variant_get("record", "$.task_id", "string"))
+    return documents.keys_of(rows, "task_id").groupBy("task_id", "key").agg(F.count("*").alias("n"))
+
+
+@query(f"""SELECT 'Is gene ' || gene || ' tied to disease "' || disease || '" {{a}}?' AS question, task_id, CASE WHEN task_id = 'R-RISK' THEN 'risk' END AS type, CASE WHEN task_id <> 'R-RISK' THEN 'evidence' END AS reasoning_type,
+CASE WHEN task_id <> 'R-RISK' AND gene % 2 = 0 THEN 'yes,no' END AS options, gene AS gene, CAST(disease AS BIGINT) AS disease FROM {SAMPLES}""")
+def source_question_records(s: Star) -> DataFrame:
+    """Questions of both layouts in one schema, parameters included."""
+    rows = documents.typed(question_files(s), readers.QUESTION_SCHEMA)
+    number = {name: F.col("parameters")[name].cast("long").alias(name) for name in ("gene", "disease")}
+    return rows.select("question", "task_id", "type", "reasoning_type", F.array_join("options", ",").alias("options"), number["gene"], number["disease"])
+
+
 @query("SELECT count(DISTINCT v.rsid) AS wanted, count(DISTINCT CASE WHEN o.o_orderkey IS NOT NULL THEN v.rsid END) AS hits, count(DISTINCT CASE WHEN o.o_orderkey IS NULL THEN v.rsid END) AS misses FROM variants v LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') o ON v.rsid = 'rs' || o.o_orderkey")
 def source_cache(s: Star) -> DataFrame:
     """Hits and misses of an annotation cache."""

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import documents
+
 #: Columns of variant files.
 VARIANT_SCHEMA = T.StructType(
     [
@@ -58,11 +60,7 @@ def read_members(spark: SparkSession, path: str, ids: list[str], schema: T.Struc
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
     """Question files that hold a JSON list, or an object with the list under ``questions``."""
-    whole = spark.read.text(path, wholetext=True)
-    as_list = F.from_json("value", T.ArrayType(QUESTION_SCHEMA))
-    as_object = F.from_json("value", T.StructType().add("questions", T.ArrayType(QUESTION_SCHEMA)))["questions"]
-    listed = F.when(F.ltrim("value").startswith("["), as_list).otherwise(as_object)
-    return whole.select(F.explode(listed).alias("q")).select("q.*")
+    return documents.typed(documents.question_records(spark, path), QUESTION_SCHEMA)
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -77,9 +75,8 @@ def read_through(keys: DataFrame, cache: DataFrame, key: str) -> tuple[DataFrame
 
 def cache_from_json(spark: SparkSession, path: str, key: str, record: T.StructType) -> DataFrame:
     """A JSON object keyed by id as a table of the key and the record's columns."""
-    whole = spark.read.text(path, wholetext=True)
-    entries = F.from_json("value", T.MapType(T.StringType(), record))
-    return whole.select(F.explode(entries).alias(key, "_r")).select(key, "_r.*")
+    rows = documents.cache_records(spark, path, key)
+    return rows.select(key, *(F.try_variant_get("record", f"$['{f.name}']", f.dataType.simpleString()).alias(f.name) for f in record.fields))
 
 
 def named_records(rows: Column, names: list[str]) -> Column:
