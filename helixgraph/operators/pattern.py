@@ -17,11 +17,13 @@ def desc_like_graph(column: Column | str) -> Column:
 @dataclass(frozen=True)
 class Edge:
     """An edge table (src, dst, properties) and the labels of its ends. A pair of ends has one edge of a type, unless the table
-    has a column ``edge_no`` that tells parallel ones apart (see ``numbered``)."""
+    has a column ``edge_no`` that tells parallel ones apart (see ``numbered``). ``reverse`` holds the same rows laid out by dst,
+    where a graph is stored so."""
 
     table: DataFrame
     source: str
     target: str
+    reverse: DataFrame | None = None
 
 
 def numbered(table: DataFrame) -> DataFrame:
@@ -69,7 +71,7 @@ class Graph:
 
     def subgraph(self, conditions: dict[str, str]) -> Graph:
         """The same nodes with the edges of the types named that meet their conditions."""
-        return Graph(self.nodes, {k: replace(self.edges[k], table=self.edges[k].table.filter(c)) for k, c in conditions.items()})
+        return Graph(self.nodes, {k: replace(self.edges[k], table=self.edges[k].table.filter(c), reverse=None) for k, c in conditions.items()})
 
 
 def _prefixed(df: DataFrame, alias: str) -> DataFrame:
@@ -101,7 +103,7 @@ class Pattern:
         """The edges of a type as (here, there, src, dst, properties), and the label at the far end."""
         edge = self.graph.edges[kind]
         forth = edge.table.withColumns({"here": F.col("src"), "there": F.col("dst")})
-        back = edge.table.withColumns({"here": F.col("dst"), "there": F.col("src")})
+        back = (edge.table if edge.reverse is None else edge.reverse).withColumns({"here": F.col("dst"), "there": F.col("src")})
         if direction == "out":
             return forth, edge.target
         if direction == "in":
@@ -114,12 +116,15 @@ class Pattern:
         others = [a for a, k in self.taken.items() if k == kind]
         return reduce(Column.__and__, (~reduce(Column.__and__, (F.col(f"{a}_{c}").eqNullSafe(F.col(f"{edge}_{c}")) for c in mark)) for a in others)) if others else None
 
-    def hop(self, start: str, kind: str, edge: str, end: str, direction: str = "out", optional: bool = False, condition: Column | str | None = None) -> Pattern:
+    def hop(self, start: str, kind: str, edge: str, end: str, direction: str = "out", optional: bool = False, condition: Column | str | None = None, id_only: bool = False) -> Pattern:
         """Follow edges of a type from a bound alias; ``condition`` on the edge's and the end's columns belongs to the
-        join, so that an optional hop keeps rows without a match. If the end is bound too, both ends are met."""
+        join, so that an optional hop keeps rows without a match. If the end is bound too, both ends are met. ``id_only``
+        binds nothing but the end's id and joins no node table: for graphs whose edges all end at nodes."""
         ends, label = self._ends(kind, direction)
         side, bound = _prefixed(ends, edge), end in self.labels
-        if not bound:
+        if not bound and id_only:
+            side = side.withColumn(f"{end}_id", F.col(f"{edge}_there"))
+        elif not bound:
             side = side.join(_prefixed(self.graph.nodes[label], end), F.col(f"{edge}_there") == F.col(f"{end}_id"))
         if condition is not None:
             side = side.filter(condition)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import benchmarks as B
-from ..sources import documents, readers
+from ..sources import documents, readers, results
 from ..sources.session import work_folder
 from ..sources.star import Star
 from ..streaming import ingest
@@ -73,6 +73,17 @@ def source_cache(s: Star) -> DataFrame:
     return both.agg(F.count("*").alias("wanted"), F.sum("hit").alias("hits"), F.sum("miss").alias("misses"))
 
 
+@query("SELECT model, count(*) AS calls, CAST(sum(tokens_in) AS BIGINT) AS tokens FROM calls GROUP BY 1")
+def source_results_resumed(s: Star) -> DataFrame:
+    """Calls written in two runs, one killed before its manifest and repeated, one repeated though done: each row once."""
+    path, rows = work_folder(s.spark), s.calls.select("call_id", "model", "tokens_in")
+    first, second = rows.filter("model <= 'click'"), rows.filter("model > 'click' OR model IS NULL")
+    results.stage(first, path, "first")
+    for run, part in (("first", first), ("second", second), ("second", second)):
+        results.write_run(part, path, run)
+    return results.read_runs(s.spark, path).groupBy("model").agg(F.count("*").alias("calls"), F.sum("tokens_in").alias("tokens"))
+
+
 @query("SELECT src, dst, score FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS n FROM (SELECT l_suppkey AS src, l_partkey AS dst, count(*) * 100 + 650 AS score FROM lineitem GROUP BY 1, 2) WHERE score >= 700) WHERE n <= 50")
 def source_partners(s: Star) -> DataFrame:
     """The fifty best partners of each protein beyond a score."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..operators import variants as V
+from ..operators import enrichment, variants as V
 from ..sources.session import ranked
 from ..sources.star import Star
 from .graph_queries import first_names, query, top
@@ -288,3 +288,22 @@ def gene_library_families(s: Star) -> DataFrame:
     family = s.spark.createDataFrame(list(FAMILIES.items()), "word string, family string")
     rows = enriched(s).withColumn("word", F.split("library", " ")[0]).join(F.broadcast(family), "word")  # six rows
     return rows.groupBy("family").agg(F.count("*").alias("terms"), F.count_distinct("library").alias("libraries"), F.round(F.min("adjusted"), 9).alias("least"))
+
+
+_LOG_CHOOSE = "lgamma({0} + 1) - lgamma({1} + 1) - lgamma({0} - {1} + 1)"
+_TAIL = " + ".join(_LOG_CHOOSE.format(n, k) for n, k in [("term", "i"), ("(universe - term)", "(drawn - i)")]) + " - (" + _LOG_CHOOSE.format("universe", "drawn") + ")"
+
+
+@query(f"""WITH asked AS (SELECT DISTINCT src AS gene FROM risk WHERE risk_score > 0.9 AND src IN (SELECT p_partkey FROM part)),
+sizes AS (SELECT string_split(p_type, ' ')[1] AS library, p_brand AS term_name, count(*) AS term, count(asked.gene) AS hits, (SELECT count(*) FROM asked) AS drawn, (SELECT count(*) FROM part) AS universe
+FROM part LEFT JOIN asked ON p_partkey = gene GROUP BY 1, 2),
+tails AS (SELECT *, least(1.0, list_sum(list_transform(range(greatest(hits, term + drawn - universe), least(term, drawn) + 1), lambda i: exp({_TAIL})))) AS p FROM sizes),
+placed AS (SELECT *, p * count(*) OVER (PARTITION BY library) / row_number() OVER (PARTITION BY library ORDER BY p, term_name) AS raw FROM tails)
+SELECT library, term_name, term, CAST(hits AS BIGINT) AS hits, drawn, universe, round(p, 9) AS p,
+round(least(1.0, min(raw) OVER (PARTITION BY library ORDER BY p, term_name ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 9) AS adjusted FROM placed""")
+def gene_enrichment_tests(s: Star) -> DataFrame:
+    """Over-representation of each term among the genes of high risk: hypergeometric p-values, adjusted in each library."""
+    parts = s.table("part").select(F.col("p_partkey").alias("gene"), F.split("p_type", " ")[0].alias("library"), F.col("p_brand").alias("term_name"))
+    asked = s.risk.filter("risk_score > 0.9").select(F.col("src").alias("gene"))
+    rows = enrichment.enrich(parts, asked, parts.select("gene"))
+    return rows.withColumns({"p": F.round("p", 9), "adjusted": F.round("adjusted", 9)})

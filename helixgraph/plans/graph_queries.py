@@ -5,6 +5,7 @@ Each question is answered for all its anchors at once, as a join, instead of one
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.pattern import Edge, Graph, desc_like_graph, numbered, reach_counts
+from ..sources import graph_store
 from ..sources.session import written
 from ..sources.star import Star, with_views
 from .registry import register
@@ -488,3 +490,26 @@ def graph_induced_subgraph(s: Star) -> DataFrame:
     chosen = s.graph.edges["ASSOCIATED_WITH"].table.filter("score > 0.3").select(F.col("src").alias("k"))
     e = s.graph.edges["INTERACTS_WITH"].table
     return e.join(chosen, F.col("src") == F.col("k"), "left_semi").join(chosen, F.col("dst") == F.col("k"), "left_semi").select("src", "dst")
+
+
+def stored(s: Star, labels: list[str], kinds: list[str]) -> str:
+    """A part of the graph as stored tables; the name under which they are."""
+    name = f"graph_{uuid.uuid4().hex}"
+    graph_store.store(Graph({k: s.graph.nodes[k] for k in labels}, {k: s.graph.edges[k] for k in kinds}), name, 8)
+    return name
+
+
+@query("SELECT t.src AS gene, count(*) AS paths, count(DISTINCT h.dst) AS processes FROM gene JOIN translated t ON t.src = gene.id JOIN has_process h ON t.dst = h.src GROUP BY 1")
+def graph_stored_hops(s: Star) -> DataFrame:
+    """Paths from each gene by its proteins to processes, over a stored graph: no edge moves."""
+    graph = graph_store.opened(s.spark, stored(s, ["Gene", "Protein", "Process"], ["TRANSLATED_INTO", "HAS_PROCESS"]))
+    found = graph.match("Gene", "g").hop("g", "TRANSLATED_INTO", "t", "p", id_only=True).hop("p", "HAS_PROCESS", "h", "q", id_only=True)
+    return found.rows.groupBy(F.col("g_id").alias("gene")).agg(F.count("*").alias("paths"), F.count_distinct("q_id").alias("processes"))
+
+
+@query("""SELECT 'node' AS kind, 'SNP' AS name, NULL AS source, NULL AS target, count(*) AS n FROM snp UNION ALL SELECT 'node', 'Gene', NULL, NULL, count(*) FROM gene UNION ALL SELECT 'node', 'Disease', NULL, NULL, count(*) FROM disease
+UNION ALL SELECT 'edge', 'MAPS_TO', 'SNP', 'Gene', count(*) FROM maps_to UNION ALL SELECT 'edge', 'PUTATIVE_CAUSAL_EFFECT', 'SNP', 'Disease', count(*) FROM causal UNION ALL SELECT 'edge', 'INCREASES_RISK_OF', 'Gene', 'Disease', count(*) FROM risk""")
+def graph_stored_catalogue(s: Star) -> DataFrame:
+    """Labels, types and counts of a stored graph, read from its catalogue."""
+    name = stored(s, ["SNP", "Gene", "Disease"], ["MAPS_TO", "PUTATIVE_CAUSAL_EFFECT", "INCREASES_RISK_OF"])
+    return graph_store.catalogue(s.spark, name).select("kind", "name", "source", "target", "n")

@@ -53,3 +53,17 @@ def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     offsets = spark.createDataFrame(starts, "_run int, _start long")
     place = F.row_number().over(Window.partitionBy("_run").orderBy(*order)) + F.col("_start")
     return runs.join(F.broadcast(offsets), "_run").withColumn(name, place.cast("long")).drop("_run", "_start")
+
+
+def running_min(df: DataFrame, by: str, order: list[Column], value: str, name: str) -> DataFrame:
+    """Adds the least value from each row to the end of its group, in an order of all rows, without holding a group in one
+    task: within runs of a range partitioning by a window, beyond them by one row for each run and group. ``by`` may be null."""
+    spark = df.sparkSession
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    runs = written(df.repartitionByRange(n, F.col(by), *order).withColumn("_run", F.spark_partition_id()))
+    least = runs.groupBy(by, "_run").agg(F.min(value).alias("_least"))
+    later = Window.partitionBy(by).orderBy("_run").rowsBetween(1, Window.unboundedFollowing)
+    carry = least.select(F.col(by).alias("_by"), F.col("_run").alias("_r"), F.min("_least").over(later).alias("_later"))
+    onward = Window.partitionBy("_run", by).orderBy(*order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    joined = runs.join(carry, runs[by].eqNullSafe(F.col("_by")) & (runs["_run"] == F.col("_r")))
+    return joined.withColumn(name, F.least(F.min(value).over(onward), F.col("_later"))).drop("_run", "_by", "_r", "_later")
