@@ -22,8 +22,8 @@ from .common import materialize, partitions
 
 #: Vectors on which codebooks are fitted; codebooks and their words; beams kept; candidates ranked exactly.
 SAMPLE, BOOKS, WORDS, BEAM, CANDIDATES = 16_384, 24, 256, 4, 400
-#: Queries of a block, about; vectors of a segment; bytes of queries that may be broadcast.
-QUERY_BLOCK, SEGMENT, QUERY_BYTES = 256, 1024, 16 << 20
+#: Queries of a block, about; vectors of a segment; vectors whose codes a task holds, about (36 bytes each).
+QUERY_BLOCK, SEGMENT, SHARE = 256, 1024, 1 << 21
 
 
 def fit(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 8, seed: int = 0) -> np.ndarray:
@@ -108,38 +108,45 @@ def _index(rows: DataFrame, codebooks) -> DataFrame:
     return rows.select("class", "vector").mapInArrow(run, "segment long, classes binary, codes binary, norms binary")
 
 
-def _scan(pairs: DataFrame, codebooks, candidates: int) -> DataFrame:
-    """(query_class, scores, classes): the best codes of each query in each task, by table lookups. ``pairs`` are segments
-    of codes beside blocks of queries, the pairs of a block after each other; a task holds one of each, the block's
-    lookup table and its best codes so far."""
+def _dealt(codes: DataFrame, packed: DataFrame, shares: int, parts: int) -> DataFrame:
+    """Segments of codes and blocks of queries, so that each share of the codes meets each block in one task: the codes go
+    to ``parts`` tasks each, however many blocks there are, and the blocks, which are small, to one task of each share.
+    Within a task the codes come first."""
+    dealt = F.pmod(F.xxhash64("segment"), F.lit(shares)).cast("int").alias("share")
+    held = codes.select(dealt, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(-1).alias("block"), F.lit(None).cast(packed.schema["asked"].dataType).alias("asked"), "classes", "codes", "norms")
+    none = [F.lit(None).cast("binary").alias(c) for c in ("classes", "codes", "norms")]
+    asked = packed.select(F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), F.pmod("block", F.lit(parts)).alias("part"), "block", "asked", *none)
+    place = F.col("share") * parts + F.col("part")
+    return held.unionByName(asked).withColumn("place", place.cast("int")).repartitionById(shares * parts, F.col("place")).sortWithinPartitions("place", "block")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        books = codebooks.value
-        block, names, table, score, which = None, None, None, None, None
 
-        def told() -> pa.RecordBatch:
-            columns = [pa.array([v[i].tobytes() for i in range(len(names))], pa.binary()) for v in (score, which)]
-            return pa.RecordBatch.from_arrays([pa.array(names), *columns], ["query_class", "scores", "classes"])
+def _scan(dealt: DataFrame, codebooks, candidates: int) -> DataFrame:
+    """(query_class, scores, classes): the best codes of each query in each share, by table lookups. A task holds its share
+    of the codes, one block's lookup table and that block's best codes so far."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        books, held = codebooks.value, []
         for row in (batch.slice(i, 1) for batch in batches for i in range(batch.num_rows)):
-            if row.column("block")[0].as_py() != block:
-                if block is not None:
-                    yield told()
-                block, asked = row.column("block")[0].as_py(), row.column("asked")[0].values
-                names = asked.field("class").to_numpy()
-                q = asked.field("vector").flatten().to_numpy().astype(np.float32).reshape(len(names), -1)
-                table = -2 * np.einsum("qd,mwd->mwq", q, books)
-                score, which = np.zeros((len(names), 0), np.float32), np.zeros((len(names), 0), np.int64)
-            members, norm = (np.frombuffer(row.column(c)[0].as_py(), t) for c, t in (("classes", np.int64), ("norms", np.float32)))
-            code = np.frombuffer(row.column("codes")[0].as_py(), np.uint8).reshape(len(norm), -1)
-            s = np.repeat(norm[:, None], len(names), 1)
-            for m in range(len(books)):
-                s += table[m][code[:, m]]
-            score, which = _best(np.concatenate([score, s.T], 1), np.concatenate([which, np.tile(members, (len(names), 1))], 1), candidates)
-        if block is not None:
-            yield told()
+            if row.column("block")[0].as_py() < 0:
+                members, norm = (np.frombuffer(row.column(c)[0].as_py(), t) for c, t in (("classes", np.int64), ("norms", np.float32)))
+                held.append((members, norm, np.frombuffer(row.column("codes")[0].as_py(), np.uint8).reshape(len(norm), -1)))
+                continue
+            if not held:  # a share may be empty
+                continue
+            asked = row.column("asked")[0].values
+            names = asked.field("class").to_numpy()
+            q = asked.field("vector").flatten().to_numpy().astype(np.float32).reshape(len(names), -1)
+            table = -2 * np.einsum("qd,mwd->mwq", q, books)
+            score, which = np.zeros((len(names), 0), np.float32), np.zeros((len(names), 0), np.int64)
+            for members, norm, code in held:
+                s = np.repeat(norm[:, None], len(names), 1)
+                for m in range(len(books)):
+                    s += table[m][code[:, m]]
+                score, which = _best(np.concatenate([score, s.T], 1), np.concatenate([which, np.tile(members, (len(names), 1))], 1), candidates)
+            columns = [pa.array([v[i].tobytes() for i in range(len(names))], pa.binary()) for v in (score, which)]
+            yield pa.RecordBatch.from_arrays([pa.array(names), *columns], ["query_class", "scores", "classes"])
 
-    return pairs.select("block", "asked", "classes", "codes", "norms").mapInArrow(run, "query_class long, scores binary, classes binary")
+    return dealt.select("block", "asked", "classes", "codes", "norms").mapInArrow(run, "query_class long, scores binary, classes binary")
 
 
 def _merged(found: DataFrame, candidates: int) -> DataFrame:
@@ -186,9 +193,9 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, candidates: int = C
     larger on ties). Of repeated ids the row with the least vector counts (see ``_one_row_an_id``). Other columns may have
     any names. Fewer rows give fewer neighbours; an empty table gives none.
 
-    All queries are answered in one plan: blocks of queries meet segments of codes, each pair once, which is a scan of all
-    codes for each block, as the method asks. Queries are replicated by broadcast while they hold QUERY_BYTES at most, and
-    by a shuffle beyond.
+    All queries are answered in one plan: blocks of queries meet shares of the codes, each pair once, which is a scan of all
+    codes for each block, as the method asks. A share stays with its task while the blocks pass it, so the codes are shuffled
+    about once; the blocks are replicated by share, and each share gives its candidates of each query.
     """
     spark = vectors.sparkSession
     rows = vectors.filter(F.col(id_column).isNotNull() & usable(F.col(vector_column))).select(F.col(id_column).alias("vec_id"), F.col(vector_column).alias("vector"), queries.alias("asked"))
@@ -215,14 +222,10 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, candidates: int = C
     blocks = -(-n // QUERY_BLOCK)
     packed = distinct.groupBy(F.pmod(F.xxhash64("query_class"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct(F.col("query_class").alias("class"), "vector")).alias("asked"))
     packed = materialize(packed, "queries")
-    spread = max(1, -(-partitions(spark) // blocks))  # tasks that share a block's scan
-    pairs = codes.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("part", F.pmod(F.xxhash64("segment"), F.lit(spread)))
-    pairs = pairs.repartition(partitions(spark), "block", "part").sortWithinPartitions("block")
-    if 4 * n * size["d"] <= QUERY_BYTES:
-        pairs = pairs.join(F.broadcast(packed), "block")
-    else:
-        pairs = pairs.join(packed.hint("shuffle_hash"), "block").repartition(partitions(spark), "block", "part").sortWithinPartitions("block")
-    found = materialize(_merged(_scan(pairs, codebooks, candidates), candidates), "candidates")
+    size_of = codes.agg(F.count("*").alias("segments"), F.sum(F.length("norms") / 4).alias("n")).first()
+    shares = min(size_of["segments"], max(-(-int(size_of["n"]) // SHARE), -(-partitions(spark) // blocks)))
+    dealt = _dealt(codes, packed, shares, min(blocks, -(-partitions(spark) // shares)))
+    found = materialize(_merged(_scan(dealt, codebooks, candidates), candidates), "candidates")
     exact = (
         found.join(index.select("class", F.col("vector").alias("x")), "class")
         .join(distinct.select("query_class", F.col("vector").alias("y")), "query_class")

@@ -61,7 +61,7 @@ def test_recall_with_few_candidates(spark):
 
 
 def test_repeated_ids_and_blocks(spark, monkeypatch):
-    """An id counts once, with its least vector; many small blocks of queries, by broadcast or by a shuffle."""
+    """An id counts once, with its least vector; many small blocks of queries, few and many shares of codes."""
     rows = [(5, [3.0, 3.0], 0), (5, [1.0, 1.0], 0), (5, [1.0, 1.0], 0), (0, [1.0, 2.0], 0), (0, [1.0, 2.0], 0), (7, [1.0, 4.0], 0)]
     assert run(spark, rows) == {0: [(1.0, 5), (2.0, 7)]}
     monkeypatch.setattr(quantise, "QUERY_BLOCK", 3)
@@ -69,8 +69,8 @@ def test_repeated_ids_and_blocks(spark, monkeypatch):
     r = np.random.default_rng(2)
     vectors = {i: r.normal(size=4).astype(np.float32).tolist() for i in range(0, 4000, 10)}
     rows = [(i, v, 0) for i, v in vectors.items()]
-    for most in (1 << 20, 0):
-        monkeypatch.setattr(quantise, "QUERY_BYTES", most)
+    for most in (1 << 20, 20):
+        monkeypatch.setattr(quantise, "SHARE", most)
         got = run(spark, rows, 3)
         assert len(got) == 40 and all([i for _, i in got[q]] == [i for _, i in exact(vectors, q, 3)] for q in got)
 
@@ -79,3 +79,15 @@ def test_names_that_clash(spark):
     df = spark.createDataFrame([(i, [float(i), 1.0], 1, 2, 3) for i in range(1, 102)], "vec_id long, embedding array<float>, class int, h int, place int")
     out = quantise.search(df, F.col("vec_id") == 100, 2).collect()
     assert [(r["rank"], r["vec_id"], r["score"]) for r in sorted(out)] == [(1, 99, 1.0), (2, 101, 1.0)]
+
+
+def test_codes_are_dealt_once_whatever_the_number_of_blocks(spark):
+    codes = spark.range(50).selectExpr("id AS segment", "cast('c' AS binary) AS classes", "cast(repeat('c', 1000) AS binary) AS codes", "cast('n' AS binary) AS norms")
+    moved = {}
+    for blocks in (4, 400):
+        packed = spark.range(blocks).selectExpr("cast(id AS int) AS block", "array(named_struct('class', id, 'vector', array(1.0f))) AS asked")
+        dealt = quantise._dealt(codes, packed, 5, 2)
+        moved[blocks] = dealt.selectExpr("sum(length(codes))").first()[0]
+        pairs = dealt.filter("block >= 0").groupBy("share", "block").count()
+        assert pairs.count() == 5 * blocks and pairs.filter("count > 1").isEmpty()
+    assert moved[4] == moved[400] == 2 * 50 * 1000
