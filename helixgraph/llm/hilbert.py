@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -93,3 +93,39 @@ def shard(df: DataFrame, id_column: str, dimensions: list[str], ties: list[str],
         .withColumn("slot", F.col("_rank") - start)
         .drop("_rank", "_total")
     )
+
+
+def write_shards(sharded: DataFrame, path: str, dimensions: list[str], shards: int = 16, bits: int = BITS) -> None:
+    """Write what ``shard`` gives, a file for each shard, in the order of slots, and beside them each file's ranges of cells.
+
+    ``<path>/rows/shard=.../`` holds the rows, ``<path>/ranges`` a row for each shard. Shards without rows have no file.
+    """
+    if any(c.lower().startswith("cell_") for c in sharded.columns):
+        raise ValueError("columns must not begin with cell_")
+    laid = sharded.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
+    laid.write.mode("overwrite").partitionBy("shard").parquet(f"{path}/rows")
+    kinds = {d: sharded.schema[d].dataType for d in dimensions}
+    cells = sharded.select("shard", *(quantise(F.col(d), k, bits).alias(f"cell_{d}") for d, k in kinds.items()))
+    ends = [f(f"cell_{d}").alias(f"{name}_{d}") for d in dimensions for name, f in (("least", F.min), ("most", F.max))]
+    cells.groupBy("shard").agg(F.count("*").alias("n"), *ends).coalesce(1).write.mode("overwrite").parquet(f"{path}/ranges")
+
+
+def touched(spark: SparkSession, path: str, bounds: dict[str, tuple], bits: int = BITS) -> list[int]:
+    """The shards whose cells meet all bounds, each (least, most) of a dimension; strings by equality, so both ends are the
+    same. Cells keep the order of numbers, so no row within the bounds is in another shard; null rows meet no bound."""
+    ranges, rows = spark.read.parquet(f"{path}/ranges"), spark.read.parquet(f"{path}/rows")
+    for d, (least, most) in bounds.items():
+        kind = rows.schema[d].dataType
+        if isinstance(kind, (T.StringType, T.BinaryType, T.BooleanType)) and least != most:
+            raise ValueError(f"{d} has no order on the curve")
+        low, high = (quantise(F.lit(v).cast(kind), kind, bits) for v in (least, most))
+        ranges = ranges.filter((F.col(f"most_{d}") >= low) & (F.col(f"least_{d}") <= high))
+    return sorted(r["shard"] for r in ranges.select("shard").collect())  # a row for each shard
+
+
+def read_where(spark: SparkSession, path: str, bounds: dict[str, tuple], bits: int = BITS) -> DataFrame:
+    """The rows within all bounds, both ends included; files that can't hold any aren't opened."""
+    rows = spark.read.parquet(f"{path}/rows").filter(F.col("shard").isin(touched(spark, path, bounds, bits)))
+    for d, (least, most) in bounds.items():
+        rows = rows.filter(F.col(d).between(least, most))
+    return rows

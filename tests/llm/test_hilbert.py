@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pytest
 
 from helixgraph.llm import hilbert, queries
 
@@ -62,3 +63,39 @@ def test_few_rows(spark, tmp_path):
         out = queries.op7_hilbert_shards(spark, str(path)).collect()
         assert len(out) == n and len({(r["shard"], r["slot"]) for r in out}) == n
         assert all(r["slot"] == 0 for r in out)
+
+
+DIMENSIONS = ["lang", "source", "size"]
+
+
+def layouts(spark, keys, folder):
+    """The same rows in 16 files along the curve, sorted by size, and in an order without meaning."""
+    hilbert.write_shards(hilbert.shard(keys, "doc_id", DIMENSIONS, []), f"{folder}/curve", DIMENSIONS)
+    for name, order in (("sorted", "size, doc_id"), ("random", "xxhash64(doc_id)")):
+        placed = keys.selectExpr("*", f"cast(ntile(16) OVER (ORDER BY {order}) - 1 AS int) AS shard", f"row_number() OVER (ORDER BY {order}) AS slot")
+        hilbert.write_shards(placed, f"{folder}/{name}", DIMENSIONS)
+
+
+def test_files_are_pruned_and_rows_are_whole(spark, tmp_path):
+    rows = [(i, ["en", "de", "fr", None][i * 7 % 4], f"s{i * 11 % 8}", (i * i * 37) % 4001) for i in range(4000)] + [(None, None, None, None)]
+    keys = spark.createDataFrame(rows, "doc_id long, lang string, source string, size long")
+    layouts(spark, keys, tmp_path)
+    files = {"curve": 0, "sorted": 0, "random": 0}
+    questions = [{"lang": (l, l), "source": (s, s), "size": b} for l in ("en", "de") for s in ("s1", "s4") for b in ((1, 60), (100, 400), (3000, 4000))]
+    for name in files:
+        for bounds in questions:
+            files[name] += len(hilbert.touched(spark, f"{tmp_path}/{name}", bounds))
+    for bounds in questions[:4]:
+        got = sorted(r["doc_id"] for r in hilbert.read_where(spark, f"{tmp_path}/curve", bounds).collect())
+        assert got == sorted(d for d, l, s, z in rows if l == bounds["lang"][0] and s == bounds["source"][0] and bounds["size"][0] <= z <= bounds["size"][1])
+    assert 2 * files["curve"] < files["random"] and files["curve"] < files["sorted"], files
+    with pytest.raises(ValueError, match="no order"):
+        hilbert.touched(spark, f"{tmp_path}/curve", {"lang": ("a", "b")})
+    assert hilbert.read_where(spark, f"{tmp_path}/curve", {"lang": ("nowhere", "nowhere")}).count() == 0
+
+
+def test_clashing_columns_and_long_texts(spark):
+    rows = [(1, "x" * 300_000, 5, 1, 2, 3), (2, "", 5, 1, 2, 3), (1, "x" * 300_000, 5, 1, 2, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, size long, d0 int, index int, run int")
+    out = hilbert.shard(df, "doc_id", ["text", "size"], ["text"], 2).collect()
+    assert sorted((r["shard"], r["slot"]) for r in out) == [(0, 0), (0, 1), (1, 0)] and {r["d0"] for r in out} == {1}
