@@ -6,26 +6,33 @@ replacement from the universe.
 
 from __future__ import annotations
 
-from functools import reduce
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.session import ranked, running_min, written
 
-#: Stirling's series is used from here on; below, the argument is raised by steps.
-_RAISED = 16
+#: Stirling's series is used from here on; smaller errors are taken from a table.
+_SERIES = 16
+_ERRORS = [math.lgamma(n + 1) - (n + 0.5) * math.log(n) + n - 0.5 * math.log(2 * math.pi) for n in range(1, _SERIES)]
 
 
-def log_factorial(n: Column) -> Column:
-    """ln n! of a whole number of at least 0: Stirling's series, which is good to 1e-15 from 16 on, less the steps up to it."""
-    x = n.cast("double") + 1
-    steps = F.when(n < _RAISED, _RAISED - n).otherwise(0)
-    raised = x + steps
-    square = raised * raised
-    series = (raised - 0.5) * F.log(raised) - raised + 0.9189385332046727 + (1 / 12 - (1 / 360 - (1 / 1260 - 1 / (1680 * square)) / square) / square) / raised
-    product = reduce(lambda p, i: p * F.when(steps > i, x + i).otherwise(1.0), range(_RAISED), F.lit(1.0))
-    return series - F.log(product)
+def stirling_error(n: Column) -> Column:
+    """ln n! less Stirling's formula, for whole numbers from 1 on; small, so that differences of it lose no digits."""
+    x = n.cast("double")
+    series = (1 / 12 - (1 / 360 - (1 / 1260 - 1 / (1680 * x * x)) / (x * x)) / (x * x)) / x
+    return F.when(n < _SERIES, F.try_element_at(F.lit(_ERRORS), n.cast("int"))).otherwise(series)
+
+
+def _log_binomial(x: Column, n: Column, p: Column, q: Column) -> Column:
+    """ln of the chance of x hits in n draws, by the deviance from what is expected: no large terms cancel."""
+
+    def deviance(seen: Column, due: Column) -> Column:
+        return seen * F.log(seen / due) + due - seen
+
+    inner = stirling_error(n) - stirling_error(x) - stirling_error(n - x) - deviance(x, n * p) - deviance(n - x, n * q) - 0.5 * F.log(2 * math.pi * x * (n - x) / n)
+    return F.when(x == 0, n * F.log(q)).when(x == n, n * F.log(p)).otherwise(inner)
 
 
 def upper_tail(hits: Column, term: Column, drawn: Column, universe: Column) -> Column:
@@ -35,10 +42,8 @@ def upper_tail(hits: Column, term: Column, drawn: Column, universe: Column) -> C
     most = F.least(term, drawn)
     least = F.greatest(hits, term + drawn - universe, F.lit(0))
 
-    def log_choose(n: Column, k: Column) -> Column:
-        return log_factorial(n) - log_factorial(k) - log_factorial(n - k)
-
-    first = F.exp(log_choose(term, least) + log_choose(universe - term, drawn - least) - log_choose(universe, drawn))
+    p, q = drawn / universe, (universe - drawn) / universe
+    first = F.exp(_log_binomial(least, term, p, q) + _log_binomial(drawn - least, universe - term, p, q) - _log_binomial(drawn, universe, p, q))
     zero = F.struct(F.lit(0.0).alias("total"), F.lit(1.0).alias("factor"))
 
     def step(state: Column, i: Column) -> Column:
