@@ -52,6 +52,18 @@ def keep_best(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")
 
 
+def rounded(column: Column | str, digits: int) -> Column:
+    """A number rounded as a product with a power of ten, halves away from zero: so do SQL engines that round in binary. A
+    rounding of the decimal text (``F.round``) differs from it where the product meets a half and the text doesn't."""
+    scale = 10.0**digits
+    return F.round((F.col(column) if isinstance(column, str) else column) * scale, 0) / scale
+
+
+def exact_mean(column: str) -> Column:
+    """The mean of an exact sum, so that it doesn't depend on the order of the rows, rounded or not."""
+    return F.sum(F.col(column).cast("decimal(28,18)")).cast("double") / F.count(column)
+
+
 def looked_up(table: dict[str, float], key: Column) -> Column:
     """The value of a key in a fixed table, 0 if it isn't there."""
     entries = [F.lit(x) for item in table.items() for x in item]

@@ -227,15 +227,15 @@ def gene_full_aggregates(s: Star) -> DataFrame:
     """Everything that is told of a gene: best, mean and extreme scores, its first five variants by score, the best one's
     own values, and its rank. The five are taken by a limited window, not cut from a list of all."""
     names = s.genes.select(F.col("id").alias("gene"), F.col("name").alias("gene_name"))
-    rows = extended(s).join(names, "gene").withColumn("q", -F.round("neglog10p", 6))
+    rows = extended(s).join(names, "gene").withColumn("q", -V.rounded("neglog10p", 6))
     genes = rows.groupBy("gene", "gene_name").agg(
-        F.round(F.max("extended_score"), 6).alias("gene_score"), F.round(F.avg("extended_score"), 6).alias("mean_extended_score"),
-        F.round(F.max("risk_score"), 6).alias("max_risk_score"), F.round(F.avg("risk_score"), 6).alias("mean_risk_score"), F.count("risk_score").alias("snp_count"),
-        F.round(F.max("causal_score"), 6).alias("max_causal"), F.round(F.max("evidence_score"), 6).alias("max_evidence"), F.max("clinical_score").alias("max_clinvar"),
+        V.rounded(F.max("extended_score"), 6).alias("gene_score"), V.rounded(V.exact_mean("extended_score"), 6).alias("mean_extended_score"),
+        V.rounded(F.max("risk_score"), 6).alias("max_risk_score"), V.rounded(V.exact_mean("risk_score"), 6).alias("mean_risk_score"), F.count("risk_score").alias("snp_count"),
+        V.rounded(F.max("causal_score"), 6).alias("max_causal"), V.rounded(F.max("evidence_score"), 6).alias("max_evidence"), F.max("clinical_score").alias("max_clinvar"),
         F.max("consequence_score").alias("max_vep"), F.max("beta").alias("max_beta"), F.min("q").alias("min_p_exponent"), F.max("n_valid").alias("max_valid_pips"),
-        F.min_by(F.struct("rsid", F.round("extended_score", 6).alias("extended_score"), "bp", "beta"), F.struct(-F.round("extended_score", 6), "rsid", "bp", "beta", "q")).alias("b"),
+        F.min_by(F.struct("rsid", V.rounded("extended_score", 6).alias("extended_score"), "bp", "beta"), F.struct(-V.rounded("extended_score", 6), "rsid", "bp", "beta", "q")).alias("b"),
     )
-    first = rows.groupBy("gene", "rsid").agg(F.min(F.struct(-F.round("extended_score", 6), "rsid")).alias("place"))
+    first = rows.groupBy("gene", "rsid").agg(F.min(F.struct(-V.rounded("extended_score", 6), "rsid")).alias("place"))
     first = top(first, ["gene"], [F.col("place")], 5).groupBy("gene").agg(F.array_join(F.transform(F.sort_array(F.collect_list("place")), lambda x: x["rsid"]), ",").alias("snps"))
     out = genes.join(first, "gene").select(F.col("gene").alias("gene_id"), *(c for c in genes.columns if c not in ("gene", "b")), "snps", F.col("b.rsid").alias("best_snp"), F.col("b.extended_score").alias("best_snp_extended"), F.col("b.bp").alias("best_snp_position"), F.col("b.beta").alias("best_snp_beta"))
     return ranked(out, [F.desc("gene_score"), F.asc("gene_id")])
