@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.session import written
-from .pattern import Graph, Pattern, _prefixed
+from .pattern import Graph, Pattern, _prefixed, reached
 
 
 @dataclass(frozen=True)
@@ -25,6 +25,10 @@ class Task:
     ``answer`` is an SQL expression over their columns; rows must meet ``where``. The distinct values are taken in the order
     ``by`` (ascending; a minus sign before a column, or ``-inf`` in its place, gives descending order with nulls first), then
     by value, and the first ``most`` are the answer. ``count`` answers with their number instead, 0 included.
+
+    ``form`` says what of a path of two hops the expressions read, so that not every path need be a row: ``near``, nothing
+    beyond n1 (the second hop need only exist); ``far``, nothing but n2, and there is no order (ends are met as sets of bits);
+    ``apart``, nothing before n1, and answers of different n1 differ (those of each n1 are told once, its first ``most`` go on).
     """
 
     id: str
@@ -37,10 +41,11 @@ class Task:
     by: str = "0D"
     most: int = 1
     count: bool = False
+    form: str = ""
 
     @property
     def shape(self) -> tuple:
-        return self.label, self.start, self.hops, self.end or ""
+        return self.label, self.start, self.hops, self.end or "", self.form
 
     @property
     def taxonomy(self) -> str:
@@ -83,8 +88,10 @@ def _matched(graph: Graph, tasks: list[Task], questions: DataFrame) -> DataFrame
     )
     nodes = _prefixed(graph.nodes[first.label], "n0")
     found = Pattern(graph, own.join(nodes, F.col("_start") == F.col("n0_id")), {"n0": first.label})
-    for i, (edge, direction) in enumerate(first.hops, 1):
+    for i, (edge, direction) in enumerate(first.hops[:1] if first.form == "near" else first.hops, 1):
         found = found.hop(f"n{i - 1}", edge, f"e{i}", f"n{i}", direction)
+    if first.form == "near":
+        found = found.exists("n1", *first.hops[1])
     if first.end:
         last = f"n{len(first.hops)}_id"
         found = found.where(F.col("_end").try_cast(found.rows.schema[last].dataType) == F.col(last))
@@ -93,6 +100,52 @@ def _matched(graph: Graph, tasks: list[Task], questions: DataFrame) -> DataFrame
     return rows.select("question", "task_id", text.alias("value"), _of(tasks, "by", "0D").alias("ord"))
 
 
+def _told(graph: Graph, task: Task, questions: DataFrame) -> DataFrame:
+    """(question, task_id, matches, known, _listed) of a task of the forms ``far`` and ``apart``, by the nodes that begin paths."""
+    (near, way), (far, onward) = task.hops
+    if near == far or task.end or task.where != "true" or task.count:
+        raise ValueError(f"{task.id}: a path of this form has two types of edges, no end, no condition and no count")
+    kind = graph.nodes[task.label].schema["id"].dataType
+    own = questions.filter(F.col("task_id") == task.id).select("question", "task_id", F.col("parameters")[task.start].try_cast(kind).alias("_start"))
+    begin = Pattern(graph, _prefixed(graph.nodes[task.label], "n0"), {"n0": task.label})
+    begin = begin.where(F.col("n0_id").isNotNull()).hop("n0", near, "e1", "n1", way)
+    first = begin.rows.join(own.select("_start"), F.col("n0_id") == F.col("_start"), "left_semi").select(F.col("n0_id").alias("src"), F.col("n1_id").alias("dst"))
+    ends = graph.match(begin.labels["n1"], "n1").hop("n1", far, "e2", "n2", onward).rows.select(F.col("n1_id").alias("src"), F.expr(task.answer).cast("string").alias("value"), F.expr(task.by).alias("ord"))
+    told = reached(first, ends.select("src", "value"), task.most) if task.form == "far" else _apart(first, ends, task.most)
+    return own.join(told, F.col("_start") == F.col("src")).select("question", "task_id", "matches", "known", F.col("found").alias("_listed"))
+
+
+def _apart(first: DataFrame, ends: DataFrame, most: int) -> DataFrame:
+    """(src, matches, known, found) as ``reached`` has them, with an order, for values (src, value, ord) of which no two src
+    share one but null: each far end of ``first`` (src, dst) carries its counts and its first values, so a path isn't a row that moves."""
+    order = [F.col("value").isNull() if most > 1 else F.lit(False), F.col("ord"), F.asc_nulls_last("value")]
+    values = ends.groupBy("src", "value").agg(F.min("ord").alias("ord")).withColumn("_n", F.row_number().over(Window.partitionBy("src").orderBy(*order)))
+    carried = F.collect_list(F.when(F.col("_n") <= most, F.struct("ord", "value")))
+    values = values.groupBy(F.col("src").alias("dst")).agg(F.max(F.col("value").isNull().cast("long")).alias("_null"), F.count("value").alias("known"), carried.alias("_first"))
+    met = first.distinct().join(values, "dst").repartition("src")  # from here on all of a src lies in one task, sorted there
+    each = met.select("src", "_null", "known", F.posexplode_outer("_first").alias("_i", "_v")).select("src", "_null", "known", F.coalesce("_i", F.lit(0)).alias("_i"), "_v.*")
+    each = each.withColumn("_n", F.row_number().over(Window.partitionBy("src").orderBy(*order)))
+    known = F.sum(F.when(F.col("_i") == 0, F.col("known")))
+    listed = F.sort_array(F.collect_list(F.when(F.col("_n") <= most, F.struct("_n", "value"))))
+    return each.groupBy("src").agg((known + F.max("_null")).alias("matches"), known.alias("known"), F.array_join(F.transform(listed, lambda x: x["value"]), ",").alias("found"))
+
+
+def _listed(tasks: list[Task], values: DataFrame) -> DataFrame:
+    """(question, task_id, matches, known, _listed) of (question, task_id, value, ord), a row for each value."""
+    lists = [t for t in tasks if not t.count]
+    matches = values.groupBy("question", "task_id").agg(F.count("*").alias("matches"), F.count("value").alias("known"))
+    if not lists:
+        return matches.withColumn("_listed", F.lit(None).cast("string"))
+    most = F.lit(0)
+    for k in sorted({t.most for t in lists}):
+        most = F.when(F.col("task_id").isin([t.id for t in lists if t.most == k]), k).otherwise(most)
+    place = F.row_number().over(Window.partitionBy("question", "task_id").orderBy("ord", F.asc_nulls_last("value")))
+    listable = F.col("value").isNotNull() | F.col("task_id").isin([t.id for t in tasks if t.most == 1])  # lists skip nulls, a first row may be null
+    first = values.filter(F.col("task_id").isin([t.id for t in lists]) & listable).withColumn("_n", place).filter(F.col("_n") <= max(t.most for t in lists)).filter(F.col("_n") <= most)
+    listed = first.groupBy("question", "task_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_n", "value"))), lambda x: x["value"]), ",").alias("_listed"))
+    return matches.join(listed, ["question", "task_id"], "left")
+
+
 def answers(graph: Graph, tasks: list[Task], questions: DataFrame) -> DataFrame:
     """(question, task_id, answer, matches) for the questions (question, task_id, parameters map) of known tasks that have a
     path; ``matches`` counts distinct values, null among them, ``answer`` joins the first by commas (null if all are null).
@@ -100,21 +153,14 @@ def answers(graph: Graph, tasks: list[Task], questions: DataFrame) -> DataFrame:
     Tasks of one shape share their joins. Repeated questions are answered once; parameters of the wrong type match nothing.
     """
     asked = questions.select("question", "task_id", "parameters").dropDuplicates(["question", "task_id"])
-    ordered = sorted(tasks, key=lambda t: t.shape)
-    parts = [_matched(graph, list(own), asked) for _, own in groupby(ordered, key=lambda t: t.shape)]
-    values = written(reduce(DataFrame.unionByName, parts).groupBy("question", "task_id", "value").agg(F.min("ord").alias("ord")))
-    matches = values.groupBy("question", "task_id").agg(F.count("*").alias("matches"), F.count("value").alias("known"))
+    whole = sorted((t for t in tasks if t.form not in ("far", "apart")), key=lambda t: t.shape)
+    both = [_told(graph, t, asked) for t in tasks if t.form in ("far", "apart")]
+    if parts := [_matched(graph, list(own), asked) for _, own in groupby(whole, key=lambda t: t.shape)]:
+        values = reduce(DataFrame.unionByName, parts).groupBy("question", "task_id", "value").agg(F.min("ord").alias("ord"))
+        both.append(_listed(whole, written(values)))
     counts = [t.id for t in tasks if t.count]
-    most = F.lit(0)
-    for k in sorted({t.most for t in tasks}):
-        most = F.when(F.col("task_id").isin([t.id for t in tasks if t.most == k]), k).otherwise(most)
-    place = F.row_number().over(Window.partitionBy("question", "task_id").orderBy("ord", F.asc_nulls_last("value")))
-    listable = F.col("value").isNotNull() | F.col("task_id").isin([t.id for t in tasks if t.most == 1])  # lists skip nulls, a first row may be null
-    first = values.filter(~F.col("task_id").isin(counts) & listable).withColumn("_n", place).filter(F.col("_n") <= max(t.most for t in tasks)).filter(F.col("_n") <= most)
-    listed = first.groupBy("question", "task_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_n", "value"))), lambda x: x["value"]), ",").alias("_listed"))
-    both = matches.join(listed, ["question", "task_id"], "left")
     answer = F.when(F.col("task_id").isin(counts), F.col("known").cast("string")).when(F.col("_listed") != "", F.col("_listed"))
-    return both.select("question", "task_id", answer.alias("answer"), "matches")
+    return reduce(DataFrame.unionByName, both).select("question", "task_id", answer.alias("answer"), "matches")
 
 
 def validate(graph: Graph, tasks: list[Task], questions: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.session import ranked, written
+
 
 def desc_like_graph(column: Column | str) -> Column:
     """Descending order with nulls first, as graph query languages have it (null is the largest value)."""
@@ -158,3 +160,50 @@ def reach_counts(first: DataFrame, second: DataFrame, dictionary: DataFrame) ->
     words = coded.groupBy(F.col("src").alias("middle"), "word").agg(F.bit_or("bit").alias("bits"))
     met = first.select("src", F.col("dst").alias("middle")).join(words, "middle").groupBy("src", "word").agg(F.bit_or("bits").alias("bits"))
     return met.groupBy("src").agg(F.sum(F.bit_count("bits")).alias("n"))
+
+
+def _bit(place: Column) -> Column:
+    """The bit of a place in its word."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), (place % 63).cast("int"))
+
+
+def _places(word: Column, bits: Column) -> Column:
+    """The places whose bits a word holds, ascending."""
+    held = F.filter(F.sequence(F.lit(0), F.lit(62)), lambda i: F.call_function("shiftright", bits, i).bitwiseAND(F.lit(1).cast("long")) == 1)
+    return F.transform(held, lambda i: word * 63 + i)
+
+
+def reached(first: DataFrame, second: DataFrame, most: int) -> DataFrame:
+    """(src, matches, known, found): how many distinct values ``second`` (src, value) gives the far ends of ``first`` (src,
+    dst), null among them and without it, and the first ``most`` in order, joined by commas.
+
+    The smaller of both sides is numbered and made bits, 63 to a word: the values, or-ed for each source, or the sources,
+    or-ed for each value. So a path isn't a row, whatever the fan-out, and no group is held.
+    """
+    values, sources = second.select("value").distinct(), first.select("src").distinct()
+    values = written(ranked(values, [F.asc_nulls_last("value")], "number"))
+    word, second = F.floor((F.col("number") - 1) / 63), second.select(F.col("src").alias("middle"), "value")
+    bit = _bit(F.col("number") - 1)
+    if (n_values := values.count()) <= (sources := written(sources)).count():
+        last = n_values - 1 if values.filter("value IS NULL").count() else -1
+        numbers = values.withColumnRenamed("value", "_value")
+        coded = second.join(numbers, second["value"].eqNullSafe(numbers["_value"])).groupBy("middle", word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+        met = first.select("src", F.col("dst").alias("middle")).join(coded, "middle").groupBy("src", "word").agg(F.bit_or("bits").alias("bits"))
+        place = F.row_number().over(Window.partitionBy("src").orderBy("word"))
+        unknown = F.max(F.array_contains(_places(F.col("word"), F.col("bits")), F.lit(last).cast("long")).cast("int")) if last >= 0 else F.lit(0)
+        words = met.withColumn("_n", place).groupBy("src").agg(
+            F.sum(F.bit_count("bits")).cast("long").alias("matches"), unknown.alias("_unknown"), F.sort_array(F.collect_list(F.when(F.col("_n") <= most, F.struct("word", "bits")))).alias("_words")
+        )
+        words = written(words.select("src", "matches", (F.col("matches") - F.col("_unknown")).alias("known"), F.slice(F.flatten(F.transform("_words", lambda w: _places(w["word"], w["bits"]))), 1, most).alias("_first")))
+        each = words.select("src", F.posexplode("_first").alias("_n", "_place")).join(values, F.col("_place") == F.col("number") - 1)
+    else:
+        numbers = written(ranked(sources, [F.col("src")], "number"))
+        coded = first.join(numbers, "src").groupBy(F.col("dst").alias("middle"), word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+        met = written(second.join(coded, "middle").groupBy("value", "word").agg(F.bit_or("bits").alias("bits")))
+        pairs = met.select("value", F.explode(_places(F.col("word"), F.col("bits"))).alias("_place"))
+        counts = pairs.groupBy("_place").agg(F.count("*").alias("matches"), F.count("value").alias("known"))
+        words = counts.join(numbers, F.col("_place") == F.col("number") - 1).select("src", "matches", "known")
+        place = F.row_number().over(Window.partitionBy("_place").orderBy(F.asc_nulls_last("value")))
+        each = pairs.withColumn("_n", place).filter(F.col("_n") <= most).join(numbers, F.col("_place") == F.col("number") - 1).select("src", "_n", "value")
+    listed = each.groupBy("src").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_n", "value"))), lambda x: x["value"]), ",").alias("found"))
+    return words.join(listed, "src", "left").select("src", "matches", "known", "found")
