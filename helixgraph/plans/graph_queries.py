@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.pattern import Edge, Graph, desc_like_graph, numbered, reach_counts
+from ..operators.pattern import Edge, Graph, desc_like_graph, numbered, reach_counts, reached
 from ..sources import graph_store
 from ..sources.session import written
 from ..sources.star import Star, with_views
@@ -191,8 +191,10 @@ def _mechanism(kind: str, view: str, node: str, label: str) -> None:
     sql = f"SELECT t.src AS gene, array_to_string(list_slice(list_sort(list_distinct(list({column}))), 1, 5), ',') AS found, count(DISTINCT {column}) AS n FROM translated t JOIN {view} e ON e.src = t.dst {name_of} GROUP BY 1"
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        rows = Star(spark, folder).graph.match("Gene", "g").hop("g", "TRANSLATED_INTO", "t", "p").hop("p", kind, "e", "x").rows
-        return first_names(rows.select(F.col("g_id").alias("gene"), "x_name"), ["gene"], "x_name", 5).select("gene", "found", "n")
+        graph = Star(spark, folder).graph
+        first = graph.match("Gene", "g").hop("g", "TRANSLATED_INTO", "t", "p").select(F.col("g_id").alias("src"), F.col("p_id").alias("dst"))
+        second = graph.match("Protein", "p").hop("p", kind, "e", "x").select(F.col("p_id").alias("src"), F.col("x_name").alias("value"))
+        return reached(first, second, 5).select(F.col("src").alias("gene"), "found", F.col("known").alias("n"))
 
     register(f"graph_mechanism_{label}", run, with_views(sql))
 
