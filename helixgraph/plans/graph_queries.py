@@ -497,7 +497,7 @@ def graph_induced_subgraph(s: Star) -> DataFrame:
 def stored(s: Star, labels: list[str], kinds: list[str]) -> str:
     """A part of the graph as stored tables; the name under which they are."""
     name = f"graph_{uuid.uuid4().hex}"
-    graph_store.store(Graph({k: s.graph.nodes[k] for k in labels}, {k: s.graph.edges[k] for k in kinds}), name, 8)
+    graph_store.store(Graph({k: s.graph.nodes[k] for k in labels}, {k: s.graph.edges[k] for k in kinds}), name, graph_store.buckets_for(s.table("lineitem").count()))  # no type has more edges than that
     return name
 
 

@@ -55,9 +55,18 @@ def _save(df: DataFrame, table: str, key: str, buckets: int) -> int:
     return df.sparkSession.table(table).count()  # from the files' footers
 
 
+#: Rows that a bucket should hold about: a task sorts one bucket, whatever the size of the table.
+BUCKET_ROWS = 1_000_000
+
+
+def buckets_for(rows: int, least: int = 8) -> int:
+    """How many buckets a graph whose largest table has so many rows should have."""
+    return max(least, -(-rows // BUCKET_ROWS))
+
+
 def store(graph: Graph, name: str, buckets: int) -> None:
     """Write a graph's tables; the catalogue comes last, so a graph without one isn't whole and storing it again replaces it.
-    ``buckets``: about one for each 256 MB of the largest table. A node or an end that holds a large share of all edges makes
+    ``buckets``: see ``buckets_for``. A node or an end that holds a large share of all edges makes
     one bucket large: joins on it are split by AQE only where they shuffle."""
     spark, found = next(iter(graph.nodes.values())).sparkSession, []
     spark.sql(f"DROP TABLE IF EXISTS {name}_catalogue")

@@ -1,6 +1,7 @@
-"""Distinct values over two hops as bits."""
+"""Distinct values over two hops as bits, and buckets that grow in number with the rows."""
 
 from helixgraph.operators.pattern import reached
+from helixgraph.sources.graph_store import buckets_for
 
 
 def plain(first, second, most):
@@ -17,3 +18,8 @@ def test_either_side_as_bits(spark):
         second = [(m, None if v % 130 == 7 else f"v{v}") for m in range(10) for v in range(m, values, 3)]
         rows = reached(spark.createDataFrame(first, "src long, dst long"), spark.createDataFrame(second, "src long, value string"), 5).collect()
         assert {r["src"]: (r["matches"], r["known"], r["found"]) for r in rows} == plain(first, second, 5)
+
+
+def test_buckets(spark):
+    assert buckets_for(0) == buckets_for(8_000_000) == 8
+    assert buckets_for(36_000_001) == 37
