@@ -251,11 +251,11 @@ def gene_shared_scores(s: Star) -> DataFrame:
 
     def side(disease: str, suffix: str) -> DataFrame:
         best = rows.filter(F.col("disease") == disease).groupBy("gene")
-        return best.agg(F.round(F.max("extended_score"), 6).alias(f"score_{suffix}"), F.max("evidence_score").alias(f"evidence_{suffix}"), F.max("beta").alias(f"beta_{suffix}"))
+        return best.agg(V.rounded(F.max("extended_score"), 6).alias(f"score_{suffix}"), F.max("evidence_score").alias(f"evidence_{suffix}"), F.max("beta").alias(f"beta_{suffix}"))
 
     both = side("A", "a").join(side("R", "b"), "gene")
     mean = {c: (F.col(f"{c}_a") + F.col(f"{c}_b")) / 2 for c in ("score", "evidence", "beta")}
-    means = [F.round(m, 7).alias(c) if c != "evidence" else m.alias(c) for c, m in mean.items()]
+    means = [V.rounded(m, 7).alias(c) if c == "score" else m.alias(c) for c, m in mean.items()]
     out = both.select("gene", *means, F.lit(0.1).alias("vep"), F.lit(0.0).alias("clinvar"))
     return ranked(out, [F.desc("score"), F.asc("gene")])
 
