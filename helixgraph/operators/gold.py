@@ -6,7 +6,9 @@ are rows, so a thousand of a kind cost one join. Query texts aren't read: a task
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections import Counter
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 from functools import reduce
 from itertools import groupby
 
@@ -100,11 +102,16 @@ def _matched(graph: Graph, tasks: list[Task], questions: DataFrame) -> DataFrame
     return rows.select("question", "task_id", text.alias("value"), _of(tasks, "by", "0D").alias("ord"))
 
 
+def _check_form(task: Task) -> None:
+    (near, _), (far, _) = task.hops
+    if near == far or task.end or task.where != "true" or task.count:
+        raise ValueError(f"{task.id}: a path of this form has two types of edges, no end, no condition and no count")
+
+
 def _told(graph: Graph, task: Task, questions: DataFrame) -> DataFrame:
     """(question, task_id, matches, known, _listed) of a task of the forms ``far`` and ``apart``, by the nodes that begin paths."""
+    _check_form(task)
     (near, way), (far, onward) = task.hops
-    if near == far or task.end or task.where != "true" or task.count:
-        raise ValueError(f"{task.id}: a path of this form has two types of edges, no end, no condition and no count")
     kind = graph.nodes[task.label].schema["id"].dataType
     own = questions.filter(F.col("task_id") == task.id).select("question", "task_id", F.col("parameters")[task.start].try_cast(kind).alias("_start"))
     begin = Pattern(graph, _prefixed(graph.nodes[task.label], "n0"), {"n0": task.label})
@@ -181,6 +188,117 @@ def validate(graph: Graph, tasks: list[Task], questions: DataFrame) -> DataFrame
     return rows.withColumn("answer", answer).withColumn("reason", reason).withColumn("valid", F.col("reason") == "ok").drop("_needs", "_counts", "_answer", "_matches")
 
 
+#: Tasks whose levels one number holds, two bits each.
+TOGETHER = 31
+
+
+def _signs(tasks: list[Task]) -> dict[str, tuple[Callable, Column]]:
+    """What of its values says whether a question has an answer, by column: an aggregate, which partial ones merge by too, and
+    its argument. A value is empty (0), a text (1) or null (2). Lists skip nulls, so one text suffices; of a first row its sign
+    counts, where the order is given the least key of each sign."""
+    out: dict[str, tuple[Callable, Column]] = {}
+    for i, t in enumerate(tasks):
+        value = f"CAST({t.answer} AS STRING)"
+        sign = F.expr(f"CASE WHEN {t.where} THEN CASE WHEN {value} IS NULL THEN 2 WHEN {value} = '' THEN 0 ELSE 1 END END")
+        if t.most > 1:
+            out[f"_{i}"] = F.max, F.when(sign == 1, 2).when(sign.isNotNull(), 1)
+        elif t.by == "0D":
+            out[f"_{i}"] = F.min, sign
+        else:
+            out |= {f"_{i}_{k}": (F.min, F.when(sign == k, F.coalesce(F.expr(t.by).cast("double"), F.lit(float("-inf"))))) for k in range(3)}
+    return out
+
+
+def _level(i: int, task: Task) -> Column:
+    """0 without a path, 1 if the answer is null, 2 if there is one, from a task's signs."""
+    if task.most > 1:
+        return F.coalesce(F.col(f"_{i}"), F.lit(0))
+    if task.by == "0D":
+        return F.when(F.col(f"_{i}").isNull(), 0).when(F.col(f"_{i}") == 1, 2).otherwise(1)
+    empty, text, null = (F.col(f"_{i}_{k}") for k in range(3))
+    first = text.isNotNull() & F.coalesce(text < empty, F.lit(True)) & F.coalesce(text <= null, F.lit(True))
+    return F.when(F.coalesce(empty, text, null).isNull(), 0).when(first, 2).otherwise(1)
+
+
+def _levels(graph: Graph, tasks: list[Task], pairs: DataFrame) -> DataFrame:
+    """(_start, _end, _level) of all nodes that begin a path of one shape, or of the ``pairs`` (_start, _end) asked of it; the
+    levels of the tasks are two bits each. No answer is listed, and no path of a form is a row."""
+    first, signs = tasks[0], _signs(tasks)
+    own = [f(c).alias(k) for k, (f, c) in signs.items()]
+    merged = [f(F.col(k)).alias(k) for k, (f, _) in signs.items()]
+    nodes = _prefixed(graph.nodes[first.label], "n0")
+    if first.end:
+        nodes = nodes.join(pairs.distinct(), F.col("n0_id") == F.col("_start").cast(nodes.schema["n0_id"].dataType))
+    found, keys = Pattern(graph, nodes, {"n0": first.label}), ["n0_id"]
+    if first.form in ("far", "apart"):
+        for t in tasks:
+            _check_form(t)
+        (near, way), (far, onward) = first.hops
+        begin = found.hop("n0", near, "e1", "n1", way)
+        ends = graph.match(begin.labels["n1"], "n1").hop("n1", far, "e2", "n2", onward).rows.groupBy("n1_id").agg(*own)
+        rows = begin.rows.select("n0_id", "n1_id").join(ends, "n1_id").groupBy("n0_id").agg(*merged)
+    else:
+        for i, (edge, direction) in enumerate(first.hops[:1] if first.form == "near" else first.hops, 1):
+            found = found.hop(f"n{i - 1}", edge, f"e{i}", f"n{i}", direction)
+        if first.form == "near":
+            found = found.exists("n1", *first.hops[1])
+        if first.end:
+            last = f"n{len(first.hops)}_id"
+            found, keys = found.where(F.col("_end").cast(found.rows.schema[last].dataType) == F.col(last)), ["n0_id", last]
+        rows = found.rows.groupBy(*keys).agg(*own)
+    packed = reduce(Column.__add__, (F.shiftleft(_level(i, t).cast("long"), 2 * i) for i, t in enumerate(tasks)))
+    end = F.col(keys[1]).cast("string") if first.end else F.lit("")
+    return rows.select(F.col("n0_id").cast("string").alias("_start"), end.alias("_end"), packed.alias("_level")).filter("_level > 0")
+
+
+def reasons(graph: Graph, tasks: list[Task], questions: DataFrame) -> DataFrame:
+    """The questions with valid and reason as ``validate`` has them, but no answers. Whether there is one is told for all nodes
+    by aggregates of edges, for all tasks of one shape at once; questions then meet a row for each node."""
+    task = F.col("task_id")
+    lists = sorted((t for t in tasks if not t.count), key=lambda t: t.shape)
+    shapes = [own[i : i + TOGETHER] for own in (list(g) for _, g in groupby(lists, key=lambda t: t.shape)) for i in range(0, len(own), TOGETHER)]
+    used = Counter(edge for own in shapes for edge, _ in own[0].hops)
+    # written once, as several shapes read them
+    graph = Graph(graph.nodes, {k: replace(e, table=written(e.table), reverse=None) if used[k] > 1 else e for k, e in graph.edges.items()})
+
+    def end_of(t: Task, label: str) -> str:
+        for edge, direction in t.hops:
+            label = graph.edges[edge].source if direction == "in" else graph.edges[edge].target
+        return label
+
+    def named(parameter: str, label: str) -> Column:  # as its type writes it; null for a wrong one
+        return F.col("parameters")[parameter].try_cast(graph.nodes[label].schema["id"].dataType).cast("string")
+
+    places, starts, ends = {}, {}, {}
+    for k, own in enumerate(shapes):
+        for i, t in enumerate(own):
+            places[t.id] = k, 2 * i
+            starts.setdefault((t.start, t.label), []).append(t.id)
+            ends.setdefault((t.end, end_of(t, t.label)) if t.end else None, []).append(t.id)
+    shape, bits = (F.try_element_at(F.create_map(*(F.lit(x) for id, place in places.items() for x in (id, place[j]))), task) if places else F.lit(None) for j in range(2))
+    start, end, lacks = F.lit(None), F.lit(None), F.lit(None)
+    for of, ids in starts.items():
+        start = F.when(task.isin(ids), named(*of)).otherwise(start)
+    for of, ids in ends.items():
+        end = F.when(task.isin(ids), named(*of) if of else F.lit("")).otherwise(end)
+    for needs in dict.fromkeys(t.parameters for t in tasks):
+        missing = reduce(Column.__or__, (F.col("parameters")[p].isNull() for p in needs))
+        lacks = F.when(task.isin([t.id for t in tasks if t.parameters == needs]), missing).otherwise(lacks)
+    keys = ["_shape", "_start", "_end"]
+    asked = questions.withColumns({"_shape": shape.cast("int"), "_start": start.cast("string"), "_end": end.cast("string"), "_bits": bits.cast("int"), "_lacks": lacks.cast("boolean")})
+    told = [_levels(graph, own, asked.filter(F.col("_shape") == k).select("_start", "_end")).withColumn("_shape", F.lit(k)) for k, own in enumerate(shapes)]
+    rows = asked.join(reduce(DataFrame.unionByName, told), keys, "left") if told else asked.withColumn("_level", F.lit(None).cast("long"))
+    level = F.coalesce(F.call_function("shiftright", F.col("_level"), F.col("_bits")), F.lit(0)).bitwiseAND(F.lit(3).cast("long"))
+    reason = (
+        F.when(F.col("_lacks").isNull(), "unknown_task")
+        .when(F.col("_lacks"), "missing_parameter")
+        .when(task.isin([t.id for t in tasks if t.count]) | (level == 2), "ok")
+        .when(level == 0, "no_results")
+        .otherwise("null_answer")
+    )
+    return rows.withColumn("reason", reason).withColumn("valid", F.col("reason") == "ok").drop(*keys, "_bits", "_lacks", "_level")
+
+
 def shares(validated: DataFrame, by: list[str]) -> DataFrame:
     """Questions, valid ones and their share in per cent for each group, and over all of its first column (null after it)."""
     totals = validated.rollup(*by).agg(F.count("*").alias("questions"), F.count_if("valid").alias("valid"))

@@ -64,3 +64,30 @@ def test_tasks_of_a_shape_share_their_joins(spark, graph):
     one = gold._matched(graph, TASKS[:1], asked)._jdf.queryExecution().optimizedPlan().toString().count("Join")
     two = gold._matched(graph, TASKS[:2], asked)._jdf.queryExecution().optimizedPlan().toString().count("Join")
     assert one == two
+
+
+def test_reasons_need_no_answers(spark, graph):
+    """The same verdicts, and no row that lists or orders a question's values."""
+    texts = Graph(
+        {"A": spark.createDataFrame([(i, "x") for i in range(1, 8)], "id long, name string"), "B": spark.createDataFrame([(1, ""), (2, "b"), (3, None), (4, "d")], "id long, name string")},
+        {
+            "E": Edge(spark.createDataFrame([(1, 1, 0.5), (2, 1, 0.5), (2, 2, 0.5), (3, 3, 0.9), (3, 2, 0.1), (4, 3, 0.2), (4, 2, 0.2), (5, 1, 0.1), (5, 4, 0.7), (6, 9, 0.7)], "src long, dst long, score double"), "A", "B"),
+            "F": Edge(spark.createDataFrame([(2, 1, 0.3), (2, 2, None), (3, 3, 0.3), (4, 7, 0.1)], "src long, dst long, score double"), "B", "B"),
+        },
+    )
+    far = (("E", "out"), ("F", "out"))
+    tasks = [
+        Task("LIST", "A", "a", far[:1], "n1_name", most=5), Task("ANY", "A", "a", far[:1], "n1_name"), Task("BEST", "A", "a", far[:1], "n1_name", by=falling("e1_score")),
+        Task("SOME", "A", "a", far[:1], "n1_name", where="e1_score > 0.4", most=3), Task("N", "A", "a", far[:1], "n1_id", count=True), Task("PAIR", "A", "a", far[:1], "n1_name", end="b"),
+        Task("NEAR", "A", "a", far, "n1_name", form="near"), Task("FAR", "A", "a", far, "n2_name", most=2, form="far"), Task("WHOLE", "A", "a", far, "n2_name", by=falling("e2_score")),
+        Task("APART", "A", "a", far, "concat(n1_id, n2_name)", by=falling("e2_score"), most=2, form="apart"), Task("FIRST", "A", "a", far, "concat(n1_id, n2_name)", by=falling("e2_score"), form="apart"),
+    ]
+    rows = [(f"{t}{a}-{b}", t, {"a": a, "b": b}) for t in [*(t.id for t in tasks), "NONE"] for a in ["1", "2", "3", "4", "5", "6", "7", "04", "x"] for b in ("1", "2", "3", "9")]
+    rows += [(f"{t.id}?", t.id, {"b": "1"}) for t in tasks] + [(f"{t.id}!", t.id, None) for t in tasks] + [("PAIR~", "PAIR", {"a": "1"})]
+    asked = spark.createDataFrame(rows, "question string, task_id string, parameters map<string,string>")
+    expected = {r["question"]: (r["reason"], r["valid"]) for r in gold.validate(texts, tasks, asked).collect()}
+    found = gold.reasons(texts, tasks, asked)
+    assert {r["question"]: (r["reason"], r["valid"]) for r in found.collect()} == expected and len(expected) == len(rows)
+    assert {x for x, _ in expected.values()} == {"ok", "null_answer", "no_results", "missing_parameter", "unknown_task"}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "collect_list" not in plan
