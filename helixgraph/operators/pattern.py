@@ -173,6 +173,16 @@ def _places(word: Column, bits: Column) -> Column:
     return F.transform(held, lambda i: word * 63 + i)
 
 
+def reached_numbers(first: DataFrame, second: DataFrame, src: str, middle: list[str]) -> DataFrame:
+    """(src, number): the numbers that ``second`` (middle, number) gives the middle nodes of ``first`` (src, middle), each once.
+
+    63 neighbouring numbers are the bits of one word, or-ed for each source, so only what is reached becomes rows, not paths.
+    """
+    words = second.groupBy(*middle, F.floor(F.col("number") / 63).alias("word")).agg(F.bit_or(_bit(F.col("number"))).alias("bits"))
+    met = first.select(src, *middle).join(words, middle).groupBy(src, "word").agg(F.bit_or("bits").alias("bits"))
+    return met.select(src, F.explode(_places(F.col("word"), F.col("bits"))).alias("number"))
+
+
 def reached(first: DataFrame, second: DataFrame, most: int) -> DataFrame:
     """(src, matches, known, found): how many distinct values ``second`` (src, value) gives the far ends of ``first`` (src,
     dst), null among them and without it, and the first ``most`` in order, joined by commas.

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import answers as A
 from ..functions import questions as P
 from ..functions import text as X
-from ..sources.session import written
+from ..operators.pattern import reached_numbers
+from ..sources.session import ranked, written
 from ..sources.star import Star
 from .evaluation_queries import LISTS, WORDS, lists
 from .graph_queries import query, top
@@ -110,6 +111,15 @@ def protein_edges(s: Star) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).join(names, "src").drop("src")
 
 
+def scored(asked: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, answer, score) of what the proteins of (id, type, protein) are tied to by ``edges``, each once: paths aren't rows."""
+    kinds = edges.select("type", "answer", "score").distinct()
+    kinds = written(ranked(kinds, [F.col("type"), F.desc("score"), F.col("answer")], "number"))
+    k = kinds.withColumnsRenamed({"type": "_type", "answer": "_answer", "score": "_score"})
+    numbers = edges.join(k, (F.col("type") == F.col("_type")) & F.col("answer").eqNullSafe(F.col("_answer")) & (F.col("score") == F.col("_score"))).select("type", "protein", "number")
+    return reached_numbers(asked, numbers, "id", ["type", "protein"]).join(kinds, "number").select("id", "answer", "score")
+
+
 def answered(s: Star, rows: DataFrame) -> DataFrame:
     """(id, route, answer): all questions of a route are answered in one join; those without an answer are expanded."""
     # written once, as each route reads them again, and so that no route parses them anew
@@ -118,9 +128,9 @@ def answered(s: Star, rows: DataFrame) -> DataFrame:
     two = asked.filter("route = 'conjunction'").select("id", "type", F.explode("proteins").alias("protein")).join(edges, ["type", "protein"])
     two = two.groupBy("id", "answer").agg(F.count_distinct("protein").alias("n")).filter("n = 2").select("id", "answer")
     translated = s.graph.edges["TRANSLATED_INTO"].table.select(F.concat(F.lit("X"), "src").alias("gene"), accession(F.col("dst")).alias("protein"))
-    more = asked.filter("route = 'multi-hop'").select("id", "type", "gene").join(translated, "gene").join(edges, ["type", "protein"])
+    more = scored(asked.filter("route = 'multi-hop'").select("id", "type", "gene").join(translated, "gene"), edges)
     more = top(more.groupBy("id", "answer").agg(F.max("score").alias("score")), ["id"], [F.desc("score"), F.col("answer")], MOST_ANSWERS).select("id", "answer")
-    ruled = reduce(DataFrame.unionByName, (t.withColumn("route", F.lit(r)) for t, r in ((one, "one-hop"), (two, "conjunction"), (more, "multi-hop"))))
+    ruled = written(reduce(DataFrame.unionByName, (t.withColumn("route", F.lit(r)) for t, r in ((one, "one-hop"), (two, "conjunction"), (more, "multi-hop")))))
     rest = asked.filter(F.size("proteins") > 0).join(ruled, "id", "left_anti").select("id", F.element_at("proteins", 1).alias("protein"))
     expanded = top(rest.join(edges, "protein").select("id", "type", "answer").distinct(), ["id"], [F.col("type"), F.col("answer")], MOST_EXPANDED)
     return ruled.select("id", "route", "answer").unionByName(expanded.select("id", F.lit("fallback").alias("route"), "answer"))
