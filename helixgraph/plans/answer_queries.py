@@ -66,7 +66,7 @@ def question_answerability(s: Star) -> DataFrame:
 def graph_expand_all(s: Star) -> DataFrame:
     """Up to a hundred out-edges of each gene with the labels of their targets: the fallback of questions."""
     edges = s.graph.any_edge().filter("source_label = 'Gene'").select(F.col("src").cast("long").alias("gene"), "type", "target_label", F.col("dst").alias("target"))
-    return top(edges, ["gene"], [F.col("type"), F.col("target")], 100)
+    return top(s.spread(edges, "gene"), ["gene"], [F.col("type"), F.col("target")], 100)
 
 
 @query("SELECT src AS gene, dst AS disease, risk_score FROM risk ORDER BY risk_score DESC, src, dst LIMIT 50")
