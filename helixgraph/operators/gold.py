@@ -15,7 +15,7 @@ from itertools import groupby
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.session import written
+from ..sources.session import dealt, written
 from .pattern import Graph, Pattern, _prefixed, reached
 
 
@@ -164,7 +164,7 @@ def answers(graph: Graph, tasks: list[Task], questions: DataFrame) -> DataFrame:
     both = [_told(graph, t, asked) for t in tasks if t.form in ("far", "apart")]
     if parts := [_matched(graph, list(own), asked) for _, own in groupby(whole, key=lambda t: t.shape)]:
         values = reduce(DataFrame.unionByName, parts).groupBy("question", "task_id", "value").agg(F.min("ord").alias("ord"))
-        both.append(_listed(whole, written(values)))
+        both.append(_listed(whole, dealt(written(values), "question", "task_id")))
     counts = [t.id for t in tasks if t.count]
     answer = F.when(F.col("task_id").isin(counts), F.col("known").cast("string")).when(F.col("_listed") != "", F.col("_listed"))
     return reduce(DataFrame.unionByName, both).select("question", "task_id", answer.alias("answer"), "matches")

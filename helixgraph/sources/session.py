@@ -40,6 +40,15 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+#: Rows to a partition of what is dealt out by its rows.
+ROWS = 250_000
+
+
+def dealt(table: DataFrame, *keys: str) -> DataFrame:
+    """A written table in as many partitions as its rows ask for, by keys: so that a task's memory doesn't grow with the table."""
+    return table.repartition(max(table.sparkSession.sparkContext.defaultParallelism, -(-table.count() // ROWS)), *keys)
+
+
 def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """Adds each row's place, from 1, in an order of all rows, without sorting them in one task: a range partitioning deals
     out runs of the order, a row for each run says where it begins. The order should identify rows."""
