@@ -60,16 +60,32 @@ class Graph:
         ]
         return reduce(DataFrame.unionByName, parts)
 
+    def _ends_of(self, label: str) -> list[DataFrame]:
+        """The ids at which edges end at nodes of a label, a table for each end; a self-loop ends once."""
+        ends = [e.table.select(F.col("src").alias("id")) for e in self.edges.values() if e.source == label]
+        for edge in self.edges.values():
+            if edge.target == label:
+                loop = F.coalesce(F.col("src").cast("string") == F.col("dst").cast("string"), F.lit(False))
+                ends.append((edge.table.filter(~loop) if edge.source == label else edge.table).select(F.col("dst").alias("id")))
+        return ends
+
     def degrees(self) -> DataFrame:
-        """(label, id, degree) of every node over edges of all types and both directions; isolated nodes have 0."""
+        """(label, id, degree) of every node over edges of all types and both directions; isolated nodes have 0.
+
+        Each label is counted by itself, its ids as they are if all have one type. Nodes take part in the count as rows without
+        an edge, so that no join follows it; rows are combined before the one shuffle of each label.
+        """
         parts = []
-        for edge in self.edges.values():  # one scan of each type gives both ends; its counts are combined before the union
-            ends = [F.struct(F.lit(label).alias("label"), F.col(c).cast("string").alias("id")) for label, c in ((edge.source, "src"), (edge.target, "dst"))]
-            loop = F.lit(edge.source == edge.target) & (F.col("src").cast("string") == F.col("dst").cast("string"))
-            both = edge.table.select(F.explode(F.when(loop, F.array(ends[0])).otherwise(F.array(*ends))).alias("end"))
-            parts.append(both.groupBy("end.label", "end.id").agg(F.count("*").alias("degree")))
-        counted = reduce(DataFrame.unionByName, parts).groupBy("label", "id").agg(F.sum("degree").alias("degree"))
-        return self.any_node().select("label", "id").join(counted, ["label", "id"], "left").fillna(0, ["degree"])
+        for label, nodes in self.nodes.items():
+            ends = self._ends_of(label)
+            id_ = F.col("id") if all(x.schema["id"].dataType == nodes.schema["id"].dataType for x in ends) else F.col("id").cast("string").alias("id")
+            rows = [nodes.select(id_, F.lit(1).alias("n"), F.lit(0).cast("long").alias("degree"))]
+            rows += [x.select(id_, F.lit(0).alias("n"), F.lit(1).cast("long").alias("degree")) for x in ends]
+            counted = reduce(DataFrame.unionByName, rows).groupBy("id").agg(F.sum("n").cast("int").alias("n"), F.sum("degree").alias("degree"))
+            degree = F.when(F.col("id").isNull(), 0).otherwise(F.col("degree"))  # no filter: it would reach the scans, and both ends' shuffles differ
+            each = F.explode(F.array_repeat(degree, F.col("n")))  # nodes that share an id are rows of their own
+            parts.append(counted.filter("n > 0").select(F.lit(label).alias("label"), F.col("id").cast("string").alias("id"), each.alias("degree")))
+        return reduce(DataFrame.unionByName, parts)
 
     def subgraph(self, conditions: dict[str, str]) -> Graph:
         """The same nodes with the edges of the types named that meet their conditions."""
@@ -162,7 +178,7 @@ def reach_counts(first: DataFrame, second: DataFrame, dictionary: DataFrame) ->
     return met.groupBy("src").agg(F.sum(F.bit_count("bits")).alias("n"))
 
 
-def _bit(place: Column) -> Column:
+def bit_of(place: Column) -> Column:
     """The bit of a place in its word."""
     return F.call_function("shiftleft", F.lit(1).cast("long"), (place % 63).cast("int"))
 
@@ -178,8 +194,13 @@ def reached_numbers(first: DataFrame, second: DataFrame, src: str, middle: list[
 
     63 neighbouring numbers are the bits of one word, or-ed for each source, so only what is reached becomes rows, not paths.
     """
-    words = second.groupBy(*middle, F.floor(F.col("number") / 63).alias("word")).agg(F.bit_or(_bit(F.col("number"))).alias("bits"))
-    met = first.select(src, *middle).join(words, middle).groupBy(src, "word").agg(F.bit_or("bits").alias("bits"))
+    words = second.groupBy(*middle, F.floor(F.col("number") / 63).alias("word")).agg(F.bit_or(bit_of(F.col("number"))).alias("bits"))
+    return distinct_numbers(first.select(src, *middle).join(words, middle), src)
+
+
+def distinct_numbers(words: DataFrame, src: str) -> DataFrame:
+    """(src, number): the numbers whose bits the words (src, word, bits) of a source hold, each once."""
+    met = words.groupBy(src, "word").agg(F.bit_or("bits").alias("bits"))
     return met.select(src, F.explode(_places(F.col("word"), F.col("bits"))).alias("number"))
 
 
@@ -193,7 +214,7 @@ def reached(first: DataFrame, second: DataFrame, most: int) -> DataFrame:
     values, sources = second.select("value").distinct(), first.select("src").distinct()
     values = written(ranked(values, [F.asc_nulls_last("value")], "number"))
     word, second = F.floor((F.col("number") - 1) / 63), second.select(F.col("src").alias("middle"), "value")
-    bit = _bit(F.col("number") - 1)
+    bit = bit_of(F.col("number") - 1)
     if (n_values := values.count()) <= (sources := written(sources)).count():
         last = n_values - 1 if values.filter("value IS NULL").count() else -1
         numbers = values.withColumnRenamed("value", "_value")

@@ -342,13 +342,13 @@ def graph_node_counts(s: Star) -> DataFrame:
 @query(" UNION ALL ".join(f"SELECT '{t}' AS type, count(*) AS edges FROM {v} HAVING count(*) > 0" for t, v in (("MAPS_TO", "maps_to"), ("PUTATIVE_CAUSAL_EFFECT", "causal"), ("INCREASES_RISK_OF", "risk"), ("TRANSLATED_INTO", "translated"), ("ASSOCIATED_WITH", "associated"), ("ANNOTATED_IN_PATHWAY", "in_pathway"), ("HAS_PROCESS", "has_process"), ("EXPRESSED_IN", "expressed_in"), ("HAS_FUNCTION", "has_function"), ("IN_COMPONENT", "in_component"), ("INTERACTS_WITH", "interacts"))))
 def graph_edge_counts(s: Star) -> DataFrame:
     """Edges by type."""
-    return s.graph.any_edge().groupBy("type").agg(F.count("*").alias("edges"))
+    return s.bare_graph.any_edge().groupBy("type").agg(F.count("*").alias("edges"))
 
 
 @query(f"SELECT label, count(*) AS nodes, min(degree) AS least, max(degree) AS most, CAST(sum(degree) AS BIGINT) AS total FROM (SELECT n.label, n.id, count(e.id) AS degree FROM ({_NODES}) n LEFT JOIN ({_ENDS}) e ON e.label = n.label AND e.id = n.id GROUP BY 1, 2) GROUP BY 1")
 def graph_degrees(s: Star) -> DataFrame:
     """Degrees by label; isolated nodes count."""
-    return s.graph.degrees().groupBy("label").agg(F.count("*").alias("nodes"), F.min("degree").alias("least"), F.max("degree").alias("most"), F.sum("degree").alias("total"))
+    return s.bare_graph.degrees().groupBy("label").agg(F.count("*").alias("nodes"), F.min("degree").alias("least"), F.max("degree").alias("most"), F.sum("degree").alias("total"))
 
 
 @query(f"SELECT label, id FROM ({_NODES}) n WHERE NOT EXISTS (SELECT 1 FROM (SELECT 'SNP' AS label, CAST(src AS VARCHAR) AS id FROM maps_to WHERE link_score > 0.09 UNION ALL SELECT 'Gene', CAST(dst AS VARCHAR) FROM maps_to WHERE link_score > 0.09 UNION ALL SELECT 'SNP', CAST(src AS VARCHAR) FROM causal WHERE causal_score > 0.7 UNION ALL SELECT 'Disease', CAST(dst AS VARCHAR) FROM causal WHERE causal_score > 0.7 UNION ALL SELECT 'Protein', CAST(src AS VARCHAR) FROM associated WHERE score > 0.5 UNION ALL SELECT 'Disease', CAST(dst AS VARCHAR) FROM associated WHERE score > 0.5) e WHERE e.label = n.label AND e.id = n.id) AND label IN ('SNP', 'Gene', 'Protein', 'Disease')")

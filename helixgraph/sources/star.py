@@ -5,12 +5,14 @@ Scores are ratios of integer sums, so that they do not depend on the order of su
 
 from __future__ import annotations
 
-from functools import cached_property
+from dataclasses import replace
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.pattern import Edge, Graph
+from ..operators.pattern import Edge, Graph, bit_of, distinct_numbers
+from .session import ranked, written
 
 
 def hundredths(column: str) -> F.Column:
@@ -112,6 +114,49 @@ class Star:
         }
         return Graph(nodes, edges)
 
+    @cached_property
+    def properties(self) -> DataFrame:
+        """(src, kind, value), written: the distinct values of a part's properties that a protein has, for all kinds at once.
+
+        Values of all kinds share one numbering and are met as bits, so line items are joined with parts once and no pair of
+        protein and value is a row before it is known to be one of its own.
+        """
+        kinds = ("p_type", "p_brand", "p_size")
+        parts = self.table("part").select(F.col("p_partkey").alias("_part"), *(F.col(k).cast("string").alias(k) for k in kinds))
+        values = reduce(DataFrame.unionByName, [parts.select(F.lit(k).alias("kind"), F.col(k).alias("value")).distinct() for k in kinds])
+        numbers = written(ranked(values, [F.col("kind"), F.asc_nulls_first("value")], "number"))
+        for k in kinds:
+            own = numbers.filter(F.col("kind") == k).select(F.col("value").alias("_value"), (F.col("number") - 1).alias("_number"))
+            coded = parts.join(own, parts[k].eqNullSafe(own["_value"]))
+            parts = coded.withColumns({f"{k}_word": F.floor(F.col("_number") / 63), f"{k}_bits": bit_of(F.col("_number"))}).drop(k, "_value", "_number")
+        lines = self.spread(self.table("lineitem").select("l_partkey", F.col("l_suppkey").alias("src")), "l_partkey")
+        met = lines.join(parts, F.col("l_partkey") == F.col("_part")).groupBy("src", *(f"{k}_word" for k in kinds)).agg(*(F.bit_or(f"{k}_bits").alias(f"{k}_bits") for k in kinds))
+        words = met.select("src", F.explode(F.array(*(F.struct(F.col(f"{k}_word").alias("word"), F.col(f"{k}_bits").alias("bits")) for k in kinds))).alias("_")).select("src", "_.*")
+        found = distinct_numbers(words, "src").join(numbers.withColumn("number", F.col("number") - 1), "number")
+        return written(found.select("src", "kind", "value"))
+
+    @cached_property
+    def bare_graph(self) -> Graph:
+        """The graph without what edges say, for queries over the ends of all types: proteins' properties are met once for
+        the four types made of them, and risk isn't summed."""
+
+        def having(kind: str) -> DataFrame:
+            return self.properties.filter(F.col("kind") == kind).select("src", F.col("value").cast(self.table("part").schema[kind].dataType).alias("dst"))
+
+        owners = self.table("orders").join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.col("c_nationkey").alias("dst"))
+        lines = self.spread(self.table("lineitem").select("l_orderkey", F.col("l_partkey").alias("src")), "l_orderkey")
+        pairs = lines.join(self.spread(owners, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey")).select("src", "dst")
+        processes = having("p_type")
+        tables = {
+            "MAPS_TO": self.maps_to.select("src", "dst"),
+            "INCREASES_RISK_OF": self.spread(pairs, "src").distinct(),
+            "HAS_PROCESS": processes,
+            "EXPRESSED_IN": having("p_brand"),
+            "HAS_FUNCTION": processes.select("src", F.split("dst", " ")[0].alias("dst")).distinct(),
+            "IN_COMPONENT": having("p_size"),
+        }
+        return Graph(self.graph.nodes, {k: replace(e, table=tables[k] if k in tables else e.table.select("src", "dst")) for k, e in self.graph.edges.items()})
+
     @cached_property
     def variants(self) -> DataFrame:
         """Variants with study statistics, one row a line item; two posterior probabilities, -1 where a method failed."""
