@@ -6,7 +6,7 @@ are rows, so a thousand of a kind cost one join. Query texts aren't read: a task
 
 from __future__ import annotations
 
-from collections import Counter
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import reduce
@@ -15,7 +15,7 @@ from itertools import groupby
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.session import dealt, written
+from ..sources.session import dealt, joinable, shuffled, written
 from .pattern import Graph, Pattern, _prefixed, reached
 
 
@@ -190,6 +190,8 @@ def validate(graph: Graph, tasks: list[Task], questions: DataFrame) -> DataFrame
 
 #: Tasks whose levels one number holds, two bits each.
 TOGETHER = 31
+#: Questions to a partition in which they meet the levels.
+TOLD = 1_000_000
 
 
 def _signs(tasks: list[Task]) -> dict[str, tuple[Callable, Column]]:
@@ -220,46 +222,95 @@ def _level(i: int, task: Task) -> Column:
     return F.when(F.coalesce(empty, text, null).isNull(), 0).when(first, 2).otherwise(1)
 
 
-def _levels(graph: Graph, tasks: list[Task], pairs: DataFrame) -> DataFrame:
+def _reads(tasks: list[Task], node: str) -> bool:
+    """Whether tasks read more of a node than its id."""
+    return any(re.search(rf"\b{node}_(?!id\b)", text) for t in tasks for text in (t.answer, t.where, t.by))
+
+
+def _chained(graph: Graph, task: Task) -> bool:
+    """Whether the edges of a task's path begin at the label where the one before ends."""
+    label = task.label
+    for kind, direction in task.hops:
+        near, far = graph.edges[kind].source, graph.edges[kind].target
+        near, far = (far, near) if direction == "in" else (near, far)
+        if label != near or direction not in ("in", "out") and near != far:
+            return False
+        label = far
+    return True
+
+
+def _bound(graph: Graph, tasks: list[Task], rows: dict[str, int]) -> tuple[Graph, Graph]:
+    """The graph with the edges both of whose ends are nodes, written once, as several shapes read them, and the one with all
+    edges of the types that need only exist. Node tables are ready to be joined. ``rows`` are the nodes of each label in use."""
+    nodes = {k: joinable(graph.nodes[k], n) for k, n in rows.items()}
+    loose = {t.hops[1][0] for t in tasks if t.form == "near"}
+    tables = {}
+    for kind in dict.fromkeys(kind for t in tasks for kind, _ in t.hops):
+        out = graph.edges[kind].table
+        for end, label in (("src", graph.edges[kind].source), ("dst", graph.edges[kind].target)):
+            ids = nodes[label].select(F.col("id").alias("_id"))
+            if kind in loose:
+                out = out.join(joinable(ids.distinct(), rows[label]), F.col(end) == F.col("_id"), "left").withColumn(f"_{end}", F.col("_id").isNotNull()).drop("_id")
+            else:
+                out = out.join(ids, F.col(end) == F.col("_id"), "left_semi")
+        out = written(out)
+        tables[kind] = shuffled(out, out.count())
+    both = {k: t.filter("_src AND _dst").drop("_src", "_dst") if k in loose else t for k, t in tables.items()}
+    return tuple(Graph(nodes, {k: replace(graph.edges[k], table=t, reverse=None) for k, t in own.items()}) for own in (both, {k: tables[k].drop("_src", "_dst") for k in loose}))
+
+
+def _levels(graph: Graph, loose: Graph, tasks: list[Task], pairs: DataFrame | None, rows: dict[str, int], whole: bool) -> DataFrame:
     """(_start, _end, _level) of all nodes that begin a path of one shape, or of the ``pairs`` (_start, _end) asked of it; the
-    levels of the tasks are two bits each. No answer is listed, and no path of a form is a row."""
+    levels of the tasks are two bits each. No answer is listed, and no path of a form is a row. With ``whole`` all edges end at
+    nodes, and those of which nothing is read but their ids aren't joined; ``loose`` has the edges that need only exist."""
     first, signs = tasks[0], _signs(tasks)
     own = [f(c).alias(k) for k, (f, c) in signs.items()]
     merged = [f(F.col(k)).alias(k) for k, (f, _) in signs.items()]
-    nodes = _prefixed(graph.nodes[first.label], "n0")
-    if first.end:
-        nodes = nodes.join(pairs.distinct(), F.col("n0_id") == F.col("_start").cast(nodes.schema["n0_id"].dataType))
-    found, keys = Pattern(graph, nodes, {"n0": first.label}), ["n0_id"]
-    if first.form in ("far", "apart"):
+    met = first.form in ("near", "far", "apart")  # the second hop is told for each n1, and met by its id
+    if met and first.form != "near":
         for t in tasks:
             _check_form(t)
-        (near, way), (far, onward) = first.hops
-        begin = found.hop("n0", near, "e1", "n1", way)
-        ends = graph.match(begin.labels["n1"], "n1").hop("n1", far, "e2", "n2", onward).rows.groupBy("n1_id").agg(*own)
-        rows = begin.rows.select("n0_id", "n1_id").join(ends, "n1_id").groupBy("n0_id").agg(*merged)
-    else:
-        for i, (edge, direction) in enumerate(first.hops[:1] if first.form == "near" else first.hops, 1):
-            found = found.hop(f"n{i - 1}", edge, f"e{i}", f"n{i}", direction)
+    hops = first.hops[:1] if met else first.hops
+    last = f"n{len(hops)}"
+    bare = [whole and not _reads(tasks, f"n{i}") for i in range(len(first.hops) + 1)]
+    only = [whole and met and first.form != "near" or b for b in bare]
+    nodes, found = _prefixed(graph.nodes[first.label], "n0"), None
+    if first.end:
+        start = F.col("_start").cast(nodes.schema["n0_id"].dataType)
+        asked = pairs.select(start.alias("n0_id"), "_end") if bare[0] else pairs.join(nodes, start == F.col("n0_id"))
+        found = Pattern(graph, asked, {"n0": first.label})
+    elif not only[0]:
+        found = Pattern(graph, nodes, {"n0": first.label})
+    for i, (edge, direction) in enumerate(hops, 1):
+        step = found.hop if found is not None else graph.along
+        found = step(f"n{i - 1}", edge, f"e{i}", f"n{i}", direction, id_only=only[i])
+    keys = ["n0_id"]
+    if first.end:
+        found, keys = found.where(F.col("_end").cast(found.rows.schema[f"{last}_id"].dataType) == F.col(f"{last}_id")), ["n0_id", f"{last}_id"]
+    if met:
+        (far, onward), label = first.hops[1], found.labels["n1"]
         if first.form == "near":
-            found = found.exists("n1", *first.hops[1])
-        if first.end:
-            last = f"n{len(first.hops)}_id"
-            found, keys = found.where(F.col("_end").cast(found.rows.schema[last].dataType) == F.col(last)), ["n0_id", last]
-        rows = found.rows.groupBy(*keys).agg(*own)
+            ends = loose.along("n1", far, "e2", "n2", onward, id_only=True).rows.select("n1_id").distinct()
+            found = replace(found, rows=found.rows.join(shuffled(ends, rows[label]), "n1_id", "left_semi"))
+        else:
+            ends = graph.along("n1", far, "e2", "n2", onward, bare[2]) if bare[1] else graph.match(label, "n1").hop("n1", far, "e2", "n2", onward, id_only=bare[2])
+            ends, own = ends.rows.groupBy("n1_id").agg(*own), merged
+            found = replace(found, rows=found.rows.select("n0_id", "n1_id").join(shuffled(ends, rows[label]), "n1_id"))
     packed = reduce(Column.__add__, (F.shiftleft(_level(i, t).cast("long"), 2 * i) for i, t in enumerate(tasks)))
     end = F.col(keys[1]).cast("string") if first.end else F.lit("")
-    return rows.select(F.col("n0_id").cast("string").alias("_start"), end.alias("_end"), packed.alias("_level")).filter("_level > 0")
+    return found.rows.groupBy(*keys).agg(*own).select(F.col("n0_id").cast("string").alias("_start"), end.alias("_end"), packed.alias("_level")).filter("_level > 0")
 
 
 def reasons(graph: Graph, tasks: list[Task], questions: DataFrame) -> DataFrame:
     """The questions with valid and reason as ``validate`` has them, but no answers. Whether there is one is told for all nodes
-    by aggregates of edges, for all tasks of one shape at once; questions then meet a row for each node."""
+    by aggregates of edges, for all tasks of one shape at once; questions then meet a row for each node. No table that grows
+    with the graph is sent to all executors, so the driver holds none."""
     task = F.col("task_id")
     lists = sorted((t for t in tasks if not t.count), key=lambda t: t.shape)
     shapes = [own[i : i + TOGETHER] for own in (list(g) for _, g in groupby(lists, key=lambda t: t.shape)) for i in range(0, len(own), TOGETHER)]
-    used = Counter(edge for own in shapes for edge, _ in own[0].hops)
-    # written once, as several shapes read them
-    graph = Graph(graph.nodes, {k: replace(e, table=written(e.table), reverse=None) if used[k] > 1 else e for k, e in graph.edges.items()})
+    labels = {t.label for t in lists} | {label for t in lists for kind, _ in t.hops for label in (graph.edges[kind].source, graph.edges[kind].target)}
+    counted = [graph.nodes[k].select(F.lit(k).alias("label")) for k in sorted(labels)]
+    rows = {k: 0 for k in labels} | {r["label"]: r["count"] for r in (reduce(DataFrame.unionByName, counted).groupBy("label").count().collect() if counted else [])}
 
     def end_of(t: Task, label: str) -> str:
         for edge, direction in t.hops:
@@ -285,9 +336,23 @@ def reasons(graph: Graph, tasks: list[Task], questions: DataFrame) -> DataFrame:
         missing = reduce(Column.__or__, (F.col("parameters")[p].isNull() for p in needs))
         lacks = F.when(task.isin([t.id for t in tasks if t.parameters == needs]), missing).otherwise(lacks)
     keys = ["_shape", "_start", "_end"]
-    asked = questions.withColumns({"_shape": shape.cast("int"), "_start": start.cast("string"), "_end": end.cast("string"), "_bits": bits.cast("int"), "_lacks": lacks.cast("boolean")})
-    told = [_levels(graph, own, asked.filter(F.col("_shape") == k).select("_start", "_end")).withColumn("_shape", F.lit(k)) for k, own in enumerate(shapes)]
-    rows = asked.join(reduce(DataFrame.unionByName, told), keys, "left") if told else asked.withColumn("_level", F.lit(None).cast("long"))
+    named_start = F.when(shape.isNull(), F.col("question")).otherwise(start)  # those that nothing is looked up for needn't meet in one task
+    asked = questions.withColumns({"_shape": shape.cast("int"), "_start": named_start.cast("string"), "_end": end.cast("string"), "_bits": bits.cast("int"), "_lacks": lacks.cast("boolean")})
+    paired = [k for k, own in enumerate(shapes) if own[0].end]
+    if paired:
+        pairs = written(asked.filter(F.col("_shape").isin(paired)).select(*keys).distinct())
+        n_pairs = {k: 0 for k in paired} | {r["_shape"]: r["count"] for r in pairs.groupBy("_shape").count().collect()}
+    whole, loose = _bound(graph, lists, rows)
+    told = []
+    for k, own in enumerate(shapes):
+        wanted = joinable(pairs.filter(F.col("_shape") == k).select("_start", "_end"), n_pairs[k]) if k in paired else None
+        chained = _chained(graph, own[0])
+        told.append(_levels(whole if chained else graph, loose, own, wanted, rows, chained).withColumn("_shape", F.lit(k)))
+    if told:
+        parts = max(questions.sparkSession.sparkContext.defaultParallelism, -(-questions.count() // TOLD))
+        found = asked.repartition(parts, *keys).join(reduce(DataFrame.unionByName, told).repartition(parts, *keys).hint("merge"), keys, "left")
+    else:
+        found = asked.withColumn("_level", F.lit(None).cast("long"))
     level = F.coalesce(F.call_function("shiftright", F.col("_level"), F.col("_bits")), F.lit(0)).bitwiseAND(F.lit(3).cast("long"))
     reason = (
         F.when(F.col("_lacks").isNull(), "unknown_task")
@@ -296,7 +361,7 @@ def reasons(graph: Graph, tasks: list[Task], questions: DataFrame) -> DataFrame:
         .when(level == 0, "no_results")
         .otherwise("null_answer")
     )
-    return rows.withColumn("reason", reason).withColumn("valid", F.col("reason") == "ok").drop(*keys, "_bits", "_lacks", "_level")
+    return found.withColumn("reason", reason).withColumn("valid", F.col("reason") == "ok").drop(*keys, "_bits", "_lacks", "_level")
 
 
 def shares(validated: DataFrame, by: list[str]) -> DataFrame:

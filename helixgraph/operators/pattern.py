@@ -47,6 +47,13 @@ class Graph:
         """All nodes of a label; their columns are named alias_column."""
         return Pattern(self, _prefixed(self.nodes[label], alias), {alias: label})
 
+    def along(self, start: str, kind: str, edge: str, end: str, direction: str = "out", id_only: bool = False) -> Pattern:
+        """All edges of a type as a match of one hop that binds nothing of its first node but the id: for graphs whose edges all
+        begin at nodes."""
+        side, label = Pattern(self, self.edges[kind].table)._side(kind, edge, end, direction, id_only)
+        near = self.edges[kind].target if direction == "in" else self.edges[kind].source
+        return Pattern(self, side.withColumn(f"{start}_id", F.col(f"{edge}_here")), {start: near, end: label}, {edge: kind})
+
     def any_node(self) -> DataFrame:
         """(label, id, name) of the nodes of all labels, ids as strings."""
         parts = [t.select(F.lit(k).alias("label"), F.col("id").cast("string").alias("id"), F.col("name").cast("string").alias("name")) for k, t in self.nodes.items()]
@@ -128,6 +135,16 @@ class Pattern:
             return back, edge.source
         return forth.unionByName(back.filter("here <> there")), edge.target  # a self-loop matches once
 
+    def _side(self, kind: str, edge: str, end: str, direction: str, id_only: bool) -> tuple[DataFrame, str]:
+        """The edges of a type with the node at the far end, unless that is bound, and its label."""
+        ends, label = self._ends(kind, direction)
+        side = _prefixed(ends, edge)
+        if end in self.labels:
+            return side, label
+        if id_only:
+            return side.withColumn(f"{end}_id", F.col(f"{edge}_there")), label
+        return side.join(_prefixed(self.graph.nodes[label], end), F.col(f"{edge}_there") == F.col(f"{end}_id")), label
+
     def _other_edge(self, kind: str, edge: str) -> Column | None:
         """Whether an edge isn't one of those of its type that the row holds; null if the match has none."""
         mark = ["src", "dst"] + ["edge_no"] * ("edge_no" in self.graph.edges[kind].table.columns)
@@ -138,12 +155,8 @@ class Pattern:
         """Follow edges of a type from a bound alias; ``condition`` on the edge's and the end's columns belongs to the
         join, so that an optional hop keeps rows without a match. If the end is bound too, both ends are met. ``id_only``
         binds nothing but the end's id and joins no node table: for graphs whose edges all end at nodes."""
-        ends, label = self._ends(kind, direction)
-        side, bound = _prefixed(ends, edge), end in self.labels
-        if not bound and id_only:
-            side = side.withColumn(f"{end}_id", F.col(f"{edge}_there"))
-        elif not bound:
-            side = side.join(_prefixed(self.graph.nodes[label], end), F.col(f"{edge}_there") == F.col(f"{end}_id"))
+        side, label = self._side(kind, edge, end, direction, id_only)
+        bound = end in self.labels
         if condition is not None:
             side = side.filter(condition)
         on = self.rows[f"{start}_id"] == side[f"{edge}_here"]

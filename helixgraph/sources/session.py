@@ -49,6 +49,21 @@ def dealt(table: DataFrame, *keys: str) -> DataFrame:
     return table.repartition(max(table.sparkSession.sparkContext.defaultParallelism, -(-table.count() // ROWS)), *keys)
 
 
+#: Rows that a join may send whole to all executors, by way of the driver.
+SENT = 500_000
+
+
+def shuffled(df: DataFrame, rows: int) -> DataFrame:
+    """df as a side of joins that is never sent to all executors if its ``rows`` are many. Left to itself Spark goes by the size
+    of files, and keys compress so well that a few megabytes hold millions of rows, all of which would pass through the driver."""
+    return df.hint("merge") if rows > SENT else df
+
+
+def joinable(df: DataFrame, rows: int) -> DataFrame:
+    """df as a side of joins: sent to all executors if its ``rows`` are few, else never."""
+    return shuffled(df, rows) if rows > SENT else F.broadcast(df)
+
+
 def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """Adds each row's place, from 1, in an order of all rows, without sorting them in one task: a range partitioning deals
     out runs of the order, a row for each run says where it begins. The order should identify rows."""

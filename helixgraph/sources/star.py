@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.pattern import Edge, Graph, bit_of, distinct_numbers
-from .session import ranked, written
+from .session import joinable, ranked, shuffled, written
 
 
 def hundredths(column: str) -> F.Column:
@@ -32,15 +32,29 @@ class Star:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    @cached_property
+    def _lines(self) -> int:
+        return self.table("lineitem").count()
+
     @cached_property
     def _parts(self) -> int:
-        return max(self.spark.sparkContext.defaultParallelism, -(-self.table("lineitem").count() // ROWS))
+        return max(self.spark.sparkContext.defaultParallelism, -(-self._lines // ROWS))
 
     def spread(self, df: DataFrame, *keys: str) -> DataFrame:
         """df in as many partitions as the line items ask for, so that a task's memory doesn't grow with the tables; joins and
         groups by these keys take them as they lie."""
         return df.repartition(self._parts, *keys)
 
+    @cached_property
+    def _customers(self) -> DataFrame:
+        customers = self.table("customer")
+        return joinable(customers.select("c_custkey", "c_nationkey"), customers.count())
+
+    @cached_property
+    def _owners(self) -> DataFrame:
+        """The orders with their customers' nations."""
+        return self.table("orders").join(self._customers, F.col("o_custkey") == F.col("c_custkey"))
+
     @cached_property
     def genes(self) -> DataFrame:
         return self.table("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("type"), F.col("p_brand").alias("brand"))
@@ -54,17 +68,17 @@ class Star:
     @cached_property
     def causal(self) -> DataFrame:
         """SNP to disease: causal score and p-value."""
-        orders, customers = self.table("orders"), self.table("customer")
         score = F.least(F.col("o_totalprice") / 500000, F.lit(1.0))
-        return orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("src"), F.col("c_nationkey").alias("dst"), score.alias("causal_score"), F.pow(F.lit(10.0), score * -12).alias("pvalue"))
+        return self._owners.select(F.col("o_orderkey").alias("src"), F.col("c_nationkey").alias("dst"), score.alias("causal_score"), F.pow(F.lit(10.0), score * -12).alias("pvalue"))
 
     @cached_property
     def risk(self) -> DataFrame:
         """Gene to disease: risk and evidence scores and the number of SNPs. The orders' side is joined before the sum."""
-        owners = self.table("orders").join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
+        owners = self._owners.select("o_orderkey", "c_nationkey")
         lines = self.spread(self.table("lineitem").select("l_orderkey", "l_partkey", "l_discount", "l_tax"), "l_orderkey")
         each = (
-            lines.join(self.spread(owners, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+            shuffled(lines, self._lines)
+            .join(self.spread(owners, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
             .groupBy("l_orderkey", "l_partkey", "c_nationkey")
             .agg(F.sum(hundredths("l_discount")).alias("discount"), F.sum(hundredths("l_tax")).alias("tax"), F.count("*").alias("n"))
         )
@@ -84,7 +98,7 @@ class Star:
         supplier, nation, region = self.table("supplier"), self.table("nation"), self.table("region")
         translated = self.spread(lines.select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")), "src").distinct()
         parts = self.table("part").select(F.col("p_partkey").alias("id"), "p_type", "p_brand", "p_size")
-        made = translated.join(parts, F.col("src") == F.col("id"))
+        made = translated.join(joinable(parts, self.table("part").count()), F.col("src") == F.col("id"))
         score = F.when(F.col("s_acctbal") > 0, F.least(F.col("s_acctbal") / 10000, F.lit(1.0)))
         places = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
         after = F.lead("s_suppkey").over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))
@@ -143,9 +157,9 @@ class Star:
         def having(kind: str) -> DataFrame:
             return self.properties.filter(F.col("kind") == kind).select("src", F.col("value").cast(self.table("part").schema[kind].dataType).alias("dst"))
 
-        owners = self.table("orders").join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.col("c_nationkey").alias("dst"))
+        owners = self._owners.select("o_orderkey", F.col("c_nationkey").alias("dst"))
         lines = self.spread(self.table("lineitem").select("l_orderkey", F.col("l_partkey").alias("src")), "l_orderkey")
-        pairs = lines.join(self.spread(owners, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey")).select("src", "dst")
+        pairs = shuffled(lines, self._lines).join(self.spread(owners, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey")).select("src", "dst")
         processes = having("p_type")
         tables = {
             "MAPS_TO": self.maps_to.select("src", "dst"),
