@@ -42,3 +42,9 @@ def test_paths_whose_labels_differ(spark, none_sent):
     expected = {r["question"]: r["reason"] for r in gold.validate(Graph(nodes, edges), tasks, asked).collect()}
     assert {r["question"]: r["reason"] for r in gold.reasons(Graph(nodes, edges), tasks, asked).collect()} == expected
     assert set(expected.values()) == {"ok", "no_results"}
+
+
+def test_shares_send_no_table(spark, none_sent):
+    shares = gold_queries.gold_validation(spark, FOLDER)
+    assert "Broadcast" not in plan(shares)
+    assert {r["split"] for r in shares.collect()} == {"dev", "test"}
