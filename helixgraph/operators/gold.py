@@ -347,7 +347,8 @@ def reasons(graph: Graph, tasks: list[Task], questions: DataFrame) -> DataFrame:
     for k, own in enumerate(shapes):
         wanted = joinable(pairs.filter(F.col("_shape") == k).select("_start", "_end"), n_pairs[k]) if k in paired else None
         chained = _chained(graph, own[0])
-        told.append(_levels(whole if chained else graph, loose, own, wanted, rows, chained).withColumn("_shape", F.lit(k)))
+        # a shape at a time: in one plan of all of them, each stage that ends would have the driver plan the rest anew
+        told.append(written(_levels(whole if chained else graph, loose, own, wanted, rows, chained)).withColumn("_shape", F.lit(k)))
     if told:
         parts = max(questions.sparkSession.sparkContext.defaultParallelism, -(-questions.count() // TOLD))
         found = asked.repartition(parts, *keys).join(reduce(DataFrame.unionByName, told).repartition(parts, *keys).hint("merge"), keys, "left")
